@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination
 from .html import extract
 from .language import identify
+from .licenses import license_labels
 from .simhash import simhash_groups
 from .urls import SQL as URL_SQL
 from .urls import url_verdicts
@@ -26,6 +27,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_read(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(_read(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
@@ -41,6 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_urls": op4_urls,
+    "op5_licenses": op5_licenses,
     "op6_html": op6_html,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
