@@ -11,6 +11,8 @@ from .html import extract
 from .language import identify
 from .licenses import license_labels
 from .simhash import simhash_groups
+from .topk import SQL as TOPK_SQL
+from .topk import top_k
 from .urls import SQL as URL_SQL
 from .urls import url_verdicts
 
@@ -19,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
     "op4_urls": op4_urls,
     "op5_licenses": op5_licenses,
@@ -56,6 +63,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op1_topk": TOPK_SQL,
     "op4_urls": URL_SQL,
     "op10_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
