@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .html import extract
 from .language import identify
 from .licenses import license_labels
+from .lm import pseudo_likelihood
 from .simhash import simhash_groups
 from .topk import SQL as TOPK_SQL
 from .topk import top_k
@@ -29,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_read(spark, sf_dir, "documents"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_read(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
+    "op3_lm": op3_lm,
     "op4_urls": op4_urls,
     "op5_licenses": op5_licenses,
     "op6_html": op6_html,
