@@ -12,6 +12,7 @@ from .language import identify
 from .licenses import license_labels
 from .lm import pseudo_likelihood
 from .mixing import mix
+from .repeats import repeat_digest
 from .simhash import simhash_groups
 from .topk import SQL as TOPK_SQL
 from .topk import top_k
@@ -47,6 +48,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_licenses": op5_licenses,
     "op6_html": op6_html,
+    "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
