@@ -39,6 +39,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder that driver and executors share: in ``spark.checkpoint.dir``, else in a temporary one."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fluxlens-')).rstrip('/')}/{name}"
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has about ``most`` bytes in each piece (one row at least)."""
     for batch in batches:

@@ -181,12 +181,17 @@ def mix(
     tokens, the classifier's prior as posteriors, and a rate like any other row; repeated rows each get one.
     """
     targets = TARGETS if targets is None else targets
-    out, m = memberships(docs, fit_classifier(docs, labels), keep)
-    out = materialise(out)
+    model = fit_classifier(docs, labels)
+    out, m = memberships(docs, model, keep)
     n, p = F.col(m)["n_tokens"].cast("double"), F.col(m)["p"]
+    if "text" in keep:  # the steps need no texts: these are gone through once more at the end
+        table = materialise(memberships(docs, model, ())[0].withColumnRenamed("member", m))
+    else:
+        out = materialise(out)
+        table = out.select(m)
     whole = sum(targets.values()) or 1.0
-    tokens = total_tokens if total_tokens is not None else out.agg(F.sum(n)).first()[0] or 0.0
-    history = fit_rates(out.select(m), n, p, [targets.get(d, 0.0) / whole * tokens for d in DOMAINS])
+    tokens = total_tokens if total_tokens is not None else table.agg(F.sum(n)).first()[0] or 0.0
+    history = fit_rates(table, n, p, [targets.get(d, 0.0) / whole * tokens for d in DOMAINS])
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
         F.col(m)["n_tokens"].alias("n_tokens"),

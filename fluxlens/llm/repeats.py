@@ -326,9 +326,13 @@ def union_of(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+def without_repeats(
+    docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id", as_text: bool = False
+) -> tuple[DataFrame, str]:
     """Columns ``keep`` and a struct: n_bytes, spans (maximal removed runs of bytes), kept (bytes); its name.
 
+    With ``as_text``, kept is a string, without the bytes of characters that were cut.
+
     Null texts count as empty.  Rows without a doc_id lose nothing and take nothing from others; repeated
     rows of one doc_id don't remove each other, and each loses the same.
     """
@@ -355,7 +359,7 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id:
     ).select(*[F.col(f"t.`{c}`") for c in keep], F.col(f"t.`{blob}`"), F.col("s.listed").alias(spn))
     pair = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     kind = T.StructType(
-        [T.StructField("n_bytes", T.LongType()), T.StructField("spans", pair), T.StructField("kept", T.BinaryType())]
+        [T.StructField("n_bytes", T.LongType()), T.StructField("spans", pair), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     )
     schema = T.StructType([*t.schema.fields[: len(keep)], T.StructField(name, kind)])
 
@@ -370,7 +374,7 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id:
                 removed = union_of([(x["start"], x["stop"]) for x in found or ()])
                 edges = [0, *(e for pair in removed for e in pair), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                made.append({"n_bytes": len(text), "spans": [{"start": a, "stop": b} for a, b in removed], "kept": kept})
+                made.append({"n_bytes": len(text), "spans": [{"start": a, "stop": b} for a, b in removed], "kept": kept.decode(errors="ignore") if as_text else kept})
             columns = [batch.column(i).cast(out.field(i).type) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(made, out.field(len(keep)).type)], schema=out)
 
