@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh, map_texts, slices
+from .common import fresh, map_texts, materialise, slices
 
 #: Size of the model, which bounds what is broadcast: words and n-grams of each order for a language.
 #: Every document is counted; rarer words take the way of unseen words.
-WORDS, GRAMS, LONGEST = 20_000, 10_000, 5
+WORDS, GRAMS, LONGEST = 20_000, 10_000, 4
 #: What an unseen word counts, in occurrences over the text of all languages.
 ALPHA = 0.5
 #: Distinct entries that a task counts before it passes them on.
@@ -78,80 +78,77 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, n=1.., gram, hits): character n-grams of the counted words, as often as the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[tuple[str, int], dict[str, int]] = {}
+
+        def out() -> pa.RecordBatch:
+            return _flush(Counter({(*k, g): n for k, c in counts.items() for g, n in c.items()}))
+
         for batch in batches:
-            for lang, gram, hits in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for lang, word, hits in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 for n in range(1, LONGEST + 1):
-                    for g in grams_of(gram, n):
-                        counts[lang, n, g] += hits
-            if len(counts) > HELD:
-                yield _flush(counts)
-                counts = Counter()
-        yield _flush(counts)
+                    table = counts.get((lang, n))
+                    if table is None:
+                        table = counts[lang, n] = {}
+                    get = table.get
+                    for g in grams_of(word, n):
+                        table[g] = get(g, 0) + hits
+            if sum(map(len, counts.values())) > HELD:
+                yield out()
+                counts.clear()
+        yield out()
 
     counted = words.mapInArrow(run, "lang string, n int, gram string, hits long")
     return counted.groupBy("lang", "n", "gram").agg(F.sum("hits").alias("hits"))
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams, one column for each language (sorted by name)."""
+    """Log frequencies of words and n-grams: a row of ``vectors`` each, a column for each language (by name)."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], tuple[int, int]]):
+    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         self.langs = sorted({lang for lang, _ in totals})
-        place = {x: i for i, x in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        counts: list[dict[str, dict[int, int]]] = [{} for _ in range(LONGEST + 1)]
+        column = {x: i for i, x in enumerate(self.langs)}
+        #: Row of each word (0) and of each n-gram (1..).
+        self.places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        orders: list[int] = []
+        for _, n, gram, _ in rows:
+            if gram not in self.places[n]:
+                self.places[n][gram] = len(orders)
+                orders.append(n)
+        sums = np.array([[totals.get((x, n), 0) for x in self.langs] for n in range(LONGEST + 1)], float)
+        unseen = ALPHA / np.maximum(1, sums.sum(1, keepdims=True))  # alike for every language, however much text it has
+        self.vectors = np.repeat(unseen, len(self.langs), axis=1)[orders] if orders else np.zeros((0, len(self.langs)))
         for lang, n, gram, hits in rows:
-            counts[n].setdefault(gram, {})[place[lang]] = hits
-        for n, table in enumerate(counts):
-            hits = np.array([totals.get((x, n), (0, 0))[0] for x in self.langs], float)
-            unseen = ALPHA / max(1.0, hits.sum())  # alike for every language, however much text it has
-            hits = np.maximum(hits, 1)
-            for gram, seen in table.items():
-                v = np.full(len(self.langs), unseen)
-                for i, x in seen.items():
-                    v[i] += x / hits[i]
-                self.tables[n][gram] = np.log(v)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of a known word, else the mean over its known n-grams of the longest order that has any."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            if found := [table[g] for g in grams_of(word, n) if g in table]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
-
+            self.vectors[self.places[n][gram], column[lang]] += hits / sums[n, column[lang]]
+        self.vectors = np.log(self.vectors)
 
-class Predictor:
-    """Predicts texts; remembers the vectors of up to ``HELD`` words."""
-
-    def __init__(self, model: LanguageModel):
-        self.model = model
-        self.places: dict[str, int] = {}
-        self.vectors = np.zeros((1024, max(1, len(model.langs))))
-
-    def place(self, word: str) -> int:
-        at = len(self.places)
-        if at == len(self.vectors):
-            self.vectors = np.r_[self.vectors, np.zeros_like(self.vectors)]
-        self.vectors[at] = self.model.word(word)
-        self.places[word] = at
-        return at
+    def backoff(self, word: str) -> list[int]:
+        """Rows of an unseen word: its known n-grams of the longest order that has any."""
+        for n in range(LONGEST, 0, -1):
+            get = self.places[n].get
+            if found := [i for g in grams_of(word, n) if (i := get(g)) is not None]:
+                return found
+        return []
 
     def __call__(self, text: bytes | None) -> tuple[str, float]:
+        """Language and its posterior.  An unseen word counts as the mean over its n-grams."""
         words = letters_of(text)
-        langs = self.model.langs
-        if not words or not langs:
+        if not words or not self.langs:
             return "und", 0.0
-        if len(self.places) > HELD:
-            self.places.clear()
-        get, place = self.places.get, self.place
-        at = [i if (i := get(w)) is not None else place(w) for w in words]
-        total = self.vectors[at].sum(0)
+        get = self.places[0].get
+        rows, weights, unseen = [], [], []
+        for w in words:
+            if (i := get(w)) is None:
+                unseen.append(w)
+            else:
+                rows.append(i)
+        known = len(rows)
+        for w in unseen:
+            if found := self.backoff(w):
+                rows += found
+                weights += [1 / len(found)] * len(found)
+        total = self.vectors[rows[:known]].sum(0) + np.array(weights) @ self.vectors[rows[known:]]
         best = int(total.argmax())
-        return langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def fit(docs: DataFrame) -> LanguageModel:
@@ -160,25 +157,22 @@ def fit(docs: DataFrame) -> LanguageModel:
     Counts cover every row.  What comes to the driver is the ``WORDS`` most frequent words and the
     ``GRAMS`` most frequent n-grams of each order for each language (ties: by text), and totals.
     """
-    words = word_counts(docs)
-    both = words.unionByName(gram_counts(words))
-    totals = both.groupBy("lang", "n").agg(F.sum("hits").alias("hits"), F.count("*").alias("kinds"))
+    words = materialise(word_counts(docs))
+    both = words.unionByName(materialise(gram_counts(words)))
+    totals = both.groupBy("lang", "n").agg(F.sum("hits").alias("hits"))
     by = Window.partitionBy("lang", "n").orderBy(F.desc("hits"), "gram")
     top = both.withColumn("r", F.row_number().over(by))
     top = top.where((F.col("r") <= max(WORDS, GRAMS)) & ((F.col("n") == 0) & (F.col("r") <= WORDS) | (F.col("n") > 0) & (F.col("r") <= GRAMS)))
     rows = [tuple(r) for r in top.select("lang", "n", "gram", "hits").collect()]
-    return LanguageModel(rows, {(r["lang"], r["n"]): (r["hits"], r["kinds"]) for r in totals.collect()})
+    return LanguageModel(rows, {(r["lang"], r["n"]): r["hits"] for r in totals.collect()})
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...]) -> tuple[DataFrame, str]:
     """Columns ``keep`` and a struct (lang_pred, score); its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cache: dict[str, Predictor] = {}
 
     def work(texts):
-        if "it" not in cache:
-            cache["it"] = Predictor(shared.value)
-        return [[dict(zip(("lang_pred", "score"), cache["it"](t), strict=True)) for t in texts]]
+        return [[dict(zip(("lang_pred", "score"), shared.value(t), strict=True)) for t in texts]]
 
     name = fresh(keep, "language")
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
