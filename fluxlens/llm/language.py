@@ -20,6 +20,8 @@ from .common import fresh, map_texts, materialise, slices
 WORDS, GRAMS, LONGEST = 20_000, 10_000, 4
 #: What an unseen word counts, in occurrences over the text of all languages.
 ALPHA = 0.5
+#: Parts in which the most frequent ones of a language are looked for.
+SPREAD = 16
 #: Distinct entries that a task counts before it passes them on.
 HELD = 200_000
 
@@ -160,9 +162,13 @@ def fit(docs: DataFrame) -> LanguageModel:
     words = materialise(word_counts(docs))
     both = words.unionByName(materialise(gram_counts(words)))
     totals = both.groupBy("lang", "n").agg(F.sum("hits").alias("hits"))
-    by = Window.partitionBy("lang", "n").orderBy(F.desc("hits"), "gram")
-    top = both.withColumn("r", F.row_number().over(by))
-    top = top.where((F.col("r") <= max(WORDS, GRAMS)) & ((F.col("n") == 0) & (F.col("r") <= WORDS) | (F.col("n") > 0) & (F.col("r") <= GRAMS)))
+    most = F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)
+    # a language's words are first ranked in parts, so that the task of a language gets SPREAD * WORDS rows at most
+    for part in (["part"], []):
+        by = Window.partitionBy("lang", "n", *part).orderBy(F.desc("hits"), "gram")
+        both = both.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(SPREAD)))
+        both = both.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most)
+    top = both
     rows = [tuple(r) for r in top.select("lang", "n", "gram", "hits").collect()]
     return LanguageModel(rows, {(r["lang"], r["n"]): r["hits"] for r in totals.collect()})
 
