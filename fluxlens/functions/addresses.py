@@ -106,8 +106,8 @@ def in_network(address: Column, network: str, strict: bool = True) -> Column:
     """True if the address lies in the network; false for null and for the other family."""
     a, length = parse_network(network, strict)
     low, high = network_range(a, length)
-    inside = (F.length(address) == len(a)) & (address >= F.lit(low)) & (address <= F.lit(high))
-    return F.coalesce(inside, F.lit(False))
+    # without an address the first test is false, and so is the whole: no null is left to hide the range
+    return address.isNotNull() & (F.length(address) == len(a)) & (address >= F.lit(low)) & (address <= F.lit(high))
 
 
 def family(address: Column) -> Column:

@@ -82,12 +82,14 @@ def _padded(name: str, digits: int) -> Column:
 
 def csv_rows(df: DataFrame, to_text: Callable[[Column], Column] = address_text) -> DataFrame:
     """The columns of the CSV form, whatever mask was used to read; absent numbers are 0, absent addresses empty."""
-    out = []
+    out, kinds = [], dict(df.dtypes)
     for name, column in CSV:
         if column.endswith("_addr"):
             value = F.coalesce(to_text(F.col(column)), F.lit("")) if column in df.columns else F.lit("")
         else:
-            value = F.coalesce(F.col(column), F.lit(0)).cast("long") if column in df.columns else F.lit(0).cast("long")
+            kind = kinds.get(column, "long")
+            value = F.coalesce(F.col(column), F.lit(0)) if column in kinds else F.lit(0)
+            value = value.cast(kind if kind.startswith("decimal") else "long")
         out.append(value.alias(name))
     return df.select(*out)
 

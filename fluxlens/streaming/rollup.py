@@ -36,16 +36,18 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     )
 
 
-def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str = "1 hour") -> DataFrame:
+def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str | None = None) -> DataFrame:
     """Flows of a stream of packets, version 9 templates kept as state of each exporter.
 
     Exporters that the policy doesn't admit are dropped before anything is decoded.  An exporter's
-    templates go after ``idle`` without a packet; a limit over all exporters, which a single process could
-    keep, would need one task for all of them.  Packets of one batch are taken in the order of ``seq``.
+    templates go after ``idle`` without a packet (if given: not for queries that end by themselves, since
+    Spark runs batches for as long as a timeout may come); a limit over all exporters, which a single
+    process could keep, would need one task for all of them.  Packets of one batch are taken in the order
+    of ``seq``.
     """
     admitted = admit(packets, policy.sources if policy else None)
     state = T.StructType([T.StructField("blob", T.BinaryType())])
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -57,13 +59,14 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str =
         for time, agent, seq, payload in zip(batch["recv_time"], batch["agent_addr"], batch["seq"], batch["payload"], strict=True):
             rows += flow_rows(time, agent, seq, decode_packet(bytes(payload or b""), templates))
         held.update((_dump(templates),))
-        held.setTimeoutDuration(idle_ms)
+        if idle:
+            held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield _typed(_frame(rows, FLOW_ROW.names))
 
     flows = (
         admitted.select(*PACKET.names)
         .groupBy("agent_addr")
-        .applyInPandasWithState(run, FLOW_ROW, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(run, FLOW_ROW, state, "append", timeout)
     )
     return apply_policy(flows, policy) if policy else flows
 
