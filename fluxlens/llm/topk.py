@@ -179,6 +179,8 @@ def search(groups: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     if floor_known:
                         opened = ~opened & (ceilings >= part["floor"].fillna(-np.inf).to_numpy()[:, None])
                     q, c = np.nonzero(opened)
+                    if not len(q):
+                        continue
                     rows = part.iloc[q].assign(cell=at.cells[c].astype("int32"))
                     rows["part"] = [list(range(part_count[x])) for x in rows["cell"].tolist()]
                     rows["chunk"] = (rows["quid"] % chunks).astype("int32")
