@@ -65,8 +65,9 @@ def trigrams(url: Column) -> Column:
     """Number of each character of the url after its scheme, with its two predecessors: (a * SIZE + b) * SIZE + c."""
     text = F.translate(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[^/?#]*?://", ""), _UPPER, _LOWER)
     kinds = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    before = lambda i, n: F.coalesce(F.get(kinds, i - n), F.lit(0))
-    return F.transform(kinds, lambda c, i: (before(i, 2) * SIZE + before(i, 1)) * SIZE + c)
+    before = lambda *zeros: F.slice(F.concat(F.array(*map(F.lit, zeros)), kinds), F.lit(1), F.size(kinds))
+    pairs = F.zip_with(kinds, before(0), lambda c, b: b * SIZE + c)  # each array is made once for a url, however long
+    return F.zip_with(pairs, before(0, 0), lambda x, a: a * SIZE * SIZE + x)
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
@@ -98,10 +99,11 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row ``edge``: the step at which the labelled rows' two classes are told apart best.
+    """One row ``edge``: the score at which the labelled rows' two classes are told apart best.
 
-    Of all steps the one where accepted rows at or above and rejected rows below, as shares of their
-    classes, sum highest; the lowest of equal ones; 0 if a class has no rows.
+    Of all steps that have rows the one where accepted rows at or above and rejected rows below, as shares
+    of their classes, sum highest; the lowest of equal ones.  The edge is halfway between it and the next
+    lower step that has rows; 0 if a class has no rows.
     """
     steps = (
         scored.where("verdict is not null and score is not null")
@@ -118,9 +120,10 @@ def threshold(scored: DataFrame) -> DataFrame:
         F.sum("bad").over(Window.partitionBy()).alias("all_bad"),
         (F.sum("good").over(up) - F.col("good")).alias("good_below"),
         (F.sum("bad").over(up) - F.col("bad")).alias("bad_below"),
+        F.floor((F.col("step") + F.coalesce(F.lag("step").over(up) + 1, "step")) / 2).alias("middle"),
     ).where("all_good > 0 and all_bad > 0")
     gain = F.col("bad_below") / F.col("all_bad") - F.col("good_below") / F.col("all_good")
-    best = ranked.agg(F.min_by("step", F.struct(-gain, F.col("step"))).alias("step"))
+    best = ranked.agg(F.min_by("middle", F.struct(-gain, F.col("step"))).alias("step"))
     return best.select(F.coalesce(F.col("step") * STEP, F.lit(0)).cast("long").alias("edge"))
 
 
@@ -209,8 +212,8 @@ x AS (SELECT page_id, host, path, rule, verdict, score FROM w LEFT JOIN s USING
 t AS (SELECT floor(score / {STEP}) AS step, CAST(count(*) FILTER (verdict = 'allow') AS DOUBLE) AS good,
   CAST(count(*) FILTER (verdict = 'block') AS DOUBLE) AS bad FROM x WHERE verdict IS NOT NULL AND score IS NOT NULL GROUP BY 1),
 y AS (SELECT step, (sum(bad) OVER (ORDER BY step) - bad) / sum(bad) OVER () - (sum(good) OVER (ORDER BY step) - good) / sum(good) OVER () AS gain,
-  sum(good) OVER () AS all_good, sum(bad) OVER () AS all_bad FROM t),
-e AS (SELECT coalesce((SELECT step * {STEP} FROM y WHERE all_good > 0 AND all_bad > 0 ORDER BY gain DESC, step LIMIT 1), 0) AS edge)
+  floor((step + coalesce(lag(step) OVER (ORDER BY step) + 1, step)) / 2) AS middle, sum(good) OVER () AS all_good, sum(bad) OVER () AS all_bad FROM t),
+e AS (SELECT coalesce((SELECT middle * {STEP} FROM y WHERE all_good > 0 AND all_bad > 0 ORDER BY gain DESC, step LIMIT 1), 0) AS edge)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score < edge THEN 'block' ELSE 'allow' END) AS verdict,
   score / {PARTS} AS score FROM x, e
 """
