@@ -22,7 +22,7 @@ PLACES = LENGTH - ANCHOR + 1
 #: A match of LENGTH bytes round a common anchor has so many more bytes in common on one side of it at least.
 SIDE = (LENGTH - ANCHOR + 1) // 2
 #: Texts that a task looks at together; text behind the pieces of a shard; bytes of one suffix array.
-CHUNK, BLOCK, SHARD, ARRAY = 1 << 21, 8 << 20, 8 << 20, 1 << 20
+CHUNK, BLOCK, SHARD, ARRAY = 1 << 20, 8 << 20, 4 << 20, 1 << 20
 _U = np.uint64
 _PLACE = _U(0xFFFFFF)
 
@@ -217,7 +217,7 @@ def _runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray
 
 
 def _pack(arrays: Sequence[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(list(arrays), protocol=5))
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(list(arrays), protocol=5))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = rows.where(f"doc is not null and octet_length(text) >= {LENGTH}")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    keyed = rows.withColumn("key", F.xxhash64("text"))
+    keyed = rows.withColumn("key", F.hash("text").cast("long"))  # tells texts of a repeated doc_id apart
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Pieces] = []
@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     ids.append(k)
                     blobs.append(_pack([
                         q.data, q.size.astype(np.uint8), q.anchor.astype(np.uint8), np.diff(q.doc, prepend=0),
-                        np.diff(q.text, prepend=0), np.diff(q.lo, prepend=0), *mine,
+                        q.text.astype(np.int32), np.diff(q.lo, prepend=0), *mine,
                     ]))
             if edges is None and len(spans[0]):
                 ids.append(0)
@@ -285,10 +285,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             parts, spans = [], []
             for data, size, anchor, doc, key, lo, *done in map(_unpack, blobs):
                 size = size.astype(np.int64)
-                parts.append(Pieces(data, np.cumsum(size) - size, size, anchor.astype(np.int64), np.cumsum(doc), np.cumsum(key), np.cumsum(lo)))
+                parts.append(Pieces(data, np.cumsum(size) - size, size, anchor.astype(np.int64), np.cumsum(doc), key.astype(np.int64), np.cumsum(lo)))
                 spans.append(done)
+            none = np.zeros(0, np.int64)
+            parts.append(Pieces(np.zeros(8, np.uint8), none, none, none, none, none, none))  # room to read whole words
+            blobs.clear()
             p = Pieces.joined(parts)
-            p.data = np.r_[p.data, np.zeros(8, np.uint8)]
+            parts.clear()
             on, later = collapse(p)
             whole, p = p.take(later), p.take(on)
             row, offset = resolve(p)
@@ -342,7 +345,7 @@ def without_repeats(
     base = docs.select(
         *[F.col(f"`{c}`") for c in keep],
         F.col(f"`{doc_id}`").cast("long").alias(idn),
-        F.xxhash64(F.col("text").cast("string")).alias(key),
+        F.hash(F.col("text").cast("string")).cast("long").alias(key),
         F.col("text").cast("string").alias("text_whole" if "text" in keep else "text"),
     )
     tight = map_texts(
