@@ -12,36 +12,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, slices, words_of
+from .common import map_texts, materialise, slices, words_of
 
-#: Words are numbered up to GROUP ** 2: 0 stands outside the text, 1 for every word that is not among the
-#: GROUP ** 2 - 2 most frequent ones of the whole corpus.  The output is a softmax over GROUP groups, then
-#: one over the GROUP words of the group.
+#: Digits of a word's number, and the least size of the vocabulary.  The output is a softmax over GROUP for
+#: each digit, from the highest on, so that a word costs GROUP times the number of digits.
 GROUP = 32
 VOCABULARY = GROUP * GROUP
+#: The most frequent words of the corpus have numbers of their own: all up to VOCABULARY, beyond that GROWTH times
+#: the root of the number of distinct words.  Every other word is its first byte, which has a number as well, and
+#: the bytes after it, which :class:`Spelling` scores; so no two words are the same to the model.
+GROWTH = 8
 #: Words seen on either side of the masked one; size of the hidden layer.
 REACH, HIDDEN = 2, 16
-#: Share of positions masked for training in each of the passes over all texts, as usual for masked models.
-MASKED, PASSES = 0.15, 2
+#: Passes over all texts.  Each masks its share of the positions of every text: each position once in all.
+PASSES = 2
 BATCH, RATE = 2048, 0.15
+#: Bytes of text for each byte of weights that a task of training sends (fewer, longer tasks for a larger model).
+TEXT_FOR_WEIGHTS = 4
 _HELD = 200_000
+#: Bytes of words as 1..164 (digits, letters, bytes of other characters); 0 is the end.
+SYMBOLS = 165
+_SYMBOL = np.zeros(256, np.int32)
+_SYMBOL[[*range(48, 58), *range(97, 123), *range(128, 256)]] = np.arange(1, SYMBOLS)
 
 
 class Network:
-    """hidden = tanh(sum of the neighbours' vectors by place); group and word softmax on top."""
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 0):
-        self.shapes = [
-            (2 * REACH, VOCABULARY, HIDDEN), (HIDDEN, GROUP), (GROUP,), (GROUP, HIDDEN, GROUP), (GROUP, GROUP),
-        ]
+    """hidden = tanh(sum of the neighbours' vectors by place); a softmax for each digit of the word on top."""
+
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 0, size: int = VOCABULARY):
+        depth = 2
+        while GROUP**depth < size:
+            depth += 1
+        #: What a word's number is divided by to give the node of each digit.
+        self.steps = [GROUP ** (depth - k) for k in range(depth)]
+        nodes = [-(-size // x) for x in self.steps]
+        self.shapes = [(2 * REACH, size, HIDDEN)]
+        for n in nodes:
+            self.shapes += [(n, HIDDEN, GROUP), (n, GROUP)]
         sizes = [int(np.prod(s)) for s in self.shapes]
         if flat is None:
             flat = np.random.default_rng(seed).normal(0, 0.1, sum(sizes)).astype(np.float32)
         self.flat = flat
-        cuts = np.cumsum(sizes)[:-1]
-        self.near, self.group_w, self.group_b, self.word_w, self.word_b = (
-            x.reshape(s) for x, s in zip(np.split(flat, cuts), self.shapes, strict=True)
-        )
+        self.near, *layers = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.shapes, strict=True))
+        self.layers = list(zip(layers[::2], layers[1::2], strict=True))
+        self.group_w, self.group_b = self.layers[0][0][0], self.layers[0][1][0]
+        self.word_w, self.word_b = self.layers[1]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.near[0][context[:, 0]]
@@ -54,71 +69,147 @@ class Network:
         x = x - x.max(1, keepdims=True)
         return x - np.log(np.exp(x).sum(1, keepdims=True))
 
+    def _digit(self, k: int, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int | np.ndarray, np.ndarray | slice, np.ndarray]]:
+        """(node, rows, outputs) of digit ``k``: rows of one node together, or a node for each row."""
+        w, b = self.layers[k]
+        node = target // self.steps[k]
+        if len(w) == 1:
+            yield 0, slice(None), h @ w[0] + b[0]
+        elif len(w) <= 64 or len(h) > 16 * len(w):
+            order = np.argsort(node, kind="stable")
+            edges = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]]).tolist() + [len(order)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                rows = order[i:j]
+                at = int(node[rows[0]])
+                yield at, rows, h[rows] @ w[at] + b[at]
+        else:
+            for i in range(0, len(h), BATCH):
+                at = node[i : i + BATCH]
+                yield at, slice(i, i + BATCH), np.matmul(h[i : i + BATCH, None, :], w[at])[:, 0] + b[at]
+
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(target | both sides) of each position."""
         h = self.hidden(context)
-        group, word = target // GROUP, target % GROUP
-        out = self.log_softmax(h @ self.group_w + self.group_b)[np.arange(len(h)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUP + 1))
-        for g in range(GROUP):
-            rows = order[edges[g] : edges[g + 1]]
-            if len(rows):
-                out[rows] += self.log_softmax(h[rows] @ self.word_w[g] + self.word_b[g])[np.arange(len(rows)), word[rows]]
+        out = np.zeros(len(h))
+        for k, step in enumerate(self.steps if len(h) else ()):
+            digit = target % step // (step // GROUP)
+            for _, rows, x in self._digit(k, h, target):
+                out[rows] += self.log_softmax(x)[np.arange(len(x)), digit[rows]]
         return out
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Gradient of the mean negative log probability, laid out as ``flat``."""
-        grad = Network(np.zeros_like(self.flat))
+    def slopes(self, context: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, int | np.ndarray, np.ndarray]]:
+        """Gradient of the mean negative log probability: (weights, rows of them, slope), zero elsewhere.
+
+        All of it is computed before the first is given, so weights may be changed meanwhile.
+        """
         h = self.hidden(context)
         n = len(h)
-        group, word = target // GROUP, target % GROUP
-        p = np.exp(self.log_softmax(h @ self.group_w + self.group_b))
-        p[np.arange(n), group] -= 1
-        grad.group_w[:] = h.T @ p / n
-        grad.group_b[:] = p.sum(0) / n
-        back = p @ self.group_w.T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUP + 1))
-        for g in range(GROUP):
-            rows = order[edges[g] : edges[g + 1]]
-            if len(rows):
-                q = np.exp(self.log_softmax(h[rows] @ self.word_w[g] + self.word_b[g]))
-                q[np.arange(len(rows)), word[rows]] -= 1
-                grad.word_w[g] = h[rows].T @ q / n
-                grad.word_b[g] = q.sum(0) / n
-                back[rows] += q @ self.word_w[g].T
+        back = np.zeros_like(h)
+        found = []
+        for k, step in enumerate(self.steps):
+            w, b = self.layers[k]
+            digit = target % step // (step // GROUP)
+            for node, rows, x in self._digit(k, h, target):
+                q = np.exp(self.log_softmax(x))
+                q[np.arange(len(q)), digit[rows]] -= 1
+                if isinstance(node, int):
+                    back[rows] += q @ w[node].T
+                    found += [(w, node, h[rows].T @ q / n), (b, node, q.sum(0) / n)]
+                else:
+                    back[rows] += np.matmul(w[node], q[:, :, None])[:, :, 0]
+                    order = np.argsort(node, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
+                    ids = node[order][starts]
+                    outer = h[rows][order][:, :, None] * q[order][:, None, :]
+                    found += [(w, ids, np.add.reduceat(outer, starts, axis=0) / n), (b, ids, np.add.reduceat(q[order], starts, axis=0) / n)]
         back *= (1 - h * h) / n
         for k in range(2 * REACH):
             order = np.argsort(context[:, k], kind="stable")
             ids = context[order, k]
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            grad.near[k][ids[starts]] = np.add.reduceat(back[order], starts, axis=0)
-        return grad.flat
+            found.append((self.near[k], ids[starts], np.add.reduceat(back[order], starts, axis=0)))
+        yield from found
+
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Gradient of the mean negative log probability, laid out as ``flat``."""
+        out = np.zeros_like(self.flat)
+        first = self.flat.__array_interface__["data"][0]
+        for weights, rows, slope in self.slopes(context, target):
+            at = (weights.__array_interface__["data"][0] - first) // self.flat.itemsize
+            view = out[at : at + weights.size].reshape(weights.shape)
+            view[rows] += slope
+        return out
+
+
+class Vocabulary(dict):
+    """Numbers of words, and of first bytes (after a space) of those spelled; what the spelled words consist of."""
+
+    def __init__(self, places: dict[bytes, int] | None = None, codes: np.ndarray | None = None, counts: np.ndarray | None = None):
+        super().__init__(places or {})
+        self.codes = np.zeros(0, np.int64) if codes is None else codes
+        self.counts = np.zeros(0, np.int64) if counts is None else counts
+
+    def __reduce__(self):
+        return Vocabulary, (dict(self), self.codes, self.counts)
+
 
+def size_of(places: dict[bytes, int]) -> int:
+    return max(VOCABULARY, -(-(len(places) + 2) // GROUP) * GROUP)
 
-def numbered(texts: list[bytes | None], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts in a row with REACH zeros around each text; positions of words; text of each."""
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of three symbols in a row: each byte of a word after its first, and its end, after the two before; word of each."""
+    row = _SYMBOL[np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)].astype(np.int64)
+    ends = np.flatnonzero(row == 0)
+    owner = np.cumsum(row == 0) - 1  # each word stands behind its own zero
+    at = np.arange(len(row))
+    codes = np.zeros(len(row), np.int64)
+    codes[2:] = (row[:-2] * SYMBOLS + row[1:-1]) * SYMBOLS + row[2:]
+    owner[ends] -= 1  # an end belongs to the word before it
+    use = at > ends[owner] + 1
+    use[0] = False
+    return codes[use], owner[use]
+
+
+class Spelling:
+    """ln P of the bytes of a spelled word after its first, from counts of three in a row, backed off to two and one."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        n = np.bincount(codes, counts, SYMBOLS**3).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+        one, two = n.sum((0, 1)), n.sum(0)
+        p = (one + 1) / (one.sum() + SYMBOLS)
+        p = (two + 5 * p) / (two.sum(1, keepdims=True) + 5)
+        p = (n + 5 * p) / (n.sum(2, keepdims=True) + 5)
+        self.table = np.log(p).astype(np.float32).ravel()
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        codes, owner = spelled(words)
+        return np.bincount(owner, self.table[codes], len(words))
+
+
+def numbered(texts: list[bytes | None], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Words of all texts in a row with REACH zeros around each text; positions of words; text of each; the words."""
     get = places.get
     row: list[int] = [0] * REACH
-    lengths = []
-    for text in texts:
-        words = words_of(text)
-        row += [get(w, 1) for w in words]
+    split = [words_of(text) for text in texts]
+    for words in split:
+        row += [get(w) or get(b" " + w[:1], 1) for w in words]
         row += [0] * REACH
-        lengths.append(len(words))
     ids = np.array(row, np.int32)
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    owner = np.repeat(np.arange(len(texts)), [len(words) for words in split])
     at = np.arange(len(owner)) + REACH * (owner + 1)
-    return ids, at, owner
+    return ids, at, owner, split
 
 
 def neighbours(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + d] for d in range(-REACH, REACH + 1) if d], axis=1)
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Numbers of the most frequent words of all texts (ties: by bytes).  Every word is counted."""
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Numbers of the most frequent words of all texts (ties: by bytes), and what all other words are spelled with.
+
+    Every word is counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(counts):
@@ -135,9 +226,29 @@ def vocabulary(docs: DataFrame) -> dict[bytes, int]:
                 counts = Counter()
         yield out(counts)
 
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SYMBOLS**3, np.int64)
+        for piece in slices(batches, "word"):
+            codes, owner = spelled(piece.column(0).to_pylist())
+            np.add.at(total, codes, piece.column(1).to_numpy()[owner])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
+
     counted = texts_of(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()
-    return {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
+    counted = materialise(counted)
+    distinct = counted.count()
+    most = max(VOCABULARY - 2, int(GROWTH * distinct**0.5))
+    top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
+    places = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
+    if distinct <= most:
+        return Vocabulary(places)
+    n, word = F.lit(top[-1]["n"]), F.lit(bytes(top[-1]["word"]))
+    rest = counted.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word))
+    for r in rest.select(F.substring("word", 1, 1).alias("first")).distinct().orderBy("first").collect():
+        places[b" " + bytes(r["first"])] = len(places) + 2
+    parts = rest.mapInArrow(spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = parts.orderBy("code").toArrow()
+    return Vocabulary(places, found["code"].to_numpy(), found["n"].to_numpy())
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -149,17 +260,23 @@ def train(docs: DataFrame, places: dict[bytes, int], passes: int = PASSES) -> np
 
     In each pass every task follows the gradient over its own texts from the common weights; the
     results are averaged by their number of positions in a tree of reductions, so neither a task nor
-    the driver ever holds more than a few copies of the weights.
+    the driver ever holds more than a few copies of the weights.  A text's positions are masked in
+    turn: pass t has each ``passes``-th one, so that after the last pass each was a target once.
     """
     sc = docs.sparkSession.sparkContext
-    flat = Network().flat
+    size = size_of(places)
+    flat = Network(size=size).flat
+    texts = texts_of(docs)
+    length = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(1, -(-length // (TEXT_FOR_WEIGHTS * flat.nbytes))))
     for turn in range(passes):
         shared = sc.broadcast((flat, places))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             start, known = shared.value
-            net = Network(start.copy())
-            squares = np.full_like(net.flat, 1e-6)
+            net = Network(start.copy(), size=size)
+            every = [*net.near, *(x for layer in net.layers for x in layer)]
+            squares = {x.__array_interface__["data"][0]: np.full_like(x, 1e-6) for x in every}
             seen = 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -168,16 +285,17 @@ def train(docs: DataFrame, places: dict[bytes, int], passes: int = PASSES) -> np
                 target = np.concatenate([y for _, y in held])
                 stop = len(target) if last else len(target) // BATCH * BATCH
                 for i in range(0, stop, BATCH):
-                    g = net.gradient(context[i : min(i + BATCH, stop)], target[i : min(i + BATCH, stop)])
-                    squares[:] += g * g
-                    net.flat -= RATE * g / np.sqrt(squares)
+                    for weights, rows, g in net.slopes(context[i : min(i + BATCH, stop)], target[i : min(i + BATCH, stop)]):
+                        seen_squares = squares[weights.__array_interface__["data"][0]]
+                        now = seen_squares[rows] + g * g
+                        seen_squares[rows] = now
+                        weights[rows] -= RATE * g / np.sqrt(now)
                 held[:] = [(context[stop:], target[stop:])]
 
             for piece in slices(batches, "text"):
                 texts = piece.column(0).cast(pa.binary()).to_pylist()
-                ids, at, _ = numbered(texts, known)
-                draw = np.random.default_rng([turn, zlib.crc32(texts[0])])
-                at = at[draw.random(len(at)) < MASKED]
+                ids, at, owner, _ = numbered(texts, known)
+                at = at[targets_of(texts, owner, passes) == turn]
                 if len(at):
                     seen += len(at)
                     held.append((neighbours(ids, at), ids[at]))
@@ -187,33 +305,52 @@ def train(docs: DataFrame, places: dict[bytes, int], passes: int = PASSES) -> np
                 learn(True)
             yield pa.RecordBatch.from_arrays([pa.array([net.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
 
-        parts = texts_of(docs).mapInArrow(run, "w binary, n long").where("n > 0")
-        weighed = parts.rdd.map(lambda r: (np.frombuffer(bytes(r["w"]), np.float32).astype(np.float64) * r["n"], r["n"]))
+        parts = texts.mapInArrow(run, "w binary, n long").where("n > 0")
+        weighed = parts.rdd.map(lambda r: (np.frombuffer(r["w"], np.float32), r["n"]))
         n_parts = weighed.getNumPartitions()
-        nothing = (np.zeros(flat.shape), 0)
+        nothing = (np.zeros(1, np.float32), 0)
         total, seen = weighed.treeAggregate(nothing, _add, _add, depth=2 if n_parts < 1000 else 4)
         if not seen:
             break
-        flat = (total / seen).astype(np.float32)
+        flat = total
     return flat
 
 
 def _add(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
-    return a[0] + b[0], a[1] + b[1]
+    """Mean of two networks by their numbers of positions."""
+    n = a[1] + b[1]
+    if not (a[1] and b[1]):
+        return a if a[1] else b
+    return (a[0] + (b[0] - a[0]) * np.float32(b[1] / n)).astype(np.float32), n
+
+
+def targets_of(texts: list[bytes], owner: np.ndarray, passes: int) -> np.ndarray:
+    """The pass that has each position as a target."""
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    offset = np.array([zlib.crc32(t) for t in texts], np.int64)
+    return (np.arange(len(owner)) - first[owner] + offset[owner]) % passes
 
 
 def score(docs: DataFrame, places: dict[bytes, int], flat: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
-    """Columns ``keep``, n_tokens and pll, the summed ln P of every word given both sides."""
+    """Columns ``keep``, n_tokens and pll, the summed ln P of every word (spelled ones: with their spelling) given both sides."""
     shared = docs.sparkSession.sparkContext.broadcast((flat, places))
 
+    made: list[Spelling] = []
+
     def work(texts):
         weights, known = shared.value
-        ids, at, owner = numbered(texts, known)
-        net = Network(weights)
+        ids, at, owner, split = numbered(texts, known)
+        net = Network(weights, size=size_of(known))
         lp = np.zeros(len(at))
         for i in range(0, len(at), 1 << 15):
             part = at[i : i + (1 << 15)]
             lp[i : i + (1 << 15)] = net.log_probabilities(neighbours(ids, part), ids[part])
+        words = [w for words in split for w in words]
+        rare = [i for i, w in enumerate(words) if w not in known]
+        if rare:
+            if not made:
+                made.append(Spelling(getattr(known, "codes", np.zeros(0, np.int64)), getattr(known, "counts", np.zeros(0))))
+            lp[rare] += made[0]([words[i] for i in rare])
         return [np.bincount(owner, minlength=len(texts)), np.bincount(owner, lp, minlength=len(texts))]
 
     return map_texts(docs, work, [("n_tokens", T.LongType()), ("pll", T.DoubleType())], keep, most=1 << 19)
