@@ -71,6 +71,28 @@ class Pieces:
         )
 
 
+def anchors(h: np.ndarray) -> np.ndarray:
+    """Place of the smallest (high bits of the) hash among PLACES from each on, the leftmost of equal ones.
+
+    The place takes the low bits, so a block of hashes is no longer than these can tell apart; the next
+    one begins PLACES - 1 hashes before its end.
+    """
+    n = len(h) - PLACES + 1
+    step = int(_PLACE) + 2 - PLACES
+    place = np.empty(max(0, n), np.int64)
+    for a in range(0, n, step):
+        least = h[a : a + step + PLACES - 1] & ~_PLACE
+        least |= np.arange(len(least), dtype=_U)
+        m = 1
+        while 2 * m <= PLACES:
+            least = np.minimum(least[:-m], least[m:])
+            m *= 2
+        if m < PLACES:
+            least = np.minimum(least[: m - PLACES], least[PLACES - m :])
+        place[a : a + step] = (least & _PLACE).astype(np.int64) + a
+    return place
+
+
 def anchored(texts: Sequence[bytes], docs: np.ndarray, keys: np.ndarray) -> Pieces:
     """Pieces of the texts.  A passage's anchor is the ANCHOR bytes in it with the smallest hash (the leftmost of
     equal ones), so equal passages have equal anchors at equal places."""
@@ -85,20 +107,14 @@ def anchored(texts: Sequence[bytes], docs: np.ndarray, keys: np.ndarray) -> Piec
     while m < ANCHOR:
         h = _mix(h[:-m], h[m:])
         m *= 2
-    least = (h & ~_PLACE) | np.arange(len(h), dtype=_U)
-    m = 1
-    while 2 * m <= PLACES:
-        least = np.minimum(least[:-m], least[m:])
-        m *= 2
-    if m < PLACES:
-        least = np.minimum(least[: m - PLACES], least[PLACES - m :])
+    place = anchors(h)
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    start = np.arange(len(least))
-    start = start[start + LENGTH <= ends[owner[: len(least)]]]
+    start = np.arange(len(place))
+    start = start[start + LENGTH <= ends[owner[: len(place)]]]
     if not len(start):
         return Pieces(data, none, none, none, none, none, none)
-    place, owner = (least[start] & _PLACE).astype(np.int64), owner[start]
+    place, owner = place[start], owner[start]
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
     first, last, place, owner = start[new], start[np.r_[new[1:], len(start)] - 1], place[new], owner[new]
     begins = (ends - lengths)[owner]

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from fluxlens.llm import lm
+from fluxlens.llm import lm, repeats
 from fluxlens.llm.common import words_of
 
 # language model
@@ -51,3 +51,30 @@ def test_deep_network():
         down[i] -= 1e-4
         slope = (lm.Network(down, size=size).log_probabilities(context, target).mean() - lm.Network(up, size=size).log_probabilities(context, target).mean()) / 2e-4
         assert abs(slope - g[i]) < 1e-6
+
+
+# repeated passages
+
+
+def test_anchors_beyond_24_bits():
+    """A passage's piece doesn't depend on where in a text it stands, not behind 16 MiB either."""
+    rng = np.random.default_rng(7)
+    passage = rng.integers(97, 123, 400).astype(np.uint8).tobytes()
+    long = rng.integers(97, 123, (1 << 24) + 5000).astype(np.uint8).tobytes()
+    ids = np.zeros(1, np.int64)
+    alone = repeats.anchored([passage], ids, ids)
+    want = {(bytes(passage[a + k : a + k + repeats.ANCHOR]), int(a)) for a, k in zip(alone.lo.tolist(), alone.anchor.tolist(), strict=True)}
+    behind = repeats.anchored([long + passage], ids, ids)
+    assert (behind.anchor >= 0).all() and (behind.anchor <= repeats.PLACES - 1 + behind.size).all()
+    last = np.flatnonzero(behind.lo > len(long))
+    got = {(bytes(passage[a - len(long) + k : a - len(long) + k + repeats.ANCHOR]), int(a - len(long))) for a, k in zip(behind.lo[last].tolist(), behind.anchor[last].tolist(), strict=True)}
+    assert len(got) > 5 and got <= want
+
+
+def test_blocks_of_anchors(monkeypatch):
+    h = np.random.default_rng(8).integers(0, 1 << 63, 3000).astype(np.uint64)
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64(0xFF))
+    high = h >> np.uint64(8)
+    want = [a + int(np.argmin(high[a : a + repeats.PLACES])) for a in range(3000 - repeats.PLACES + 1)]
+    assert repeats.anchors(h).tolist() == want
+    assert len(repeats.anchors(h[: repeats.PLACES - 1])) == 0
