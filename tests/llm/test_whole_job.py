@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from fluxlens.llm import lm, repeats
+from fluxlens.llm import lm, mixing, repeats
 from fluxlens.llm.common import words_of
 
 # language model
@@ -78,3 +79,38 @@ def test_blocks_of_anchors(monkeypatch):
     want = [a + int(np.argmin(high[a : a + repeats.PLACES])) for a in range(3000 - repeats.PLACES + 1)]
     assert repeats.anchors(h).tolist() == want
     assert len(repeats.anchors(h[: repeats.PLACES - 1])) == 0
+
+
+# mixing
+
+
+def test_rates_are_converged(spark):
+    rng = np.random.default_rng(12)
+    n, z = rng.integers(50, 800, 3000).astype(float), rng.normal(0, 1.2, (3000, 3))
+    z[np.arange(3000), rng.choice(3, 3000, p=[0.5, 0.35, 0.15])] += 4
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    df = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n double, p array<double>").cache()
+    goal = np.array([0.9, 0.1, 0.0]) * n.sum()
+    weigh = np.linalg.inv((p * n[:, None]).T @ p)
+    cost = lambda r: (e := (r * n) @ p - goal) @ weigh @ e
+    r, early = np.ones(3000), None
+    for k in range(3000):
+        if k == mixing.STEPS:
+            early = cost(r)
+        r = np.maximum(0, r - p @ (weigh @ ((r * n) @ p - goal)))
+    steps = mixing.solve_rates(df, F.col("n"), F.col("p"), goal.tolist())
+    got = np.array([x[0] for x in df.select(mixing.rate(F.col("p"), steps)).collect()])
+    assert cost(got) <= cost(r) < early / 5
+    # no rate can be bettered: the slope of the whole aim is 0, or not below 0 where the rate is 0
+    slope = p @ (weigh @ ((got * n) @ p - goal)) + mixing.EVEN * (got - 1)
+    assert np.abs(slope[got > 0]).max() < 1e-5 and slope[got == 0].min() > -1e-5
+
+
+def test_mixing_stage_keeps_what_is_not_toxic(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(1, 0.9, 0.05, 0.05, 0.0), (2, 0.3, 0.3, 0.4, 0.7), (3, 0.2, 0.5, 0.3, 0.0)]
+    monkeypatch.setattr(cp, "mix", lambda docs, labels, keep: docs)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, p_good double, p_poor double, p_toxic double, rate double")
+    assert sorted(r["doc_id"] for r in cp.mix_to_targets(spark, docs, str(tmp_path)).collect()) == [1, 3]
