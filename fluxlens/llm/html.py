@@ -181,7 +181,7 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> n
             while start < len(own) and not own[start]:
                 start += 1
             stop = start
-            while stop < len(own) and own[stop]:
+            while stop < len(own) and sums[stop]:
                 stop += 1
             kept[start:stop] = True
             i = max(stop, i + 1)

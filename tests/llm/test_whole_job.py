@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fluxlens.llm import lm, mixing, repeats
+from fluxlens.llm import html, lm, mixing, repeats
 from fluxlens.llm.common import words_of
 
 # language model
@@ -114,3 +114,13 @@ def test_mixing_stage_keeps_what_is_not_toxic(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(rows, "doc_id long, p_good double, p_poor double, p_toxic double, rate double")
     assert sorted(r["doc_id"] for r in cp.mix_to_targets(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+# html
+
+
+def test_text_dives_where_the_window_is_empty():
+    line = lambda n, linked=0: html.Line("x" * n, False, linked)
+    lines = [line(4), line(9, 9), line(0), line(0), line(100), line(20, 20), line(30), line(0), line(0), line(0), line(8)]
+    assert html.main_lines(lines).tolist() == [False] * 4 + [True] * 3 + [False] * 4
+    assert html.main_text(f"<p>{'x' * 100}</p><p><a href=/>all linked</a></p><p>short end</p>".encode()).endswith("all linked short end")
