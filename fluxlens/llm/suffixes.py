@@ -97,33 +97,49 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
+def _by_pairs(names: np.ndarray, depth: int | None) -> np.ndarray:
+    """Order of the suffixes of ``names`` by doubling: pairs of names get names until all differ or ``depth`` is reached."""
+    spanned = 1
+    while names.max() < len(names) - 1 and spanned < len(names) and (depth is None or spanned < depth):
+        following = np.zeros(len(names), np.int64)
+        following[:-spanned] = names[spanned:] + 1
+        names = np.unique(names * (len(names) + 1) + following, return_inverse=True)[1]
+        spanned *= 2
+    return np.argsort(names, kind="stable")
+
+
 def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Suffix array of the bytes ``s``; with ``depth``, suffixes equal so far may stand in any order.
 
-    Leftmost-smaller substrings are sorted by inducing from their first bytes, then named in order.  The
-    string of names is sorted recursively: a pair of names gets a name of the next level, which spans
-    twice as many substrings, until all differ or ``depth`` bytes are covered (a substring has two bytes
-    or more besides the next one's first).  From the sorted leftmost suffixes all others are induced.
+    Leftmost-smaller substrings are sorted by inducing from their first bytes, then named in order.  Unless
+    the names tell all of them apart, the string of names is sorted in the same way, one level down: each name
+    is written with as many bytes as the largest one needs, highest first, so that this is a string of bytes
+    again, in which the suffixes that start at a name stand in the order of the names' suffixes.  From the sorted
+    leftmost suffixes all others are induced.  Such positions stand at every third byte or so: with up to 65536
+    names a level has two thirds of the bytes above it, and all levels together are linear.  Only a
+    string of names that isn't shorter by a fifth (more names, or a zigzag of bytes) is sorted by pairs.
     """
     n = len(s)
     if n < 2:
         return np.arange(n)
     smaller, lms = classify(s)
-    if len(lms):
+    if len(lms) > 1:
         rough = induce(s, smaller, lms[np.argsort(s[lms], kind="stable")])
         place = np.full(n, -1, np.int64)
         place[lms] = np.arange(len(lms))
         order = place[rough]
-        names = _names(s, lms, order[order >= 0])
-        spanned = 1
-        while names.max() < len(lms) - 1 and (depth is None or 2 * spanned < depth):
-            following = np.zeros(len(lms), np.int64)
-            if spanned < len(lms):
-                following[:-spanned] = names[spanned:] + 1
-            pairs = names * (len(lms) + 1) + following
-            names = np.unique(pairs, return_inverse=True)[1]
-            spanned *= 2
-        lms = lms[np.argsort(names, kind="stable")]
+        order = order[order >= 0]
+        names = _names(s, lms, order)
+        most = int(names.max())
+        if most < len(lms) - 1:
+            width = max(1, (most.bit_length() + 7) // 8)
+            if width * len(lms) > n * 4 // 5:
+                order = _by_pairs(names, None if depth is None else depth // 2 + 1)  # a name goes on by two bytes at least
+            else:
+                digits = names.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].ravel()
+                below = suffix_array(digits, None if depth is None else width * (depth // 2 + 1))
+                order = below[below % width == 0] // width
+        lms = lms[order]
     return induce(s, smaller, lms)
 
 
