@@ -203,14 +203,22 @@ def contents(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
 def resolve(p: Pieces, key: np.ndarray, most: int = 1 << 22) -> tuple[list[np.ndarray], np.ndarray]:
     """(spans of passages that stand in a smaller document's piece too, rows of each content's smallest document).
 
-    ``p`` has parts of pieces of several keys, and all that it has of a key decide together.  Each content is
-    laid in a suffix array once, a key never over two of them.  Suffixes that start a passage and have LENGTH
+    ``p`` has parts of pieces of several keys, and all that it has of a key decide together.  Each content of a key
+    that several documents have is laid in a suffix array once, a key never over two of them.  Suffixes that start a passage and have LENGTH
     bytes in common with the one before them are equal passages; the smallest document of the contents that
     have one is the passage's, and every row of a larger document loses it.  Spans are (doc, text, start, stop).
     """
     none = [np.zeros(0, np.int64)] * 4
     if not len(p.at):
         return none, np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    begins = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    several = np.minimum.reduceat(p.doc[order], begins) < np.maximum.reduceat(p.doc[order], begins)
+    several = np.repeat(several, np.diff(np.r_[begins, len(order)]))
+    alone, rows = np.sort(order[~several]), np.sort(order[several])
+    if len(alone):
+        spans, on = resolve(p.take(rows), key[rows], most) if len(rows) else (none, rows)
+        return spans, np.sort(np.r_[alone, rows[on]])
     first, group = contents(p)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, group, p.doc)
