@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialise, slices, words_of
+from .common import map_texts, materialise, shuffle_width, slices, words_of
 
 #: Digits of a word's number, and the least size of the vocabulary.  The output is a softmax over GROUP for
 #: each digit, from the highest on, so that a word costs GROUP times the number of digits.
@@ -24,11 +24,15 @@ VOCABULARY = GROUP * GROUP
 GROWTH = 8
 #: Words seen on either side of the masked one; size of the hidden layer.
 REACH, HIDDEN = 2, 16
+#: Nodes of a digit whose outputs depend on the hidden layer: the words below these, the most frequent ones, are told
+#: apart by context.  In the other nodes, context chooses the node and the counts of the corpus the word in it.
+CONTEXTUAL = 64
 #: Passes over all texts.  Each masks its share of the positions of every text: each position once in all.
 PASSES = 2
-BATCH, RATE = 2048, 0.15
-#: Bytes of text for each byte of weights that a task of training sends (fewer, longer tasks for a larger model).
-TEXT_FOR_WEIGHTS = 4
+#: Positions of a step: an eighth of those that the group has behind it, within these bounds.
+BATCH, LARGEST, RATE = 2048, 16384, 0.15
+#: Bytes of text for each byte of weights that a group of texts sends (fewer, larger groups for a larger model).
+TEXT_FOR_WEIGHTS, LEAST_TEXT = 4, 4 << 20
 _HELD = 200_000
 #: Bytes of words as 1..164 (digits, letters, bytes of other characters); 0 is the end.
 SYMBOLS = 165
@@ -37,7 +41,11 @@ _SYMBOL[[*range(48, 58), *range(97, 123), *range(128, 256)]] = np.arange(1, SYMB
 
 
 class Network:
-    """hidden = tanh(sum of the neighbours' vectors by place); a softmax for each digit of the word on top."""
+    """hidden = tanh(sum of the neighbours' vectors by place); a softmax for each digit of the word on top.
+
+    A digit's outputs are the biases of the node that the digits before it lead to and, in the first CONTEXTUAL
+    nodes, the hidden layer by the node's weights.
+    """
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 0, size: int = VOCABULARY):
         depth = 2
@@ -48,7 +56,7 @@ class Network:
         nodes = [-(-size // x) for x in self.steps]
         self.shapes = [(2 * REACH, size, HIDDEN)]
         for n in nodes:
-            self.shapes += [(n, HIDDEN, GROUP), (n, GROUP)]
+            self.shapes += [(min(n, CONTEXTUAL), HIDDEN, GROUP), (n, GROUP)]
         sizes = [int(np.prod(s)) for s in self.shapes]
         if flat is None:
             flat = np.random.default_rng(seed).normal(0, 0.1, sum(sizes)).astype(np.float32)
@@ -69,23 +77,30 @@ class Network:
         x = x - x.max(1, keepdims=True)
         return x - np.log(np.exp(x).sum(1, keepdims=True))
 
-    def _digit(self, k: int, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int | np.ndarray, np.ndarray | slice, np.ndarray]]:
-        """(node, rows, outputs) of digit ``k``: rows of one node together, or a node for each row."""
+    def count(self, hits: np.ndarray) -> None:
+        """Biases of the nodes without weights: what each word's number of occurrences tells."""
+        for step, (w, b) in zip(self.steps, self.layers, strict=True):
+            below = np.zeros(b.size)
+            n = -(-len(hits) // (step // GROUP))
+            below[:n] = np.add.reduceat(hits, np.arange(n) * (step // GROUP))
+            b[len(w) :] = np.log(below + 0.5).reshape(b.shape)[len(w) :]
+
+    def _digit(self, k: int, h: np.ndarray, target: np.ndarray, all_nodes: bool = True) -> Iterator[tuple[int | np.ndarray, np.ndarray | slice, np.ndarray]]:
+        """(node, rows, outputs) of digit ``k``: the rows of each node with weights, and those of all others together."""
         w, b = self.layers[k]
-        node = target // self.steps[k]
-        if len(w) == 1:
+        if len(b) == 1:
             yield 0, slice(None), h @ w[0] + b[0]
-        elif len(w) <= 64 or len(h) > 16 * len(w):
-            order = np.argsort(node, kind="stable")
-            edges = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]]).tolist() + [len(order)]
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                rows = order[i:j]
-                at = int(node[rows[0]])
+            return
+        node = target // self.steps[k]
+        order = np.argsort(node, kind="stable")
+        edges = np.searchsorted(node[order], np.arange(len(w) + 1)).tolist()
+        for at in range(len(w)):
+            if edges[at] < edges[at + 1]:
+                rows = order[edges[at] : edges[at + 1]]
                 yield at, rows, h[rows] @ w[at] + b[at]
-        else:
-            for i in range(0, len(h), BATCH):
-                at = node[i : i + BATCH]
-                yield at, slice(i, i + BATCH), np.matmul(h[i : i + BATCH, None, :], w[at])[:, 0] + b[at]
+        rows = order[edges[-1] :]
+        if len(rows) and all_nodes:
+            yield node[rows], rows, b[node[rows]]
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(target | both sides) of each position."""
@@ -94,13 +109,15 @@ class Network:
         for k, step in enumerate(self.steps if len(h) else ()):
             digit = target % step // (step // GROUP)
             for _, rows, x in self._digit(k, h, target):
-                out[rows] += self.log_softmax(x)[np.arange(len(x)), digit[rows]]
+                most = x.max(1)
+                out[rows] += x[np.arange(len(x)), digit[rows]] - most - np.log(np.exp(x - most[:, None]).sum(1))
         return out
 
-    def slopes(self, context: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, int | np.ndarray, np.ndarray]]:
+    def slopes(self, context: np.ndarray, target: np.ndarray, all_nodes: bool = True) -> Iterator[tuple[np.ndarray, slice | np.ndarray, np.ndarray]]:
         """Gradient of the mean negative log probability: (weights, rows of them, slope), zero elsewhere.
 
-        All of it is computed before the first is given, so weights may be changed meanwhile.
+        All of it is computed before the first is given, so weights may be changed meanwhile.  Without
+        ``all_nodes``, biases of nodes without weights are left out.
         """
         h = self.hidden(context)
         n = len(h)
@@ -108,20 +125,19 @@ class Network:
         found = []
         for k, step in enumerate(self.steps):
             w, b = self.layers[k]
+            slope_w, slope_b = np.zeros_like(w), np.zeros_like(b[: len(w)])
             digit = target % step // (step // GROUP)
-            for node, rows, x in self._digit(k, h, target):
-                q = np.exp(self.log_softmax(x))
+            for node, rows, x in self._digit(k, h, target, all_nodes):
+                q = np.exp(x - x.max(1, keepdims=True))
+                q /= q.sum(1, keepdims=True)
                 q[np.arange(len(q)), digit[rows]] -= 1
                 if isinstance(node, int):
                     back[rows] += q @ w[node].T
-                    found += [(w, node, h[rows].T @ q / n), (b, node, q.sum(0) / n)]
-                else:
-                    back[rows] += np.matmul(w[node], q[:, :, None])[:, :, 0]
-                    order = np.argsort(node, kind="stable")
-                    starts = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
-                    ids = node[order][starts]
-                    outer = h[rows][order][:, :, None] * q[order][:, None, :]
-                    found += [(w, ids, np.add.reduceat(outer, starts, axis=0) / n), (b, ids, np.add.reduceat(q[order], starts, axis=0) / n)]
+                    slope_w[node], slope_b[node] = h[rows].T @ q / n, q.sum(0) / n
+                else:  # sorted by node
+                    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                    found.append((b, node[starts], np.add.reduceat(q, starts, axis=0) / n))
+            found += [(w, slice(None), slope_w), (b, slice(0, len(w)), slope_b)]
         back *= (1 - h * h) / n
         for k in range(2 * REACH):
             order = np.argsort(context[:, k], kind="stable")
@@ -142,15 +158,22 @@ class Network:
 
 
 class Vocabulary(dict):
-    """Numbers of words, and of first bytes (after a space) of those spelled; what the spelled words consist of."""
+    """Numbers of words, and of first bytes (after a space) of those spelled; what the spelled words consist of.
 
-    def __init__(self, places: dict[bytes, int] | None = None, codes: np.ndarray | None = None, counts: np.ndarray | None = None):
+    ``hits`` are the occurrences of each number.  Looked up by brackets, a spelled word has its first byte's number.
+    """
+
+    def __init__(self, places: dict[bytes, int] | None = None, codes: np.ndarray | None = None, counts: np.ndarray | None = None, hits: np.ndarray | None = None):
         super().__init__(places or {})
         self.codes = np.zeros(0, np.int64) if codes is None else codes
         self.counts = np.zeros(0, np.int64) if counts is None else counts
+        self.hits = np.zeros(0, np.int64) if hits is None else hits
+
+    def __missing__(self, word: bytes) -> int:
+        return self.get(b" " + word[:1], 1)
 
     def __reduce__(self):
-        return Vocabulary, (dict(self), self.codes, self.counts)
+        return Vocabulary, (dict(self), self.codes, self.counts, self.hits)
 
 
 def size_of(places: dict[bytes, int]) -> int:
@@ -187,18 +210,18 @@ class Spelling:
         return np.bincount(owner, self.table[codes], len(words))
 
 
-def numbered(texts: list[bytes | None], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+def numbered(texts: list[bytes | None], places: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
     """Words of all texts in a row with REACH zeros around each text; positions of words; text of each; the words."""
-    get = places.get
-    row: list[int] = [0] * REACH
     split = [words_of(text) for text in texts]
-    for words in split:
-        row += [get(w) or get(b" " + w[:1], 1) for w in words]
-        row += [0] * REACH
-    ids = np.array(row, np.int32)
-    owner = np.repeat(np.arange(len(texts)), [len(words) for words in split])
+    return *in_a_row([np.array(list(map(places.__getitem__, words)), np.int32) for words in split]), split
+
+
+def in_a_row(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     at = np.arange(len(owner)) + REACH * (owner + 1)
-    return ids, at, owner, split
+    ids = np.zeros(len(owner) + REACH * (len(texts) + 1), np.int32)
+    ids[at] = np.concatenate(texts) if texts else 0
+    return ids, at, owner
 
 
 def neighbours(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -240,72 +263,73 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     most = max(VOCABULARY - 2, int(GROWTH * distinct**0.5))
     top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
     places = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
+    hits = [0, 0, *(r["n"] for r in top)]
     if distinct <= most:
-        return Vocabulary(places)
+        return Vocabulary(places, hits=np.array(hits))
     n, word = F.lit(top[-1]["n"]), F.lit(bytes(top[-1]["word"]))
     rest = counted.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word))
-    for r in rest.select(F.substring("word", 1, 1).alias("first")).distinct().orderBy("first").collect():
+    for r in rest.groupBy(F.substring("word", 1, 1).alias("first")).agg(F.sum("n").alias("n")).orderBy("first").collect():
         places[b" " + bytes(r["first"])] = len(places) + 2
+        hits.append(r["n"])
     parts = rest.mapInArrow(spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     found = parts.orderBy("code").toArrow()
-    return Vocabulary(places, found["code"].to_numpy(), found["n"].to_numpy())
+    return Vocabulary(places, found["code"].to_numpy(), found["n"].to_numpy(), np.array(hits))
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
 
-def train(docs: DataFrame, places: dict[bytes, int], passes: int = PASSES) -> np.ndarray:
+def encoded(docs: DataFrame, places: Vocabulary, groups: int) -> DataFrame:
+    """(group, hash, ids): the numbers of each text's words, in groups that depend on nothing but the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(places)
+
+    def work(texts):
+        return [[np.array(list(map(shared.value.__getitem__, words_of(t))), "<i4").tobytes() for t in texts]]
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("hash")).where("text is not null")
+    made = map_texts(rows, work, [("ids", T.BinaryType())], ("hash",)).withColumn("group", F.pmod("hash", F.lit(groups)).cast("int"))
+    dealt = made.repartition(min(groups, max(shuffle_width(docs.sparkSession), groups // 16)), "group")
+    return materialise(dealt.sortWithinPartitions("group", "hash").select("group", "ids"))
+
+
+def train(docs: DataFrame, places: Vocabulary, passes: int = PASSES) -> np.ndarray:
     """Weights of a network trained on masked positions of all texts.
 
-    In each pass every task follows the gradient over its own texts from the common weights; the
-    results are averaged by their number of positions in a tree of reductions, so neither a task nor
-    the driver ever holds more than a few copies of the weights.  A text's positions are masked in
-    turn: pass t has each ``passes``-th one, so that after the last pass each was a target once.
+    Texts are dealt to groups by a hash.  In each pass the gradient is followed over each group's own texts
+    from the common weights; the results are averaged by their number of positions in a tree of
+    reductions, so neither a task nor the driver ever holds more than a few copies of the weights.  How many
+    partitions the input has makes no difference but for rounding.  A text's positions are masked in turn: pass t has
+    each ``passes``-th one, so that after the last pass each was a target once.
     """
     sc = docs.sparkSession.sparkContext
     size = size_of(places)
-    flat = Network(size=size).flat
-    texts = texts_of(docs)
-    length = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    texts = texts.coalesce(max(1, -(-length // (TEXT_FOR_WEIGHTS * flat.nbytes))))
+    net = Network(size=size)
+    if len(places.hits):
+        net.count(places.hits)
+    flat = net.flat
+    length = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = encoded(docs, places, max(1, -(-length // max(LEAST_TEXT, TEXT_FOR_WEIGHTS * flat.nbytes))))
     for turn in range(passes):
-        shared = sc.broadcast((flat, places))
+        shared = sc.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, known = shared.value
-            net = Network(start.copy(), size=size)
-            every = [*net.near, *(x for layer in net.layers for x in layer)]
-            squares = {x.__array_interface__["data"][0]: np.full_like(x, 1e-6) for x in every}
-            seen = 0
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def learn(last: bool) -> None:
-                context = np.concatenate([x for x, _ in held])
-                target = np.concatenate([y for _, y in held])
-                stop = len(target) if last else len(target) // BATCH * BATCH
-                for i in range(0, stop, BATCH):
-                    for weights, rows, g in net.slopes(context[i : min(i + BATCH, stop)], target[i : min(i + BATCH, stop)]):
-                        seen_squares = squares[weights.__array_interface__["data"][0]]
-                        now = seen_squares[rows] + g * g
-                        seen_squares[rows] = now
-                        weights[rows] -= RATE * g / np.sqrt(now)
-                held[:] = [(context[stop:], target[stop:])]
-
-            for piece in slices(batches, "text"):
-                texts = piece.column(0).cast(pa.binary()).to_pylist()
-                ids, at, owner, _ = numbered(texts, known)
-                at = at[targets_of(texts, owner, passes) == turn]
-                if len(at):
-                    seen += len(at)
-                    held.append((neighbours(ids, at), ids[at]))
-                    if sum(len(y) for _, y in held) >= BATCH:
-                        learn(False)
-            if held:
-                learn(True)
-            yield pa.RecordBatch.from_arrays([pa.array([net.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
-
-        parts = texts.mapInArrow(run, "w binary, n long").where("n > 0")
+            group, learner = None, None
+            for piece in slices(batches, "ids"):
+                of = piece.column(0).to_numpy()
+                for a, b in zip(*_runs_of(of), strict=True):
+                    if of[a] != group:
+                        if learner is not None and learner.seen:
+                            yield learner.result()
+                        group, learner = of[a], Learner(shared.value, size)
+                    blobs = piece.column(1).slice(a, b - a).to_pylist()
+                    ids, at, owner = in_a_row([np.frombuffer(x, "<i4") for x in blobs])
+                    at = at[targets_of(blobs, owner, passes) == turn]
+                    learner.add(neighbours(ids, at), ids[at])
+            if learner is not None and learner.seen:
+                yield learner.result()
+
+        parts = texts.mapInArrow(run, "w binary, n long")
         weighed = parts.rdd.map(lambda r: (np.frombuffer(r["w"], np.float32), r["n"]))
         n_parts = weighed.getNumPartitions()
         nothing = (np.zeros(1, np.float32), 0)
@@ -316,6 +340,52 @@ def train(docs: DataFrame, places: dict[bytes, int], passes: int = PASSES) -> np
     return flat
 
 
+def _runs_of(x: np.ndarray) -> tuple[list[int], list[int]]:
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist() if len(x) else []
+    return starts, [*starts[1:], len(x)][: len(starts)]
+
+
+class Learner:
+    """Follows the gradient over the positions of one group, with a rate for each weight by its past slopes."""
+
+    def __init__(self, flat: np.ndarray, size: int):
+        self.net = Network(flat.copy(), size=size)
+        every = [*self.net.near, *(x for layer in self.net.layers for x in layer)]
+        self.squares = {x.__array_interface__["data"][0]: np.full_like(x, 1e-6) for x in every}
+        self.seen = self.done = self.waiting = 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, context: np.ndarray, target: np.ndarray) -> None:
+        self.held.append((context, target))
+        self.seen += len(target)
+        self.waiting += len(target)
+        if self.waiting >= self.step():
+            self.learn(False)
+
+    def step(self) -> int:
+        return min(LARGEST, max(BATCH, self.done // 8))
+
+    def learn(self, last: bool) -> None:
+        context = np.concatenate([x for x, _ in self.held])
+        target = np.concatenate([y for _, y in self.held])
+        i = 0
+        while i < len(target) and (last or len(target) - i >= self.step()):
+            j = min(len(target), i + self.step())
+            for weights, rows, g in self.net.slopes(context[i:j], target[i:j], False):
+                past = self.squares[weights.__array_interface__["data"][0]]
+                now = past[rows] + g * g
+                past[rows] = now
+                weights[rows] -= RATE * g / np.sqrt(now)
+            self.done += j - i
+            i = j
+        self.held = [(context[i:], target[i:])]
+        self.waiting = len(target) - i
+
+    def result(self) -> pa.RecordBatch:
+        self.learn(True)
+        return pa.RecordBatch.from_arrays([pa.array([self.net.flat.tobytes()], pa.binary()), pa.array([self.seen], pa.int64())], ["w", "n"])
+
+
 def _add(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
     """Mean of two networks by their numbers of positions."""
     n = a[1] + b[1]
@@ -331,7 +401,7 @@ def targets_of(texts: list[bytes], owner: np.ndarray, passes: int) -> np.ndarray
     return (np.arange(len(owner)) - first[owner] + offset[owner]) % passes
 
 
-def score(docs: DataFrame, places: dict[bytes, int], flat: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, places: Vocabulary, flat: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
     """Columns ``keep``, n_tokens and pll, the summed ln P of every word (spelled ones: with their spelling) given both sides."""
     shared = docs.sparkSession.sparkContext.broadcast((flat, places))
 
