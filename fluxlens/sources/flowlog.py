@@ -8,13 +8,16 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     DataSourceWriter,
     InputPartition,
@@ -23,35 +26,40 @@ from pyspark.sql.datasource import (
 )
 
 from ..schema import ALL, FLOW, columns_of, mask_of
-from . import records
+from . import columns, records
 
 LOG = T.StructType([*FLOW.fields, T.StructField("input_file", T.StringType()), T.StructField("row_index", T.LongType())])
 _ROWS = 10_000
+#: Bytes of a log that are read at once from an open file.
+PIECE = 8 << 20
 
 
 def _value(name: str, x):
     return Decimal(x) if x is not None and name in ("packets", "octets") else x
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array([_value(f.name, r.get(f.name)) for r in rows], f.type) for f in schema]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
 
 
-def decoded(data: bytes, name: str, old: bool, verify: bool, mode: str) -> Iterator[dict]:
+def decoded(data: bytes, name: str, old: bool, verify: bool, mode: str, schema: pa.Schema, first: int = 0) -> Iterator[pa.RecordBatch]:
     """Records of a log with input_file and row_index.  PERMISSIVE ends a log at its first bad record."""
-    try:
-        for i, row in enumerate(records.scan(data, old, verify)):
-            yield row | {"input_file": name, "row_index": i}
-    except records.RecordError:
-        if mode.upper() != "PERMISSIVE":
-            raise
+    if old:
+        next(records.scan(data, True), None)  # checks the head of the log
+    starts = columns.walk(data, old)
+    whole = np.frombuffer(data, np.uint8)
+    ends = np.r_[starts[1:], len(data)]
+    for at in range(0, len(starts), _ROWS):
+        part = starts[at : at + _ROWS]
+        table, good, fault = columns.decode(whole, part, ends[at : at + _ROWS] - part, schema, old, verify)
+        if fault is not None and mode.upper() != "PERMISSIVE":
+            fault()
+        more = {"input_file": pa.array([name] * len(part)), "row_index": pa.array(np.arange(len(part)) + at + first)}
+        yield table.batch(more).slice(0, good)
+        if fault is not None:
+            return
 
 
 def read_log(spark: SparkSession, paths: str | Sequence[str], old: bool = False, verify: bool = True, mode: str = "FAILFAST") -> DataFrame:
@@ -60,50 +68,80 @@ def read_log(spark: SparkSession, paths: str | Sequence[str], old: bool = False,
     A log has no sync marks and is decoded from its start, so a file is a row of its own; records come
     with their file and number.
     """
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    return decode_logs(files.select("path", "content"), old, verify, mode)
+
+
+def decode_logs(files: DataFrame, old: bool = False, verify: bool = True, mode: str = "FAILFAST") -> DataFrame:
+    """Flows of whole logs given as rows (name, content)."""
     schema = _arrow(LOG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held: list[dict] = []
-                for row in decoded(content.as_py(), name, old, verify, mode):
-                    held.append(row)
-                    if len(held) == _ROWS:
-                        yield _batch(held, schema)
-                        held = []
-                yield _batch(held, schema)
+                yield from decoded(content.as_py() or b"", name, old, verify, mode, schema)
 
     return files.mapInArrow(run, LOG)
 
 
-def decode_records(df: DataFrame, column: str = "record", verify: bool = True) -> DataFrame:
+def read_handle(spark: SparkSession, handle: BinaryIO, old: bool = False, verify: bool = True) -> DataFrame:
+    """Flows of a log that comes through an open file, such as ``sys.stdin.buffer``: cut at records into rows of PIECE bytes."""
+    held, rows, first = b"", [], True
+    while chunk := handle.read(PIECE):
+        held += chunk
+        starts = columns.walk(held, old) if first or not old else columns.walk(rows[0][1][:16] + held, old) - 16
+        if not len(starts):
+            continue
+        last = int(starts[-1])  # the last one may go on
+        if last:
+            rows.append((f"-{len(rows)}", held[:last] if first or not old else rows[0][1][:16] + held[:last]))
+            held, first = held[last:], False
+    if held:
+        rows.append((f"-{len(rows)}", held if first or not old else rows[0][1][:16] + held))
+    return decode_logs(spark.createDataFrame(rows, "path string, content binary"), old, verify)
+
+
+def decode_records(df: DataFrame, column: str = "record", verify: bool = True, old: bool = False) -> DataFrame:
     """Flows of single records in a binary column (as a relay sends them)."""
     schema = _arrow(FLOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch([records.decode(x, 0, verify)[0] for x in batch.column(0).to_pylist() if x is not None], schema)
+            found = batch.column(0).drop_null()
+            table, _, fault = columns.decode(*columns.view(found), schema, old, verify)
+            if fault is not None:
+                fault()
+            yield table.batch()
 
     return df.select(column).mapInArrow(run, FLOW)
 
 
-def encode_records(df: DataFrame, mask: int = ALL, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` and ``record``, the binary record of each flow under a mask."""
-    have = [c for c in columns_of(mask) if c in df.columns]
+def encode_records(df: DataFrame, mask: int = ALL, keep: Sequence[str] = (), old: bool = False, checksum: bool | None = None) -> DataFrame:
+    """``keep`` and ``record``, the binary record of each flow under a mask.
+
+    ``checksum``: True gives every record one, False none; by default those whose bitmap ``fields`` has it.
+    """
+    have = [c for c in ["fields", *columns_of(mask)] if c in df.columns and c not in keep]
     chosen = df.select(*keep, *have)
     out = T.StructType([*[chosen.schema[k] for k in keep], T.StructField("record", T.BinaryType())])
     schema = _arrow(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(have).to_pylist()
-            made = [records.encode(r, mask) for r in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(made, pa.binary())], schema=schema)
+            made = columns.encode(batch.select(list(set([*have, *(k for k in keep if k in FLOW.names)]))), mask, old, checksum)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), made], schema=schema)
 
     return chosen.mapInArrow(run, out)
 
 
+def log_of(df: DataFrame, by: str, mask: int = ALL, old: bool = False, checksum: bool | None = None) -> DataFrame:
+    """(path, content): a whole log for each value of ``by``, which should have a bounded number of flows."""
+    each = encode_records(df, mask, (by,), old, checksum).groupBy(by).agg(F.collect_list("record").alias("records"))
+    head = F.lit(records.old_header() if old else b"")
+    whole = F.unhex(F.array_join(F.transform("records", F.hex), ""))
+    return each.select(F.col(by).cast("string").alias("path"), F.concat(head, whole).alias("content"))
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -147,14 +185,7 @@ class _Reader(DataSourceReader):
             f.seek(part.start)
             data = f.read(part.stop - part.start)
         verify = self.options.get("verify_crc", "true").lower() == "true"
-        schema, held = _arrow(self.schema), []
-        for row in decoded(data, part.path, self.old, verify, self.options.get("mode", "FAILFAST")):
-            row["row_index"] += part.first
-            held.append(row)
-            if len(held) == _ROWS:
-                yield _batch(held, schema)
-                held = []
-        yield _batch(held, schema)
+        yield from decoded(data, part.path, self.old, verify, self.options.get("mode", "FAILFAST"), _arrow(self.schema), part.first)
 
 
 @dataclass
@@ -162,27 +193,35 @@ class _Written(WriterCommitMessage):
     path: str | None
 
 
-class _Writer(DataSourceWriter):
-    """One file for each task, made visible by its name when the job commits."""
+class _Writer(DataSourceArrowWriter):
+    """One file for each task, made visible by its name when the job commits.
+
+    Logs of the old format in the folder are never added to.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = options["path"], overwrite
         self.mask = mask_of(options.get("fields", "ALL"))
         self.crc = options.get("crc", "true").lower() == "true"
         self.job = uuid.uuid4().hex
-
-    def write(self, rows: Iterator) -> _Written:
+        if "://" in self.folder and not self.folder.startswith("file://"):
+            raise ValueError(f"flowlog writes to file systems that all executors see, not to {self.folder}")
+        self.folder = self.folder.removeprefix("file://")
+        for path in [] if overwrite else glob.glob(os.path.join(self.folder, "*.flow")):
+            with open(path, "rb") as f:
+                if f.read(8) == records.old_header()[:8]:
+                    raise ValueError(f"{path} is a log of the old format: nothing is appended")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         os.makedirs(self.folder, exist_ok=True)
         task = TaskContext.get()
         path = os.path.join(self.folder, f".{self.job}-{task.partitionId()}-{task.taskAttemptId()}")
         with open(path, "wb") as f:
-            for r in rows:
-                row = r.asDict()
-                if self.crc:
-                    row["fields"] = (row.get("fields") or 0) | 1 << 30
-                f.write(records.encode(row, self.mask))
+            for batch in batches:
+                known = [c for c in batch.schema.names if c in FLOW.names]
+                f.write(columns.encode(batch.select(known), self.mask, checksum=self.crc or None).buffers()[2] or b"")
         return _Written(path)
 
     def commit(self, messages: list) -> None:
