@@ -134,6 +134,86 @@ def ipv4_number_text(n: Column) -> Column:
     return F.concat_ws(".", *parts)
 
 
+def _halves(address: Column) -> tuple[Column, Column]:
+    """The upper and the lower 64 bits as longs (the upper ones of an IPv4 address are zero)."""
+    high = F.when(F.length(address) == 16, F.conv(F.hex(F.substring(address, 1, 8)), 16, -10).cast("long")).otherwise(F.lit(0).cast("long"))
+    low = F.when(F.length(address) == 16, F.conv(F.hex(F.substring(address, 9, 8)), 16, -10)).otherwise(F.conv(F.hex(address), 16, -10)).cast("long")
+    return high, low
+
+
+def _joined(high: Column, low: Column, size: Column) -> Column:
+    """An address of ``size`` bytes from its halves; null for another size."""
+    text = F.when(size == 16, F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0"))).when(size == 4, F.lpad(F.hex(low.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.unhex(text)
+
+
+def both_columns(a: Column, b: Column) -> Column:
+    """Bits that both addresses have; null for two families, as for all that follows."""
+    (p, q), (r, s) = _halves(a), _halves(b)
+    return F.when(F.length(a) == F.length(b), _joined(p.bitwiseAND(r), q.bitwiseAND(s), F.length(a)))
+
+
+def either_columns(a: Column, b: Column) -> Column:
+    (p, q), (r, s) = _halves(a), _halves(b)
+    return F.when(F.length(a) == F.length(b), _joined(p.bitwiseOR(r), q.bitwiseOR(s), F.length(a)))
+
+
+def invert_column(a: Column) -> Column:
+    high, low = _halves(a)
+    return _joined(F.bitwise_not(high), F.bitwise_not(low), F.length(a))
+
+
+def netmask_column(family: Column, length: Column) -> Column:
+    """The mask of a prefix length in a family (4 or 6); null for a length out of range."""
+    n = length.cast("int")
+    four = F.when(n == 0, F.lit(0).cast("long")).otherwise(F.lit(0x100000000) - F.pow(F.lit(2.0), 32 - n).cast("long"))
+    return F.when((family == 4) & n.between(0, 32), _joined(F.lit(0).cast("long"), four, F.lit(4))).when(
+        (family == 6) & n.between(0, 128), _joined(_top(n), _top(n - 64), F.lit(16))
+    )
+
+
+def _top(n: Column) -> Column:
+    """The first ``n`` of 64 bits set."""
+    tens = F.array(*[F.lit(-(1 << (64 - k)) if k else 0).cast("long") for k in range(65)])
+    return F.get(tens, F.greatest(F.lit(0), F.least(F.lit(64), n)))
+
+
+def hostmask_column(family: Column, length: Column) -> Column:
+    return invert_column(netmask_column(family, length))
+
+
+def first_of(address: Column, length: Column) -> Column:
+    """First address of the network round ``address``."""
+    return both_columns(address, netmask_column(family(address), length))
+
+
+def last_of(address: Column, length: Column) -> Column:
+    return either_columns(address, hostmask_column(family(address), length))
+
+
+def compare_columns(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: IPv4 before IPv6, then by value."""
+    x, y = F.struct(F.length(a).alias("n"), a.alias("a")), F.struct(F.length(b).alias("n"), b.alias("a"))
+    return F.when(x < y, -1).when(x == y, 0).when(x > y, 1)
+
+
+def is_unspecified_column(a: Column) -> Column:
+    high, low = _halves(a)
+    return (high == 0) & (low == 0)
+
+
+def host_is_zeros_column(a: Column, length: Column) -> Column:
+    return a == first_of(a, length)
+
+
+def host_is_ones_column(a: Column, length: Column) -> Column:
+    return a == last_of(a, length)
+
+
+def unicast_length_column(a: Column) -> Column:
+    return F.when(F.length(a) == 4, 32).when(F.length(a) == 16, 128)
+
+
 def ipv4_text_number(text: Column) -> Column:
     """Number of a dotted text; null if it isn't one."""
     parts = F.split(text, r"\.", -1)
@@ -145,6 +225,23 @@ def ipv4_text_number(text: Column) -> Column:
     return F.when(good, value)
 
 
+@F.pandas_udf(T.BinaryType())
+def _any_address(text: pd.Series) -> pd.Series:
+    def one(x: str | None) -> bytes | None:
+        try:
+            return pton(x) if x is not None else None
+        except ValueError:
+            return None
+
+    return text.map(one)
+
+
+def from_text(text: Column, ipv4_only: bool = False) -> Column:
+    """Address of a text, null if it is none.  IPv4 is done in the JVM; with ``ipv4_only`` no Python runs."""
+    v4 = ipv4_from_number(ipv4_text_number(text))
+    return v4 if ipv4_only else F.coalesce(v4, _any_address(text))
+
+
 @F.pandas_udf(T.StringType())
 def _any_text(a: pd.Series) -> pd.Series:
     return a.map(lambda x: ntop(bytes(x)) if x is not None else None)
@@ -152,5 +249,6 @@ def _any_text(a: pd.Series) -> pd.Series:
 
 def text(address: Column, ipv4_only: bool = False) -> Column:
     """Text of an address.  IPv4 is done in the JVM; with ``ipv4_only`` other lengths give null and no Python runs."""
-    v4 = F.when(F.length(address) == 4, ipv4_number_text(ipv4_number(address)))
+    parts = [F.conv(F.hex(F.substring(address, i, 1)), 16, 10) for i in (1, 2, 3, 4)]
+    v4 = F.when(F.length(address) == 4, F.concat_ws(".", *parts))
     return v4 if ipv4_only else F.coalesce(v4, _any_text(address))

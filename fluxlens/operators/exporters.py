@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.addresses import in_network
+from ..functions.addresses import in_network, order_key
 
 
 def scan_suspects(df: DataFrame, source: str = "src_addr", n: int = 10) -> DataFrame:
@@ -19,12 +19,13 @@ def scan_suspects(df: DataFrame, source: str = "src_addr", n: int = 10) -> DataF
     """
     name = lambda c: F.coalesce(F.nullif(F.col(c).cast("bigint"), F.lit(0)).cast("string"), F.lit("???"))
     grouped = df.groupBy(F.col(source).cast("string").alias("source"), name("protocol").alias("protocol"), name("dst_port").alias("dst_port")).agg(F.count("*").alias("flows"))
-    top = grouped.orderBy(F.desc("flows"), "source", "protocol", "dst_port").limit(n)
-    whole = df.agg(F.count("*").alias("n")).scalar()
-    rest = top.agg((whole - F.coalesce(F.sum("flows"), F.lit(0))).alias("flows")).select(
-        F.lit("OTHER").alias("source"), F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("string").alias("dst_port"), "flows"
-    )
-    return top.unionByName(rest).select("*", (F.col("flows") * 100.0 / whole).alias("percent"))
+    listed = grouped.orderBy(F.desc("flows"), "source", "protocol", "dst_port").limit(n)
+    whole = grouped.agg(F.sum("flows").alias("whole"))  # reuses the counts of the list
+    top = listed.crossJoin(F.broadcast(whole))  # n rows and one
+    rest = whole.crossJoin(F.broadcast(listed.agg(F.coalesce(F.sum("flows"), F.lit(0)).alias("shown"))))
+    other = rest.select(F.lit("OTHER").alias("source"), (F.coalesce("whole", F.lit(0)) - F.col("shown")).alias("flows"), "whole")
+    both = top.unionByName(other, allowMissingColumns=True)
+    return both.select("source", "protocol", "dst_port", "flows", (F.col("flows") * 100.0 / F.col("whole")).alias("percent"))
 
 
 def peer_stats(packets: DataFrame, agent: str = "agent", time: str = "recv_time") -> DataFrame:
@@ -44,6 +45,11 @@ def peer_stats(packets: DataFrame, agent: str = "agent", time: str = "recv_time"
     )
 
 
+def in_address_order(stats: DataFrame, agent: str = "agent_addr") -> DataFrame:
+    """Exporters by address, IPv4 first."""
+    return stats.orderBy(*order_key(F.col(agent)))
+
+
 def admitted(address: Column, networks: Sequence[str] | None) -> Column:
     """True if the exporter is in one of the networks; an empty list admits all, ``any`` too."""
     if not networks or "any" in networks:

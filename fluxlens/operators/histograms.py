@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def exponent(x: Column, base: int = 2, most: int = 2**63 - 1) -> Column:
@@ -16,6 +17,11 @@ def exponent(x: Column, base: int = 2, most: int = 2**63 - 1) -> Column:
     return sum((F.when(x >= p, 1).otherwise(0) for p in powers), F.lit(0))
 
 
+def in_order(histogram: DataFrame) -> DataFrame:
+    """Bins from the least to the greatest."""
+    return histogram.orderBy("bin")
+
+
 def _filled(counted: DataFrame, bin_: str, values: dict[str, Column], step: int = 1) -> DataFrame:
     """Rows for every bin from the first to the last; ``values`` where there was none."""
     edges = counted.agg(F.min(bin_).alias("a"), F.max(bin_).alias("b")).where("a is not null")
@@ -68,20 +74,37 @@ def interpolated_history(
     first, last = F.floor(a / resolution_ms).cast("long"), F.floor(b / resolution_ms).cast("long")
     valid = df.where(start_ms.isNotNull() & finish_ms.isNotNull() & amount.isNotNull())
     checked = F.when(b < a, F.raise_error("flow finishes before it starts")).otherwise(first)
+    width = float(resolution_ms)
     one = last == first
-    bins = F.when(one, F.array(first)).otherwise(F.sequence(checked, last - 1 if strict_compat else last))
-    spread = valid.select(
-        F.explode(F.when(b < a, F.array(checked)).otherwise(bins)).alias("bin"),
-        amount.alias("amount"), a.alias("a"), b.alias("b"), one.alias("one"), last.alias("last"),
-    )
-    low = F.col("bin") * float(resolution_ms)
-    high = low + resolution_ms
-    share = F.greatest(F.lit(0.0), F.least(F.col("b"), high) - F.greatest(F.col("a"), low))
+    rate = amount / F.nullif(b - a, F.lit(0.0))
+    flows = valid.select(amount.alias("x"), a.alias("a"), b.alias("b"), first.alias("first"), last.alias("last"), one.alias("one"), rate.alias("rate"), checked.alias("checked"))
+    stop = F.col("last") - 1 if strict_compat else F.col("last")  # the last bin that gets something
+    head = F.col("rate") * ((F.col("first") + 1) * width - F.col("a"))
     if strict_compat:
-        share = F.when(F.col("bin") == F.col("last") - 1, F.col("b") % resolution_ms).otherwise(share)
-    part = F.when(F.col("one"), F.col("amount")).otherwise(F.col("amount") * share / (F.col("b") - F.col("a")))
-    counted = spread.groupBy("bin").agg((F.sum(part) * 1000.0 / resolution_ms).alias("rate"))
-    return _filled(counted, "bin", {"rate": F.lit(0.0)})
+        tail = F.col("rate") * (F.col("b") % resolution_ms)
+        head = F.when(F.col("first") == stop, tail).otherwise(head)
+    else:
+        tail = F.col("rate") * (F.col("b") - F.col("last") * width)
+
+    def change(bin_: Column, once: Column, on: Column) -> Column:
+        return F.struct(bin_.alias("bin"), once.alias("once"), on.alias("on"))
+
+    zero = F.lit(0.0)
+    whole = F.col("rate") * width
+    # a flow gives its first and its last bin a part each, and all bins between the same: only where that begins and ends is noted
+    between = stop > F.col("first") + 1
+    several = F.array(
+        change(F.col("checked"), head, zero),
+        change(stop, F.when(stop > F.col("first"), tail).otherwise(zero), zero),
+        change(F.least(F.col("first") + 1, stop), zero, F.when(between, whole).otherwise(zero)),
+        change(stop, zero, F.when(between, -whole).otherwise(zero)),
+    )
+    alone = F.array(change(F.col("checked"), F.col("x"), zero))
+    noted = flows.select(F.explode(F.when(F.col("one"), alone).otherwise(several)).alias("n")).select("n.*")
+    counted = noted.groupBy("bin").agg(F.sum("once").alias("once"), F.sum("on").alias("on"))
+    filled = _filled(counted, "bin", {"once": F.lit(0.0), "on": F.lit(0.0)})
+    running = F.sum("on").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # over bins, not flows
+    return filled.select("bin", ((F.col("once") + running) * 1000.0 / resolution_ms).alias("rate"))
 
 
 def clock_skew(df: DataFrame, recv_sec: Column, finish_ms: Column) -> DataFrame:

@@ -47,6 +47,21 @@ def consolidate(steps: DataFrame, per_point: int, unknown: float = 0.5, columns:
     return grouped.select(F.col("w.start").alias("point_start"), "known", *columns)
 
 
+def archives(steps: DataFrame, columns: list[str] | None = None, kinds: tuple = ARCHIVES) -> DataFrame:
+    """All archives of the roll-up: per_point, point_start, known, and each column's mean rate.
+
+    An archive keeps its newest points only, as many as ``kinds`` says, counted back from the newest step.
+    """
+    out = None
+    newest = steps.agg(F.max("bin_start").alias("m")).scalar()
+    for per_point, kept, unknown in kinds:
+        points = consolidate(steps, per_point, unknown, columns)
+        age = F.timestamp_diff("SECOND", F.col("point_start"), newest)
+        mine = points.where(age < kept * per_point * STEP).select(F.lit(per_point).alias("per_point"), "*")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
 def last_average_min_max(steps: DataFrame, what: str = "bytes", seconds: int | None = None) -> DataFrame:
     """Per class: last, average, least and greatest value of the steps in the last ``seconds`` (all if None)."""
     if seconds is not None:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _has(df: DataFrame, name: str) -> Column:
@@ -67,3 +69,33 @@ def by_each(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
             test = test & F.col(k).isNotNull()
         present = present | test
     return grouped.where(present).select("kind", *names, "flows", "octets", "packets")
+
+
+def top_lists(df: DataFrame, sets: Sequence[Sequence[str]], n: int = 10, orders: Sequence[str] = ("octets", "packets", "flows")) -> DataFrame:
+    """The ``n`` groups of each key with most of each of ``orders``: kind, which, rank, the keys, and the counters.
+
+    One pass over the flows for all lists.  Ranks are cut before the shuffle; ties by key.
+    """
+    names = list(dict.fromkeys(k for s in sets for k in s))
+    grouped = by_each(df, sets)
+    each = grouped.withColumn("which", F.explode(F.array(*[F.lit(o) for o in orders])))
+    amount = F.coalesce(*[F.when(F.col("which") == o, F.col(o)) for o in orders])
+    by = Window.partitionBy("kind", "which").orderBy(amount.desc(), *names)
+    ranked = each.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+    return ranked.select("kind", "which", "rank", *names, "flows", "octets", "packets")
+
+
+def state(df: DataFrame, sets: Sequence[Sequence[str]], time: str = "recv_time") -> DataFrame:
+    """What a summary has to keep: the counters of each key, and the totals as kind ``all``; can be written and merged."""
+    each = by_each(df, sets).withColumns({"first_time": F.lit(None).cast(df.schema[time].dataType), "last_time": F.lit(None).cast(df.schema[time].dataType)})
+    whole = df.agg(F.lit("all").alias("kind"), *counters(df), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+    return each.unionByName(whole, allowMissingColumns=True)
+
+
+def merged(states: Sequence[DataFrame]) -> DataFrame:
+    """The state of all the flows of several states."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), states)
+    keys = [c for c in both.columns if c not in ("flows", "octets", "packets", "first_time", "last_time")]
+    return both.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("flows", "octets", "packets")], F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time")
+    )

@@ -11,12 +11,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addresses import family, in_network, parse_network
 from ..functions.times import parse_number
-from ..schema import ALL, mask_of
+from ..schema import ALL, GROUPS, mask_of, project
 
 # fixed values: protocol names that a policy may use
 PROTOCOLS = {
@@ -115,6 +115,13 @@ class Policy:
     def __str__(self) -> str:
         return "\n".join(map(str, self.rules))
 
+    def config(self) -> str:
+        """The whole effective policy: settings, groups that are stored, sources, rules."""
+        lines = [f"{word} on {v}" if word == "listen" else f"{word} {v}" for word, values in self.settings.items() for v in values]
+        lines += ["store ALL"] if self.store == ALL else [f"store {g.name}" for g in GROUPS if g.mask & self.store]
+        lines += [f"flow source {x}" for x in self.sources or []]
+        return "\n".join([*lines, *map(str, self.rules)])
+
 
 # the language
 
@@ -323,7 +330,9 @@ def parse(text: str, macros: dict[str, str] | None = None, filter_only: bool = T
                     policy.sources = (policy.sources or []) + [source]
                 line.end()
             elif word := line.take("logfile", "logsock", "pidfile", "listen", "join"):
-                policy.settings.setdefault(word, []).append(" ".join(line.tokens[1:]))
+                if word == "listen":
+                    line.take("on")
+                policy.settings.setdefault(word, []).append(" ".join(line.tokens[line.at :]))
             else:
                 raise ValueError(f"syntax error at {line.peek()!r}")
         except ValueError as e:
@@ -411,15 +420,32 @@ def apply_policy(df: DataFrame, policy: Policy) -> DataFrame:
     win = winner([matches(r, df.columns) for r in rules], rules)
     dropped = [i for i, r in enumerate(rules) if r.action == "discard"]
     tagged = [(i, r.tag) for i, r in enumerate(rules) if r.tag is not None]
+    if not tagged:
+        return df.where(~F.coalesce(win.isin(dropped), F.lit(False))) if dropped else df
+    # the verdict is computed once, as a column of its own: -1 drops the flow, -2 leaves its tag, others are the new tag
+    verdict = _fresh(df.columns, "verdict")
+    lookup = F.array(*[F.lit(-1 if r.action == "discard" else -2 if r.tag is None else r.tag).cast("long") for r in rules])
+    own = F.col("tag").cast("long") if "tag" in df.columns else F.lit(None).cast("long")
+    judged = df.withColumn(verdict, F.coalesce(F.get(lookup, win), F.lit(-2).cast("long")))
     if dropped:
-        df = df.where(~F.coalesce(win.isin(dropped), F.lit(False)))
-    if tagged:
-        own = F.col("tag") if "tag" in df.columns else F.lit(None)
-        tag = own.cast("long")
-        for i, t in tagged:
-            tag = F.when(win == i, F.lit(t).cast("long")).otherwise(tag)
-        df = df.withColumn("tag", tag)
-    return df
+        judged = judged.where(F.col(verdict) != -1)
+    return judged.withColumn("tag", F.when(F.col(verdict) >= 0, F.col(verdict)).otherwise(own)).drop(verdict)
+
+
+def _fresh(names: list[str], stem: str) -> str:
+    while stem in names:
+        stem += "_"
+    return stem
+
+
+def apply_store(df: DataFrame, policy: Policy) -> DataFrame:
+    """What the policy's ``store`` lines let through to the output."""
+    return project(df, policy.store)
+
+
+def rule_table(spark: SparkSession, policy: Policy) -> DataFrame:
+    """(rule, text) of the policy's rules, in their order."""
+    return spark.createDataFrame([(i, str(r)) for i, r in enumerate(policy.rules)], "rule int, text string")
 
 
 def rule_counters(df: DataFrame, policy: Policy) -> DataFrame:

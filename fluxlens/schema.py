@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,12 @@ def columns_of(mask: int) -> list[str]:
     return list(dict.fromkeys(c for g in GROUPS if g.mask & mask for c in g.columns))
 
 
+def project(df: DataFrame, mask: int) -> DataFrame:
+    """The columns of the groups in ``mask``, and those that belong to no group."""
+    kept, all_columns = set(columns_of(mask)), set(columns_of(ALL))
+    return df.select(*[c for c in df.columns if c in kept or c not in all_columns])
+
+
 def has_fields(mask: int, columns: list[str] | None = None) -> Column:
     """True if every group of ``mask`` is there.  A role's two address groups tell the address's length."""
     if not mask:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import text as address_text
 from ..functions.times import interval_time_ms, iso_time
-from ..operators.summary import top, totals
+from ..operators.summary import top_lists, totals
 from ..schema import BRIEF, BY_NAME, MASKS
 
 # fixed values: columns of the CSV form, with the flow's columns
@@ -127,11 +127,15 @@ def report(df: DataFrame, n: int = 10) -> str:
     lines = [f"flows {t['flows']}, octets {t['octets']}, packets {t['packets']}", f"from {t['first_time']} to {t['last_time']}"]
     lists = ((("src_port",), "source ports"), (("dst_port",), "destination ports"), (("protocol",), "protocols"),
              (("src_addr",), "sources"), (("dst_addr",), "destinations"), (("src_addr", "dst_addr"), "pairs"))
+    lists = [(keys, title) for keys, title in lists if set(keys) <= set(df.columns)]
+    ranked = top_lists(df, [keys for keys, _ in lists], n)
+    shown = ranked.withColumns({k: address_text(F.col(k)) for k in ("src_addr", "dst_addr") if k in ranked.columns})
+    found: dict[tuple[str, str], list] = {}
+    for r in sorted(shown.collect(), key=lambda r: r["rank"]):
+        found.setdefault((r["kind"], r["which"]), []).append(r)
     for keys, title in lists:
-        if set(keys) <= set(df.columns):
-            for which in ("octets", "packets", "flows"):
-                lines.append(f"top {title} by {which}")
-                shown = top(df, keys, which, n)
-                for r in shown.select(*[address_text(F.col(k)).alias(k) if k.endswith("_addr") else F.col(k) for k in keys], "flows", "octets", "packets").collect():
-                    lines.append(f"  {' -> '.join(str(r[k]) for k in keys)}: flows {r['flows']} octets {r['octets']} packets {r['packets']}")
+        for which in ("octets", "packets", "flows"):
+            lines.append(f"top {title} by {which}")
+            for r in found.get(("_".join(keys), which), []):
+                lines.append(f"  {' -> '.join(str(r[k]) for k in keys)}: flows {r['flows']} octets {r['octets']} packets {r['packets']}")
     return "\n".join(lines)

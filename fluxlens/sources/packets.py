@@ -6,12 +6,15 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BY_NAME, FLOW
+from .columns import Table, dtype_of
 
 PACKET = T.StructType(
     [
@@ -147,11 +150,17 @@ def _fits(kind: int, width: int) -> bool:
     return width == widest if column in _ADDRESS else width <= widest
 
 
-def _data_set(data: bytes, what: list[tuple[int, int]], common: dict) -> Iterator[dict]:
+def _records_in(data: bytes, what: list[tuple[int, int]]) -> tuple[int, int]:
+    """(number of records in a flowset, bytes of one)."""
     size = sum(w for _, w in what)
     count = len(data) // size
     if not 1 <= count <= 0x4000:
         raise PacketError(f"{count} records in a flowset")
+    return count, size
+
+
+def _data_set(data: bytes, what: list[tuple[int, int]], common: dict) -> Iterator[dict]:
+    count, size = _records_in(data, what)
     for i in range(count):
         at, row = i * size, dict(common)
         engine = False
@@ -175,8 +184,8 @@ def _data_set(data: bytes, what: list[tuple[int, int]], common: dict) -> Iterato
         yield row
 
 
-def decode_v9(payload: bytes, templates: Templates, out: Decoded) -> None:
-    """Flows of a version 9 packet.  What came before an error is kept."""
+def decode_v9(payload: bytes, templates: Templates, out: Decoded, take: Callable[[bytes, list[tuple[int, int]], dict], None] | None = None) -> None:
+    """Flows of a version 9 packet, or each of its data flowsets to ``take``.  What came before an error is kept."""
     if len(payload) < 20:
         raise PacketError("too short")
     _, _, uptime, sec, sequence, source = struct.unpack_from(">HHIIII", payload)
@@ -199,8 +208,10 @@ def decode_v9(payload: bytes, templates: Templates, out: Decoded) -> None:
             what = templates.get(source, kind)
             if what is None:
                 out.no_template += 1
-            else:
+            elif take is None:
                 out.flows.extend(_data_set(data, what, common))
+            else:
+                take(data, what, common)
 
 
 def decode_packet(payload: bytes, templates: Templates | None = None) -> Decoded:
@@ -227,82 +238,185 @@ FLOW_ROW = T.StructType(
 )
 
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns, dtype=object)
-
-
 def _same_family(row: dict) -> bool:
     return len(row.get("src_addr") or b"") == len(row.get("dst_addr") or b"")
 
 
-def flow_rows(time, agent: bytes, seq: int, found: Decoded) -> list[tuple]:
-    """Rows of a packet's flows; those whose addresses are of two families are left out."""
-    return [(time, agent, seq, *(r.get(c) for c in COLUMNS)) for r in found.flows if _same_family(r)]
+_HEADERS = {v: dtype_of([("HH" + x.header, ("version", "count", *x.header_columns))]) for v, x in LAYOUTS.items()}
+_RECORDS = {v: dtype_of([(x.record, x.columns)]) for v, x in LAYOUTS.items()}
 
 
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    import decimal
+def _valid_fixed(payload: bytes) -> int:
+    """Version of a packet of a fixed version that is whole, else 0."""
+    if len(payload) < 4:
+        return 0
+    version, count = payload[1], int.from_bytes(payload[2:4], "big")
+    if payload[0] or version not in LAYOUTS or not 1 <= count <= LAYOUTS[version].most:
+        return 0
+    return version if len(payload) == _HEADERS[version].itemsize + count * _RECORDS[version].itemsize else 0
+
+
+class Flows:
+    """Collects what packets hold, and decodes all records of one layout at once."""
+
+    def __init__(self) -> None:
+        self.times: list = []
+        self.agents: list[bytes] = []
+        self.seqs: list[int] = []
+        self.fixed: dict[int, list[tuple[int, bytes]]] = {}
+        self.sets: dict[tuple, list[tuple[int, int, bytes, dict]]] = {}
+
+    def add(self, time, agent: bytes, seq: int, payload: bytes, templates: Templates | None) -> Decoded:
+        """Takes a packet; without ``templates`` those of version 9 are left out.  ``flows`` of the result stays empty."""
+        out = Decoded()
+        packet = len(self.times)
+        self.times.append(time)
+        self.agents.append(agent)
+        self.seqs.append(seq)
+        if payload[:2] == b"\0\x09" and len(payload) >= 4:
+            out.version = 9
+            if templates is None:
+                return out
+
+            def take(data: bytes, what: list[tuple[int, int]], common: dict) -> None:
+                count, size = _records_in(data, what)
+                self.sets.setdefault(tuple(what), []).append((packet, count, data[: count * size], common))
+
+            try:
+                decode_v9(payload, templates, out, take)
+            except PacketError as e:
+                out.error = str(e)
+            except struct.error as e:
+                out.error = f"cut off: {e}"
+        elif version := _valid_fixed(payload):
+            out.version = version
+            self.fixed.setdefault(version, []).append((packet, payload))
+        else:
+            out = decode_packet(payload)  # says what is wrong
+        return out
 
-    for c in ("packets", "octets"):
-        frame[c] = [None if x is None else decimal.Decimal(x) for x in frame[c]]
-    return frame
+    def batch(self) -> pa.RecordBatch:
+        """The flows of all packets taken; those whose addresses are of two families are left out."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(FLOW_ROW)
+        parts: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
+        for version, held in self.fixed.items():
+            head, record = _HEADERS[version], _RECORDS[version]
+            counts = np.array([int.from_bytes(p[2:4], "big") for _, p in held])
+            heads = np.repeat(np.frombuffer(b"".join(p[: head.itemsize] for _, p in held), head), counts)
+            found = np.frombuffer(b"".join(p[head.itemsize :] for _, p in held), record)
+            made: dict = {c: heads[c] for c in LAYOUTS[version].header_columns} | {c: found[c] for c in record.names}
+            made["netflow_version"] = version
+            made |= {"engine_type": 0, "engine_id": 0} if version == 7 else {}
+            made |= {"source_id": 0} if version != 1 else {}
+            parts.append((np.repeat([i for i, _ in held], counts), made))
+        for what, held in self.sets.items():
+            counts = np.array([n for _, n, _, _ in held])
+            size = sum(w for _, w in what)
+            found = np.frombuffer(b"".join(d for _, _, d, _ in held), np.uint8).reshape(-1, size)
+            made = {}
+            at = 0
+            for kind, width in what:
+                if kind in TYPES:
+                    column = TYPES[kind][0]
+                    value = found[:, at : at + width]
+                    if column not in _ADDRESS:
+                        value = np.pad(value, ((0, 0), (8 - width, 0))).view(">u8")[:, 0]
+                    made[column] = value
+                at += width
+            width = {c: made[c].shape[1] for c in ("src_addr", "dst_addr") if c in made}
+            if width.get("src_addr", 0) != width.get("dst_addr", 0):
+                continue
+            for group in _TOGETHER:
+                if any(c in made for c in group):
+                    made |= {c: 0 for c in group if c not in made}
+            engine = any(kind in (38, 39) for kind, _ in what)
+            if engine:
+                made |= {c: 0 for c in ("engine_type", "engine_id") if c not in made}
+            for c in ("sys_uptime_ms", "agent_sec", "agent_nsec", "netflow_version", *(("flow_sequence", "source_id") if engine else ())):
+                made[c] = np.repeat([common[c] for *_, common in held], counts)
+            parts.append((np.repeat([i for i, *_ in held], counts), made))
+        owner = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int64)
+        table = Table(len(owner), schema)
+        at = 0
+        for rows, made in parts:
+            places = np.arange(at, at + len(rows))
+            for c, values in made.items():
+                table.put(c, places, values)
+            at += len(rows)
+        of_packet = pa.array(owner)
+        more = {
+            "recv_time": pa.array(self.times, schema.field("recv_time").type).take(of_packet),
+            "agent_addr": pa.array(self.agents, pa.binary()).take(of_packet),
+            "seq": pa.array(self.seqs, pa.int64()).take(of_packet),
+        }
+        return table.batch(more)
+
+
+def _packets_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:
     """Flows of version 1, 5 and 7 packets: a narrow map, no shuffle.  Other and invalid packets give none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            rows: list[tuple] = []
-            for time, agent, seq, payload in zip(x["recv_time"], x["agent_addr"], x["seq"], x["payload"], strict=True):
-                payload = bytes(payload or b"")
-                if payload[:2] != b"\0\x09":
-                    rows += flow_rows(time, agent, seq, decode_packet(payload))
-            yield _typed(_frame(rows, FLOW_ROW.names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flows = Flows()
+            for time, agent, seq, payload in _packets_of(batch):
+                flows.add(time, agent, seq, payload or b"", None)
+            yield flows.batch()
+
+    return packets.select(*PACKET.names).mapInArrow(run, FLOW_ROW)
 
-    return packets.select(*PACKET.names).mapInPandas(run, FLOW_ROW)
+
+def _by_source(packets: DataFrame) -> DataFrame:
+    """Packets dealt by exporter and source, which share no templates (packets of other versions: by exporter)."""
+    source = F.when(F.substring("payload", 1, 2) == F.lit(b"\0\x09"), F.substring("payload", 17, 4)).otherwise(F.lit(b""))
+    return packets.withColumn("source", source).repartition("agent_addr", "source").sortWithinPartitions("agent_addr", "source", "seq")
 
 
 def decode_v9_packets(packets: DataFrame) -> DataFrame:
-    """Flows of version 9 packets, decoded for each exporter in the order of ``seq``.
+    """Flows of version 9 packets, decoded for each exporter's source in the order of ``seq``.
 
     Templates hold from where they are sent; data before its template is lost, as in a live exporter's
-    stream.  Packets are shuffled by exporter and sorted; a task streams through its exporters and holds
-    one exporter's templates at a time, never its packets.
+    stream.  Packets are shuffled by exporter and source and sorted; a task streams through them and holds
+    one source's templates at a time, never its packets.  So the limit on the sources of an exporter,
+    which would need all of them in one task, isn't kept here; the limit on a source's templates is.
     """
     v9 = packets.select(*PACKET.names).where(F.substring("payload", 1, 2) == F.lit(b"\0\x09"))
-    dealt = v9.repartition("agent_addr").sortWithinPartitions("agent_addr", "seq")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, templates = None, Templates()
-        for x in frames:
-            rows: list[tuple] = []
-            for time, agent, seq, payload in zip(x["recv_time"], x["agent_addr"], x["seq"], x["payload"], strict=True):
-                if agent != now:
-                    now, templates = agent, Templates()
-                rows += flow_rows(time, agent, seq, decode_packet(bytes(payload), templates))
-            yield _typed(_frame(rows, FLOW_ROW.names))
+        for batch in batches:
+            flows = Flows()
+            for time, agent, seq, payload in _packets_of(batch):
+                if (agent, payload[16:20]) != now:
+                    now, templates = (agent, payload[16:20]), Templates()
+                flows.add(time, agent, seq, payload, templates)
+            yield flows.batch()
 
-    return dealt.mapInPandas(run, FLOW_ROW)
+    return _by_source(v9).select(*PACKET.names).mapInArrow(run, FLOW_ROW)
 
 
 def packet_facts(packets: DataFrame) -> DataFrame:
     """recv_time, agent_addr, version, flows, invalid, no_template of each packet, for exporter statistics."""
     schema = "recv_time timestamp_ntz, agent_addr binary, version int, flows long, invalid int, no_template long"
-    dealt = packets.select(*PACKET.names).repartition("agent_addr").sortWithinPartitions("agent_addr", "seq")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, templates = None, Templates()
         for x in frames:
             rows = []
             for time, agent, payload in zip(x["recv_time"], x["agent_addr"], x["payload"], strict=True):
-                if agent != now:
-                    now, templates = agent, Templates()
-                d = decode_packet(bytes(payload or b""), templates)
+                payload = bytes(payload or b"")
+                if (agent, payload[16:20]) != now:
+                    now, templates = (agent, payload[16:20]), Templates()
+                d = decode_packet(payload, templates)
                 rows.append((time, agent, d.version, 0 if d.error else len(d.flows), int(d.error is not None), d.no_template))
-            yield _frame(rows, ["recv_time", "agent_addr", "version", "flows", "invalid", "no_template"])
+            yield pd.DataFrame(rows, columns=["recv_time", "agent_addr", "version", "flows", "invalid", "no_template"], dtype=object)
 
-    return dealt.mapInPandas(run, schema)
+    return _by_source(packets.select(*PACKET.names)).select(*PACKET.names).mapInPandas(run, schema)
 
 
 def encoder(version: int) -> Callable[[list[dict]], bytes]:

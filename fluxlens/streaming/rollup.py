@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.exporters import admit
 from ..operators.series import rollup
 from ..plans.policy import Policy, apply_policy
-from ..sources.packets import FLOW_ROW, PACKET, Templates, _frame, _typed, decode_packet, flow_rows
+from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates
 
 
 def rollup_stream(flows: DataFrame, delay: str = "1 hour", time: str = "recv_time") -> DataFrame:
@@ -55,13 +55,13 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str |
             return
         templates = _load(held.get[0]) if held.exists else Templates()
         batch = pd.concat(list(frames), ignore_index=True).sort_values("seq")
-        rows: list[tuple] = []
+        flows = Flows()
         for time, agent, seq, payload in zip(batch["recv_time"], batch["agent_addr"], batch["seq"], batch["payload"], strict=True):
-            rows += flow_rows(time, agent, seq, decode_packet(bytes(payload or b""), templates))
+            flows.add(time, bytes(agent), seq, bytes(payload or b""), templates)
         held.update((_dump(templates),))
         if idle:
             held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield _typed(_frame(rows, FLOW_ROW.names))
+        yield flows.batch().to_pandas(integer_object_nulls=True, date_as_object=True)
 
     flows = (
         admitted.select(*PACKET.names)
