@@ -136,15 +136,13 @@ def ipv4_number_text(n: Column) -> Column:
 
 def _halves(address: Column) -> tuple[Column, Column]:
     """The upper and the lower 64 bits as longs (the upper ones of an IPv4 address are zero)."""
-    high = F.when(F.length(address) == 16, F.conv(F.hex(F.substring(address, 1, 8)), 16, -10).cast("long")).otherwise(F.lit(0).cast("long"))
-    low = F.when(F.length(address) == 16, F.conv(F.hex(F.substring(address, 9, 8)), 16, -10)).otherwise(F.conv(F.hex(address), 16, -10)).cast("long")
-    return high, low
+    text = F.lpad(F.hex(address), 32, "0")
+    return tuple(F.conv(F.substring(text, at, 16), 16, -10).cast("long") for at in (1, 17))
 
 
 def _joined(high: Column, low: Column, size: Column) -> Column:
-    """An address of ``size`` bytes from its halves; null for another size."""
-    text = F.when(size == 16, F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0"))).when(size == 4, F.lpad(F.hex(low.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.unhex(text)
+    """An address of ``size`` bytes from its halves."""
+    return F.unhex(F.right(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")), (2 * size).cast("int")))
 
 
 def both_columns(a: Column, b: Column) -> Column:
@@ -163,23 +161,20 @@ def invert_column(a: Column) -> Column:
     return _joined(F.bitwise_not(high), F.bitwise_not(low), F.length(a))
 
 
-def netmask_column(family: Column, length: Column) -> Column:
-    """The mask of a prefix length in a family (4 or 6); null for a length out of range."""
+def _by_length(make, family: Column, length: Column) -> Column:
+    """``make(family, n)`` for the column's lengths: tables of 33 and 129 values; null for a length out of range."""
     n = length.cast("int")
-    four = F.when(n == 0, F.lit(0).cast("long")).otherwise(F.lit(0x100000000) - F.pow(F.lit(2.0), 32 - n).cast("long"))
-    return F.when((family == 4) & n.between(0, 32), _joined(F.lit(0).cast("long"), four, F.lit(4))).when(
-        (family == 6) & n.between(0, 128), _joined(_top(n), _top(n - 64), F.lit(16))
-    )
+    tables = {f: F.array(*[F.lit(make(f, k)) for k in range(unicast_length(f) + 1)]) for f in (4, 6)}
+    return F.when(n >= 0, F.when(family == 4, F.get(tables[4], n)).when(family == 6, F.get(tables[6], n)))
 
 
-def _top(n: Column) -> Column:
-    """The first ``n`` of 64 bits set."""
-    tens = F.array(*[F.lit(-(1 << (64 - k)) if k else 0).cast("long") for k in range(65)])
-    return F.get(tens, F.greatest(F.lit(0), F.least(F.lit(64), n)))
+def netmask_column(family: Column, length: Column) -> Column:
+    """The mask of a prefix length in a family (4 or 6)."""
+    return _by_length(netmask, family, length)
 
 
 def hostmask_column(family: Column, length: Column) -> Column:
-    return invert_column(netmask_column(family, length))
+    return _by_length(hostmask, family, length)
 
 
 def first_of(address: Column, length: Column) -> Column:

@@ -39,12 +39,15 @@ def packed(flows: DataFrame, record: Column, head, most: int = 24) -> DataFrame:
     ``head`` gets the number of records and the exporter's number; the records follow it.
     """
     agent, block = (F.col("flow_id") % 8).alias("agent"), F.floor(F.col("flow_id") / (8 * most)).alias("block")
-    grouped = flows.groupBy(agent, block).agg(F.array_sort(F.collect_list(F.struct("flow_id", record.alias("r")))).alias("rows"))
+    # where numbers of flows repeat, a block has more than one packet of them
+    grouped = flows.groupBy(agent, block).agg(F.array_sort(F.collect_list(F.struct("flow_id", record.alias("r")))).alias("all"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / most).cast("int")), lambda i: F.struct(i.alias("i"), F.slice("all", i * most + 1, most).alias("rows")))
+    grouped = grouped.select("agent", "block", F.explode(parts).alias("p")).select("agent", "block", "p.*")
     body = F.array_join(F.transform("rows", lambda x: x["r"]), "")
     return grouped.select(
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("recv_time"),
         F.unhex(joined("0a0000", digits("agent", 1))).alias("agent_addr"),
-        F.col("block").cast("long").alias("seq"),
+        (F.col("block") * 1000 + F.col("i")).cast("long").alias("seq"),
         F.unhex(head(F.size("rows"), body, F.col("agent"))).alias("payload"),
     )
 

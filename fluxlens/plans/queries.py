@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..functions import addresses, times
 from ..operators import exporters, histograms, series, summary
 from ..schema import BRIEF, MASKS, mask_of
+from ..scratch import new_folder
 from ..sources import export, flowlog, packets
+from . import fixtures
 from .adapters import EVENTS, LINES, event_flows, line_flows
-from .policy import apply_policy, parse, rule_counters
+from .policy import apply_policy, apply_store, parse, rule_counters, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,10 +80,14 @@ def unique_keys(spark, d):
 # predicates, each through the policy language
 
 
-def _filter(name: str, policy: str, where: str, events: bool = False) -> None:
-    query(f"SELECT flow_id, octets FROM {_E if events else _L} WHERE {where}", name)(
-        lambda spark, d: apply_policy((event_flows if events else line_flows)(spark, d), parse(policy)).select("flow_id", "octets")
-    )
+def _filter(name: str, policy: str, where: str, events: bool = False, more=None) -> None:
+    """``more`` adds columns to the flows."""
+
+    def run(spark, d):
+        flows = (event_flows if events else line_flows)(spark, d)
+        return apply_policy(more(flows) if more else flows, parse(policy)).select("flow_id", "octets")
+
+    query(f"SELECT flow_id, octets FROM {_E if events else _L} WHERE {where}", name)(run)
 
 
 _filter("filter_cidr", "discard quick src ! 10.0.0.0/27\ndiscard all\naccept dst 192.0.2.128/25",
@@ -100,6 +103,31 @@ _filter("filter_time_of_day", "discard all\naccept after 08:30:00 before 17:30:0
 _filter("filter_absolute_time", "discard all\naccept after date 20240105 before date 20240112083000",
         "recv_time > TIMESTAMP '2024-01-05' AND recv_time < TIMESTAMP '2024-01-12 08:30:00'", True)
 
+_filter("filter_agent", "discard all\naccept agent 10.0.0.0/30\naccept agent ! 10.0.0.5 proto tcp",
+        "agent_ip BETWEEN 167772160 AND 167772163 OR (agent_ip <> 167772165 AND protocol = 6)", True)
+
+
+def _with_interfaces(flows: DataFrame) -> DataFrame:
+    numbers = {"if_index_in": F.col("flow_id") % 5 + 1, "if_index_out": F.col("flow_id") % 7 + 1, "tos": F.col("flow_id") % 256}
+    return flows.withColumns({k: x.cast("int") for k, x in numbers.items()})
+
+
+_filter("filter_in_ifndx", "discard all\naccept in_ifndx 3\naccept in_ifndx ! 4 proto gre", "flow_id % 5 = 2 OR (flow_id % 5 <> 3 AND protocol = 47)", more=_with_interfaces)
+_filter("filter_out_ifndx", "discard out_ifndx 2\naccept in_ifndx 1 out_ifndx ! 3 proto tcp",
+        "flow_id % 7 <> 1 OR (flow_id % 5 = 0 AND protocol = 6)", more=_with_interfaces)
+_filter("filter_tos", "discard all\naccept tos 16\naccept proto udp tos ! 0x20", "flow_id % 256 = 16 OR (protocol = 17 AND flow_id % 256 <> 32)", more=_with_interfaces)
+
+
+def _some_v6(flows: DataFrame) -> DataFrame:
+    """Every fourth flow runs between the same hosts in 2001:db8::/96."""
+    wide = lambda c: F.unhex(F.concat(F.lit("20010db8" + "0" * 16), F.hex(c)))
+    return flows.withColumns({c: F.when(F.col("flow_id") % 4 == 0, wide(F.col(c))).otherwise(F.col(c)) for c in ("src_addr", "dst_addr")})
+
+
+_filter("filter_family", "discard all\naccept inet6\naccept ! inet6 proto udp", "flow_id % 4 = 0 OR protocol = 17", more=_some_v6)
+_filter("filter_cidr_v6", "discard all\naccept src 2001:db8::a00:0/123\naccept inet src ! 10.0.0.0/27 proto gre",
+        "(flow_id % 4 = 0 AND src_ip BETWEEN 167772160 AND 167772191) OR (flow_id % 4 <> 0 AND src_ip NOT BETWEEN 167772160 AND 167772191 AND protocol = 47)", more=_some_v6)
+
 POLICY = """
 local = "10.0.0.0/26"
 discard quick src ! $local proto gre
@@ -133,6 +161,43 @@ def policy_rule_counters(spark, d):
     return rule_counters(line_flows(spark, d), parse(POLICY))
 
 
+@query("SELECT * FROM (VALUES (0, 'discard quick src ! 10.0.0.0/26 proto 47'), (1, 'accept tag 1 src 10.0.0.0/26 dst 192.0.2.0/25'),"
+       " (2, 'accept tag 256 dst any port 80 proto 6'), (3, 'discard proto 6 tcp_flags mask 0x12 ! equals 0x12'),"
+       " (4, 'accept quick src any port 2048 proto 17'), (5, 'accept tag 3 dst any port 53 proto 17')) t(rule, text)")
+def policy_text(spark, d):
+    return rule_table(spark, parse(POLICY))
+
+
+CONFIG = """
+# a collector: macros, a joined line, numbers in three notations
+lan = "10.1.0.0/16"
+logfile "/var/log/flows"
+listen on 127.0.0.1:12877
+flow source 10.2.0.0/24
+store SRC_ADDR4   # only this and the
+store OCTETS
+accept tag 010 src $lan \\
+  dst any port 0x35 proto udp
+discard quick all
+"""
+
+
+@query("SELECT * FROM (VALUES (0, 'logfile /var/log/flows'), (1, 'listen on 127.0.0.1:12877'), (2, 'store SRC_ADDR4'), (3, 'store OCTETS'),"
+       " (4, 'flow source 10.2.0.0/24'), (5, 'accept tag 8 src 10.1.0.0/16 dst any port 53 proto 17'), (6, 'discard quick all')) t(line, text)")
+def policy_config(spark, d):
+    lines = parse(CONFIG, filter_only=False).config().split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+@query(f"SELECT flow_id, {{}} AS src, packets FROM {_L} WHERE protocol <> 47".replace("{}", "concat(" + ", '.', ".join(f"CAST((src_ip >> {k}) & 255 AS VARCHAR)" for k in (24, 16, 8, 0)) + ")"))
+def policy_store(spark, d):
+    """What a policy filters, and then what its store lines let through: anything else would fail here."""
+    policy = parse("discard proto gre\nstore SRC_ADDR\nstore PACKETS")
+    out = apply_store(apply_policy(line_flows(spark, d), policy), policy)
+    assert not {"octets", "dst_addr", "src_port", "recv_sec"} & set(out.columns)
+    return out.select("flow_id", addresses.text(F.col("src_addr"), True).alias("src"), "packets")
+
+
 # histograms and histories
 
 
@@ -257,6 +322,64 @@ _summary("rrd_summary", 192000)
 _summary("rrd_summary_long", 1152000)
 
 
+_KEEP = ((1, 900, 0.75), (6, 150, 0.5), (24, 60, 0.5), (288, 9, 0.5))
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT {n} AS per_point, * FROM (SELECT time_bucket(INTERVAL {300 * n} SECONDS, bin_start, TIMESTAMP '1970-01-01') AS point_start, count(*) AS known,
+ CASE WHEN count(*) >= {n * (1 - u)} THEN round(avg(tcp_bytes / 300.0), 6) END AS tcp_bytes FROM ({_ROLL}) GROUP BY 1) x{n}
+ WHERE date_diff('second', point_start, (SELECT max(bin_start) FROM ({_ROLL}) y{n})) < {kept * n * 300}""" for n, kept, u in _KEEP))
+def rrd_archives(spark, d):
+    """Four archives, each with its newest points only (fewer than by default, so that these tables fill them)."""
+    kept = series.archives(series.rollup(event_flows(spark, d)), ["tcp_bytes"], _KEEP)
+    return kept.withColumn("tcp_bytes", F.round("tcp_bytes", 6))
+
+
+_KINDS = (("src_port",), ("dst_port",), ("protocol",), ("src_ip",), ("dst_ip",), ("src_ip", "dst_ip"))
+_KEYS = ("src_port", "dst_port", "protocol", "src_ip", "dst_ip")
+
+
+def _each(k: tuple[str, ...]) -> str:
+    return ", ".join(c if c in k else f"-1 AS {c}" for c in _KEYS)
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{'_'.join(k)}' AS kind, '{w}' AS which, rank, {', '.join(_KEYS)}, flows, octets, packets FROM (SELECT *, CAST(row_number() OVER (ORDER BY {w} DESC, {', '.join(k)}) AS INT) AS rank FROM"
+    f" (SELECT {_each(k)}, {_SUMS} FROM {_L} GROUP BY {', '.join(k)})) WHERE rank <= 10"
+    for k in _KINDS for w in ("octets", "packets", "flows")))
+def report_lists(spark, d):
+    return summary.top_lists(line_flows(spark, d), [list(k) for k in _KINDS]).na.fill(-1, list(_KEYS))
+
+
+@query(" UNION ALL ".join(f"SELECT '{'_'.join(k)}' AS kind, {_each(k)}, {_SUMS}, NULL::TIMESTAMP AS first_time, NULL::TIMESTAMP AS last_time FROM {_L} GROUP BY {', '.join(k)}" for k in (("protocol",), ("dst_port",)))
+       + f" UNION ALL SELECT 'all', {_each(())}, {_SUMS}, min(recv_time), max(recv_time) FROM {_L}")
+def summary_merged(spark, d):
+    """Summaries of three parts of the flows, saved, read again and merged."""
+    flows, folder = line_flows(spark, d), new_folder(spark, "summary")
+    for k in range(3):
+        summary.state(flows.where(F.col("flow_id") % 3 == k), [["protocol"], ["dst_port"]]).write.mode("append").parquet(folder)
+    whole = summary.merged([spark.read.parquet(folder)])
+    return whole.withColumns({c: F.lit(-1) for c in ("src_port", "src_ip", "dst_ip")}).na.fill(-1, ["protocol", "dst_port"])
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY bin) AS INT) AS position, bin, count FROM (SELECT length(CAST(octets AS VARCHAR)) - 1 AS bin, count(*) AS count FROM {_L} WHERE octets > 0 GROUP BY 1)")
+def hist_in_order(spark, d):
+    """Bins as they come out of the sorted histogram."""
+    rows = histograms.in_order(histograms.octets_histogram(line_flows(spark, d).where("octets > 0"))).collect()
+    return spark.createDataFrame([(i, r["bin"], r["count"]) for i, r in enumerate(rows, 1)], "position int, bin long, count long").where("count > 0")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY v6, agent_ip) AS INT) AS position, agent_ip, v6 FROM (SELECT DISTINCT agent_ip, (agent_ip % 2 = 0) AS v6 FROM {_E})")
+def peers_in_order(spark, d):
+    """Exporters by address, IPv4 first; the even ones have IPv6 addresses here."""
+    wide = F.unhex(F.concat(F.lit("20010db8" + "0" * 16), F.hex("agent_addr")))
+    events = event_flows(spark, d).withColumn("agent_addr", F.when(F.col("agent_ip") % 2 == 0, wide).otherwise(F.col("agent_addr")))
+    facts = events.select("agent_ip", "agent_addr", "recv_time", F.lit(1).alias("flows"), F.lit(0).alias("invalid"), F.lit(0).alias("no_template"), F.lit(5).alias("version"))
+    listed = exporters.in_address_order(exporters.peer_stats(facts, "agent_addr")).collect()  # a row for each exporter
+    rows = [(i, int.from_bytes(bytes(r["agent_addr"])[-4:], "big"), len(r["agent_addr"]) == 16) for i, r in enumerate(listed, 1)]
+    return spark.createDataFrame(rows, "position int, agent_ip long, v6 boolean")
+
+
 # suspects, exporters, logs
 
 _NAMES = "CAST(src_ip AS VARCHAR) AS source, coalesce(CAST(nullif(protocol, 0) AS VARCHAR), '???') AS protocol, coalesce(CAST(nullif(dst_port, 0) AS VARCHAR), '???') AS dst_port"
@@ -388,6 +511,69 @@ def ipv4_text(spark, d):
     return shown.withColumn("number", addresses.ipv4_text_number(F.col("text")))
 
 
+_MS_TEXT = " || ".join([
+    _unit(31449600, None, "y"), _unit(604800, 31449600, "w"), _unit(86400, 604800, "d"), _unit(3600, 86400, "h"), _unit(60, 3600, "m")
+]).replace(_I, "(flow_finish * 977 // 1000)")
+
+
+@query(f"SELECT flow_id, {_MS_TEXT} || CAST((flow_finish * 977 // 1000) % 60 AS VARCHAR) || 's.' || lpad(CAST(flow_finish * 977 % 1000 AS VARCHAR), 3, '0') AS text FROM {_L}")
+def interval_time_ms(spark, d):
+    return line_flows(spark, d).select("flow_id", times.interval_time_ms(F.col("flow_finish") * 977).alias("text"))
+
+
+@query(f"SELECT flow_id, printf('%08x', src_ip) AS text FROM {_L}")
+def hex_text(spark, d):
+    return line_flows(spark, d).select("flow_id", times.hex_dump(F.col("src_addr")).alias("text"))
+
+
+@query(f"SELECT flow_id, '2001:db8::' || printf('%x', 1 + flow_id % 65535) AS text, '20010DB8000000000000000000' || '00' || printf('%04X', 1 + flow_id % 65535) AS back FROM {_L}")
+def ipv6_text(spark, d):
+    address = F.unhex(F.concat(F.lit("20010db8" + "0" * 20), F.lpad(F.hex(F.col("flow_id") % 65535 + 1), 4, "0")))
+    shown = line_flows(spark, d).select("flow_id", addresses.text(address).alias("text"))
+    return shown.withColumn("back", F.hex(addresses.from_text(F.col("text"))))
+
+
+_MASK = "(4294967296 - CAST(power(2, 32 - flow_id % 33) AS BIGINT))"
+_HEX = "printf('%08X', {})".format
+
+
+@query(f"""SELECT flow_id, {_HEX('m')} AS netmask, {_HEX('4294967295 - m')} AS hostmask, {_HEX('4294967295 - src_ip')} AS inverted,
+ {_HEX('src_ip & m')} AS first, {_HEX('src_ip | (4294967295 - m)')} AS last, {_HEX('src_ip & dst_ip')} AS both, {_HEX('src_ip | dst_ip')} AS either,
+ CAST(sign(src_ip - dst_ip) AS INT) AS compared, CAST(32 AS INT) AS single, (src_ip & m) = 0 AS unspecified, (src_ip & m) = src_ip AS zeros, (src_ip | (4294967295 - m)) = src_ip AS ones
+ FROM (SELECT *, {_MASK} AS m FROM {_L})""")
+def address_algebra(spark, d):
+    flows = line_flows(spark, d)
+    a, b, n = F.col("src_addr"), F.col("dst_addr"), (F.col("flow_id") % 33).cast("int")
+    made = {
+        "netmask": addresses.netmask_column(F.lit(4), n), "hostmask": addresses.hostmask_column(F.lit(4), n), "inverted": addresses.invert_column(a),
+        "first": addresses.first_of(a, n), "last": addresses.last_of(a, n), "both": addresses.both_columns(a, b), "either": addresses.either_columns(a, b),
+    }
+    return flows.select(
+        "flow_id", *[F.hex(x).alias(k) for k, x in made.items()], addresses.compare_columns(a, b).alias("compared"),
+        addresses.unicast_length_column(a).alias("single"), addresses.is_unspecified_column(made["first"]).alias("unspecified"),
+        addresses.host_is_zeros_column(a, n).alias("zeros"), addresses.host_is_ones_column(a, n).alias("ones"),
+    )
+
+
+_SIX = "'20010DB8' || '0000000000000000' || "
+
+
+@query(f"""SELECT flow_id, repeat('F', 24) || {_HEX('m')} AS netmask, repeat('0', 24) || {_HEX('4294967295 - m')} AS hostmask,
+ {_SIX}{_HEX('src_ip & m')} AS first, {_SIX}{_HEX('src_ip | (4294967295 - m)')} AS last, 'DFFEF247' || repeat('F', 16) || {_HEX('4294967295 - src_ip')} AS inverted,
+ -1 AS compared, 128 AS single, (src_ip & m) = src_ip AS zeros FROM (SELECT *, {_MASK} AS m FROM {_L}) WHERE flow_id % 4 = 0""")
+def address_algebra_v6(spark, d):
+    flows = line_flows(spark, d).where("flow_id % 4 = 0").withColumn("four", F.col("dst_addr"))
+    a, n = F.col("src_addr"), (F.col("flow_id") % 33 + 96).cast("int")
+    made = {
+        "netmask": addresses.netmask_column(F.lit(6), n), "hostmask": addresses.hostmask_column(F.lit(6), n),
+        "first": addresses.first_of(a, n), "last": addresses.last_of(a, n), "inverted": addresses.invert_column(a),
+    }
+    return _some_v6(flows).select(
+        "flow_id", *[F.hex(x).alias(k) for k, x in made.items()], addresses.compare_columns(F.col("four"), a).alias("compared"),
+        addresses.unicast_length_column(a).alias("single"), addresses.host_is_zeros_column(a, n).alias("zeros"),
+    )
+
+
 @query(f"SELECT flow_id, CAST(floor(floor(epoch(recv_time)) / 300) * 300 AS BIGINT) AS start FROM {_E}")
 def quantise(spark, d):
     return event_flows(spark, d).select("flow_id", times.quantise(times.epoch(F.col("recv_time"))).alias("start"))
@@ -398,76 +584,220 @@ def quantise(spark, d):
 _PORTS = f"SELECT dst_port, {_SUMS} FROM {_L} GROUP BY dst_port"
 
 
-def _counted(flows: DataFrame) -> DataFrame:
+def _counted(flows: DataFrame, *more: Column) -> DataFrame:
     return flows.groupBy("dst_port").agg(
-        F.count("*").alias("flows"), F.sum("octets").cast("long").alias("octets"), F.sum("packets").cast("long").alias("packets")
+        F.count("*").alias("flows"), F.sum("octets").cast("long").alias("octets"), F.sum("packets").cast("long").alias("packets"), *more
     )
 
 
-@query(_PORTS)
+@query(f"SELECT dst_port, {_SUMS}, count(*) AS sums FROM {_L} GROUP BY dst_port")
 def log_roundtrip_v3(spark, d):
-    """Every flow as a binary record with a checksum, and back."""
-    flows = line_flows(spark, d).withColumn("fields", F.lit(0))
-    return _counted(flowlog.decode_records(flowlog.encode_records(flows)))
+    """Every flow as a binary record with a checksum, and back; ``sums`` counts the checksums that were there and right."""
+    found = flowlog.decode_records(flowlog.encode_records(line_flows(spark, d), checksum=True))
+    return _counted(found, F.count("crc32").alias("sums"))
+
+
+@query(f"SELECT dst_port, {_SUMS}, count(*) AS sums FROM {_L} GROUP BY dst_port")
+def log_roundtrip_v2(spark, d):
+    """The same in the old format."""
+    found = flowlog.decode_records(flowlog.encode_records(line_flows(spark, d), checksum=True, old=True), old=True)
+    return _counted(found, F.count("crc32").alias("sums"))
+
+
+_LINKS = "if_index_in if_index_out src_as dst_as src_mask dst_mask engine_type engine_id flow_sequence".split()
+
+
+@query(f"SELECT flow_id AS flow_start, recv_usec, source_id, {', '.join(f'(flow_id + {i}) % {128 if i > 3 else 60000} AS {c}' for i, c in enumerate(_LINKS))} FROM (SELECT *, 0 AS recv_usec, 0 AS source_id FROM {_L})")
+def log_v2_widened(spark, d):
+    """Old records, whose interfaces, systems and engines are narrower and which lack what is zero here, as current ones."""
+    numbers = {c: ((F.col("flow_id") + i) % (128 if i > 3 else 60000)).cast("long") for i, c in enumerate(_LINKS)}
+    flows = line_flows(spark, d).withColumns({**numbers, "recv_sec": F.lit(7), "flow_start": F.col("flow_id")}).withColumn("source_id", F.lit(0))
+    old = flowlog.decode_records(flowlog.encode_records(flows.withColumn("recv_usec", F.lit(9)), old=True), old=True)
+    new = flowlog.decode_records(flowlog.encode_records(old, mask=MASKS["ALL"] & ~MASKS["CRC32"]))
+    return new.select("flow_start", "recv_usec", "source_id", *[F.col(c).cast("long") for c in _LINKS])
+
+
+@query(f"SELECT dst_port, count(*) AS flows, sum(octets)::BIGINT AS octets, 0::BIGINT AS packets, 0::BIGINT AS others FROM {_L} GROUP BY dst_port")
+def log_masked(spark, d):
+    """Records of some groups only: the others aren't in them."""
+    found = flowlog.decode_records(flowlog.encode_records(line_flows(spark, d), mask_of("SRCDST_PORT OCTETS")))
+    others = sum((F.count(c) for c in ("src_addr", "protocol", "flow_start", "packets", "crc32")), F.lit(0)).cast("long")
+    return _counted(found, others.alias("others")).withColumn("packets", F.coalesce("packets", F.lit(0)))
+
+
+# bytes by the published layouts: head 8 (old: 4), protocol and flags 4, address 4 or 16, ports 4, packets 8, octets 8, interfaces 8 (old: 4), systems 12 (old: 8), engine 12 (old: 8), checksum 4
+@query(f"SELECT flow_id % 4 = 0 AS six, flow_id % 3 = 0 AS more, CAST(8 + 4 + CASE WHEN flow_id % 4 = 0 THEN 32 ELSE 8 END + 4 + 16 + CASE WHEN flow_id % 3 = 0 THEN 32 ELSE 0 END + 4 AS INT) AS size, CAST(4 + 4 + CASE WHEN flow_id % 4 = 0 THEN 32 ELSE 8 END + 4 + 16 + CASE WHEN flow_id % 3 = 0 THEN 20 ELSE 0 END + 4 AS INT) AS old_size, count(*) AS flows FROM {_L} GROUP BY ALL")
+def log_lengths(spark, d):
+    flows = _some_v6(line_flows(spark, d)).drop("flow_start", "flow_finish").withColumn("tos", F.lit(0))
+    extra = ("if_index_in", "if_index_out", "src_as", "dst_as", "src_mask", "dst_mask", "engine_type", "engine_id", "flow_sequence", "source_id")
+    flows = flows.withColumns({c: F.when(F.col("flow_id") % 3 == 0, F.lit(1)) for c in extra})
+    new = flowlog.encode_records(flows, keep=("flow_id",), checksum=True).select("flow_id", F.length("record").alias("size"))
+    old = flowlog.encode_records(flows, keep=("flow_id",), checksum=True, old=True).select("flow_id", F.length("record").alias("old_size"))
+    kinds = [(F.col("flow_id") % 4 == 0).alias("six"), (F.col("flow_id") % 3 == 0).alias("more")]
+    sizes = new.groupBy(*kinds, "size").agg(F.count("*").alias("flows"))
+    return sizes.join(old.select(*kinds, "old_size").distinct(), ["six", "more"])
+
+
+def _logs(spark, d, old: bool) -> DataFrame:
+    """Flows as whole logs of at most 512 flows, and read again."""
+    flows = line_flows(spark, d).withColumn("log", F.floor(F.col("flow_id") / 512))
+    return flowlog.decode_logs(flowlog.log_of(flows, "log", old=old, checksum=True), old=old)
+
+
+@query(_PORTS)
+def log_whole_v2(spark, d):
+    """Whole logs of the old format, with their head."""
+    return _counted(_logs(spark, d, True))
+
+
+@query(f"SELECT log AS input_file, count(*) AS flows, count(*) - 1 AS last_index, least(count(*), 10) AS shown FROM (SELECT CAST(flow_id // 512 AS VARCHAR) AS log FROM {_L}) GROUP BY log")
+def log_row_index(spark, d):
+    """Numbers that the source gives to a log's records; the first ten of each are picked by them."""
+    found = _logs(spark, d, False)
+    head = exporters.head_of_each(found, 10, "input_file", "row_index").groupBy("input_file").agg(F.count("*").alias("shown"))
+    return found.groupBy("input_file").agg(F.count("*").alias("flows"), F.max("row_index").alias("last_index")).join(head, "input_file")
+
+
+_LOGGED = "src_addr dst_addr src_port dst_port protocol tcp_flags packets octets".split()
 
 
 @query(_PORTS)
 def log_files(spark, d):
     """Written as flow logs by the data source, and read again through the binary file source."""
     flowlog.register(spark)
-    folder = tempfile.mkdtemp(prefix="fluxlens-log-", dir="/tmp")
-    flows = line_flows(spark, d).select("src_addr", "dst_addr", "src_port", "dst_port", "protocol", F.lit(0).alias("tos"), "tcp_flags", "packets", "octets")
+    folder = new_folder(spark, "log").removeprefix("file:")
+    flows = line_flows(spark, d).select(*_LOGGED, F.lit(0).alias("tos"))
     flows.write.format("flowlog").mode("append").save(folder)
     return _counted(flowlog.read_log(spark, f"{folder}/*.flow"))
 
 
-def _packets(spark: SparkSession, d: str, version: int) -> DataFrame:
-    """Flows packed by exporter (eight of them) in packets of 24 flows."""
-    flows = line_flows(spark, d).withColumn("agent", F.col("flow_id") % 8)
-    columns = ["src_addr", "dst_addr", "src_port", "dst_port", "protocol", "tcp_flags", "packets", "octets", "flow_id"]
-    what = [(8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (6, 1), (2, 4), (1, 4)]
+@query(f"SELECT dst_port, count(*) AS flows, 0::BIGINT AS octets, CAST(sum(packets) AS BIGINT) AS packets, 0::BIGINT AS sums FROM {_L} GROUP BY dst_port")
+def log_files_fields(spark, d):
+    """The writer's options: some groups, no checksums; read by the data source in small splits."""
+    flowlog.register(spark)
+    folder = new_folder(spark, "log").removeprefix("file:")
+    flows = line_flows(spark, d).select(*_LOGGED)
+    flows.write.format("flowlog").options(fields="SRCDST_PORT PACKETS", crc="false").mode("append").save(folder)
+    found = spark.read.format("flowlog").option("splitbytes", "65536").load(folder)
+    return _counted(found.withColumn("octets", F.coalesce("octets", F.lit(0))), F.count("crc32").alias("sums"))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        agent = int(frame["agent"].iloc[0])
-        rows = frame.sort_values("flow_id").to_dict("records")
-        made = []
-        for i in range(0, len(rows), 24):
-            part = rows[i : i + 24]
-            body = packets.encode_v9(part, 256 + agent, what, 7, with_template=i == 0) if version == 9 else packets.encoder(version)(part)
-            made.append((pd.Timestamp(2024, 1, 1), bytes([10, 0, 0, agent]), i, body))
-        return pd.DataFrame(made, columns=packets.PACKET.names)
 
-    return flows.select("agent", *columns).groupBy("agent").applyInPandas(pack, packets.PACKET)
+@query(_PORTS)
+def stream_log(spark, d):
+    """A growing log as a stream: all of what is there, in the order in which it was written."""
+    flowlog.register(spark)
+    folder, folder2 = new_folder(spark, "log").removeprefix("file:"), new_folder(spark, "stream")
+    line_flows(spark, d).select(*_LOGGED).coalesce(1).write.format("flowlog").mode("append").save(folder)
+    log = spark.read.format("flowlog").load(folder).select("input_file").first()[0]
+    stream = spark.readStream.format("flowlog").options(streaming="true", maxbytes=str(16 << 20)).load(log)
+    out = stream.writeStream.format("parquet").option("path", f"{folder2}/out").option("checkpointLocation", f"{folder2}/checkpoint").start()
+    try:
+        out.processAllAvailable()
+    finally:
+        out.stop()
+    return _counted(spark.read.parquet(f"{folder2}/out"))
 
 
 for _v in (1, 5, 7):
-    query(_PORTS, f"netflow_v{_v}_decode")(lambda spark, d, v=_v: _counted(packets.decode_packets(_packets(spark, d, v))))
+    query(_PORTS, f"netflow_v{_v}_decode")(lambda spark, d, v=_v: _counted(packets.decode_packets(fixtures.fixed_packets(line_flows(spark, d), v))))
+
+
+def _v9(spark, d, **options) -> DataFrame:
+    return packets.decode_v9_packets(fixtures.v9_packets(line_flows(spark, d), **options))
 
 
 @query(_PORTS)
 def netflow_v9_decode(spark, d):
-    return _counted(packets.decode_v9_packets(_packets(spark, d, 9)))
+    return _counted(_v9(spark, d))
+
+
+@query(f"SELECT src_ip, dst_ip, src_port, dst_port, protocol, tcp_flags, CAST(packets AS BIGINT) AS packets, CAST(octets AS BIGINT) AS octets, 3 AS if_in, 4 AS if_out, 24 AS src_mask, 2 AS dst_as, 7 AS seq FROM {_L}")
+def netflow_v5_fields(spark, d):
+    """Each field of the decoded flows by itself."""
+    found = packets.decode_packets(fixtures.fixed_packets(line_flows(spark, d), 5))
+    return found.select(
+        addresses.ipv4_number(F.col("src_addr")).alias("src_ip"), addresses.ipv4_number(F.col("dst_addr")).alias("dst_ip"), "src_port", "dst_port",
+        F.col("protocol").cast("int"), F.col("tcp_flags").cast("int"), F.col("packets").cast("long"), F.col("octets").cast("long"),
+        F.col("if_index_in").cast("int").alias("if_in"), F.col("if_index_out").cast("int").alias("if_out"), F.col("src_mask").cast("int"),
+        F.col("dst_as").cast("int"), F.col("flow_sequence").cast("int").alias("seq"),
+    )
+
+
+@query(f"SELECT src_ip, dst_ip, CAST(packets AS BIGINT) AS packets, CAST(octets AS BIGINT) AS octets, flow_start AS uptime_first, flow_finish AS uptime_last, src_as, src_mask, engine FROM (SELECT *, flow_id % 70000 AS src_as, 25 AS src_mask, 9 AS engine FROM {_L})")
+def netflow_v9_fields(spark, d):
+    """More field types, some of them narrower or wider than usual; a type that isn't known is skipped."""
+    flows = line_flows(spark, d).withColumns({"src_as": F.col("flow_id") % 70000, "src_mask": F.lit(25), "engine": F.lit(9), "unknown": F.lit(77)})
+    fields = {"src_ip": (8, 4), "unknown": (200, 3), "dst_ip": (12, 4), "packets": (2, 8), "octets": (1, 3), "flow_start": (22, 4), "flow_finish": (21, 4),
+              "src_as": (16, 4), "src_mask": (9, 1), "engine": (38, 2)}
+    found = packets.decode_v9_packets(fixtures.v9_packets(flows, fields=fields))
+    return found.select(
+        addresses.ipv4_number(F.col("src_addr")).alias("src_ip"), addresses.ipv4_number(F.col("dst_addr")).alias("dst_ip"), F.col("packets").cast("long"),
+        F.col("octets").cast("long"), F.col("flow_start").alias("uptime_first"), F.col("flow_finish").alias("uptime_last"), "src_as",
+        F.col("src_mask").cast("int"), F.col("engine_type").cast("int").alias("engine"),
+    )
+
+
+@query(_PORTS)
+def netflow_v9_options(spark, d):
+    """Packets that begin with an options flowset and one of a reserved number, both of which are passed over."""
+    return _counted(_v9(spark, d, before="0001" + "000c" + "0100" + "0004" + "0004" + "0001" + "0005" + "0008" + "ffffffff"))
 
 
-@query(f"SELECT CAST(flow_id % 8 AS INT) AS agent, CAST(ceil(count(*) / 24.0) AS BIGINT) AS packets, count(*) AS flows, CAST(0 AS BIGINT) AS invalid, CAST(0 AS BIGINT) AS no_template FROM {_L} GROUP BY 1")
+@query(_PORTS + " HAVING FALSE")
+def netflow_v9_widths(spark, d):
+    """Each packet first announces a source address of three bytes: it is refused, and what follows in the packet with it."""
+    return _counted(_v9(spark, d, before=fixtures.template(301, [(8, 3), (1, 4)])))
+
+
+@query(f"SELECT dst_port, {_SUMS} FROM {_L} WHERE flow_id % 8 < 4 GROUP BY dst_port")
+def netflow_v9_families(spark, d):
+    """Flows between two families are left out: exporters from 4 on report an IPv6 destination next to an IPv4 source."""
+    flows = line_flows(spark, d).withColumn("dst_high", F.lit(0))
+    odd = {"src_ip": (8, 4), "dst_ip": (28, 16), **{k: v for k, v in fixtures.V9.items() if k not in ("src_ip", "dst_ip")}}
+    mixed = fixtures.v9_packets(flows.where("flow_id % 8 >= 4"), fields=odd)
+    return _counted(packets.decode_v9_packets(fixtures.v9_packets(flows.where("flow_id % 8 < 4")).unionByName(mixed)))
+
+
+@query(f"SELECT CAST(a AS INT) AS agent, CAST(sum(ceil(n / 24.0)) AS BIGINT) AS packets, CAST(sum(n) AS BIGINT) AS flows, CAST(0 AS BIGINT) AS invalid, CAST(sum(ceil(n / 24.0)) AS BIGINT) AS no_template FROM (SELECT flow_id % 8 AS a, count(*) AS n FROM {_L} GROUP BY flow_id % 8, flow_id // 192) GROUP BY a")
+def netflow_v9_evicted(spark, d):
+    """Nine templates are announced in each packet, one more than a source may have: data of the first is lost."""
+    many = "".join(fixtures.template(400 + i, [(1, 4)]) for i in range(8))
+    lost = "0190" + "0008" + "00000001"  # template 400, which the ninth pushed out
+    made = fixtures.v9_packets(line_flows(spark, d), before=many + fixtures.template(408, [(1, 4)]) + lost)
+    stats = exporters.peer_stats(packets.packet_facts(made), "agent_addr")
+    return stats.select(F.conv(F.hex(F.substring("agent_addr", 4, 1)), 16, 10).cast("int").alias("agent"), "packets", "flows", "invalid", "no_template")
+
+
+@query(f"SELECT CAST(a AS INT) AS agent, CAST(sum(ceil(n / 24.0)) AS BIGINT) AS packets, CAST(sum(n) AS BIGINT) AS flows, CAST(0 AS BIGINT) AS invalid, CAST(0 AS BIGINT) AS no_template FROM (SELECT flow_id % 8 AS a, count(*) AS n FROM {_L} GROUP BY flow_id % 8, flow_id // 192) GROUP BY a")
 def exporter_packets(spark, d):
-    stats = exporters.peer_stats(packets.packet_facts(_packets(spark, d, 9)), "agent_addr")
+    stats = exporters.peer_stats(packets.packet_facts(fixtures.v9_packets(line_flows(spark, d))), "agent_addr")
     return stats.select(F.conv(F.hex(F.substring("agent_addr", 4, 1)), 16, 10).cast("int").alias("agent"), "packets", "flows", "invalid", "no_template")
 
 
+@query(f"SELECT dst_port, {_SUMS} FROM {_L} WHERE flow_id % 8 BETWEEN 2 AND 3 AND protocol <> 47 GROUP BY dst_port")
+def stream_v9(spark, d):
+    """A stream of packets from admitted exporters through decoder and policy, templates kept as state."""
+    from ..streaming.rollup import decode_stream, packets_from
+
+    folder = new_folder(spark, "packets")
+    fixtures.v9_packets(line_flows(spark, d)).write.parquet(f"{folder}/in")
+    flows = decode_stream(packets_from(spark, f"{folder}/in"), parse("flow source 10.0.0.2/31\ndiscard proto gre"))
+    out = flows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return _counted(spark.read.parquet(f"{folder}/out"))
+
+
 @query(_ROLL)
 def stream_rrd_5min(spark, d):
     """The five-minute roll-up as a stream over the files of the table, all that is there."""
     from ..streaming.rollup import rollup_stream, run_once
 
     source = spark.read.parquet(f"{d}/events.parquet")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     raw = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")
     flows = spark.sql(EVENTS.replace("FROM events", "FROM {t}"), t=raw)
-    name = f"roll_{abs(hash((d, id(spark))))}"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    running = run_once(rollup_stream(flows), name, tempfile.mkdtemp(prefix="fluxlens-stream-"), "complete")
+    folder = new_folder(spark, "stream")
+    name = "roll_" + folder[-32:]
+    running = run_once(rollup_stream(flows), name, folder, "complete")
     running.awaitTermination()
+    # zone-less times went in as times of the session's zone, and come back so
     return spark.table(name).withColumn("bin_start", F.col("bin_start").cast("timestamp_ntz"))
-
-
