@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,11 +51,9 @@ _SIDE = re.compile(
 )
 #: The same for article elements.
 _NO_ARTICLE = re.compile(r"comment|reply|replies|respond|related|promo|advert|sponsor|teaser")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>)",
-    re.S,
-)
+#: Name and attributes of a tag, up to its end.  Neither goes beyond the next ``<``, so no character is tried often.
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\bhidden\b")
 _SPACE = re.compile(r"\s+")
 
@@ -78,18 +77,75 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or "hidden").lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role", "data-role", "aria-label") and marks.search(value):
+        if name == "class" and inside:  # one word among others says nothing against text within an article
+            if (words := value.split()) and all(map(marks.search, words)):
+                return True
+        elif name in ("class", "id", "role", "data-role", "aria-label") and marks.search(value):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, text, rest) of the page in order: ``text``; ``start`` and ``end`` tags, with name and attributes.
+
+    Comments and declarations are left out, and what elements of raw text hold.  A ``<`` that begins none of
+    these, or that no ``>`` follows, is text.  Each character is gone through a few times at most.
+    """
+    at = seen = 0
+    last = page.rfind(">")
+    while (i := page.find("<", at)) >= 0:
+        if i > last and not page.startswith("<!--", i):
+            break  # no tag ends behind this place
+        stop = None
+        if page.startswith("<!--", i):
+            stop = page.find("-->", i + 4) + 3
+            stop = len(page) if stop < 3 else stop
+        elif page.startswith("<![CDATA[", i):
+            stop = page.find("]]>", i)
+            inner = page[i + 9 : len(page) if stop < 0 else stop]
+            stop = len(page) if stop < 0 else stop + 3
+            yield "text", page[seen:i] + entities.escape(inner), ""
+            at = seen = stop
+            continue
+        elif page.startswith(("<!", "<?"), i):
+            stop = page.find(">", i) + 1
+        elif m := _NAME.match(page, i):
+            whole = _REST.match(page, m.end())
+            stop = whole.end() if whole else page.find(">", m.end()) + 1
+            if seen < i:
+                yield "text", page[seen:i], ""
+            name = m[1].lower()
+            closing = page[i + 1] == "/"
+            yield "end" if closing else "start", name, page[m.end() : stop - 1]
+            at = seen = stop
+            if name in _RAW and not closing:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                close = page.find(">", end.end()) + 1 if end else 0
+                if name in _DROPPED:
+                    at = seen = close or len(page)
+                    yield "end", name, ""
+                elif not close:
+                    at = seen = len(page)
+            continue
+        if stop is None:
+            at = i + 1
+            continue
+        if seen < i:
+            yield "text", page[seen:i], ""
+        at = seen = stop
+    if seen < len(page):
+        yield "text", page[seen:], ""
+
+
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, markup stripped.  Everything before an unclosed tag's end counts."""
+    """The page's blocks in order, markup stripped."""
     out: list[Line] = []
     parts: list[str] = []
     open_tags: list[tuple[str, bool]] = []  # (element, it holds no article text)
+    places: dict[str, list[int]] = {}  # of the open elements of each name
+    blocks: list[int] = []  # places of open block elements
     dropped = inside = links = linked = 0
 
     def end_block() -> None:
@@ -104,48 +160,35 @@ def lines_of(page: str) -> list[Line]:
         nonlocal dropped, inside, links
         while len(open_tags) > at:
             tag, side = open_tags.pop()
+            places[tag].pop()
+            if tag in _BLOCKS:
+                blocks.pop()
             dropped -= side
             inside -= tag in ("article", "main")
             links -= tag == "a"
 
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not dropped:
-            parts.append(text)
-            linked += len(text) if links else 0
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not dropped:
-                parts.append(entities.escape(m[0][9:].removesuffix("]]>")))
+    for kind, tag, rest in tokens(page):
+        if kind == "text":
+            if not dropped:
+                parts.append(tag)
+                linked += len(tag) if links else 0
             continue
-        tag = m[2].lower()
         if tag in _BLOCKS:
             end_block()
-        if m[1]:
-            places = [i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag]
-            if places:
-                close(places[0])
+        if kind == "end":
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if open_tags and tag in _CLOSES.get(open_tags[-1][0], ()):
             close(len(open_tags) - 1)
-        elif tag in _BLOCKS and tag != "br":  # ends an open paragraph, with the inline elements left open in it
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] in _BLOCKS:
-                    if open_tags[i][0] == "p":
-                        close(i)
-                    break
-        if tag in _VOID or m[3].endswith("/>") and tag not in _BLOCKS and tag not in _RAW:
+        elif tag in _BLOCKS and tag != "br" and blocks and open_tags[blocks[-1]][0] == "p":
+            close(blocks[-1])  # ends an open paragraph, with the inline elements left open in it
+        if tag in _VOID or rest.endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
-        side = _aside(tag, m[3].rstrip("/>"), inside > 0)
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if tag in _DROPPED or not end:
-                at = end.end() if end else len(page)
-                continue
+        side = _aside(tag, rest, inside > 0)
+        places.setdefault(tag, []).append(len(open_tags))
+        if tag in _BLOCKS:
+            blocks.append(len(open_tags))
         open_tags.append((tag, side))
         dropped += side
         inside += tag in ("article", "main")
@@ -154,39 +197,45 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
+def weights(lines: list[Line], surge: int = SURGE) -> np.ndarray:
+    """Weight of each line in the distribution: its characters outside links.
+
+    Where a page marks its article, that shifts the weights: a line inside weighs a surge more, so that an article of
+    a few short lines surges as well, and one outside weighs nothing.
+    """
+    own = np.array([max(0, len(x.text) - x.linked) for x in lines], np.int64)
+    inside = np.array([x.inside for x in lines], bool)
+    return np.where(inside, own + surge, 0) if inside.any() else own
+
+
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
     """Which lines belong to the main text.
 
-    The text length of each line, without linked characters, is summed over windows of ``window``
-    lines.  Where a window's sum rises to ``surge`` or more, text surges; where it falls to zero, text
-    dives; the lines between are kept.  If the page marks an article, that mark stands for the surge
-    and the dive, since an article may be shorter than any threshold: lines inside are kept.
+    The weight of each line is summed over windows of ``window`` lines.  Where a window's sum rises to
+    ``surge`` or more, text surges; where it falls to zero, text dives; all lines between are kept.
     """
-    if any(x.inside for x in lines):
-        return np.array([x.inside for x in lines], bool)
-    own = np.array([max(0, len(x.text) - x.linked) for x in lines], np.int64)
     kept = np.zeros(len(lines), bool)
-    if not len(own):
+    if not len(lines):
         return kept
+    own = weights(lines, surge)
     total = np.r_[0, np.cumsum(own)]
     sums = total[np.minimum(np.arange(len(own)) + window, len(own))] - total[:-1]
     if sums.max() < surge:  # a page with little text: the place where it is densest
         surge = int(sums.max())
         if not surge:
             return kept
-    i = 0
-    while i < len(own):
-        if sums[i] >= surge:
-            start = i
-            while start < len(own) and not own[start]:
-                start += 1
-            stop = start
-            while stop < len(own) and sums[stop]:
-                stop += 1
-            kept[start:stop] = True
-            i = max(stop, i + 1)
-        else:
-            i += 1
+    some = np.flatnonzero(own)
+    empty = np.flatnonzero(sums == 0)
+    high = np.flatnonzero(sums >= surge)
+    at = 0
+    while (k := int(np.searchsorted(high, at))) < len(high):
+        start = int(some[np.searchsorted(some, high[k])])
+        dive = int(np.searchsorted(empty, start))
+        stop = int(empty[dive]) if dive < len(empty) else len(own)
+        kept[start:stop] = True
+        at = stop
+    if any(x.inside for x in lines):  # lines that the windows bridge outside the mark weigh nothing
+        kept &= np.array([x.inside for x in lines], bool)
     return kept
 
 
