@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,25 +12,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import fresh, map_texts, materialise, slices
 
-#: Size of the model, which bounds what is broadcast: words and n-grams of each order for a language.
-#: Every document is counted; rarer words take the way of unseen words.
-WORDS, GRAMS, LONGEST = 20_000, 10_000, 4
+#: Size of the model, which bounds what is broadcast: so many of the most frequent words and n-grams of each order for
+#: a language, or GROWTH times the root of its distinct ones, if that is more.  Every document is counted; rarer words
+#: take the way of unseen words.
+WORDS, GRAMS, LONGEST, GROWTH = 20_000, 10_000, 4, 8
+#: Languages at most; more than these is an error, since a model of that many values of ``lang`` has no bound.
+LANGUAGES = 256
 #: What an unseen word counts, in occurrences over the text of all languages.
 ALPHA = 0.5
-#: Parts in which the most frequent ones of a language are looked for.
-SPREAD = 16
+#: Classes of counts for each doubling, by which the most frequent entries are found.
+STEPS = 16
 #: Distinct entries that a task counts before it passes them on.
 HELD = 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+def _marks() -> str:
+    """All combining marks, as ranges of a character class."""
+    points = [i for i in range(0x20000) if unicodedata.category(chr(i))[0] == "M"]
+    edges = [0, *(k for k in range(1, len(points)) if points[k] != points[k - 1] + 1), len(points)]
+    return "".join(f"{re.escape(chr(points[a]))}-{re.escape(chr(points[b - 1]))}" for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 
 
 def letters_of(text: bytes | None) -> list[str]:
-    """Lower-cased runs of letters; none if there is no letter."""
+    """Lower-cased runs of letters with their combining marks; none if there is no letter."""
     words = _WORD.findall(text.decode().lower()) if text else []
     return words if any(c.isalpha() for w in words for c in w) else []
 
@@ -153,24 +163,48 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def listed(counts: DataFrame) -> DataFrame:
+    """(n, gram) of the most frequent entries of any language.
+
+    Entries are classed by their hits, STEPS classes for each doubling; a language lists the highest classes that
+    together fit its model, the highest one always.  Only the sizes of the classes are gathered, and no entries
+    are ranked, so no task gets a language's entries.
+    """
+    level = F.floor(F.log2(F.col("hits").cast("double")) * STEPS).cast("int")
+    sizes = counts.groupBy("lang", "n", level.alias("level")).agg(F.count("*").alias("m")).collect()
+    classes: dict[tuple[str, int], dict[int, int]] = {}
+    for r in sizes:
+        classes.setdefault((r["lang"], r["n"]), {})[r["level"]] = r["m"]
+    if len({lang for lang, _ in classes}) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    cut: list[tuple[str, int, int]] = []
+    for (lang, n), mine in classes.items():
+        most = max(GRAMS if n else WORDS, int(GROWTH * sum(mine.values()) ** 0.5))
+        held, lowest = 0, max(mine)
+        for k in sorted(mine, reverse=True):
+            held += mine[k]
+            if held > most and k != max(mine):
+                break
+            lowest = k
+        cut.append((lang, n, lowest))
+    cuts = counts.sparkSession.createDataFrame(cut, "lang string, n int, lowest int")  # a row for each language and order
+    return counts.join(F.broadcast(cuts), ["lang", "n"]).where(level >= F.col("lowest")).select("n", "gram").distinct()
+
+
 def fit(docs: DataFrame) -> LanguageModel:
     """Model of all texts of ``docs`` with a language.
 
-    Counts cover every row.  What comes to the driver is the ``WORDS`` most frequent words and the
-    ``GRAMS`` most frequent n-grams of each order for each language (ties: by text), and totals.
+    Counts cover every row.  What comes to the driver is the entries of :func:`listed`, each with its
+    hits in every language, and totals.
     """
     words = materialise(word_counts(docs))
     both = words.unionByName(materialise(gram_counts(words)))
-    totals = both.groupBy("lang", "n").agg(F.sum("hits").alias("hits"))
-    most = F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)
-    # a language's words are first ranked in parts, so that the task of a language gets SPREAD * WORDS rows at most
-    for part in (["part"], []):
-        by = Window.partitionBy("lang", "n", *part).orderBy(F.desc("hits"), "gram")
-        both = both.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(SPREAD)))
-        both = both.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most)
-    top = both
-    rows = [tuple(r) for r in top.select("lang", "n", "gram", "hits").collect()]
-    return LanguageModel(rows, {(r["lang"], r["n"]): r["hits"] for r in totals.collect()})
+    totals = both.groupBy("lang", "n").agg(F.sum("hits").alias("hits")).collect()
+    if not totals:
+        return LanguageModel([], {})
+    chosen = both.join(F.broadcast(listed(both)), ["n", "gram"])  # as many as the models have entries
+    rows = [tuple(r) for r in chosen.select("lang", "n", "gram", "hits").collect()]
+    return LanguageModel(rows, {(r["lang"], r["n"]): r["hits"] for r in totals})
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...]) -> tuple[DataFrame, str]:
