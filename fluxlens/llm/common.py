@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import shared_folder
+
 #: Texts are handled in slices of about so many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
 
@@ -27,21 +28,16 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint.
-
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (as in tests)
-    a temporary one is made.
-    """
+    """``df`` cut from its lineage by a reliable checkpoint in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fluxlens-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """Path of a folder that driver and executors share: in ``spark.checkpoint.dir``, else in a temporary one."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fluxlens-')).rstrip('/')}/{name}"
+    """Path of a folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}"
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

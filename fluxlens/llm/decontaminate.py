@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_texts, words_of
+from .common import fresh, map_texts, materialise, words_of
 
 #: So many windows of benchmark items are searched in one go; more are searched in further passes, so
 #: that what is broadcast has a bound whatever the benchmark's size.
@@ -21,9 +21,9 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 class WuManber:
     """Patterns (tuples of word ids from 1) of one length: shift table, suffix buckets, comparison."""
 
-    def __init__(self, length: int, patterns: dict[tuple[int, ...], list[int]]):
+    def __init__(self, length: int, patterns: dict[tuple[int, ...], list[str]]):
         self.length, self.block = length, min(2, length)
-        self.buckets: dict[int, list[tuple[tuple[int, ...], list[int]]]] = {}
+        self.buckets: dict[int, list[tuple[tuple[int, ...], list[str]]]] = {}
         farthest = length - self.block + 1
         self.shift = np.full(TABLE, farthest, np.int16)
         for pattern, items in patterns.items():
@@ -40,7 +40,7 @@ class WuManber:
             code[1:] += ids[:-1] * 2654435761
         return (code ^ (code >> 15)) % TABLE
 
-    def search(self, ids: np.ndarray) -> Iterable[tuple[int, list[int]]]:
+    def search(self, ids: np.ndarray) -> Iterable[tuple[int, list[str]]]:
         """(start, items) of each occurrence in ``ids``; words outside every pattern have id 0."""
         m = self.length
         if len(ids) < m:
@@ -64,9 +64,9 @@ class WuManber:
 
 
 class Searcher:
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.words: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        by_length: dict[int, dict[tuple[int, ...], list[str]]] = {}
         for item, words in items:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
             size = min(window, len(ids))
@@ -76,7 +76,7 @@ class Searcher:
                     owners.append(item)
         self.tables = [WuManber(n, patterns) for n, patterns in sorted(by_length.items())]
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Maximal spans of hit words, and the items with an occurring window."""
         if not words or not self.tables:
             return [], set()
@@ -98,14 +98,14 @@ class Searcher:
         return spans, items
 
 
-def _passes(benchmark: DataFrame, window: int, most: int) -> Iterable[list[tuple[int, list[bytes]]]]:
+def _passes(benchmark: DataFrame, window: int, most: int) -> Iterable[list[tuple[str, list[bytes]]]]:
     """The benchmark's items, streamed to the driver, in groups with at most ``most`` windows.
 
     An item with more windows than that is split into overlapping parts.
     """
-    group: list[tuple[int, list[bytes]]] = []
+    group: list[tuple[str, list[bytes]]] = []
     held = 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     for item, text in rows.where("item_id is not null and text is not null").toLocalIterator():
         words = words_of(text.encode())
         for at in range(0, max(1, len(words) - window + 1), most):
@@ -132,8 +132,9 @@ def search_benchmark(
     """Columns ``keep`` of ``docs`` (all if None) and a struct (n_words, spans, items); its name.
 
     A window is ``window`` consecutive words of an item, or a shorter item's whole words.  spans are
-    the maximal runs of document words inside any occurrence, items the sorted item_ids.
-    One narrow pass for every ``most_windows`` windows of the benchmark; documents are never shuffled.
+    the maximal runs of document words inside any occurrence, items the item_ids as text, sorted so.
+    One narrow pass for every ``most_windows`` windows of the benchmark, each over what the one before has written (a
+    checkpoint), so a worker holds the windows of one pass; documents are never shuffled.
     Null texts and texts without words have no hits; items without words or without an id never occur;
     items of equal words both count; repeated document rows each get their own result.
     """
@@ -143,13 +144,15 @@ def search_benchmark(
         [
             T.StructField("n_words", T.LongType()),
             T.StructField("spans", SPANS),
-            T.StructField("items", T.ArrayType(T.LongType())),
+            T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
     found: list[str] = []
     out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, "text"))])
     sc = docs.sparkSession.sparkContext
     for group in _passes(benchmark, window, most_windows) if docs.columns else []:
+        if found:
+            out = materialise(out)
         shared = sc.broadcast((group, window))
         cache: dict[str, Searcher] = {}
 
@@ -201,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out, f = search_benchmark(docs, benchmark, window, keep=("doc_id",))
     hit = F.aggregate(F.col(f)["spans"], F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    items = F.array_join(F.array_sort(F.transform(F.col(f)["items"], lambda x: x.cast("string"))), ",")
+    items = F.array_join(F.col(f)["items"], ",")
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(f)["n_words"].alias("n_words"),

@@ -1,9 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
+import time
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from fluxlens.llm import html, lm, mixing, repeats
+from fluxlens.llm import decontaminate, html, language, lm, mixing, repeats
 from fluxlens.llm.common import words_of
 
 # language model
@@ -124,3 +128,114 @@ def test_text_dives_where_the_window_is_empty():
     lines = [line(4), line(9, 9), line(0), line(0), line(100), line(20, 20), line(30), line(0), line(0), line(0), line(8)]
     assert html.main_lines(lines).tolist() == [False] * 4 + [True] * 3 + [False] * 4
     assert html.main_text(f"<p>{'x' * 100}</p><p><a href=/>all linked</a></p><p>short end</p>".encode()).endswith("all linked short end")
+
+
+def test_windows_by_hand():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(0, 30))
+        lines = [html.Line("x" * int(rng.choice([0, 3, 40, 90])), bool(rng.random() < 0.3) and n % 2 == 0, 0) for _ in range(n)]
+        marked = any(x.inside for x in lines)
+        weight = [(len(x.text) + html.SURGE) * x.inside if marked else len(x.text) for x in lines]
+        sums = [sum(weight[i : i + html.WINDOW]) for i in range(n)]
+        surge = min(html.SURGE, max(sums, default=0))
+        want, inside = [], False
+        for i in range(n):
+            if inside and not sums[i]:
+                inside = False
+            if not inside and surge and any(sums[j] >= surge and all(not w for w in weight[j:i]) for j in range(max(0, i - html.WINDOW + 1), i + 1)) and weight[i]:
+                inside = True
+            want.append(inside and (lines[i].inside or not marked))
+        assert html.main_lines(lines).tolist() == want
+
+
+def test_malformed_pages_take_linear_time():
+    began = time.time()
+    for bad in ("<a" * 500_000, '<x ">" ' * 50_000, "</script " * 50_000, "<b>" * 50_000 + "<p>" * 1000, "<div>" * 50_000 + "</p>" * 50_000, "<!--" * 99_999):
+        html.main_text(bad.encode())
+    assert time.time() - began < 10
+
+
+def test_one_class_word_drops_no_text_of_the_article():
+    page = '<article><div class="two side"><p>one</p></div><div class="post tags"><p>two</p></div><div class="ad">no</div><p>three</p></article>'
+    assert html.main_text(page.encode()) == "one two three"
+
+
+# language
+
+
+def test_predictions_by_hand(spark):
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), int(rng.integers(1, 6))))
+    rows = [(i, " ".join(word("abcde" if i % 2 else "cdefgé") for _ in range(12)), "xy"[i % 2]) for i in range(60)] + [(90, "किताब की", "hi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    known = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({x for _, x in known})
+    counts = {(x, n): {} for x in langs for n in range(5)}
+    for t, x in known:
+        for w in language.letters_of(t.encode()):
+            for n in range(5):
+                for g in [w] if n == 0 else language.grams_of(w, n):
+                    counts[x, n][g] = counts[x, n].get(g, 0) + 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+
+    def chance(x, n, g):
+        return np.log(counts[x, n].get(g, 0) / max(1, total[x, n]) + language.ALPHA / max(1, sum(total[y, n] for y in langs)))
+
+    for i, t, _ in rows:
+        sums = {x: 0.0 for x in langs}
+        for w in language.letters_of(t.encode()):
+            use = [(0, w)]
+            if not any(w in counts[x, 0] for x in langs):
+                use = next(([(n, g) for g in language.grams_of(w, n) if any(g in counts[x, n] for x in langs)] for n in (4, 3, 2, 1)
+                            if any(g in counts[x, n] for x in langs for g in language.grams_of(w, n))), [])
+            for x in langs:
+                sums[x] += sum(chance(x, n, g) for n, g in use) / max(1, len(use))
+        best = max(langs, key=lambda x: sums[x])
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(np.exp(s - sums[best]) for s in sums.values())) < 1e-6
+    assert language.letters_of("किताब की".encode()) == ["किताब", "की"]
+
+
+def test_entries_are_listed_with_all_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 3)
+    monkeypatch.setattr(language, "GROWTH", 0)
+    counts = [("x", 0, f"w{i}", 100 - 10 * i) for i in range(8)] + [("y", 0, "w7", 50), ("y", 0, "v", 1)]
+    df = spark.createDataFrame(counts, "lang string, n int, gram string, hits long")
+    chosen = {r["gram"] for r in language.listed(df).collect()}
+    assert {"w0", "w1", "w2", "w7"} <= chosen and "w5" not in chosen
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language.listed(df)
+
+
+# mixing
+
+
+def test_totals_meet_the_targets(spark):
+    rng = np.random.default_rng(13)
+    n, p = rng.integers(50, 800, 2000).astype(float), rng.dirichlet([1, 0.6, 0.3], 2000)
+    df = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n double, p array<double>").cache()
+    goal = np.array([0.55, 0.3, 0.15]) * n.sum()
+    r = np.array([x[0] for x in df.select(mixing.rate(F.col("p"), mixing.solve_rates(df, F.col("n"), F.col("p"), goal.tolist()))).collect()])
+    assert (r >= 0).all() and np.abs((r * n) @ p - goal).max() < 1e-3 * goal.sum()
+
+
+# language model
+
+
+def test_partitions_make_no_difference(spark):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 500)) for i in range(200)], "doc_id long, text string")
+    got = [{r["doc_id"]: r["pll"] for r in lm.pseudo_likelihood(docs.repartition(k)).collect()} for k in (1, 7)]
+    assert max(abs(got[0][i] - got[1][i]) for i in got[0]) < 1e-2
+
+
+# decontamination
+
+
+def test_item_ids_are_text(spark):
+    docs = spark.createDataFrame([(1, "x one two three y")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b-1", "one two"), ("a", "three")], "item_id string, text string")
+    out, c = decontaminate.search_benchmark(docs, bench, keep=("doc_id",), most_windows=1)
+    assert out.first()[c]["items"] == ["a", "b-1"] and "MapInArrow" in out._jdf.queryExecution().toString()
