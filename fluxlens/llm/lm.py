@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,25 @@ _SYMBOL = np.zeros(256, np.int32)
 _SYMBOL[[*range(48, 58), *range(97, 123), *range(128, 256)]] = np.arange(1, SYMBOLS)
 
 
+#: Rows of a matrix product: more would wake a second BLAS thread, which only waits beside the task's own.
+_ROWS = 256
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
+    for i in range(0, len(a), _ROWS):
+        np.matmul(a[i : i + _ROWS], b, out=out[i : i + _ROWS])
+    return out
+
+
+def _moment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b"""
+    out = np.zeros((a.shape[1], b.shape[1]), np.result_type(a, b))
+    for i in range(0, len(a), _ROWS):
+        out += a[i : i + _ROWS].T @ b[i : i + _ROWS]
+    return out
+
+
 class Network:
     """hidden = tanh(sum of the neighbours' vectors by place); a softmax for each digit of the word on top.
 
@@ -63,6 +83,8 @@ class Network:
         self.flat = flat
         self.near, *layers = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.shapes, strict=True))
         self.layers = list(zip(layers[::2], layers[1::2], strict=True))
+        #: ln P of the digits in nodes without weights, once it is asked for.
+        self.fixed: dict[int, np.ndarray] = {}
         self.group_w, self.group_b = self.layers[0][0][0], self.layers[0][1][0]
         self.word_w, self.word_b = self.layers[1]
 
@@ -89,7 +111,7 @@ class Network:
         """(node, rows, outputs) of digit ``k``: the rows of each node with weights, and those of all others together."""
         w, b = self.layers[k]
         if len(b) == 1:
-            yield 0, slice(None), h @ w[0] + b[0]
+            yield 0, slice(None), _product(h, w[0]) + b[0]
             return
         node = target // self.steps[k]
         order = np.argsort(node, kind="stable")
@@ -97,7 +119,7 @@ class Network:
         for at in range(len(w)):
             if edges[at] < edges[at + 1]:
                 rows = order[edges[at] : edges[at + 1]]
-                yield at, rows, h[rows] @ w[at] + b[at]
+                yield at, rows, _product(h[rows], w[at]) + b[at]
         rows = order[edges[-1] :]
         if len(rows) and all_nodes:
             yield node[rows], rows, b[node[rows]]
@@ -108,7 +130,13 @@ class Network:
         out = np.zeros(len(h))
         for k, step in enumerate(self.steps if len(h) else ()):
             digit = target % step // (step // GROUP)
-            for _, rows, x in self._digit(k, h, target):
+            w, b = self.layers[k]
+            if len(w) < len(b):  # nodes without weights give each word the same chance everywhere
+                rows = np.flatnonzero(target >= len(w) * step)
+                if k not in self.fixed:
+                    self.fixed[k] = self.log_softmax(b)
+                out[rows] += self.fixed[k][target[rows] // step, digit[rows]]
+            for _, rows, x in self._digit(k, h, target, False):
                 most = x.max(1)
                 out[rows] += x[np.arange(len(x)), digit[rows]] - most - np.log(np.exp(x - most[:, None]).sum(1))
         return out
@@ -132,8 +160,8 @@ class Network:
                 q /= q.sum(1, keepdims=True)
                 q[np.arange(len(q)), digit[rows]] -= 1
                 if isinstance(node, int):
-                    back[rows] += q @ w[node].T
-                    slope_w[node], slope_b[node] = h[rows].T @ q / n, q.sum(0) / n
+                    back[rows] += _product(q, w[node].T)
+                    slope_w[node], slope_b[node] = _moment(h[rows], q) / n, q.sum(0) / n
                 else:  # sorted by node
                     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
                     found.append((b, node[starts], np.add.reduceat(q, starts, axis=0) / n))
@@ -168,6 +196,8 @@ class Vocabulary(dict):
         self.codes = np.zeros(0, np.int64) if codes is None else codes
         self.counts = np.zeros(0, np.int64) if counts is None else counts
         self.hits = np.zeros(0, np.int64) if hits is None else hits
+        #: Numbers from this one on are first bytes of spelled words.
+        self.first_spelled = 2 + sum(not w.startswith(b" ") for w in self)
 
     def __missing__(self, word: bytes) -> int:
         return self.get(b" " + word[:1], 1)
@@ -405,22 +435,23 @@ def score(docs: DataFrame, places: Vocabulary, flat: np.ndarray, keep: tuple[str
     """Columns ``keep``, n_tokens and pll, the summed ln P of every word (spelled ones: with their spelling) given both sides."""
     shared = docs.sparkSession.sparkContext.broadcast((flat, places))
 
-    made: list[Spelling] = []
+    made: list[tuple[Network, Spelling]] = []
 
     def work(texts):
         weights, known = shared.value
+        if not made:
+            made.append((Network(weights, size=size_of(known)), Spelling(known.codes, known.counts)))
+        net, spelling = made[0]
         ids, at, owner, split = numbered(texts, known)
-        net = Network(weights, size=size_of(known))
+        target = ids[at]
         lp = np.zeros(len(at))
         for i in range(0, len(at), 1 << 15):
-            part = at[i : i + (1 << 15)]
-            lp[i : i + (1 << 15)] = net.log_probabilities(neighbours(ids, part), ids[part])
-        words = [w for words in split for w in words]
-        rare = [i for i, w in enumerate(words) if w not in known]
-        if rare:
-            if not made:
-                made.append(Spelling(getattr(known, "codes", np.zeros(0, np.int64)), getattr(known, "counts", np.zeros(0))))
-            lp[rare] += made[0]([words[i] for i in rare])
+            part = slice(i, i + (1 << 15))
+            lp[part] = net.log_probabilities(neighbours(ids, at[part]), target[part])
+        rare = np.flatnonzero((target >= known.first_spelled) | (target == 1))
+        if len(rare):
+            words = list(chain.from_iterable(split))
+            lp[rare] += spelling([words[i] for i in rare.tolist()])
         return [np.bincount(owner, minlength=len(texts)), np.bincount(owner, lp, minlength=len(texts))]
 
     return map_texts(docs, work, [("n_tokens", T.LongType()), ("pll", T.DoubleType())], keep, most=1 << 19)
