@@ -21,6 +21,10 @@ _ODD = 0x5555555555555555
 _SMALL_CELL = 48
 
 
+#: Fingerprints by which near copies are sought: one alone links few of the pairs at a similarity of 0.8.
+MANY = 8
+
+
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """64-bit SimHash over the XXH64 (seed 42) of every ``words``-word shingle, repeats included.
 
@@ -28,22 +32,35 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     shingle; without words (or null) the fingerprint is zero.  A bit is set if it is set in over
     half of the hashes.
     """
+    return fingerprints_of(text, words, 1)[0]
+
+
+def fingerprints_of(text: bytes | None, words: int, many: int) -> list[int]:
+    """``many`` fingerprints: the first as described above, each other one from the same hashes, mixed with its number."""
     parts = text.lower().split() if text else []
     if not parts:
-        return 0
+        return [0] * many
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     stops = np.cumsum(lengths + 1) - 1
     starts = stops - lengths
     w = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((many, 64), np.int64)
     total = len(parts) - w + 1
     for at in range(0, total, 1 << 15):
         a, b = starts[at : min(at + (1 << 15), total)].tolist(), stops[at + w - 1 : at + w - 1 + (1 << 15)].tolist()
-        hashes = np.array([digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big", signed=True)
+        hashes = np.array([digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)], np.uint64)
+        for k in range(many):
+            mixed = hashes
+            if k:
+                mixed = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+                mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+                mixed ^= mixed >> np.uint64(33)
+            bits = np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64)
+            for i in range(0, len(bits), 255):  # a byte holds the count of so many
+                ones[k] += bits[i : i + 255].sum(0, dtype=np.uint8)
+    return [int.from_bytes(np.packbits(x * 2 > total).tobytes(), "big", signed=True) for x in ones]
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
@@ -112,29 +129,62 @@ def links(points: DataFrame) -> DataFrame:
     Their connected components are those of all such pairs; within a crowded cell only a spanning
     forest is returned, never all pairs.  ``points`` must hold each fingerprint once.
     """
-    cells = points.select("fp", F.explode(_grid(F.col("fp"))).alias("cell")).where("cell is not null")
+    return links_by_kind(points.select(F.lit(0).alias("kind"), "fp")).select("a", "b")
+
+
+def links_by_kind(points: DataFrame) -> DataFrame:
+    """(kind, a, b): :func:`links` among the fingerprints of each kind, a small number; ``points`` are (kind, fp)."""
+    cells = points.select("fp", F.explode(_grid(F.col("fp"))).alias("cell"), "kind").where("cell is not null")
+    cells = cells.select("fp", (F.col("cell") + F.shiftleft(F.col("kind").cast("long"), 34)).alias("cell"))
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def found(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(key) > 1:
-                for a, b in _pairs(key, fp):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def found(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = np.searchsorted(key >> 34, np.arange((int(key[-1]) >> 34) + 2))
+            for kind in np.unique(key >> 34).tolist():
+                i, j = starts[kind], starts[kind + 1]
+                for a, b in _pairs(key[i:j], fp[i:j]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
+        held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held_fp = np.r_[held_fp, batch.column(0).to_numpy().view(np.uint64)]
-            held_key = np.r_[held_key, batch.column(1).to_numpy()]
-            cut = int(np.searchsorted(held_key, held_key[-1]))  # the last cell may go on
-            if cut >= 1 << 16:
-                yield from found(held_key[:cut], held_fp[:cut])
-                held_key, held_fp = held_key[cut:], held_fp[cut:]
-        yield from found(held_key, held_fp)
-
-    return dealt.mapInArrow(run, "a long, b long")
+            fp, key = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last cell may go on
+            if cut and held + cut >= 1 << 16:
+                yield from found([*waiting, (key[:cut], fp[:cut])])
+                waiting, held, fp, key = [], 0, fp[cut:], key[cut:]
+            waiting.append((key, fp))
+            held += len(key)
+        if waiting:
+            yield from found(waiting)
+
+    return dealt.mapInArrow(run, "kind int, a long, b long")
+
+
+def near_copies(docs: DataFrame, key: str, words: int = 3, many: int = MANY) -> DataFrame:
+    """(key, root) of the texts that have a near copy among ``docs``: the smallest key that links lead to.
+
+    ``key`` is a column of longs that tells texts apart.  Two texts are linked if any of their ``many`` fingerprints
+    are within DISTANCE bits.  A pair whose word shingles are shared to 0.8 or more mostly differs in 4 to 12 bits
+    of a fingerprint, and has a fair chance of 3 or fewer in each.  Equal fingerprints are one point of
+    the grid, and each text with one is linked to the smallest of them, so copies are never expanded into pairs.
+    Null and empty texts are linked to each other.
+    """
+    kind = T.ArrayType(T.LongType())
+    texts = docs.groupBy(key).agg(F.first("text").alias("text"))
+    marked = map_texts(texts, lambda rows: [[fingerprints_of(t, words, many) for t in rows]], [("fps", kind)], (key,))
+    each = materialise(marked.select(F.col(f"`{key}`").alias("key"), F.posexplode("fps").alias("kind", "fp")))
+    points = materialise(each.groupBy("kind", "fp").agg(F.min("key").alias("least")))
+    alike = each.join(points, ["kind", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = links_by_kind(points.select("kind", "fp"))
+    x, y = (points.select("kind", F.col("fp").alias(c), F.col("least").alias(f"{c}_key")) for c in "ab")
+    linked = near.join(x, ["kind", "a"]).join(y, ["kind", "b"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    return components(alike.unionByName(linked)).select(F.col("node").alias(key), "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
