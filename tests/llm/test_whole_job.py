@@ -239,3 +239,31 @@ def test_item_ids_are_text(spark):
     bench = spark.createDataFrame([("b-1", "one two"), ("a", "three")], "item_id string, text string")
     out, c = decontaminate.search_benchmark(docs, bench, keep=("doc_id",), most_windows=1)
     assert out.first()[c]["items"] == ["a", "b-1"] and "MapInArrow" in out._jdf.queryExecution().toString()
+
+
+# near copies
+
+
+def test_near_copies_are_linked(spark):
+    from fluxlens.llm import simhash
+
+    rng = np.random.default_rng(21)
+    rows, base = [], {}
+    for g in range(40):
+        words = [f"w{int(x)}" for x in rng.integers(0, 5000, 300)]
+        for c in range(3):
+            edited = list(words)
+            for at in rng.choice(300, 3, replace=False) if c else ():  # a similarity of about 0.9 in five words
+                edited[at] = f"x{int(rng.integers(0, 9999))}"
+            base[len(rows)] = g
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(1000, None), (1001, ""), (1002, "one"), (1003, rows[0][1])]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    root = {r["key"]: r["root"] for r in simhash.near_copies(docs, "key").collect()}
+    linked = [root.get(i, i) for i in range(120)]
+    assert all(base[linked[i]] == g for i, g in base.items())  # no two groups meet
+    caught = sum(linked[i] != i for i in range(120))
+    assert caught >= 0.9 * 80 and root[1003] == root.get(0, 0) and root[1001] == 1000 and 1002 not in root
+    assert simhash.near_copies(docs.limit(0), "key").count() == 0
+    for text in (b"a b c d e", b"", None):
+        assert simhash.fingerprints_of(text, 3, 8)[0] == simhash.fingerprint(text)
