@@ -129,41 +129,46 @@ def links(points: DataFrame) -> DataFrame:
     Their connected components are those of all such pairs; within a crowded cell only a spanning
     forest is returned, never all pairs.  ``points`` must hold each fingerprint once.
     """
-    return links_by_kind(points.select(F.lit(0).alias("kind"), "fp")).select("a", "b")
+    return links_by_kind(points.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("name")))
 
 
 def links_by_kind(points: DataFrame) -> DataFrame:
-    """(kind, a, b): :func:`links` among the fingerprints of each kind, a small number; ``points`` are (kind, fp)."""
-    cells = points.select("fp", F.explode(_grid(F.col("fp"))).alias("cell"), "kind").where("cell is not null")
-    cells = cells.select("fp", (F.col("cell") + F.shiftleft(F.col("kind").cast("long"), 34)).alias("cell"))
+    """Pairs (a, b) of names: :func:`links` among the fingerprints of each kind, a small number; ``points`` are (kind, fp, name)."""
+    cells = points.select("fp", F.explode(_grid(F.col("fp"))).alias("cell"), "kind", "name").where("cell is not null")
+    cells = cells.select("fp", (F.col("cell") + F.shiftleft(F.col("kind").cast("long"), 34)).alias("cell"), "name")
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def found(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            starts = np.searchsorted(key >> 34, np.arange((int(key[-1]) >> 34) + 2))
-            for kind in np.unique(key >> 34).tolist():
-                i, j = starts[kind], starts[kind + 1]
-                for a, b in _pairs(key[i:j], fp[i:j]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def found(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            key, fp, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+            kinds = key >> 34
+            edges = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1], True])
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                pairs = list(_pairs(key[i:j], fp[i:j]))
+                if not pairs:
+                    continue
+                known, first = np.unique(fp[i:j], return_index=True)
+                ends = [name[i:j][first[np.searchsorted(known, np.concatenate(x))]] for x in zip(*pairs, strict=True)]
+                both = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends)], axis=1), axis=0)  # cells overlap
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, key = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            fp, key, name = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last cell may go on
             if cut and held + cut >= 1 << 16:
-                yield from found([*waiting, (key[:cut], fp[:cut])])
-                waiting, held, fp, key = [], 0, fp[cut:], key[cut:]
-            waiting.append((key, fp))
+                yield from found([*waiting, (key[:cut], fp[:cut], name[:cut])])
+                waiting, held, fp, key, name = [], 0, fp[cut:], key[cut:], name[cut:]
+            waiting.append((key, fp, name))
             held += len(key)
         if waiting:
             yield from found(waiting)
 
-    return dealt.mapInArrow(run, "kind int, a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, key: str, words: int = 3, many: int = MANY) -> DataFrame:
@@ -181,9 +186,7 @@ def near_copies(docs: DataFrame, key: str, words: int = 3, many: int = MANY) ->
     each = materialise(marked.select(F.col(f"`{key}`").alias("key"), F.posexplode("fps").alias("kind", "fp")))
     points = materialise(each.groupBy("kind", "fp").agg(F.min("key").alias("least")))
     alike = each.join(points, ["kind", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    near = links_by_kind(points.select("kind", "fp"))
-    x, y = (points.select("kind", F.col("fp").alias(c), F.col("least").alias(f"{c}_key")) for c in "ab")
-    linked = near.join(x, ["kind", "a"]).join(y, ["kind", "b"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    linked = links_by_kind(points.select("kind", "fp", F.col("least").alias("name")))
     return components(alike.unionByName(linked)).select(F.col("node").alias(key), "root")
 
 
