@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import errno
+import socket
 import struct
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.exporters import admit
 from ..operators.series import rollup
-from ..plans.policy import Policy, apply_policy
+from ..plans.policy import Policy, PolicyError, apply_policy, apply_store, parse
+from ..schema import ALL
 from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates
 
 
@@ -89,16 +93,86 @@ def _load(blob: bytes) -> Templates:
     return t
 
 
-def relay(flows: DataFrame, send, checkpoint: str) -> StreamingQuery:
-    """Sends the record of each flow with ``send(list of records)``, once for each partition of a batch."""
+class DatagramRelay:
+    """Sends records to a datagram socket, as ``send`` of :func:`relay`.
+
+    A full buffer loses the record and isn't an error.  Beyond ERRORS errors, the socket is opened again, but
+    not within WAIT seconds of the last time.
+    """
+
+    ERRORS, WAIT = 128, 60.0  # fixed values
+
+    def __init__(self, path: str, connect: Callable | None = None, clock: Callable[[], float] = time.monotonic):
+        self.path, self.clock = path, clock
+        self.connect = connect or self._connect
+        self.errors = self.lost = self.sent = 0
+        self.opened = -self.WAIT
+        self.socket = None
+
+    def _connect(self):
+        s = socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM)
+        s.connect(self.path)
+        return s
+
+    def __getstate__(self) -> dict:  # a task opens its own
+        return self.__dict__ | {"socket": None}
+
+    def _reopen(self) -> None:
+        if self.clock() - self.opened < self.WAIT:
+            return
+        self.opened, self.errors = self.clock(), 0
+        try:
+            self.socket = self.connect()
+        except OSError:
+            self.socket = None
+
+    def __call__(self, records: Sequence[bytes]) -> None:
+        for record in records:
+            if self.socket is None or self.errors > self.ERRORS:
+                self._reopen()
+            try:
+                if self.socket is None:
+                    raise ConnectionError(self.path)
+                self.socket.send(record)
+                self.sent += 1
+            except OSError as e:
+                self.lost += 1
+                self.errors += e.errno != errno.ENOBUFS
+
+
+def relay(flows: DataFrame, send: Callable[[Sequence[bytes]], None], checkpoint: str, policy: Policy | None = None) -> StreamingQuery:
+    """Sends the record of each flow with ``send(list of records)``, once for each partition of a batch.
+
+    With a policy, only the groups that it stores are in the records.
+    """
     from ..sources.flowlog import encode_records
 
     def each(batch: DataFrame, _: int) -> None:
-        encode_records(batch).foreachPartition(lambda rows: send([bytes(r["record"]) for r in rows]))
+        encode_records(batch, policy.store if policy else ALL).foreachPartition(lambda rows: send([bytes(r["record"]) for r in rows]))
 
     return flows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def filtered_by_file(flows: DataFrame, policy_path: str, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Each batch goes through the policy that the file holds by then, and what it stores to ``write(batch, number)``.
+
+    So a policy is changed without stopping the stream.  While a file can't be parsed, the last good policy holds.
+    """
+    held: list[Policy] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        text = "\n".join(r[0] for r in batch.sparkSession.read.text(policy_path, wholetext=True).collect())  # one small file
+        try:
+            held[:] = [parse(text)]
+        except PolicyError:
+            if not held:
+                raise
+        write(apply_store(apply_policy(batch, held[0]), held[0]), number)
+
+    writer = flows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def packets_from(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of packets landed as Parquet files."""
     return spark.readStream.schema(PACKET).parquet(folder)

@@ -1,6 +1,9 @@
 """Every registered flow query against its SQL on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -46,7 +49,19 @@ def test_interpolation_keeps_the_sum(spark):
         interpolated_history(bad, F.col("x"), F.col("a"), F.col("b")).collect()
 
 
-def test_entry_without_the_corpus_modules(spark):
+def test_entry_without_the_corpus_modules(tmp_path):
+    """In a copy of the repository that lacks them, all flow queries are there and nothing else."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("fluxlens", "__spark_entry__.py"):
+        source, target = os.path.join(root, name), tmp_path / name
+        shutil.copytree(source, target, ignore=shutil.ignore_patterns("llm", "__pycache__")) if os.path.isdir(source) else shutil.copy(source, target)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split(maxsplit=2) == [str(len(queries.QUERIES)), str(len(queries.SQL)), "[]\n"], done.stderr
+
+
+def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(queries.QUERIES) <= set(e.queries()) and set(queries.SQL) <= set(e.oracle_sql())
