@@ -99,5 +99,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+""",
+    # texts in hexadecimal, cut into overlapping parts of 1000 bytes, so that a passage is found without going through a long text
+    "op7_repeats": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+c AS (SELECT r, doc_id, pos, substr(h, 2 * pos + 1, 2098) AS part, len(h) // 2 AS n
+      FROM (SELECT *, unnest(range(0, greatest(0, len(h) // 2 - 49), 1000)) AS pos FROM d)),
+w AS (SELECT r, doc_id, pos + k AS s, substr(part, 2 * k + 1, 100) AS p
+      FROM (SELECT *, unnest(range(0, least(1000, n - 49 - pos))) AS k FROM c)),
+f AS (SELECT p, min(doc_id) AS least FROM w WHERE doc_id IS NOT NULL GROUP BY p HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 50, true) AS fresh
+      FROM w JOIN f USING (p) WHERE doc_id > least),
+g AS (SELECT r, s, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY s) AS g FROM x),
+i AS (SELECT r, min(s) AS a, max(s) + 50 AS b FROM g GROUP BY r, g),
+k AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM i),
+m AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept
+      FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN m USING (r)
 """,
 }
