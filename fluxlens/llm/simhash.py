@@ -22,7 +22,7 @@ _SMALL_CELL = 48
 
 
 #: Fingerprints by which near copies are sought: one alone links few of the pairs at a similarity of 0.8.
-MANY = 8
+MANY = 10
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -95,21 +95,34 @@ def _grid(fp: Column) -> Column:
     return F.array(*cells)
 
 
+def _at_home(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether each fingerprint stands in its cell, or visits it (see :func:`_grid`)."""
+    even, odd, low = fp & np.uint64(_ODD), (fp >> np.uint64(1)) & np.uint64(_ODD), np.uint64(0xFFFFFFFF)
+    counts = even + odd
+    return np.where(key >> 32 & 1, counts >> np.uint64(32), counts & low) == key.view(np.uint64) & low
+
+
 def _pairs(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among the fingerprints of each cell; ``key`` is sorted.  Every candidate is verified."""
+    """Links among the fingerprints of each cell; ``key`` is sorted.  Every candidate is verified.
+
+    Two visitors of a cell needn't meet there: if they link, one stands in another cell that the other shares.
+    """
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[edges, len(key)])
+    home = _at_home(key, fp)
+    lived_in = np.logical_or.reduceat(home, edges)
     left = np.repeat(edges + sizes, sizes) - np.arange(len(key)) - 1  # rows of the cell behind this one
-    at = np.flatnonzero((left > 0) & np.repeat(sizes <= _SMALL_CELL, sizes))
+    at = np.flatnonzero((left > 0) & np.repeat((sizes <= _SMALL_CELL) & lived_in, sizes))
     step = 1
     while len(at):
         bits = np.bitwise_count(fp[at] ^ fp[at + step])
-        hit = at[(bits > 0) & (bits <= DISTANCE)]
+        hit = at[(bits > 0) & (bits <= DISTANCE) & (home[at] | home[at + step])]
         if len(hit):
             yield fp[hit], fp[hit + step]
         step += 1
         at = at[left[at] >= step]
-    for start, size in zip(edges[sizes > _SMALL_CELL], sizes[sizes > _SMALL_CELL], strict=True):
+    crowded = (sizes > _SMALL_CELL) & lived_in
+    for start, size in zip(edges[crowded], sizes[crowded], strict=True):
         rest = np.unique(fp[start : start + size])
         while len(rest):  # a spanning forest of the cell: each point leaves ``rest`` when it is reached
             front, rest = [rest[0]], rest[1:]
@@ -171,23 +184,44 @@ def links_by_kind(points: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, key: str, words: int = 3, many: int = MANY) -> DataFrame:
+def shingle_hashes(text: bytes | None, words: int) -> list[int]:
+    """The distinct ``words``-word shingles of a text, as XXH64 in signed longs; words and short texts as in :func:`fingerprint`."""
+    parts = text.lower().split() if text else []
+    w = min(words, len(parts))
+    shingles = {b" ".join(parts[i : i + w]) for i in range(len(parts) - w + 1)} if parts else set()
+    return np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles], np.uint64).view(np.int64).tolist()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (key, hashes) have a Jaccard similarity of ``similar`` or more; two empty sets have 1."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("hashes").alias(f"of_{end}")), end)
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.where(common >= similar * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, key: str, words: int = 2, many: int = MANY, of: int = 5, similar: float = 0.8) -> DataFrame:
     """(key, root) of the texts that have a near copy among ``docs``: the smallest key that links lead to.
 
     ``key`` is a column of longs that tells texts apart.  Two texts are linked if any of their ``many`` fingerprints
-    are within DISTANCE bits.  A pair whose word shingles are shared to 0.8 or more mostly differs in 4 to 12 bits
-    of a fingerprint, and has a fair chance of 3 or fewer in each.  Equal fingerprints are one point of
-    the grid, and each text with one is linked to the smallest of them, so copies are never expanded into pairs.
-    Null and empty texts are linked to each other.
+    of ``words``-word shingles are within DISTANCE bits and their sets of ``of``-word shingles are similar to ``similar``
+    (Jaccard).  Short shingles in the fingerprints bring pairs at that threshold within few bits, the sets decide.
+    Equal fingerprints are one point of the grid, and each text with one is compared with the smallest of them, so
+    copies are never expanded into pairs.  Null, empty and blank texts are linked to each other.
     """
     kind = T.ArrayType(T.LongType())
-    texts = docs.groupBy(key).agg(F.first("text").alias("text"))
-    marked = map_texts(texts, lambda rows: [[fingerprints_of(t, words, many) for t in rows]], [("fps", kind)], (key,))
-    each = materialise(marked.select(F.col(f"`{key}`").alias("key"), F.posexplode("fps").alias("kind", "fp")))
+    marked = map_texts(docs, lambda rows: [[fingerprints_of(t, words, many) for t in rows]], [("fps", kind)], (key,))
+    marked = marked.groupBy(F.col(f"`{key}`").alias("key")).agg(F.first("fps").alias("fps"))
+    each = materialise(marked.select("key", F.posexplode("fps").alias("kind", "fp")))
     points = materialise(each.groupBy("kind", "fp").agg(F.min("key").alias("least")))
-    alike = each.join(points, ["kind", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    linked = links_by_kind(points.select("kind", "fp", F.col("least").alias("name")))
-    return components(alike.unionByName(linked)).select(F.col("node").alias(key), "root")
+    equal = each.join(points, ["kind", "fp"]).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    close = links_by_kind(points.select("kind", "fp", F.col("least").alias("name")))
+    pairs = materialise(equal.unionByName(close).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    texts = docs.groupBy(key).agg(F.first("text").alias("text")).join(ends, key, "left_semi")
+    sets = map_texts(texts, lambda rows: [[shingle_hashes(t, of) for t in rows]], [("hashes", kind)], (key,))
+    sets = materialise(sets.select(F.col(f"`{key}`").alias("key"), "hashes"))
+    return components(alike(pairs, sets, similar)).select(F.col("node").alias(key), "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
