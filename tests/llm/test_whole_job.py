@@ -267,3 +267,20 @@ def test_near_copies_are_linked(spark):
     assert simhash.near_copies(docs.limit(0), "key").count() == 0
     for text in (b"a b c d e", b"", None):
         assert simhash.fingerprints_of(text, 3, 8)[0] == simhash.fingerprint(text)
+
+
+def test_similar_sets_against_brute_force(spark):
+    from fluxlens.llm import simhash
+
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", "One two", "one  TWO", "one three"]
+    for _ in range(6):
+        words = [f"w{int(x)}" for x in rng.integers(0, 40, 80)]
+        for edits in (0, 1, 2, 3, 4):
+            texts.append(" ".join(w + "x" * bool(i in set(range(7, 7 + 12 * edits, 12))) for i, w in enumerate(words)))
+    shingled = [p and {tuple(p[i : i + 5]) for i in range(max(1, len(p) - 4))} for p in ((t or "").lower().split() for t in texts)]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    want = {(a, b) for a, b in pairs if len(x := set(shingled[a])) + len(y := set(shingled[b])) == 0 or len(x & y) / len(x | y) >= 0.8}
+    sets = spark.createDataFrame([(k, simhash.shingle_hashes(t and t.encode(), 5)) for k, t in enumerate(texts)], "key long, hashes array<long>")
+    got = simhash.alike(spark.createDataFrame(pairs, "a long, b long"), sets, 0.8).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) and 6 < len(want) < len(pairs)
