@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import SQL as CODE_SQL
+from .codes import vector_codes
 from .decontaminate import contamination
 from .html import extract
 from .language import identify
 from .licenses import license_labels
 from .lm import pseudo_likelihood
 from .mixing import mix
+from .neighbours import SQL as NEIGHBOUR_SQL
+from .neighbours import embedding_groups
+from .ranking import SQL as RANKING_SQL
+from .ranking import ranked_documents
 from .repeats import repeat_digest
 from .simhash import simhash_groups
 from .topk import SQL as TOPK_SQL
@@ -64,6 +70,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
@@ -75,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_neighbours": op11_neighbours,
+    "op12_codes": op12_codes,
+    "op13_ranking": op13_ranking,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,6 +104,9 @@ _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 SQL: dict[str, str] = {
     "op1_topk": TOPK_SQL,
     "op4_urls": URL_SQL,
+    "op11_neighbours": NEIGHBOUR_SQL,
+    "op12_codes": CODE_SQL,
+    "op13_ranking": RANKING_SQL,
     "op10_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
