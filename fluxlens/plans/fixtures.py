@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _C = "src_ip dst_ip src_port dst_port protocol tcp_flags packets octets".split()
 
@@ -91,3 +92,18 @@ def v9_packets(flows: DataFrame, before: str | Column = "", fields: dict[str, tu
         return joined(v9_head(), start, template(number, list(fields.values())), data(number, n, body, size))
 
     return packed(flows, record, head)
+
+
+def v9_changing_packets(flows: DataFrame, number: int = 300) -> DataFrame:
+    """Packets of which an exporter's first in each ten blocks announces the template; every fifty blocks its fields change their order."""
+    orders = [list(V9.items()), list(V9.items())[::-1]]
+    block = F.floor(F.col("flow_id") / (8 * 24))
+    record = F.when(F.floor(block / 50) % 2 == 0, joined(*[digits(c, w) for c, (_, w) in orders[0]])).otherwise(joined(*[digits(c, w) for c, (_, w) in orders[1]]))
+    first = F.min("block").over(Window.partitionBy("agent", F.floor(F.col("block") / 10)))
+    announced = F.when(F.floor(F.col("block") / 50) % 2 == 0, template(number, [x for _, x in orders[0]])).otherwise(template(number, [x for _, x in orders[1]]))
+
+    def head(n: Column, body: Column, agent: Column) -> Column:
+        start = F.when((F.col("block") == first) & (F.col("i") == 0), announced).otherwise("")
+        return joined(v9_head(), start, data(number, n, body, sum(w for _, w in V9.values())))
+
+    return packed(flows, record, head)

@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..schema import BY_NAME, FLOW
 from .columns import Table, dtype_of
@@ -117,6 +117,21 @@ class Templates:
             del mine[next(iter(mine))]
         mine[template] = what
 
+    def dump(self) -> bytes:
+        """All templates in their order, as bytes for :meth:`load`."""
+        each = ((source, template, what) for source, mine in self.sources.items() for template, what in mine.items())
+        return b"".join(struct.pack(">III", source, template, len(what)) + b"".join(struct.pack(">HH", *x) for x in what) for source, template, what in each)
+
+    def load(self, blob: bytes) -> Templates:
+        """Announces what ``dump`` wrote."""
+        at = 0
+        while at < len(blob):
+            source, template, n = struct.unpack_from(">III", blob, at)
+            at += 12
+            self.put(source, template, [struct.unpack_from(">HH", blob, at + 4 * i) for i in range(n)])
+            at += 4 * n
+        return self
+
 
 @dataclass
 class Decoded:
@@ -266,8 +281,11 @@ class Flows:
         self.fixed: dict[int, list[tuple[int, bytes]]] = {}
         self.sets: dict[tuple, list[tuple[int, int, bytes, dict]]] = {}
 
-    def add(self, time, agent: bytes, seq: int, payload: bytes, templates: Templates | None) -> Decoded:
-        """Takes a packet; without ``templates`` those of version 9 are left out.  ``flows`` of the result stays empty."""
+    def add(self, time, agent: bytes, seq: int, payload: bytes, templates: Templates | None, counts: list[int] | None = None) -> Decoded:
+        """Takes a packet; without ``templates`` those of version 9 are left out.  ``flows`` of the result stays empty.
+
+        With ``counts``, the numbers of its records are only added there.
+        """
         out = Decoded()
         packet = len(self.times)
         self.times.append(time)
@@ -280,6 +298,9 @@ class Flows:
 
             def take(data: bytes, what: list[tuple[int, int]], common: dict) -> None:
                 count, size = _records_in(data, what)
+                if counts is not None:
+                    counts.append(count)
+                    return
                 self.sets.setdefault(tuple(what), []).append((packet, count, data[: count * size], common))
 
             try:
@@ -290,7 +311,10 @@ class Flows:
                 out.error = f"cut off: {e}"
         elif version := _valid_fixed(payload):
             out.version = version
-            self.fixed.setdefault(version, []).append((packet, payload))
+            if counts is not None:
+                counts.append(int.from_bytes(payload[2:4], "big"))
+            else:
+                self.fixed.setdefault(version, []).append((packet, payload))
         else:
             out = decode_packet(payload)  # says what is wrong
         return out
@@ -371,52 +395,205 @@ def decode_packets(packets: DataFrame) -> DataFrame:
     return packets.select(*PACKET.names).mapInArrow(run, FLOW_ROW)
 
 
-def _by_source(packets: DataFrame) -> DataFrame:
-    """Packets dealt by exporter and source, which share no templates (packets of other versions: by exporter)."""
+#: Packets of a source are decoded in buckets of so many numbers of ``seq``, each in any task.
+BUCKET = 65536
+_KEY = ("agent_key", "source", "bucket")
+
+
+def _keyed(packets: DataFrame) -> DataFrame:
+    """Packets with exporter, source (of version 9; others have none) and bucket."""
     source = F.when(F.substring("payload", 1, 2) == F.lit(b"\0\x09"), F.substring("payload", 17, 4)).otherwise(F.lit(b""))
-    return packets.withColumn("source", source).repartition("agent_addr", "source").sortWithinPartitions("agent_addr", "source", "seq")
+    bucket = F.coalesce(F.floor(F.col("seq") / BUCKET), F.lit(-1)).cast("long")
+    return packets.select(*PACKET.names, F.coalesce("agent_addr", F.lit(b"")).alias("agent_key"), source.alias("source"), bucket.alias("bucket"))
+
+
+class _Recorder(Templates):
+    """Notes what a packet announces, and the data flowsets before that: (template, fields, bytes of data)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.steps: list[tuple[int, bytes | None, int]] = []
+
+    def put(self, source: int, template: int, what: list[tuple[int, int]]) -> None:
+        self.steps.append((template, b"".join(struct.pack(">HH", *x) for x in what), 0))
+
+    def get(self, source: int, template: int) -> list[tuple[int, int]]:
+        return [(template, 1)]
+
+    def take(self, data: bytes, what: list[tuple[int, int]], common: dict) -> None:
+        self.steps.append((what[0][0], None, len(data)))
+
+    def of(self, payload: bytes) -> list[tuple[int, bytes | None, int]]:
+        self.steps = []
+        try:
+            decode_v9(payload, self, Decoded(), self.take)
+        except (PacketError, struct.error):
+            pass  # what came before it holds
+        while self.steps and self.steps[-1][1] is None:
+            self.steps.pop()
+        return self.steps
+
+
+def _replay(steps: list[dict], source: int, templates: Templates) -> None:
+    """What a packet's steps do to the templates: data that its template doesn't fit ends the packet."""
+    for step in steps:
+        if step["fields"] is not None:
+            templates.put(source, step["template"], list(struct.iter_unpack(">HH", step["fields"])))
+        elif (what := templates.get(source, step["template"])) is not None and not 1 <= step["size"] // sum(w for _, w in what) <= 0x4000:
+            return
+
+
+def announcements(packets: DataFrame) -> DataFrame:
+    """Of each version 9 packet that announces templates its steps; and a row without steps for each bucket that has packets.
+
+    ``in_turn`` marks packets with data before an announcement, which whether it counts depends on that data.
+    """
+    steps = T.ArrayType(T.StructType([T.StructField("template", T.IntegerType()), T.StructField("fields", T.BinaryType()), T.StructField("size", T.IntegerType())]))
+    keyed = _keyed(packets).where(F.length("source") > 0).select(*_KEY, "seq", "payload")
+    schema = T.StructType([*keyed.schema.fields[:4], T.StructField("steps", steps), T.StructField("in_turn", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, recorder = to_arrow_schema(schema), _Recorder()
+        for batch in batches:
+            seen, rows = {}, []
+            for agent, source, bucket, seq, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (agent, source, bucket) not in seen:
+                    seen[agent, source, bucket] = None
+                    rows.append((agent, source, bucket, None, None, False))
+                if found := recorder.of(payload):
+                    data = [f is None for _, f, _ in found]
+                    rows.append((agent, source, bucket, seq, [{"template": t, "fields": f, "size": n} for t, f, n in found], any(data)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return keyed.mapInArrow(run, schema)
+
+
+def template_intervals(events: DataFrame) -> DataFrame:
+    """(agent_key, source, template, bucket, blob): the templates that :func:`announcements` leave after a bucket.
+
+    A source with no more templates than it may have never loses one, so of each bucket the last announcement of each
+    template is all that counts.  A source with more, or with packets whose announcements depend on data
+    before them, is followed in order through its announcements, never its data; its rows have template -1 and all
+    that is held then.
+    """
+    told = events.where("steps is not null")
+    each = told.select("agent_key", "source", "bucket", "seq", "in_turn", F.posexplode("steps").alias("pos", "s")).where("s.fields is not null")
+    kinds = each.groupBy("agent_key", "source").agg((F.max("in_turn") | (F.count_distinct("s.template") > MOST_TEMPLATES)).alias("whole"))
+    alone, whole = (kinds.where(w).select("agent_key", "source") for w in ("not whole", "whole"))
+    last = each.join(alone, ["agent_key", "source"]).groupBy("agent_key", "source", "bucket", F.col("s.template").alias("template"))
+    last = last.agg(F.max_by("s.fields", F.struct("seq", "pos")).alias("fields"))
+    number = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    blob = F.concat(F.col("source"), number(F.col("template")), number(F.length("fields") / 4), F.col("fields"))
+    simple = last.select("agent_key", "source", "template", "bucket", blob.alias("blob"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, templates = None, Templates()
+        for batch in batches:
+            rows = []
+            for agent, source, bucket, _, steps in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (agent, source, bucket) != now:
+                    if now is not None:
+                        rows.append((*now[:2], -1, now[2], templates.dump()))
+                    if now is None or now[:2] != (agent, source):
+                        templates = Templates()
+                    now = agent, source, bucket
+                _replay(steps, int.from_bytes(source, "big"), templates)
+            yield made(rows)
+        if now is not None:
+            yield made([(*now[:2], -1, now[2], templates.dump())])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["agent_key", "source", "template", "bucket", "blob"])
+
+    ordered = told.join(whole, ["agent_key", "source"]).select(*_KEY, "seq", "steps").repartition("agent_key", "source").sortWithinPartitions("agent_key", "source", "bucket", "seq")
+    return simple.unionByName(ordered.mapInArrow(follow, "agent_key binary, source binary, template int, bucket long, blob binary"))
+
+
+def templates_before(events: DataFrame) -> DataFrame:
+    """(agent_key, source, bucket, blob): for each bucket the templates that hold when it begins, as of the buckets before."""
+    held = template_intervals(events)
+    buckets = events.where("steps is null").select(*_KEY).distinct()
+    grid = buckets.join(held.select("agent_key", "source", "template").distinct(), ["agent_key", "source"])  # MOST_TEMPLATES rows of a bucket at most
+    before = Window.partitionBy("agent_key", "source", "template").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    filled = grid.join(held, [*_KEY, "template"], "left").withColumn("blob", F.last("blob", ignorenulls=True).over(before))
+    return filled.where("blob is not null").select(*_KEY, "blob")
+
+
+def _in_buckets(packets: DataFrame) -> DataFrame:
+    """Packets dealt by exporter, source and bucket, in the order of ``seq``, behind rows ``held`` with the templates before.
+
+    What packets announce is written once to the folder that executors share: it is read several times and far
+    smaller than the packets.
+    """
+    from ..scratch import new_folder
+
+    spark = packets.sparkSession
+    folder = new_folder(spark, "announcements")
+    announcements(packets).write.parquet(folder)
+    seeds = templates_before(spark.read.parquet(folder))
+    keyed = _keyed(packets).withColumn("held", F.lit(False))
+    both = keyed.unionByName(seeds.select(*_KEY, F.col("blob").alias("payload"), F.lit(True).alias("held")), allowMissingColumns=True)
+    dealt = both.repartition(*_KEY).sortWithinPartitions(*_KEY, F.desc("held"), "seq")
+    return dealt.select(*PACKET.names, *_KEY, "held")
+
+
+def _each_in_turn(batch: pa.RecordBatch, state: list) -> Iterator[tuple]:
+    """(recv_time, agent_addr, seq, payload, templates) of the packets of a batch; ``state`` is [key, templates]."""
+    for time, agent, seq, payload, *key, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if key != state[0]:
+            state[:] = key, Templates()
+        if held:
+            state[1].load(payload)
+        else:
+            yield time, agent, seq, payload or b"", state[1]
 
 
 def decode_v9_packets(packets: DataFrame) -> DataFrame:
-    """Flows of version 9 packets, decoded for each exporter's source in the order of ``seq``.
+    """Flows of version 9 packets, as decoding each exporter's source in the order of ``seq`` gives them.
 
     Templates hold from where they are sent; data before its template is lost, as in a live exporter's
-    stream.  Packets are shuffled by exporter and source and sorted; a task streams through them and holds
-    one source's templates at a time, never its packets.  So the limit on the sources of an exporter,
-    which would need all of them in one task, isn't kept here; the limit on a source's templates is.
+    stream.  First only the announcements are looked at: they tell which templates hold when each bucket of
+    a source begins.  Then buckets are decoded apart from each other, each from those templates on, so one
+    exporter's packets are dealt to all tasks; a task streams through them and holds one source's
+    templates at a time, never its packets.  The limit on the sources of an exporter, which would need all
+    of them in one task, isn't kept here; the limit on a source's templates is.
     """
     v9 = packets.select(*PACKET.names).where(F.substring("payload", 1, 2) == F.lit(b"\0\x09"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, templates = None, Templates()
+        state: list = [None, Templates()]
         for batch in batches:
             flows = Flows()
-            for time, agent, seq, payload in _packets_of(batch):
-                if (agent, payload[16:20]) != now:
-                    now, templates = (agent, payload[16:20]), Templates()
+            for time, agent, seq, payload, templates in _each_in_turn(batch, state):
                 flows.add(time, agent, seq, payload, templates)
             yield flows.batch()
 
-    return _by_source(v9).select(*PACKET.names).mapInArrow(run, FLOW_ROW)
+    return _in_buckets(v9).mapInArrow(run, FLOW_ROW)
 
 
 def packet_facts(packets: DataFrame) -> DataFrame:
-    """recv_time, agent_addr, version, flows, invalid, no_template of each packet, for exporter statistics."""
-    schema = "recv_time timestamp_ntz, agent_addr binary, version int, flows long, invalid int, no_template long"
+    """recv_time, agent_addr, seq, version, flows, invalid, no_template of each packet, for exporter statistics."""
+    schema = "recv_time timestamp_ntz, agent_addr binary, seq long, version int, flows long, invalid int, no_template long"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, templates = None, Templates()
-        for x in frames:
-            rows = []
-            for time, agent, payload in zip(x["recv_time"], x["agent_addr"], x["payload"], strict=True):
-                payload = bytes(payload or b"")
-                if (agent, payload[16:20]) != now:
-                    now, templates = (agent, payload[16:20]), Templates()
-                d = decode_packet(payload, templates)
-                rows.append((time, agent, d.version, 0 if d.error else len(d.flows), int(d.error is not None), d.no_template))
-            yield pd.DataFrame(rows, columns=["recv_time", "agent_addr", "version", "flows", "invalid", "no_template"], dtype=object)
-
-    return _by_source(packets.select(*PACKET.names)).select(*PACKET.names).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = [None, Templates()]
+        for batch in batches:
+            flows, rows, taken = Flows(), [], []
+            for time, agent, seq, payload, templates in _each_in_turn(batch, state):
+                taken.clear()
+                d = flows.add(time, agent, seq, payload, templates, taken)
+                rows.append((time, agent, seq, d.version, 0 if d.error else sum(taken), int(d.error is not None), d.no_template))
+            types = (pa.timestamp("us"), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            names = ["recv_time", "agent_addr", "seq", "version", "flows", "invalid", "no_template"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return _in_buckets(packets.select(*PACKET.names)).mapInArrow(run, schema)
 
 
 def encoder(version: int) -> Callable[[list[dict]], bytes]:

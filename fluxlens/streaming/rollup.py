@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import errno
 import socket
-import struct
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -57,12 +56,12 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str |
         if held.hasTimedOut:
             held.remove()
             return
-        templates = _load(held.get[0]) if held.exists else Templates()
+        templates = Templates().load(held.get[0]) if held.exists else Templates()
         batch = pd.concat(list(frames), ignore_index=True).sort_values("seq")
         flows = Flows()
         for time, agent, seq, payload in zip(batch["recv_time"], batch["agent_addr"], batch["seq"], batch["payload"], strict=True):
             flows.add(time, bytes(agent), seq, bytes(payload or b""), templates)
-        held.update((_dump(templates),))
+        held.update((templates.dump(),))
         if idle:
             held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield flows.batch().to_pandas(integer_object_nulls=True, date_as_object=True)
@@ -75,24 +74,6 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str |
     return apply_policy(flows, policy) if policy else flows
 
 
-def _dump(t: Templates) -> bytes:
-    out = []
-    for source, mine in t.sources.items():
-        for template, what in mine.items():
-            out.append(struct.pack(">III", source, template, len(what)) + b"".join(struct.pack(">HH", *x) for x in what))
-    return b"".join(out)
-
-
-def _load(blob: bytes) -> Templates:
-    t, at = Templates(), 0
-    while at < len(blob):
-        source, template, n = struct.unpack_from(">III", blob, at)
-        at += 12
-        t.put(source, template, [struct.unpack_from(">HH", blob, at + 4 * i) for i in range(n)])
-        at += 4 * n
-    return t
-
-
 class DatagramRelay:
     """Sends records to a datagram socket, as ``send`` of :func:`relay`.
 
