@@ -20,7 +20,9 @@ COSINE, RECALL = 0.9, 0.99
 CELL, LEAST_ENTRIES, MOST_ENTRIES = 64, 4, 1024
 #: The codebooks are fitted on so many vectors for each entry; every vector is indexed.
 SAMPLE = 32
-#: Residents and visitors of a cell that one task compares.
+#: Distinct vectors of a tile on average: some neighbouring cells, to which a visitor of several of them is sent once.
+TILE = 1024
+#: Residents and visitors of a tile that one task compares.
 RESIDENTS, VISITORS = 8192, 32_768
 _PIECE = 1024
 
@@ -62,16 +64,22 @@ class MultiIndex:
     """Codebooks of the halves of unit vectors; their product is a grid of cells.
 
     A vector lives in the cell of its nearest entries and visits the cells in the order of their summed squared
-    distances, as far as ``reach`` beyond that of its own cell.  Cells without residents are skipped.
+    distances, as far as ``reach`` beyond that of its own cell.  Cells without residents are skipped.  Entries of the
+    second codebook stand along its main axis; cells of one first entry and ``across`` neighbouring second ones are a tile.
     """
 
     width: int
     first: np.ndarray
     second: np.ndarray
     reach: float = 0.0
-    parts: np.ndarray | None = None  # of each cell: how many its residents are dealt to (0: none lives there)
+    across: int = 1
+    lives: np.ndarray | None = None  # whether any vector lives in a cell
+    parts: np.ndarray | None = None  # of each tile: how many its residents are dealt to
     chunks: np.ndarray | None = None  # and its visitors
 
+    def tile(self, cell: np.ndarray) -> np.ndarray:
+        return cell // len(self.second) * -(-len(self.second) // self.across) + cell % len(self.second) // self.across
+
     def gaps(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
         return _squares(rows[:, :half], self.first), _squares(rows[:, half:], self.second)
@@ -126,7 +134,10 @@ def fit(sample: np.ndarray, entries: int, cosine: float = COSINE, recall: float
     """
     rng = np.random.default_rng(11)
     half = (sample.shape[1] + 1) // 2
-    index = MultiIndex(sample.shape[1], codebook(sample[:, :half], entries, rng), codebook(sample[:, half:], entries, rng))
+    first, second = codebook(sample[:, :half], entries, rng), codebook(sample[:, half:], entries, rng)
+    if second.shape[1]:
+        second = second[np.argsort(second @ np.linalg.svd(second - second.mean(0))[2][0], kind="stable")]
+    index = MultiIndex(sample.shape[1], first, second)
     some = sample[:4096]
     made = partners(some, cosine, rng)
     both = np.minimum(index.excess(some, made), index.excess(made, some))
@@ -156,36 +167,44 @@ def built(classes: DataFrame, cosine: float = COSINE, recall: float = RECALL) ->
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(max(4096, SAMPLE * entries)).select("v").toArrow()
     index = fit(unit(matrix_of(sample.column(0).combine_chunks(), width)), entries, cosine, recall)
     cells = len(index.first) * len(index.second)
+    while index.across * 2 <= len(index.second) and index.across * 2 * count <= TILE * cells:
+        index.across *= 2
+    tiles = int(index.tile(np.array([cells - 1]))[0]) + 1
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live, come = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        live, come = np.zeros(cells, np.int64), np.zeros(tiles, np.int64)
         at = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, _PIECE):
                 rows = unit(matrix_of(batch.column(0).slice(i, _PIECE), width))
                 live += np.bincount(at.home(rows), minlength=cells)
-                come += np.bincount(at.visits(rows)[1], minlength=cells)
-        used = np.flatnonzero(live + come)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(live[used]), pa.array(come[used])], names=["cell", "live", "come"])
-
-    sums = classes.select("v").mapInArrow(counted, "cell long, live long, come long").groupBy("cell").agg(F.sum("live"), F.sum("come")).toArrow()
-    cell, live, come = (c.to_numpy() for c in sums.columns)  # at most MOST_ENTRIES squared
-    index.parts, index.chunks = np.zeros(cells, np.int32), np.zeros(cells, np.int32)
-    index.parts[cell] = -(-live // RESIDENTS)
-    index.chunks[cell] = np.maximum(1, -(-come // VISITORS))
+                row, cell = at.visits(rows)
+                come += np.bincount(np.unique(row * tiles + at.tile(cell)) % tiles, minlength=tiles)
+        for what, n in enumerate((live, come)):
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), what)), pa.array(used), pa.array(n[used])], names=["what", "place", "n"])
+
+    sums = classes.select("v").mapInArrow(counted, "what long, place long, n long").groupBy("what", "place").agg(F.sum("n")).toArrow()
+    what, place, n = (c.to_numpy() for c in sums.columns)  # at most twice MOST_ENTRIES squared
+    live, come = np.zeros(cells, np.int64), np.zeros(tiles, np.int64)
+    live[place[what == 0]], come[place[what == 1]] = n[what == 0], n[what == 1]
+    index.lives = live > 0
+    inside = np.bincount(index.tile(np.arange(cells)), weights=live, minlength=tiles).astype(np.int64)
+    index.parts, index.chunks = (np.maximum(1, -(-x // y)).astype(np.int64) for x, y in ((inside, RESIDENTS), (come, VISITORS)))
     return index
 
 
 def dealt(classes: DataFrame, index: MultiIndex) -> DataFrame:
-    """Rows of each task (cell, part, chunk): residents of the part with the cells they visit, and visitors of the chunk.
+    """Rows of each task (tile, part, chunk): residents of the part and visitors of the chunk.
 
-    A cell of many residents has parts, one of many visitors has chunks, and each part meets each chunk.
-    Residents visit the later parts of their own cell.
+    A tile of many residents has parts, one of many visitors has chunks, and each part meets each chunk.  ``cells`` of a
+    resident are all that it visits, of a visitor those that it visits in the tile.  Residents visit the other
+    parts of their own tile.
     """
     shared = classes.sparkSession.sparkContext.broadcast(index)
     kind = dict(classes.dtypes)["v"]
-    schema = f"cell int, part int, chunk int, resident boolean, home int, node long, uid long, copies long, visited array<int>, v {kind}"
+    schema = f"tile int, part int, chunk int, resident boolean, home int, own int, node long, uid long, copies long, cells array<int>, v {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
@@ -194,36 +213,43 @@ def dealt(classes: DataFrame, index: MultiIndex) -> DataFrame:
                 piece = batch.slice(i, _PIECE)
                 rows = unit(matrix_of(piece.column(0), at.width))
                 node = piece.column(3).to_numpy()
+                spread = node ^ (node >> 33)  # a node's number has its partition above bit 33
                 home = at.home(rows)
+                own = spread % at.parts[at.tile(home)]
                 row, cell = at.visits(rows)
-                lives = at.parts[cell] > 0
-                row, cell = row[lives], cell[lives]
-                spread = node ^ (node >> 33)  # a node's number has its partition above bit 33
-                part = spread % at.parts[home]
-                order = np.argsort(row, kind="stable")
-                ends = np.cumsum(np.bincount(row, minlength=len(rows)))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(cell[order].astype(np.int32)))
-                # residents go to every chunk of their cell
-                times = at.chunks[home]
+                row, cell = row[at.lives[cell]], cell[at.lives[cell]]
+                tile = at.tile(cell)
+                order = np.lexsort((tile, row))
+                row, cell, tile = row[order], cell[order], tile[order]
+                # all that a resident visits, and the parts of that by tile
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(rows)))]
+                begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (tile[1:] != tile[:-1])])
+                cells = pa.array(cell.astype(np.int32))
+                of_resident = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), cells)
+                of_visitor = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(row)].astype(np.int32)), cells)
+                visitor, there = row[begins], tile[begins]
+                # residents go to every chunk of their tile, visitors to every part of a tile
+                times = at.chunks[at.tile(home)]
                 r = np.repeat(np.arange(len(rows)), times)
-                turn = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                # visitors go to every part of a cell, in their own cell to the parts after their own
-                start = np.where(cell == home[row], part[row] + 1, 0)
-                many = np.maximum(0, at.parts[cell] - start)
-                w = np.repeat(np.arange(len(row)), many)
-                turn_w = np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)
-                take = np.r_[r, row[w]]
+                chunk = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+                many = at.parts[there]
+                w = np.repeat(np.arange(len(begins)), many)
+                part = np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)
+                at_home = (there[w] == at.tile(home[visitor[w]])) & (part == own[visitor[w]])
+                w, part = w[~at_home], part[~at_home]
+                take = np.r_[r, visitor[w]]
                 columns = [
-                    np.r_[home[r], cell[w]].astype(np.int32),
-                    np.r_[part[r], start[w] + turn_w].astype(np.int32),
-                    np.r_[turn, (spread[row[w]] // 7) % at.chunks[cell[w]]].astype(np.int32),
+                    np.r_[at.tile(home[r]), there[w]].astype(np.int32),
+                    np.r_[own[r], part].astype(np.int32),
+                    np.r_[chunk, (spread[visitor[w]] // 7) % at.chunks[there[w]]].astype(np.int32),
                     np.r_[np.ones(len(r), bool), np.zeros(len(w), bool)],
                     home[take].astype(np.int32),
+                    own[take].astype(np.int32),
                 ]
                 chosen = pa.array(take)
                 rest = [piece.column(k).take(chosen) for k in (3, 2, 1)]
-                visited = pa.concat_arrays([lists.take(pa.array(r)), pa.nulls(len(w), lists.type)])
-                names = ["cell", "part", "chunk", "resident", "home", "node", "uid", "copies", "visited", "v"]
+                visited = pa.concat_arrays([of_resident.take(pa.array(r)), of_visitor.take(pa.array(w))])
+                names = ["tile", "part", "chunk", "resident", "home", "own", "node", "uid", "copies", "cells", "v"]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *rest, visited, piece.column(0).take(chosen)], names=names)
 
     return classes.select("v", "copies", "uid", "node").mapInArrow(run, schema)
@@ -246,56 +272,54 @@ class _Forest:
 def links_in(table: pa.Table, width: int, cosine: float = COSINE) -> pa.Table:
     """What a task finds: for each vector with links the copies it is linked with, and a spanning forest of the links.
 
-    A pair of two cells that visit each other is counted in the cell of the lower number only, a pair within a part in
-    its chunk 0 only.  No pairs leave the task.
+    Each cell's residents meet its visitors, and the task's own residents that visit it, once for all chunks.  A pair
+    whose cells are both visited is counted in the cell of the lower number; a pair of one cell by the
+    order of its places, or in the part of the higher number.  No pairs leave the task.
     """
-    cell, chunk = table.column("cell")[0].as_py(), table.column("chunk")[0].as_py()
+    part, chunk = table.column("part")[0].as_py(), table.column("chunk")[0].as_py()
     resident = table.column("resident").to_numpy()
-    order = np.r_[np.flatnonzero(resident), np.flatnonzero(~resident)]
-    table = table.take(pa.array(order)).combine_chunks()
+    table = table.take(pa.array(np.r_[np.flatnonzero(resident), np.flatnonzero(~resident)])).combine_chunks()
     n = int(resident.sum())
-    rows = unit(matrix_of(table.column("v").combine_chunks(), width)) if len(table) else np.zeros((0, width))
-    copies, home = table.column("copies").to_numpy().astype(np.float64), table.column("home").to_numpy()
+    rows = unit(matrix_of(table.column("v").combine_chunks(), width))
+    copies, home, own = (table.column(c).to_numpy() for c in ("copies", "home", "own"))
+    copies = copies.astype(np.float64)
     found, forest = np.zeros(len(table)), _Forest(len(table))
-    lists = table.column("visited").combine_chunks().slice(0, n)
-    who = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
-    where = lists.flatten().to_numpy() if n else np.zeros(0, np.int32)
-    known = np.argsort(where, kind="stable")
-    where, who = where[known], who[known]
-
-    def compare(mine: np.ndarray, skipped: np.ndarray | None, within: bool) -> None:
-        for i in range(0, len(mine), 256):
-            part = mine[i : i + 256]
-            hit = product(rows[part], rows[:n]) >= cosine
-            if skipped is not None:
-                hit[:, skipped] = False
-            if within:
-                hit &= np.arange(n) > part[:, None]
-            if not hit.any():
+    lists = table.column("cells").combine_chunks()
+    where = lists.flatten().to_numpy().astype(np.int64)
+    who = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    visits = np.sort(where[who < n] * n + who[who < n])  # cell, resident
+    if chunk:  # residents meet each other in the first chunk
+        where, who = where[who >= n], who[who >= n]
+    order = np.argsort(where, kind="stable")
+    where, who = where[order], who[order]
+    by_home = np.argsort(home[:n], kind="stable")
+    sorted_home = home[:n][by_home]
+    for cell in np.unique(sorted_home):
+        here = by_home[slice(*np.searchsorted(sorted_home, [cell, cell + 1]))]
+        guests = who[slice(*np.searchsorted(where, [cell, cell + 1]))]
+        for i in range(0, len(guests), 256):
+            some = guests[i : i + 256]
+            hit = product(rows[some], rows[here]) >= cosine
+            g, r = np.nonzero(hit)
+            if not len(g):
                 continue
-            found[part] += hit @ copies[:n]
-            found[:n] += copies[part] @ hit
+            a, b = some[g], here[r]
+            same = home[a] == cell
+            later = np.where(a < n, a < b, own[a] < part)
+            key = home[a].astype(np.int64) * n + b
+            at = np.minimum(np.searchsorted(visits, key), len(visits) - 1)
+            elsewhere = (home[a] < cell) & (visits[at] == key)
+            hit[g, r] = np.where(same, later, ~elsewhere)
+            found[some] += hit @ copies[here]
+            found[here] += copies[some] @ hit
             for j in np.flatnonzero(hit.any(1)):
-                forest.join(int(part[j]), np.flatnonzero(hit[j]))
-
-    if n and chunk == 0:
-        compare(np.arange(n), None, True)
-    if n:
-        guests = np.arange(n, len(table))
-        guests = guests[np.argsort(home[guests], kind="stable")]
-        for group in np.split(guests, np.flatnonzero(np.diff(home[guests])) + 1) if len(guests) else []:
-            theirs = int(home[group[0]])
-            skipped = None
-            if theirs < cell:  # residents that visit the guests' cell meet them there
-                a, b = np.searchsorted(where, [theirs, theirs + 1])
-                skipped = who[a:b]
-            compare(group, skipped, False)
+                forest.join(int(some[j]), here[hit[j]])
     node, uid = table.column("node").to_numpy(), table.column("uid").to_numpy()
-    some = np.flatnonzero(found)
+    linked = np.flatnonzero(found)
     a, b = (uid[[e[k] for e in forest.edges]] if forest.edges else np.zeros(0, np.int64) for k in (0, 1))
-    none_some, none_edges = pa.nulls(len(some), pa.int64()), pa.nulls(len(a), pa.int64())
-    columns = [(node[some], none_edges), (found[some].astype(np.int64), none_edges), (none_some, a), (none_some, b)]
-    return pa.table({c: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in both]) for c, both in zip(("node", "links", "a", "b"), columns, strict=True)})
+    none_linked, none_edges = pa.nulls(len(linked), pa.int64()), pa.nulls(len(a), pa.int64())
+    columns = [(pa.array(node[linked]), none_edges), (pa.array(found[linked].astype(np.int64)), none_edges), (none_linked, pa.array(a)), (none_linked, pa.array(b))]
+    return pa.table({c: pa.concat_arrays(both) for c, both in zip(("node", "links", "a", "b"), columns, strict=True)})
 
 
 def near_copies_of(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -309,7 +333,7 @@ def near_copies_of(vectors: DataFrame, cosine: float = COSINE, recall: float = R
     def task(table: pa.Table) -> pa.Table:
         return links_in(table, width, cosine)
 
-    links = materialise(dealt(classes, index).groupBy("cell", "part", "chunk").applyInArrow(task, "node long, links long, a long, b long"))
+    links = materialise(dealt(classes, index).groupBy("tile", "part", "chunk").applyInArrow(task, "node long, links long, a long, b long"))
     sums = links.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.where("a is not null").select("a", "b")).withColumnRenamed("node", "uid")
     joined = classes.join(sums, "node", "left").join(roots, "uid", "left")
