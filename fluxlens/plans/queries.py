@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import addresses, times
-from ..operators import exporters, histograms, series, summary
+from ..operators import exporters, histograms, peers, series, summary
 from ..schema import BRIEF, MASKS, mask_of
 from ..scratch import new_folder
 from ..sources import export, flowlog, packets
@@ -782,6 +782,17 @@ def exporter_packets(spark, d):
     return stats.select(F.conv(F.hex(F.substring("agent_addr", 4, 1)), 16, 10).cast("int").alias("agent"), "packets", "flows", "invalid", "no_template")
 
 
+@query("""WITH e AS (SELECT event_id AS s, user_id AS u, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+ n AS (SELECT a.s, count(DISTINCT b.u) AS others FROM e a JOIN e b ON b.s > a.p AND b.s < a.s GROUP BY a.s),
+ c AS (SELECT u, count(*) AS came, max(s) AS last FROM (SELECT e.*, coalesce(n.others, 0) AS others FROM e LEFT JOIN n USING (s)) WHERE p IS NULL OR others >= 128 GROUP BY u),
+ k AS (SELECT u FROM (SELECT u, max(s) AS s FROM e GROUP BY u ORDER BY s DESC LIMIT 128))
+ SELECT CAST(u AS BIGINT) AS exporter, came, CAST(came - CASE WHEN k.u IS NULL THEN 0 ELSE 1 END AS BIGINT) AS went FROM c LEFT JOIN k USING (u)""")
+def exporters_evicted(spark, d):
+    """How often each exporter of a stream of packets came in and had to go, no more than 128 being kept."""
+    sent = event_flows(spark, d).select(addresses.ipv4_from_number(F.col("src_ip")).alias("agent_addr"), (F.col("flow_id") * 64).alias("seq"), F.lit(1).alias("flows"))
+    return peers.turnover(sent).select((addresses.ipv4_number(F.col("agent_addr")) - 167772160).alias("exporter"), "came", "went")
+
+
 @query(f"SELECT dst_port, {_SUMS} FROM {_L} WHERE flow_id % 8 BETWEEN 2 AND 3 AND protocol <> 47 GROUP BY dst_port")
 def stream_v9(spark, d):
     """A stream of packets from admitted exporters through decoder and policy, templates kept as state."""
