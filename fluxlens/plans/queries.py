@@ -682,6 +682,27 @@ def log_files_fields(spark, d):
     return _counted(found.withColumn("octets", F.coalesce("octets", F.lit(0))), F.count("crc32").alias("sums"))
 
 
+@query(_PORTS)
+def log_split(spark, d):
+    """One log read in blocks of 64 KB, whose records are found and numbered without going through the log."""
+    flowlog.register(spark)
+    folder = new_folder(spark, "log").removeprefix("file:")
+    line_flows(spark, d).select(*_LOGGED).coalesce(1).write.format("flowlog").mode("append").save(folder)
+    found = flowlog.read_split_log(spark, folder, 1 << 16)
+    return _counted(found.withColumn("octets", F.when(F.col("row_index") >= 0, F.col("octets"))))
+
+
+@query(_PORTS)
+def stream_to_log(spark, d):
+    """A stream written as flow logs, each batch once."""
+    flowlog.register(spark)
+    folder, log = new_folder(spark, "stream"), new_folder(spark, "log").removeprefix("file:")
+    line_flows(spark, d).select(*_LOGGED).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream.writeStream.format("flowlog").option("path", log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _counted(flowlog.read_log(spark, f"{log}/*.flow"))
+
+
 @query(_PORTS)
 def stream_log(spark, d):
     """A growing log as a stream: all of what is there, in the order in which it was written."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import glob
+import heapq
+import json
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 from typing import BinaryIO
@@ -19,6 +21,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamArrowWriter,
     DataSourceWriter,
     InputPartition,
     SimpleDataSourceStreamReader,
@@ -142,6 +145,80 @@ def log_of(df: DataFrame, by: str, mask: int = ALL, old: bool = False, checksum:
     return each.select(F.col(by).cast("string").alias("path"), F.concat(head, whole).alias("content"))
 
 
+#: Longest record; bytes that are looked back at first for where a record begins.
+LONGEST, LOOK_BACK = records.HEADER.size + records.MOST, 1 << 16
+
+
+def first_record(read: Callable[[int, int], bytes], at: int, look_back: int = LOOK_BACK) -> int:
+    """Where the first record at or behind byte ``at`` of a log begins, found without going through the log.
+
+    ``read(start, stop)`` gives bytes of it.  A record begins at one of the 257 words behind any byte that is a
+    multiple of four, so walks along the length words are begun at all of them.  Walks that meet go on as one;
+    if only one is left, it is the true one whichever that was.  If several are, they are begun further back.
+    """
+    while at:
+        begin = max(0, at - look_back) & ~3
+        data = read(begin, at + 1)  # a word before ``at`` may have its length behind it
+        walks = [0] if not begin else list(range(0, LONGEST, 4))  # a heap
+        while walks[0] < at - begin:
+            least = walks[0]
+            while walks and walks[0] == least:
+                heapq.heappop(walks)
+            heapq.heappush(walks, least + records.HEADER.size + 4 * data[least + 1])
+        if len(set(walks)) == 1:
+            return begin + walks[0]
+        look_back *= 4
+    return 0
+
+
+def _range_of(path: str) -> Callable[[int, int], bytes]:
+    def read(start: int, stop: int) -> bytes:
+        with open(path, "rb") as f:
+            f.seek(start)
+            return f.read(stop - start)
+
+    return read
+
+
+def read_split_log(spark: SparkSession, paths: str, splitbytes: int = 128 << 20, verify: bool = True) -> DataFrame:
+    """Flows of logs of the new format of any length, each decoded by many tasks; a bad record is an error.
+
+    Tasks find where the records of their block begin and count them; the driver gets a row for each block,
+    and adds up the numbers of the first records.  Neither it nor any task goes through a whole log.  Paths are on a
+    file system that all executors see.
+    """
+    found = sorted(glob.glob(os.path.join(paths, "*.flow")) if os.path.isdir(paths) else glob.glob(paths))
+    most = max(4, splitbytes & ~3)
+    blocks = [(p, at, min(at + most, size)) for p in found for size in [os.path.getsize(p)] for at in range(0, size, most)]
+    spread = spark.createDataFrame(blocks, "path string, start long, stop long").repartition("path", "start")
+    counted_as = "path string, start long, stop long, records long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                read, size = _range_of(path), os.path.getsize(path)
+                begin, end = first_record(read, start), first_record(read, stop) if stop < size else size
+                if begin < end:
+                    rows.append((path, begin, end, len(columns.walk(read(begin, end), False))))
+            made = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), *[pa.int64()] * 3), strict=True)], names=["path", "start", "stop", "records"])
+
+    parts, first = [], {}
+    for r in sorted(spread.mapInArrow(count, counted_as).collect()):  # a row for each block
+        parts.append((r["path"], r["start"], r["stop"], first.get(r["path"], 0)))
+        first[r["path"]] = parts[-1][3] + r["records"]
+    schema = _arrow(LOG)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, stop, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from decoded(_range_of(path)(start, stop), path, False, verify, "FAILFAST", schema, number)
+
+    dealt = spark.createDataFrame(parts, "path string, start long, stop long, first long").repartition(max(1, len(parts)), "path", "start")
+    return dealt.mapInArrow(run, LOG)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -237,6 +314,52 @@ class _Writer(DataSourceArrowWriter):
                 os.remove(m.path)
 
 
+class _StreamWriter(DataSourceStreamArrowWriter):
+    """Each batch of a stream once in the log, whatever fails: two steps in place of cutting a file back.
+
+    Tasks write hidden files.  ``commit`` first writes down which of them make up the batch, under a name that only
+    one writer can give, and then gives them their names.  A batch that comes again after a restart finds
+    what was written down: those files get their names, and what its tasks have written now goes.  Without that,
+    nothing of the batch had been seen, and the files of its lost tasks go when the next batch is committed.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.files = _Writer(options, False)
+        self.name = options.get("name", "stream")
+        self.noted = os.path.join(self.files.folder, f".{self.name}-batches")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        return self.files.write(batches)
+
+    def commit(self, messages: list, batchId: int) -> None:
+        os.makedirs(self.noted, exist_ok=True)
+        note = os.path.join(self.noted, str(batchId))
+        mine = [m.path for m in messages if m is not None]
+        if not os.path.exists(note):
+            named = [(p, os.path.join(self.files.folder, f"{self.name}-{batchId:09d}-{i:05d}.flow")) for i, p in enumerate(p for p in mine if os.path.getsize(p))]
+            draft = os.path.join(self.noted, f".{batchId}-{uuid.uuid4().hex}")
+            with open(draft, "w") as f:
+                json.dump(named, f)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(draft, note)  # fails if another writer was first
+            except FileExistsError:
+                pass
+            os.unlink(draft)
+        with open(note) as f:
+            named = json.load(f)
+        for hidden, path in named:
+            if os.path.exists(hidden):
+                os.rename(hidden, path)
+        for path in mine:
+            if os.path.exists(path):
+                os.unlink(path)
+
+    def abort(self, messages: list, batchId: int) -> None:
+        self.files.abort(messages)
+
+
 class _Stream(SimpleDataSourceStreamReader):
     """New records of a growing log: the offset is a number of bytes; a record that isn't whole yet waits."""
 
@@ -273,7 +396,8 @@ class _Stream(SimpleDataSourceStreamReader):
 class FlowLog(DataSource):
     """``spark.read.format("flowlog")``; options path, version (3 or 2), verify_crc, mode, splitbytes.
 
-    ``df.write.format("flowlog").mode("append")``; options path, fields, crc.  Paths are on a file system
+    ``df.write.format("flowlog").mode("append")`` and ``df.writeStream.format("flowlog")``; options path, fields, crc, and
+    for streams name (of the query, if several write to one folder).  Paths are on a file system
     that all executors see; :func:`read_log` reads from other stores.
     """
 
@@ -290,6 +414,9 @@ class FlowLog(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options), overwrite)
 
+    def streamWriter(self, schema: T.StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _StreamWriter(dict(self.options), overwrite)
+
     def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
         return _Stream(dict(self.options))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -400,11 +400,16 @@ BUCKET = 65536
 _KEY = ("agent_key", "source", "bucket")
 
 
+def source_of(payload: Column, seq: Column | None = None) -> Column:
+    """The four bytes of a version 9 packet that name its source; empty for others, or one of 16 bytes by ``seq`` to deal them out."""
+    others = F.lit(b"") if seq is None else F.substring(F.hex(F.pmod(seq, F.lit(16))), -1, 1).cast("binary")
+    return F.when(F.substring(payload, 1, 2) == F.lit(b"\0\x09"), F.substring(payload, 17, 4)).otherwise(others)
+
+
 def _keyed(packets: DataFrame) -> DataFrame:
     """Packets with exporter, source (of version 9; others have none) and bucket."""
-    source = F.when(F.substring("payload", 1, 2) == F.lit(b"\0\x09"), F.substring("payload", 17, 4)).otherwise(F.lit(b""))
     bucket = F.coalesce(F.floor(F.col("seq") / BUCKET), F.lit(-1)).cast("long")
-    return packets.select(*PACKET.names, F.coalesce("agent_addr", F.lit(b"")).alias("agent_key"), source.alias("source"), bucket.alias("bucket"))
+    return packets.select(*PACKET.names, F.coalesce("agent_addr", F.lit(b"")).alias("agent_key"), source_of(F.col("payload")).alias("source"), bucket.alias("bucket"))
 
 
 class _Recorder(Templates):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import errno
 import socket
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from ..operators.exporters import admit
 from ..operators.series import rollup
 from ..plans.policy import Policy, PolicyError, apply_policy, apply_store, parse
 from ..schema import ALL
-from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates
+from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates, source_of
 
 
 def rollup_stream(flows: DataFrame, delay: str = "1 hour", time: str = "recv_time") -> DataFrame:
@@ -40,9 +42,9 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
 
 
 def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str | None = None) -> DataFrame:
-    """Flows of a stream of packets, version 9 templates kept as state of each exporter.
+    """Flows of a stream of packets, version 9 templates kept as state of each exporter's source.
 
-    Exporters that the policy doesn't admit are dropped before anything is decoded.  An exporter's
+    Exporters that the policy doesn't admit are dropped before anything is decoded.  A source's
     templates go after ``idle`` without a packet (if given: not for queries that end by themselves, since
     Spark runs batches for as long as a timeout may come); a limit over all exporters, which a single
     process could keep, would need one task for all of them.  Packets of one batch are taken in the order
@@ -67,69 +69,104 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str |
         yield flows.batch().to_pandas(integer_object_nulls=True, date_as_object=True)
 
     flows = (
-        admitted.select(*PACKET.names)
-        .groupBy("agent_addr")
+        admitted.select(*PACKET.names, source_of(F.col("payload"), F.col("seq")).alias("source"))
+        .groupBy("agent_addr", "source")
         .applyInPandasWithState(run, FLOW_ROW, state, "append", timeout)
     )
     return apply_policy(flows, policy) if policy else flows
 
 
+_RELAYS: dict[tuple, DatagramRelay] = {}
+
+
 class DatagramRelay:
-    """Sends records to a datagram socket, as ``send`` of :func:`relay`.
+    """Sends records to a datagram socket, as ``send`` of :func:`relay`; gives (sent, lost) of each call.
 
-    A full buffer loses the record and isn't an error.  Beyond ERRORS errors, the socket is opened again, but
-    not within WAIT seconds of the last time.
+    A full buffer loses the record and isn't an error.  A success takes an error back.  With more than ERRORS errors,
+    more than WAIT seconds after the first of them, the socket is opened again before the next records.  Copies that
+    reach the same worker process of an executor are one relay: its connection and errors outlive tasks and batches.
     """
 
     ERRORS, WAIT = 128, 60.0  # fixed values
 
-    def __init__(self, path: str, connect: Callable | None = None, clock: Callable[[], float] = time.monotonic):
-        self.path, self.clock = path, clock
-        self.connect = connect or self._connect
+    def __init__(self, path: str, connect: Callable | None = None, clock: Callable[[], float] = time.monotonic, name: str | None = None):
+        self.path, self.connect, self.clock = path, connect, clock
+        self.name = name or uuid.uuid4().hex
         self.errors = self.lost = self.sent = 0
-        self.opened = -self.WAIT
+        self.first_error: float | None = None
         self.socket = None
 
     def _connect(self):
         s = socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM)
         s.connect(self.path)
+        s.setblocking(False)  # a reader that doesn't keep up loses records, it doesn't hold up the stream
         return s
 
-    def __getstate__(self) -> dict:  # a task opens its own
-        return self.__dict__ | {"socket": None}
+    def __reduce__(self) -> tuple:
+        return _relay_here, (self.path, self.connect, self.clock, self.name)
 
-    def _reopen(self) -> None:
-        if self.clock() - self.opened < self.WAIT:
-            return
-        self.opened, self.errors = self.clock(), 0
-        try:
-            self.socket = self.connect()
-        except OSError:
-            self.socket = None
+    def _open(self) -> None:
+        if self.socket is not None and self.errors > self.ERRORS and self.clock() > self.first_error + self.WAIT:
+            self.socket.close()
+            self.socket, self.first_error, self.errors = None, None, 0
+        if self.socket is None:
+            try:
+                self.socket = (self.connect or self._connect)()
+            except OSError:
+                pass  # what comes is lost until it can be opened
 
-    def __call__(self, records: Sequence[bytes]) -> None:
+    def __call__(self, records: Sequence[bytes]) -> tuple[int, int]:
+        self._open()
+        sent = lost = 0
         for record in records:
-            if self.socket is None or self.errors > self.ERRORS:
-                self._reopen()
             try:
-                if self.socket is None:
-                    raise ConnectionError(self.path)
-                self.socket.send(record)
-                self.sent += 1
+                if self.socket is not None:
+                    self.socket.send(record)
+                    sent += 1
+                else:
+                    lost += 1
+                self.errors = max(0, self.errors - 1)
+                if not self.errors:
+                    self.first_error = None
             except OSError as e:
-                self.lost += 1
-                self.errors += e.errno != errno.ENOBUFS
+                lost += 1
+                if e.errno != errno.ENOBUFS:
+                    self.first_error = self.clock() if self.first_error is None else self.first_error
+                    self.errors += 1
+        self.sent, self.lost = self.sent + sent, self.lost + lost
+        return sent, lost
 
 
-def relay(flows: DataFrame, send: Callable[[Sequence[bytes]], None], checkpoint: str, policy: Policy | None = None) -> StreamingQuery:
-    """Sends the record of each flow with ``send(list of records)``, once for each partition of a batch.
+def _relay_here(path: str, connect: Callable | None, clock: Callable[[], float], name: str) -> DatagramRelay:
+    if (path, name) not in _RELAYS:
+        _RELAYS[path, name] = DatagramRelay(path, connect, clock, name)
+    return _RELAYS[path, name]
 
-    With a policy, only the groups that it stores are in the records.
+
+def relay(
+    flows: DataFrame, send: Callable[[Sequence[bytes]], tuple[int, int] | None], checkpoint: str, policy: Policy | None = None,
+    report: Callable[[int, int, int], None] | None = None,
+) -> StreamingQuery:
+    """Sends the record of each flow with ``send(list of records)``, a thousand or so at a time, on the executors.
+
+    With a policy, only the groups that it stores are in the records.  ``report(batch, sent, lost)`` is called on the driver
+    with the sums of what ``send`` gave, if anything.  Like any relay of datagrams this sends a batch again that failed.
     """
     from ..sources.flowlog import encode_records
 
-    def each(batch: DataFrame, _: int) -> None:
-        encode_records(batch, policy.store if policy else ALL).foreachPartition(lambda rows: send([bytes(r["record"]) for r in rows]))
+    def sent_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [0, 0]
+            for at in range(0, batch.num_rows, 1000):
+                for i, n in enumerate(send(batch.column(0).slice(at, 1000).to_pylist()) or (0, 0)):
+                    sums[i] += n
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in sums], names=["sent", "lost"])
+
+    def each(batch: DataFrame, number: int) -> None:
+        done = encode_records(batch, policy.store if policy else ALL).mapInArrow(sent_in, "sent long, lost long")
+        sums = done.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("lost"), F.lit(0))).first()
+        if report:
+            report(number, *sums)
 
     return flows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

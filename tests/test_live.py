@@ -1,7 +1,12 @@
 import errno
+import glob
 import io
+import os
+import pickle
 import socket
+import threading
 
+import numpy as np
 import pytest
 
 from fluxlens.plans.policy import parse
@@ -38,22 +43,81 @@ def test_local_socket(tmp_path):
 
 
 def test_relay_opens_again():
-    now, opened = [0.0], []
+    now, opened, failing = [0.0], [], [errno.ECONNREFUSED]
 
-    class Broken:
+    class Line:
         def send(self, _):
-            raise OSError(errno.ENOBUFS if len(opened) > 1 else errno.ECONNREFUSED, "x")
+            if failing[0]:
+                raise OSError(failing[0], "x")
+
+        def close(self):
+            opened.append("closed")
 
     def connect():
         opened.append(now[0])
-        return Broken()
+        return Line()
 
     send = DatagramRelay("x", connect, lambda: now[0])
-    send([b"r"] * 200)
-    assert opened == [0.0] and send.lost == 200 and send.errors == 200
-    now[0] = 61.0
-    send([b"r"] * 200)  # a full buffer is no error
-    assert opened == [0.0, 61.0] and send.errors == 0 and send.lost == 400
+    assert send([b"r"] * 100) == (0, 100) and send.errors == 100
+    now[0] = 30.0
+    failing[0] = errno.ENOBUFS  # a full buffer is no error
+    assert send([b"r"] * 50) == (0, 50) and send.errors == 100
+    failing[0] = 0  # a success takes one back
+    assert send([b"r"] * 40) == (40, 0) and send.errors == 60
+    failing[0] = errno.ECONNREFUSED
+    send([b"r"] * 69)
+    assert send.errors == 129 and send.first_error == 0.0
+    now[0] = 60.0  # not more than a minute after the first error
+    send([b"r"])
+    assert opened == [0.0]
+    now[0] = 60.5
+    send([b"r"])
+    assert opened == [0.0, "closed", 60.5] and send.errors == 1 and send.first_error == 60.5
+    failing[0] = 0
+    send([b"r"])
+    assert send.errors == 0 and send.first_error is None
+
+
+def test_copies_of_a_relay_are_one():
+    send = DatagramRelay("/nowhere", name="a")
+    one, two = (pickle.loads(pickle.dumps(send)) for _ in range(2))
+    one.errors = 100
+    assert two is one and two.errors == 100
+    assert pickle.loads(pickle.dumps(DatagramRelay("/nowhere", name="b"))) is not one
+
+
+def test_relay_of_two_batches_in_two_partitions(spark, tmp_path):
+    path = str(tmp_path / "s")
+    here = listener._Listener(f"unix://{path}")
+    got, ended = [], threading.Event()
+
+    def listen():
+        while not ended.is_set():
+            got.extend(records.decode(r[3])[0]["octets"] for r in here.read({"seq": 0})[0])
+
+    reader = threading.Thread(target=listen, daemon=True)
+    reader.start()
+
+    for batch in range(2):
+        spark.createDataFrame([(batch * 100 + i,) for i in range(60)], "octets long").repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("octets long").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    told = []
+
+    def waits():  # a connection that waits where the reader is behind
+        s = socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM)
+        s.connect(path)
+        s.settimeout(5)
+        return s
+
+    relay(stream, DatagramRelay(path, waits), str(tmp_path / "c"), report=lambda *x: told.append(x)).awaitTermination()
+    ended.set()
+    reader.join()
+    assert told == [(0, 60, 0), (1, 60, 0)] and sorted(got) == [*range(60), *range(100, 160)]
+    here.socket.close()
+    os.unlink(path)
+    told.clear()
+    relay(stream, DatagramRelay(path), str(tmp_path / "c2"), report=lambda *x: told.append(x)).awaitTermination()
+    assert [x[1:] for x in told] == [(0, 60)] * 2  # nobody listens: lost, and the stream goes on
 
 
 def test_policy_is_read_for_each_batch(spark, tmp_path):
@@ -97,3 +161,81 @@ def test_old_logs_are_not_appended_to(spark, tmp_path):
         df.write.format("flowlog").mode("append").save(str(tmp_path))
     with pytest.raises(Exception, match="file systems"):
         df.write.format("flowlog").mode("append").save("s3a://bucket/x")
+
+
+# logs written by streams, logs read in blocks
+
+
+def test_a_batch_is_in_the_log_once(spark, tmp_path):
+    flowlog.register(spark)
+    log, data, checkpoint = str(tmp_path / "log"), str(tmp_path / "in"), str(tmp_path / "c")
+    for k in range(3):
+        spark.createDataFrame([(k * 10 + i,) for i in range(10)], "octets long").coalesce(1).write.mode("append").parquet(data)
+
+    def run():
+        stream = spark.readStream.schema("octets long").option("maxFilesPerTrigger", 1).parquet(data)
+        stream.writeStream.format("flowlog").option("path", log).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["octets"] for r in flowlog.read_log(spark, f"{log}/*.flow").collect())
+
+    assert run() == list(range(30))
+    # the query ended after the last batch was written, but before Spark noted that
+    for path in glob.glob(f"{checkpoint}/commits/*2") + glob.glob(f"{checkpoint}/commits/.*2.crc"):
+        os.unlink(path)
+    assert run() == list(range(30))
+    assert not glob.glob(f"{log}/.[0-9a-f]*-*-*")
+
+
+def test_a_commit_that_was_cut_off_is_ended(tmp_path):
+    import pyarrow as pa
+
+    from pyspark import TaskContext
+
+    options = {"path": str(tmp_path)}
+    TaskContext._taskContext = type("Task", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 7})()
+    try:
+        first = flowlog._StreamWriter(options, False)
+        written = first.write(iter([pa.RecordBatch.from_pydict({"octets": pa.array([1, 2], pa.decimal128(20, 0))})]))
+        rename, os.rename = os.rename, None
+        try:
+            first.commit([written, None], 4)
+        except TypeError:
+            pass  # ended between the two steps
+        finally:
+            os.rename = rename
+        assert not glob.glob(f"{tmp_path}/*.flow")
+        again = flowlog._StreamWriter(options, False)
+        more = again.write(iter([pa.RecordBatch.from_pydict({"octets": pa.array([1, 2], pa.decimal128(20, 0))})]))
+        again.commit([more], 4)
+        again.commit([], 4)
+    finally:
+        TaskContext._taskContext = None
+    (path,) = glob.glob(f"{tmp_path}/*.flow")
+    assert [r["octets"] for r in records.scan(open(path, "rb").read())] == [1, 2]
+
+
+@pytest.mark.parametrize("look_back", [8, 64, 4096])
+def test_records_are_found_from_any_byte(look_back):
+    rng = np.random.default_rng(look_back)
+    names = ["src_addr", "dst_addr", "src_port", "octets", "tag", "packets", "protocol"]
+    log, starts = b"", []
+    for i in range(300):
+        row = {c: (rng.bytes(16 if rng.random() < 0.5 else 4) if c.endswith("addr") else int(rng.integers(0, 255))) for c in names if rng.random() < 0.5}
+        if {"src_port", "protocol"} & row.keys():
+            row |= {"src_port": 1, "dst_port": 2} if "src_port" in row else {}
+            row |= {"protocol": 1, "tos": 2, "tcp_flags": 3} if "protocol" in row else {}
+        starts.append(len(log))
+        log += records.encode(row)
+    for at in range(0, starts[-1], 4):
+        want = next(s for s in starts if s >= at)
+        assert flowlog.first_record(lambda a, b: log[a:b], at, look_back) == want
+
+
+def test_log_in_blocks(spark, tmp_path):
+    log = b"".join(records.encode(FLOW | {"tag": i} if i % 3 else {"octets": i}) for i in range(500))
+    (tmp_path / "a.flow").write_bytes(log)
+    (tmp_path / "b.flow").write_bytes(log[:-5])  # the last record isn't whole
+    (tmp_path / "c.flow").write_bytes(b"")
+    want = sorted((r["input_file"][-6:], r["row_index"], r["tag"]) for r in flowlog.read_log(spark, f"{tmp_path}/*.flow").collect())
+    for size in (40, 1000, 1 << 20):
+        got = flowlog.read_split_log(spark, str(tmp_path), size).collect()
+        assert sorted(((r["input_file"][-6:], r["row_index"], r["tag"]) for r in got), key=str) == sorted(want, key=str)
