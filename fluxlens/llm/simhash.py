@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ _SMALL_CELL = 48
 
 
 #: Fingerprints by which near copies are sought: one alone links few of the pairs at a similarity of 0.8.
-MANY = 10
+MANY = 12
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -200,28 +200,36 @@ def alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.where(common >= similar * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
 
-def near_copies(docs: DataFrame, key: str, words: int = 2, many: int = MANY, of: int = 5, similar: float = 0.8) -> DataFrame:
-    """(key, root) of the texts that have a near copy among ``docs``: the smallest key that links lead to.
+def near_copies(docs: DataFrame, key: str | Sequence[str], words: int = 2, many: int = MANY, of: int = 5, similar: float = 0.8) -> DataFrame:
+    """(key ..., root) of the texts that have a near copy among ``docs``: what all texts which links lead to share.
 
-    ``key`` is a column of longs that tells texts apart.  Two texts are linked if any of their ``many`` fingerprints
+    ``key`` is a column of longs that tells texts apart, and root the smallest one; or several columns do together, and
+    root is a number.  Two texts are linked if any of their ``many`` fingerprints
     of ``words``-word shingles are within DISTANCE bits and their sets of ``of``-word shingles are similar to ``similar``
     (Jaccard).  Short shingles in the fingerprints bring pairs at that threshold within few bits, the sets decide.
-    Equal fingerprints are one point of the grid, and each text with one is compared with the smallest of them, so
+    Equal fingerprints are one point of the grid, and each text with one is compared with the first of them, so
     copies are never expanded into pairs.  Null, empty and blank texts are linked to each other.
     """
     kind = T.ArrayType(T.LongType())
-    marked = map_texts(docs, lambda rows: [[fingerprints_of(t, words, many) for t in rows]], [("fps", kind)], (key,))
-    marked = marked.groupBy(F.col(f"`{key}`").alias("key")).agg(F.first("fps").alias("fps"))
-    each = materialise(marked.select("key", F.posexplode("fps").alias("kind", "fp")))
-    points = materialise(each.groupBy("kind", "fp").agg(F.min("key").alias("least")))
-    equal = each.join(points, ["kind", "fp"]).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    key, number = ((key,), F.col(f"`{key}`")) if isinstance(key, str) else (tuple(key), F.monotonically_increasing_id())
+    names = [F.col(f"`{c}`") for c in key]
+    marked = map_texts(docs, lambda rows: [[fingerprints_of(t, words, many) for t in rows]], [("fps", kind)], key)
+    marked = marked.groupBy(*names).agg(F.first("fps").alias("fps"))
+    # from here on a text is a number of its own, which its row keeps once it is written
+    numbered = materialise(marked.withColumn("key_number", number))
+    each = numbered.select(F.col("key_number").alias("key"), F.posexplode("fps").alias("kind", "fp"))
+    points = materialise(each.groupBy("kind", "fp").agg(F.min("key").alias("least"), F.count("*").alias("texts")))
+    shared = points.where("texts > 1").drop("texts")
+    equal = each.join(shared, ["kind", "fp"]).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     close = links_by_kind(points.select("kind", "fp", F.col("least").alias("name")))
     pairs = materialise(equal.unionByName(close).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    texts = docs.groupBy(key).agg(F.first("text").alias("text")).join(ends, key, "left_semi")
-    sets = map_texts(texts, lambda rows: [[shingle_hashes(t, of) for t in rows]], [("hashes", kind)], (key,))
-    sets = materialise(sets.select(F.col(f"`{key}`").alias("key"), "hashes"))
-    return components(alike(pairs, sets, similar)).select(F.col("node").alias(key), "root")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key_number")).distinct()
+    wanted = numbered.join(ends, "key_number").select("key_number", *names)
+    texts = docs.groupBy(*names).agg(F.first("text").alias("text")).join(wanted, list(key))
+    sets = map_texts(texts, lambda rows: [[shingle_hashes(t, of) for t in rows]], [("hashes", kind)], ("key_number",))
+    sets = materialise(sets.select(F.col("key_number").alias("key"), "hashes"))
+    linked = components(alike(pairs, sets, similar)).withColumnRenamed("node", "key_number")
+    return numbered.join(linked, "key_number").select(*names, "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
