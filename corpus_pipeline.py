@@ -37,15 +37,20 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows without a doc_id stand behind all others of their group.
     """
-    key, root, row = (fresh(docs.columns, c) for c in ("text_key", "group_root", "place_in_group"))
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    groups = near_copies(keyed, key).withColumnRenamed("root", root)
+    one, two, root, row = (fresh(docs.columns, c) for c in ("text_key", "text_key_2", "group_root", "place_in_group"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({one: F.xxhash64(text), two: F.xxhash64(F.lit(1), text)})  # 128 bits
+    groups = near_copies(keyed, (one, two)).withColumnRenamed("root", root)
     # of equal texts one row, then of each group one: only ids and keys are compared, and the texts join in the end
-    least = keyed.groupBy(key).agg(F.min("doc_id").alias("doc_id")).join(groups, key, "left")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col(key).alias("k"))
-    chosen = least.groupBy(F.coalesce(root, key)).agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("chosen_id"), F.col("o.k").alias("chosen_key"))
-    both = keyed.join(chosen, (keyed[key] == F.col("chosen_key")) & keyed["doc_id"].eqNullSafe(F.col("chosen_id")))
-    by = Window.partitionBy("chosen_id", "chosen_key").orderBy("chosen_id")
+    least = keyed.groupBy(one, two).agg(F.min("doc_id").alias("doc_id")).join(groups, [one, two], "left")
+    keys = F.struct(F.col(one).alias("k"), F.col(two).alias("l"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), keys.alias("k"))
+    alone = F.when(F.col(root).isNull(), keys)  # a group of its own
+    chosen = least.groupBy(F.col(root).alias("r"), alone.alias("a")).agg(F.min(order).alias("o"))
+    chosen = chosen.select(F.col("o.doc_id").alias("chosen_id"), F.col("o.k.k").alias("chosen_key"), F.col("o.k.l").alias("chosen_key_2"))
+    same = (keyed[one] == F.col("chosen_key")) & (keyed[two] == F.col("chosen_key_2"))
+    both = keyed.join(chosen, same & keyed["doc_id"].eqNullSafe(F.col("chosen_id")))
+    by = Window.partitionBy("chosen_id", "chosen_key", "chosen_key_2").orderBy("chosen_id")
     return both.withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).select(*docs.columns)
 
 
