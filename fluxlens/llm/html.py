@@ -16,6 +16,8 @@ from .common import fresh, map_texts
 
 #: Sliding window in lines, and the characters in a window at which text surges.
 WINDOW, SURGE = 3, 86
+#: The same within an article that the page marks.
+MARKED = 10
 
 # fixed values: elements
 #: Their content is no text of the page.
@@ -30,6 +32,9 @@ _BLOCKS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p "
     "pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text rather than parts of a page.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption span em strong b i a code cite q mark small sub sup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the left is closed by a start tag of the right.
 _CLOSES = {
@@ -60,11 +65,12 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Line:
-    """A block's text; ``inside``: it stands in an article element; ``linked``: its characters in links."""
+    """A block's text; ``inside``: it stands in an article element; ``linked``: its characters in links; ``heading``: it is one."""
 
     text: str
     inside: bool
     linked: int
+    heading: bool = False
 
 
 def _aside(tag: str, attributes: str, inside: bool) -> bool:
@@ -77,6 +83,8 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or "hidden").lower()
         value = (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id") and inside and tag in _TEXT:
+            continue  # a paragraph of the article, whatever it is called
         if name == "class" and inside:  # one word among others says nothing against text within an article
             if (words := value.split()) and all(map(marks.search, words)):
                 return True
@@ -146,18 +154,18 @@ def lines_of(page: str) -> list[Line]:
     open_tags: list[tuple[str, bool]] = []  # (element, it holds no article text)
     places: dict[str, list[int]] = {}  # of the open elements of each name
     blocks: list[int] = []  # places of open block elements
-    dropped = inside = links = linked = 0
+    dropped = inside = links = linked = headings = 0
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             if text := _SPACE.sub(" ", entities.unescape("".join(parts))).strip():
-                out.append(Line(text, inside > 0, linked))
+                out.append(Line(text, inside > 0, linked, headings > 0))
             parts.clear()
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal dropped, inside, links
+        nonlocal dropped, inside, links, headings
         while len(open_tags) > at:
             tag, side = open_tags.pop()
             places[tag].pop()
@@ -166,6 +174,7 @@ def lines_of(page: str) -> list[Line]:
             dropped -= side
             inside -= tag in ("article", "main")
             links -= tag == "a"
+            headings -= tag in _HEADINGS
 
     for kind, tag, rest in tokens(page):
         if kind == "text":
@@ -193,49 +202,41 @@ def lines_of(page: str) -> list[Line]:
         dropped += side
         inside += tag in ("article", "main")
         links += tag == "a"
+        headings += tag in _HEADINGS
     end_block()
     return out
 
 
-def weights(lines: list[Line], surge: int = SURGE) -> np.ndarray:
-    """Weight of each line in the distribution: its characters outside links.
-
-    Where a page marks its article, that shifts the weights: a line inside weighs a surge more, so that an article of
-    a few short lines surges as well, and one outside weighs nothing.
-    """
-    own = np.array([max(0, len(x.text) - x.linked) for x in lines], np.int64)
-    inside = np.array([x.inside for x in lines], bool)
-    return np.where(inside, own + surge, 0) if inside.any() else own
-
-
-def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE, marked: int = MARKED) -> np.ndarray:
     """Which lines belong to the main text.
 
-    The weight of each line is summed over windows of ``window`` lines.  Where a window's sum rises to
-    ``surge`` or more, text surges; where it falls to zero, text dives; all lines between are kept.
+    A line weighs its characters outside links, and weights are summed over windows of ``window`` lines.  Where a
+    window's sum rises to ``surge`` or more, text surges; where it falls to zero, text dives; all lines between
+    are kept, from the surge's first heading or line of an even share on.  If no window reaches that, the densest one surges.
+
+    Where a page marks its article, only the lines in the mark are looked at, and no menu stands before the text there:
+    text surges in a window of ``marked`` characters, from its first line on.  What has no text of its own for a whole window,
+    such as a list of links, is left out there as well.
     """
     kept = np.zeros(len(lines), bool)
-    if not len(lines):
+    inside = np.flatnonzero([x.inside for x in lines])
+    looked_at = inside if len(inside) else np.arange(len(lines))
+    own = np.array([max(0, len(lines[i].text) - lines[i].linked) for i in looked_at], np.int64)
+    if not own.any():
         return kept
-    own = weights(lines, surge)
     total = np.r_[0, np.cumsum(own)]
     sums = total[np.minimum(np.arange(len(own)) + window, len(own))] - total[:-1]
-    if sums.max() < surge:  # a page with little text: the place where it is densest
-        surge = int(sums.max())
-        if not surge:
-            return kept
-    some = np.flatnonzero(own)
+    surge = min(marked if len(inside) else surge, int(sums.max()))
+    first = np.flatnonzero((own >= (1 if len(inside) else surge / window)) | (own > 0) & np.array([lines[i].heading for i in looked_at]))
     empty = np.flatnonzero(sums == 0)
     high = np.flatnonzero(sums >= surge)
     at = 0
     while (k := int(np.searchsorted(high, at))) < len(high):
-        start = int(some[np.searchsorted(some, high[k])])
+        start = int(first[np.searchsorted(first, high[k])])
         dive = int(np.searchsorted(empty, start))
         stop = int(empty[dive]) if dive < len(empty) else len(own)
-        kept[start:stop] = True
+        kept[looked_at[start:stop]] = True
         at = stop
-    if any(x.inside for x in lines):  # lines that the windows bridge outside the mark weigh nothing
-        kept &= np.array([x.inside for x in lines], bool)
     return kept
 
 
