@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 
 from .common import fresh, map_texts, slices, words_of
 
-#: A block has at least this share of a template's distinct words, or the template isn't in it.
-CONTAINMENT = 0.8
+#: A block has at least this share of a template's distinct words, or the template isn't in it.  With less, a short
+#: template would be found without the word that tells its license from others.
+CONTAINMENT = 0.9
+#: A block for a template has as many words as that, repeats included, and this share more, for words put in between.
+SLACK = 0.25
 
 # fixed values: phrases whose places are counted, with their labels
 PHRASES = (
@@ -48,6 +51,7 @@ TEMPLATES = (
 class Template:
     label: str
     words: frozenset[bytes]
+    block: int
 
     @property
     def needed(self) -> int:
@@ -55,38 +59,19 @@ class Template:
 
 
 def templates_of(pairs: Sequence[tuple[str, str]]) -> list[Template]:
-    return [Template(label, frozenset(words_of(text.encode()))) for text, label in pairs]
+    listed = [(label, words_of(text.encode())) for text, label in pairs]
+    return [Template(label, frozenset(words), len(words) + math.ceil(SLACK * len(words))) for label, words in listed if words]
 
 
-def block_words(templates: Sequence[Template]) -> int:
-    """A block has twice the words of the largest template; blocks start at every half.
-
-    Any run of words no longer than the largest template thus stands whole in some block.
-    """
-    return 2 * max((len(t.words) for t in templates), default=1)
-
-
-def block_frequencies(docs: DataFrame, templates: Sequence[Template]) -> dict[bytes, int]:
-    """In how many blocks of all texts each template word stands."""
-    known = {w for t in templates for w in t.words}
-    size = block_words(templates)
+def text_frequencies(docs: DataFrame, templates: Sequence[Template]) -> dict[bytes, int]:
+    """In how many texts each template word stands."""
+    known = frozenset(w for t in templates for w in t.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        half = size // 2
         for piece in slices(batches, "text"):
             for text in piece.column(0).cast(pa.binary()).to_pylist():
-                words = words_of(text)
-                last = max(0, -(-len(words) // half) - 2)  # number of the text's last block
-                seen: dict[bytes, int] = {}
-                for i, w in enumerate(words):
-                    if w in known:  # it stands in blocks i // half - 1 and i // half
-                        at = i // half
-                        first = max(seen.get(w, -1) + 1, at - 1, 0)
-                        stop = min(at, last)
-                        if stop >= first:
-                            counts[w] += stop - first + 1
-                            seen[w] = stop
+                counts.update(known.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
         )
@@ -104,43 +89,47 @@ class TemplateIndex:
         self.rank = {w: i for i, w in enumerate(order)}
         self.templates = templates
         self.sorted = [sorted(self.rank[w] for w in t.words) for t in templates]
+        self.place = [{r: i for i, r in enumerate(ranks)} for ranks in self.sorted]
         # a block with enough of a template's words has one of its first len - needed + 1
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        self.prefix: dict[int, list[int]] = {}
         for k, (t, ranks) in enumerate(zip(templates, self.sorted, strict=True)):
-            for place, r in enumerate(ranks[: len(ranks) - t.needed + 1]):
-                self.prefix.setdefault(r, []).append((k, place))
-        self.size = block_words(templates)
+            for r in ranks[: len(ranks) - t.needed + 1]:
+                self.prefix.setdefault(r, []).append(k)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) of each block that meets the threshold."""
+        """(template, first word, end, highest containment) of each run of overlapping blocks that meet the threshold.
+
+        Blocks start at a template word: any other one has no more of them than the next that does.
+        """
         get = self.rank.get
         at = [(i, r) for i, w in enumerate(words) if (r := get(w)) is not None]
-        if not any(r in self.prefix for _, r in at):
-            return
-        half = self.size // 2
-        last = max(0, -(-len(words) // half) - 2)
-        blocks: dict[int, set[int]] = {}
-        for i, r in at:
-            for b in {max(0, min(i // half - 1, last)), min(i // half, last)}:
-                if b * half <= i < b * half + self.size:
-                    blocks.setdefault(b, set()).add(r)
-        for b, ranks in sorted(blocks.items()):
-            block = sorted(ranks)
-            tried: set[int] = set()
-            for place_in_block, r in enumerate(block):
-                for k, place in self.prefix.get(r, ()):
-                    if k in tried:
-                        continue
-                    tried.add(k)
-                    t, needed = self.sorted[k], self.templates[k].needed
-                    if len(block) < needed:  # length filter
-                        continue
-                    # positional filter: this is the first common word, so all others stand behind it
-                    if 1 + min(len(t) - place - 1, len(block) - place_in_block - 1) < needed:
-                        continue
-                    common = len(ranks.intersection(t))
-                    if common >= needed:
-                        yield k, b * half, min(len(words), b * half + self.size), common / len(t)
+        present = {r for _, r in at}
+        for k in sorted({k for r in present for k in self.prefix.get(r, ())}):
+            place, needed, size = self.place[k], self.templates[k].needed, self.templates[k].block
+            common = [place[r] for r in present if r in place]
+            # length filter; positional filter: all other common words stand behind the first
+            if len(common) < needed or min(common) > len(place) - needed:
+                continue
+            mine = [(i, place[r]) for i, r in at if r in place]
+            held: Counter = Counter()
+            stop, run = 0, None
+            for first, (i, p) in enumerate(mine):
+                while stop < len(mine) and mine[stop][0] < i + size:
+                    held[mine[stop][1]] += 1
+                    stop += 1
+                if stop - first >= needed and len(held) >= needed:
+                    share = len(held) / len(place)
+                    if run and i <= run[1]:
+                        run = [run[0], i + size, max(run[2], share)]
+                    else:
+                        if run:
+                            yield k, run[0], min(run[1], len(words)), run[2]
+                        run = [i, i + size, share]
+                held[p] -= 1
+                if not held[p]:
+                    del held[p]
+            if run:
+                yield k, run[0], min(run[1], len(words)), run[2]
 
 
 class PhraseFinder:
@@ -180,12 +169,12 @@ def scan(
 ) -> tuple[DataFrame, str]:
     """Columns ``keep`` and a struct: n_words, places of phrases, and every block with a template in it; its name.
 
-    Two narrow passes: block frequencies of the templates' words over all texts, then the join.  The
+    Two narrow passes: in how many of all texts the templates' words stand, then the join.  The
     templates are a fixed list, so the index that each task holds has a fixed size.
     Null texts count as empty; repeated rows each get a result.
     """
     listed = templates_of(templates)
-    frequencies = block_frequencies(docs, listed)
+    frequencies = text_frequencies(docs, listed)
     cache: dict[str, tuple] = {}
 
     def work(texts):
@@ -227,3 +216,27 @@ def license_labels(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(base, blocks["label"])), ",").alias("labels"),
         F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(blocks["containment"]), F.lit(0.0))).alias("score"),
     )
+
+
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{t.label}', {t.needed}, {len(t.words)}, {t.block}, '{w.decode()}')" for k, t in enumerate(templates_of(TEMPLATES)) for w in sorted(t.words))
+_PHRASE_ROWS = ", ".join(f"('{label}', {text.split()})" for text, label in PHRASES)
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+o AS (SELECT r, i, w[i + 1] AS x FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d)),
+p(label, phrase) AS (VALUES {_PHRASE_ROWS}),
+b AS (SELECT r, i, label FROM o JOIN p ON o.x = p.phrase[1] JOIN d USING (r) WHERE w[i + 1:i + len(phrase)] = phrase),
+bs AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+t(k, label, needed, n, block, x) AS (VALUES {_TEMPLATE_ROWS}),
+h AS (SELECT o.r, t.k, o.i, t.x, t.block FROM o JOIN t USING (x)),
+enough AS (SELECT h.r, h.k FROM h JOIN t ON t.k = h.k AND t.x = h.x GROUP BY h.r, h.k HAVING count(DISTINCT h.x) >= any_value(needed)),
+e AS (SELECT h.* FROM h JOIN enough USING (r, k)),
+m AS (SELECT a.r, a.k, a.i, count(DISTINCT c.x) AS c FROM e a JOIN e c ON a.r = c.r AND a.k = c.k AND c.i BETWEEN a.i AND a.i + a.block - 1 GROUP BY a.r, a.k, a.i),
+f AS (SELECT r, label, max(c / n) AS share FROM m JOIN (SELECT DISTINCT k, label, needed, n FROM t) USING (k) WHERE c >= needed GROUP BY r, label),
+ls AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM f UNION SELECT r, label FROM b) GROUP BY r),
+s AS (SELECT r, max(share) AS share FROM f GROUP BY r)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN ls USING (r) LEFT JOIN s USING (r)
+"""

@@ -11,6 +11,7 @@ from .codes import vector_codes
 from .decontaminate import contamination
 from .html import extract
 from .language import identify
+from .licenses import SQL as LICENSE_SQL
 from .licenses import license_labels
 from .lm import pseudo_likelihood
 from .mixing import mix
@@ -104,6 +105,7 @@ _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 SQL: dict[str, str] = {
     "op1_topk": TOPK_SQL,
     "op4_urls": URL_SQL,
+    "op5_licenses": LICENSE_SQL,
     "op11_neighbours": NEIGHBOUR_SQL,
     "op12_codes": CODE_SQL,
     "op13_ranking": RANKING_SQL,

@@ -89,19 +89,27 @@ def test_licenses(spark):
     rows += [(100, None), (101, ""), (None, "cc by nc cc by nc"), (102, "x " * 40_000 + "Apache License, Version 2.0"), (102, "x")]
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, license string")
     listed = licenses.templates_of(licenses.TEMPLATES)
-    size = licenses.block_words(listed)
-    counts, want = {}, set()
-    for n, (i, t) in enumerate(rows):
+    counts, want = {}, []
+    for i, t in rows:
         w = words_of((t or "").encode())
-        last = max(0, -(-len(w) // (size // 2)) - 2)
-        for b in range(last + 1 if t is not None else 0):
-            block = set(w[b * size // 2 : b * size // 2 + size])
-            for x in block & {x for u in listed for x in u.words}:
-                counts[x] = counts.get(x, 0) + 1
-            want |= {(i, u.label, b * size // 2) for u in listed if len(u.words & block) >= licenses.CONTAINMENT * len(u.words) - 1e-9}
-    assert licenses.block_frequencies(docs, listed) == counts
+        for x in {x for u in listed for x in u.words} & set(w):
+            counts[x] = counts.get(x, 0) + 1
+        for u in listed:
+            run = None
+            for at in range(len(w)):
+                share = len(u.words.intersection(w[at : at + u.block])) / len(u.words)
+                if w[at] in u.words and share >= licenses.CONTAINMENT - 1e-9:
+                    if run and at <= run[3]:
+                        run[3:] = at + u.block, max(run[4], share)
+                    else:
+                        want += [tuple(run)] if run else []
+                        run = [i, u.label, at, at + u.block, share]
+            want += [tuple(run)] if run else []
+    lengths = {i: len(words_of((t or "").encode())) for i, t in rows}
+    assert licenses.text_frequencies(docs, listed) == counts
     out, c = licenses.scan(docs)
-    assert {(r["doc_id"], b["label"], b["start"]) for r in out.collect() for b in r[c]["blocks"]} == want and len(want) > 10
+    found = [(r["doc_id"], b["label"], b["start"], b["stop"], b["containment"]) for r in out.collect() for b in r[c]["blocks"]]
+    assert sorted(found, key=str) == sorted(((i, lab, at, min(end, lengths[i]), x) for i, lab, at, end, x in want), key=str) and len(want) > 10
     got = {}
     for r in licenses.license_labels(docs).collect():
         got.setdefault(r["doc_id"], r)
@@ -117,6 +125,26 @@ def test_licenses(spark):
     assert licenses.license_labels(docs.limit(0)).count() == 0
 
 
+def test_other_licenses_get_no_label(spark):
+    rows = ["released under the gpl license", "licensed under the mozilla public license version 2 0", "the license of the bar is under review by the mit board"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r["labels"] for r in licenses.license_labels(docs).collect()] == ["", "", ""]
+
+
+def test_templates_are_found_at_any_offset():
+    """At the threshold, with as many other words in between as a block has room for."""
+    listed = licenses.templates_of(licenses.TEMPLATES)
+    index = licenses.TemplateIndex(listed, {})
+    for k, (text, _) in enumerate(licenses.TEMPLATES):
+        words, t = words_of(text.encode()), listed[k]
+        last = {w: i for i, w in enumerate(words)}
+        gone = sorted(t.words, key=last.get)[1 : 1 + len(t.words) - t.needed]  # neither the first nor the last word
+        copy = [b"zz" if w in gone else w for w in words]
+        copy[1:1] = [b"yy"] * (t.block - len(words))
+        for before in range(0, 40):
+            assert any(j == k and a <= before + 0 + len(words) and c >= licenses.CONTAINMENT for j, a, _, c in index.search([b"xx"] * before + copy + [b"xx"] * 9))
+
+
 # html
 
 
