@@ -32,6 +32,8 @@ SCALE, PENALTY = 0.5, 2e-4
 EVEN = 1e-3
 #: Steps of projected gradient at most; the change of a rate at which they end; steps after which rates are written.
 STEPS, TOLERANCE, SPAN = 2000, 1e-5, 32
+#: Documents that a task goes through in a step: with fewer, tasks would cost more than what they do.
+DOCUMENTS = 65536
 
 
 class Features:
@@ -178,12 +180,14 @@ def fit_rates(table: DataFrame, n: Column, p: Column, targets: Sequence[float],
     pick = [F.get(p, F.lit(i)) for i in range(k)]
     sums = [F.sum(n * pick[i] * pick[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
     sums += [F.sum(n * q).alias(f"s{i}") for i, q in enumerate(pick)]
+    sums.append(F.count("*"))
     first = [x or 0.0 for x in table.agg(*sums).first()]
-    gram, of_rates = np.array(first[: k * k], float).reshape(k, k), np.array(first[k * k :], float)
+    gram, of_rates = np.array(first[: k * k], float).reshape(k, k), np.array(first[k * k : -1], float)
     if not gram.any():
         return []
     weigh, goal = np.linalg.pinv(gram, rcond=1e-12, hermitian=True), np.array(targets, float)
-    blocks = _packed(table, n, p)
+    tasks = -(-first[-1] // DOCUMENTS)
+    blocks = _packed(table, n, p).coalesce(tasks)
     history: list[list[float]] = []
     written, ahead, pace = 0, of_rates, 1.0
 
