@@ -443,6 +443,14 @@ def apply_store(df: DataFrame, policy: Policy) -> DataFrame:
     return project(df, policy.store)
 
 
+def rule_report(df: DataFrame, policy: Policy) -> DataFrame:
+    """(rule, text, evaluations, matches, wins) of the rules in their order; the text ends with the counts."""
+    texts = rule_table(df.sparkSession, policy).withColumnRenamed("text", "rule_text")
+    counts = F.concat(F.lit(" # evaluations "), "evaluations", F.lit(" matches "), "matches", F.lit(" wins "), "wins")
+    both = rule_counters(df, policy).join(F.broadcast(texts), "rule")  # a row for each rule
+    return both.select("rule", F.concat("rule_text", counts).alias("text"), "evaluations", "matches", "wins")
+
+
 def rule_table(spark: SparkSession, policy: Policy) -> DataFrame:
     """(rule, text) of the policy's rules, in their order."""
     return spark.createDataFrame([(i, str(r)) for i, r in enumerate(policy.rules)], "rule int, text string")

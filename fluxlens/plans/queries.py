@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import addresses, times
 from ..operators import exporters, histograms, peers, series, summary
@@ -14,7 +15,8 @@ from ..scratch import new_folder
 from ..sources import export, flowlog, packets
 from . import fixtures
 from .adapters import EVENTS, LINES, event_flows, line_flows
-from .policy import apply_policy, apply_store, parse, rule_counters, rule_table
+from .policy import Clause, Policy, Rule, apply_policy, apply_store, parse, rule_counters, rule_report
+from .ruletable import apply_rules, rules_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,11 +163,15 @@ def policy_rule_counters(spark, d):
     return rule_counters(line_flows(spark, d), parse(POLICY))
 
 
-@query("SELECT * FROM (VALUES (0, 'discard quick src ! 10.0.0.0/26 proto 47'), (1, 'accept tag 1 src 10.0.0.0/26 dst 192.0.2.0/25'),"
-       " (2, 'accept tag 256 dst any port 80 proto 6'), (3, 'discard proto 6 tcp_flags mask 0x12 ! equals 0x12'),"
-       " (4, 'accept quick src any port 2048 proto 17'), (5, 'accept tag 3 dst any port 53 proto 17')) t(rule, text)")
+_RULE_TEXTS = """(VALUES (0, 'discard quick src ! 10.0.0.0/26 proto 47'), (1, 'accept tag 1 src 10.0.0.0/26 dst 192.0.2.0/25'),
+ (2, 'accept tag 256 dst any port 80 proto 6'), (3, 'discard proto 6 tcp_flags mask 0x12 ! equals 0x12'),
+ (4, 'accept quick src any port 2048 proto 17'), (5, 'accept tag 3 dst any port 53 proto 17')) t(rule, text)"""
+
+
+@query(f"SELECT rule, concat(text, ' # evaluations ', evaluations, ' matches ', matches, ' wins ', wins) AS text FROM ({SQL['policy_rule_counters']}) JOIN {_RULE_TEXTS} USING (rule)")
 def policy_text(spark, d):
-    return rule_table(spark, parse(POLICY))
+    """The rules as text, with what has come of them."""
+    return rule_report(line_flows(spark, d), parse(POLICY)).select("rule", "text")
 
 
 CONFIG = """
@@ -173,7 +179,7 @@ CONFIG = """
 lan = "10.1.0.0/16"
 logfile "/var/log/flows"
 listen on 127.0.0.1:12877
-flow source 10.2.0.0/24
+{sources}
 store SRC_ADDR4   # only this and the
 store OCTETS
 accept tag 010 src $lan \\
@@ -182,13 +188,30 @@ discard quick all
 """
 
 
-@query("SELECT * FROM (VALUES (0, 'logfile /var/log/flows'), (1, 'listen on 127.0.0.1:12877'), (2, 'store SRC_ADDR4'), (3, 'store OCTETS'),"
-       " (4, 'flow source 10.2.0.0/24'), (5, 'accept tag 8 src 10.1.0.0/16 dst any port 53 proto 17'), (6, 'discard quick all')) t(line, text)")
+@query(f"""WITH s AS (SELECT DISTINCT agent_ip - 167772160 AS a FROM {_E}),
+ t AS (SELECT 0 AS line, 'logfile /var/log/flows' AS text UNION ALL SELECT 1, 'listen on 127.0.0.1:12877' UNION ALL SELECT 2, 'store SRC_ADDR4' UNION ALL SELECT 3, 'store OCTETS'
+  UNION ALL SELECT 3 + row_number() OVER (ORDER BY a), concat('flow source 10.0.0.', a, '/32') FROM s
+  UNION ALL SELECT 4 + count(*), 'accept tag 8 src 10.1.0.0/16 dst any port 53 proto 17' FROM s UNION ALL SELECT 5 + count(*), 'discard quick all' FROM s)
+ SELECT CAST(line AS INT) AS line, text FROM t""")
 def policy_config(spark, d):
-    lines = parse(CONFIG, filter_only=False).config().split("\n")
+    """A collector's whole policy, which admits the exporters that the table has."""
+    found = event_flows(spark, d).select("agent_ip").distinct().orderBy("agent_ip").collect()  # eight of them
+    sources = "\n".join(f"flow source 10.0.0.{r[0] - 167772160}/32" for r in found)
+    lines = parse(CONFIG.replace("{sources}", sources), filter_only=False).config().split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
 
 
+@query(f"""SELECT CASE WHEN src_ip & 4294967288 = 167772168 AND dst_port = 53 AND protocol = 17 THEN 77777 ELSE src_ip - 167772160 END AS tag, count(*) AS flows
+ FROM {_L} WHERE NOT (dst_ip & 4294967280 = 3221225984 AND protocol = 47) GROUP BY 1""")
+def policy_rule_table(spark, d):
+    """A rule for each supplier's address and three more, as a table that the flows are joined with."""
+    sources = spark.read.parquet(f"{d}/supplier.parquet").select(F.max("s_suppkey")).first()[0]
+    rules = [Rule("accept", tag=77777, quick=True, clauses=[Clause("src", "10.0.0.8/29"), Clause("dst_port", 53), Clause("proto", 17)])]
+    rules += [Rule("accept", tag=k, clauses=[Clause("src", f"10.0.{k >> 8}.{k & 255}/32")]) for k in range(sources + 1)]
+    rules += [Rule("discard", clauses=[Clause("dst", "192.0.2.0/28"), Clause("proto", 47)]), Rule("accept", tag=1, clauses=[Clause("proto", 250)])]
+    return apply_rules(line_flows(spark, d), rules_of(spark, Policy(rules))).groupBy("tag").agg(F.count("*").alias("flows"))
+
+
 @query(f"SELECT flow_id, {{}} AS src, packets FROM {_L} WHERE protocol <> 47".replace("{}", "concat(" + ", '.', ".join(f"CAST((src_ip >> {k}) & 255 AS VARCHAR)" for k in (24, 16, 8, 0)) + ")"))
 def policy_store(spark, d):
     """What a policy filters, and then what its store lines let through: anything else would fail here."""
@@ -365,8 +388,8 @@ def summary_merged(spark, d):
 @query(f"SELECT CAST(row_number() OVER (ORDER BY bin) AS INT) AS position, bin, count FROM (SELECT length(CAST(octets AS VARCHAR)) - 1 AS bin, count(*) AS count FROM {_L} WHERE octets > 0 GROUP BY 1)")
 def hist_in_order(spark, d):
     """Bins as they come out of the sorted histogram."""
-    rows = histograms.in_order(histograms.octets_histogram(line_flows(spark, d).where("octets > 0"))).collect()
-    return spark.createDataFrame([(i, r["bin"], r["count"]) for i, r in enumerate(rows, 1)], "position int, bin long, count long").where("count > 0")
+    bins = histograms.octets_histogram(line_flows(spark, d).where("octets > 0"))
+    return bins.select(F.row_number().over(Window.orderBy("bin")).alias("position"), "bin", "count").where("count > 0")  # some twenty bins
 
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY v6, agent_ip) AS INT) AS position, agent_ip, v6 FROM (SELECT DISTINCT agent_ip, (agent_ip % 2 = 0) AS v6 FROM {_E})")
@@ -375,9 +398,10 @@ def peers_in_order(spark, d):
     wide = F.unhex(F.concat(F.lit("20010db8" + "0" * 16), F.hex("agent_addr")))
     events = event_flows(spark, d).withColumn("agent_addr", F.when(F.col("agent_ip") % 2 == 0, wide).otherwise(F.col("agent_addr")))
     facts = events.select("agent_ip", "agent_addr", "recv_time", F.lit(1).alias("flows"), F.lit(0).alias("invalid"), F.lit(0).alias("no_template"), F.lit(5).alias("version"))
-    listed = exporters.in_address_order(exporters.peer_stats(facts, "agent_addr")).collect()  # a row for each exporter
-    rows = [(i, int.from_bytes(bytes(r["agent_addr"])[-4:], "big"), len(r["agent_addr"]) == 16) for i, r in enumerate(listed, 1)]
-    return spark.createDataFrame(rows, "position int, agent_ip long, v6 boolean")
+    stats = exporters.peer_stats(facts, "agent_addr")
+    number = F.conv(F.expr("right(hex(agent_addr), 8)"), 16, 10).cast("long")
+    position = F.row_number().over(Window.orderBy(*addresses.order_key(F.col("agent_addr"))))  # over exporters, not flows
+    return stats.select(position.alias("position"), number.alias("agent_ip"), (F.length("agent_addr") == 16).alias("v6"))
 
 
 # suspects, exporters, logs
