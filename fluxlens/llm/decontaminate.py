@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -133,8 +134,9 @@ def search_benchmark(
 
     A window is ``window`` consecutive words of an item, or a shorter item's whole words.  spans are
     the maximal runs of document words inside any occurrence, items the item_ids as text, sorted so.
-    One narrow pass for every ``most_windows`` windows of the benchmark, each over what the one before has written (a
-    checkpoint), so a worker holds the windows of one pass; documents are never shuffled.
+    One narrow pass for every ``most_windows`` windows of the benchmark, so a worker holds the windows of one pass; with
+    one pass, documents are never moved.  Else they are written once with a number for each row, a pass leaves the numbers
+    of rows with hits and those hits only, and these are joined to their rows in the end.
     Null texts and texts without words have no hits; items without words or without an id never occur;
     items of equal words both count; repeated document rows each get their own result.
     """
@@ -147,42 +149,51 @@ def search_benchmark(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    found: list[str] = []
     out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, "text"))])
     sc = docs.sparkSession.sparkContext
-    for group in _passes(benchmark, window, most_windows) if docs.columns else []:
-        if found:
-            out = materialise(out)
+
+    def searched(rows: DataFrame, group: list[tuple[str, list[bytes]]], kept: Sequence[str]) -> DataFrame:
+        """``kept`` and ``name``, what a pass finds in each row."""
         shared = sc.broadcast((group, window))
         cache: dict[str, Searcher] = {}
 
-        def work(texts, shared=shared, cache=cache):
+        def work(texts):
             if "it" not in cache:
                 cache["it"] = Searcher(*shared.value)
-            rows = []
+            made = []
             for text in texts:
                 words = words_of(text)
                 spans, items = cache["it"].find(words)
-                rows.append(
+                made.append(
                     {"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(items)}
                 )
-            return [rows]
-
-        col = fresh(out.columns, "found_pass")
-        out = map_texts(out, work, [(col, kind)], out.columns)
-        found.append(col)
-    if not found:
-        out = map_texts(
-            out, lambda texts: [[{"n_words": len(words_of(t)), "spans": [], "items": []} for t in texts]],
-            [(fresh(out.columns, "found_pass"), kind)], out.columns,
-        )
-        found.append(out.columns[-1])
-    one = F.col(found[0]) if len(found) == 1 else F.struct(
-        F.col(found[0])["n_words"].alias("n_words"),
-        merge_spans(F.flatten(F.array(*[F.col(c)["spans"] for c in found]))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)["items"] for c in found])))).alias("items"),
+            return [made]
+
+        return map_texts(rows, work, [(name, kind)], kept)
+
+    groups = iter(_passes(benchmark, window, most_windows) if docs.columns else [])
+    first = next(groups, [])
+    second = next(groups, None)
+    if second is None:
+        return searched(out, first, keep), name
+    # rows get numbers that stay when they are written; each pass reads the texts and leaves the numbers of rows with hits
+    number = fresh(out.columns, "row_number")
+    out = materialise(out.withColumn(number, F.monotonically_increasing_id()))
+    found = None
+    for group in chain([first, second], groups):
+        hits = searched(out.select(number, "text"), group, (number,)).where(F.size(F.col(name)["items"]) > 0)
+        hits = materialise(hits.select(number, F.col(name)["spans"].alias("spans"), F.col(name)["items"].alias("items")))
+        found = hits if found is None else found.unionByName(hits)
+    of_row = found.groupBy(number).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    hit = of_row.select(F.col(number).alias("hit_number"), merge_spans(F.col("spans")).alias("hit_spans"), F.array_sort(F.array_distinct("items")).alias("hit_items"))
+    counted = map_texts(out, lambda texts: [[{"n_words": len(words_of(t)), "spans": [], "items": []} for t in texts]], [(name, kind)], (*keep, number))
+    both = counted.join(hit, counted[number] == F.col("hit_number"), "left")
+    whole = F.struct(
+        F.col(name)["n_words"].alias("n_words"),
+        F.coalesce("hit_spans", F.col(name)["spans"]).alias("spans"),
+        F.coalesce("hit_items", F.col(name)["items"]).alias("items"),
     )
-    return out.select(*[F.col(f"`{c}`") for c in keep], one.alias(name)), name
+    return both.select(*[F.col(f"`{c}`") for c in keep], whole.alias(name)), name
 
 
 def merge_spans(spans: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, map_texts, materialise
+from .vectors import joined_to_classes
 
 #: Fingerprints link at so many differing bits; the grid below is laid out for this distance.
 DISTANCE = 3
@@ -241,12 +242,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("d
     component but don't name it (null if no member has an id); repeated rows each get a result.
     """
     marked = materialise(fingerprints(docs, keep, words))
-    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least_id")))
+    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least_id"), F.count("*").alias("fp_rows")))
     linked = materialise(components(links(points.select("fp"))).select(F.col("node").alias("fp"), "root"))
     of_root = linked.join(points, "fp").groupBy("root").agg(F.min("least_id").alias("root_id"))
     renamed = linked.join(of_root, "root").select("fp", "root_id")
-    named = points.join(renamed, "fp", "left").select("fp", F.coalesce("root_id", "least_id").alias("component_id"))
-    return marked.join(named, "fp").select(*keep, "fp", "component_id")
+    named = points.join(renamed, "fp", "left").select("fp", F.coalesce("root_id", "least_id").alias("component_id"), "fp_rows")
+    return joined_to_classes(marked, materialise(named), "fp", "fp_rows").select(*keep, "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
