@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def _is(name: str) -> Column:
     return ~protocol.isin(*CLASSES.values()) if name == "other" else protocol == CLASSES[name]
 
 
-def rollup(df: DataFrame, time: str = "recv_time", seconds: int = STEP) -> DataFrame:
-    """Per aligned window: bin_start, then <class>_flows, _bytes and _packets of the six classes.
+def rollup(df: DataFrame, time: str = "recv_time", seconds: int = STEP, keys: Sequence[str] = ()) -> DataFrame:
+    """Per aligned window (and ``keys``): bin_start, then <class>_flows, _bytes and _packets of the six classes.
 
     Flows without a time are left out.
     """
@@ -30,7 +32,7 @@ def rollup(df: DataFrame, time: str = "recv_time", seconds: int = STEP) -> DataF
         sums.append(F.count_if(mine).alias(f"{name}_flows"))
         for column, what in (("octets", "bytes"), ("packets", "packets")):
             sums.append(F.coalesce(F.sum(F.when(mine, F.col(column))), F.lit(0)).cast("bigint").alias(f"{name}_{what}"))
-    return df.where(F.col(time).isNotNull()).groupBy(window.alias("w")).agg(*sums).select(F.col("w.start").alias("bin_start"), *[f"{n}_{w}" for n in NAMES for w in ("flows", "bytes", "packets")])
+    return df.where(F.col(time).isNotNull()).groupBy(window.alias("w"), *keys).agg(*sums).select(*keys, F.col("w.start").alias("bin_start"), *[f"{n}_{w}" for n in NAMES for w in ("flows", "bytes", "packets")])
 
 
 def consolidate(steps: DataFrame, per_point: int, unknown: float = 0.5, columns: list[str] | None = None) -> DataFrame:

@@ -456,6 +456,23 @@ def rule_table(spark: SparkSession, policy: Policy) -> DataFrame:
     return spark.createDataFrame([(i, str(r)) for i, r in enumerate(policy.rules)], "rule int, text string")
 
 
+def counter_columns(policy: Policy, columns: list[str]) -> list[Column]:
+    """Aggregates evaluations_<i>, matches_<i> and wins_<i> of each rule over flows of ``columns``."""
+    rules = policy.rules
+    tests = [matches(r, columns) for r in rules]
+    stop = F.lit(len(rules))
+    for i in range(len(rules) - 1, -1, -1):
+        if rules[i].quick:
+            stop = F.when(tests[i], F.lit(i)).otherwise(stop)
+    win = winner(tests, rules)
+    out = []
+    for i in range(len(rules)):
+        out.append(F.count_if(stop >= i).alias(f"evaluations_{i}"))
+        out.append(F.count_if(tests[i] & (stop >= i)).alias(f"matches_{i}"))
+        out.append(F.count_if(F.coalesce(win == i, F.lit(False))).alias(f"wins_{i}"))
+    return out
+
+
 def rule_counters(df: DataFrame, policy: Policy) -> DataFrame:
     """Per rule: rule (number), evaluations, matches, wins; one pass over the flows."""
     rules = policy.rules

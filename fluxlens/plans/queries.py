@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import addresses, times
-from ..operators import exporters, histograms, peers, series, summary
+from ..operators import exporters, histograms, peers, series, store, summary
 from ..schema import BRIEF, MASKS, mask_of
 from ..scratch import new_folder
 from ..sources import export, flowlog, packets
@@ -358,6 +358,16 @@ def rrd_archives(spark, d):
     return kept.withColumn("tcp_bytes", F.round("tcp_bytes", 6))
 
 
+@query(SQL["rrd_archives"])
+def rrd_store(spark, d):
+    """The same archives from a store that two runs have brought up to date, which share one of three inputs."""
+    folder = new_folder(spark, "store")
+    flows = event_flows(spark, d).withColumn("input_file", F.concat(F.lit("log-"), F.col("flow_id") % 3))
+    store.update(folder, flows.where("flow_id % 3 <= 1"))
+    store.update(folder, flows.where("flow_id % 3 >= 1"))
+    return store.stored_archives(spark, folder, ["tcp_bytes"], _KEEP).withColumn("tcp_bytes", F.round("tcp_bytes", 6))
+
+
 _KINDS = (("src_port",), ("dst_port",), ("protocol",), ("src_ip",), ("dst_ip",), ("src_ip", "dst_ip"))
 _KEYS = ("src_port", "dst_port", "protocol", "src_ip", "dst_ip")
 

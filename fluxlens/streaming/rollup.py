@@ -7,10 +7,11 @@ import socket
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.exporters import admit
 from ..operators.series import rollup
-from ..plans.policy import Policy, PolicyError, apply_policy, apply_store, parse
+from ..plans.policy import Policy, PolicyError, apply_policy, apply_store, counter_columns, parse
 from ..schema import ALL
 from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates, source_of
 
@@ -171,24 +172,79 @@ def relay(
     return flows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def filtered_by_file(flows: DataFrame, policy_path: str, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+class Counters:
+    """What the rules of a stream have done so far, kept by their text, so that a rule keeps its counts when others change.
+
+    Counts of a batch come back with it; a batch that is run again is counted once.
+    """
+
+    def __init__(self) -> None:
+        self.batch, self.rules, self.last = -1, {}, {}
+
+    def add(self, batch: int, policy: Policy, row: dict) -> None:
+        if batch == self.batch:  # again
+            for text, n in self.last.items():
+                self.rules[text] = tuple(x - y for x, y in zip(self.rules[text], n, strict=True))
+        self.batch, self.last = batch, {}
+        for i, rule in enumerate(policy.rules):
+            n = tuple(row[f"{what}_{i}"] for what in ("evaluations", "matches", "wins"))
+            self.last[str(rule)] = tuple(map(sum, zip(n, self.last.get(str(rule), (0, 0, 0)), strict=True)))
+        for text, n in self.last.items():
+            self.rules[text] = tuple(map(sum, zip(n, self.rules.get(text, (0, 0, 0)), strict=True)))
+
+    def report(self, policy: Policy) -> list[str]:
+        """The policy's rules with their counts, as they are at this moment."""
+        zero = (0, 0, 0)
+        return ["{} # evaluations {} matches {} wins {}".format(r, *self.rules.get(str(r), zero)) for r in policy.rules]
+
+
+@dataclass
+class Running:
+    """A stream whose policy is read for each batch: the query, the policy that holds, and what its rules have done."""
+
+    query: StreamingQuery | None = None
+    policy: Policy | None = None
+    counters: Counters = field(default_factory=Counters)
+
+    def report(self) -> list[str]:
+        return self.counters.report(self.policy) if self.policy else []
+
+
+def filtered_by_file(
+    flows: DataFrame, policy_path: str, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, running: Running | None = None,
+) -> StreamingQuery:
     """Each batch goes through the policy that the file holds by then, and what it stores to ``write(batch, number)``.
 
     So a policy is changed without stopping the stream.  While a file can't be parsed, the last good policy holds.
+    Flows of exporters that the policy doesn't admit are left out first.  With ``running``, rules are counted
+    as a by-product of the batch's own pass over the flows, and can be asked for at any time.
     """
-    held: list[Policy] = []
+    state = running or Running()
 
     def each(batch: DataFrame, number: int) -> None:
         text = "\n".join(r[0] for r in batch.sparkSession.read.text(policy_path, wholetext=True).collect())  # one small file
         try:
-            held[:] = [parse(text)]
+            state.policy = parse(text)
         except PolicyError:
-            if not held:
+            if state.policy is None:
                 raise
-        write(apply_store(apply_policy(batch, held[0]), held[0]), number)
+        policy = state.policy
+        admitted = admit(batch, policy.sources) if "agent_addr" in batch.columns else batch
+        seen = Observation()
+        if running and policy.rules:
+            admitted = admitted.observe(seen, *counter_columns(policy, admitted.columns))
+        write(apply_store(apply_policy(admitted, policy), policy), number)
+        if running and policy.rules:
+            state.counters.add(number, policy, seen.get)
 
     writer = flows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    state.query = (writer.trigger(availableNow=True) if once else writer).start()
+    return state.query
+
+
+def scrubbed(peers: DataFrame, policy: Policy) -> DataFrame:
+    """Exporters (of :func:`~..operators.exporters.peer_stats`, say) that a policy still admits, after a change."""
+    return admit(peers, policy.sources)
 
 
 def packets_from(spark: SparkSession, folder: str) -> DataFrame:

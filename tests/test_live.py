@@ -11,7 +11,7 @@ import pytest
 
 from fluxlens.plans.policy import parse
 from fluxlens.sources import flowlog, listener, packets, records
-from fluxlens.streaming.rollup import DatagramRelay, filtered_by_file, relay
+from fluxlens.streaming.rollup import Counters, DatagramRelay, Running, filtered_by_file, relay, scrubbed
 
 FLOW = {"src_addr": bytes([10, 0, 0, 1]), "dst_addr": bytes([10, 0, 0, 2]), "src_port": 5, "dst_port": 6, "protocol": 17, "tcp_flags": 0,
         "tos": 0, "packets": 1, "octets": 2}
@@ -239,3 +239,33 @@ def test_log_in_blocks(spark, tmp_path):
     for size in (40, 1000, 1 << 20):
         got = flowlog.read_split_log(spark, str(tmp_path), size).collect()
         assert sorted(((r["input_file"][-6:], r["row_index"], r["tag"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_counts_are_kept_when_the_policy_changes(spark, tmp_path):
+    for k in range(2):
+        rows = [(bytes([10, 0, 0, i % 2 + 1]), 6 if i % 3 else 17, i) for i in range(30)]
+        spark.createDataFrame(rows, "agent_addr binary, protocol int, octets long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    texts = ["accept tag 1 proto tcp\ndiscard proto udp", "flow source 10.0.0.1/32\naccept tag 2 all\ndiscard proto udp"]
+    policy, got, reports, running = tmp_path / "p.conf", [], [], Running()
+    policy.write_text(texts[0])
+
+    def write(batch, number):
+        got.append(sorted(r["octets"] for r in batch.collect()))
+        policy.write_text(texts[1])  # read by the next batch
+
+    stream = spark.readStream.schema("agent_addr binary, protocol int, octets long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    filtered_by_file(stream, str(policy), write, str(tmp_path / "c"), running=running).awaitTermination()
+    assert got == [[i for i in range(30) if i % 3], [i for i in range(30) if i % 3 and i % 2 == 0]]
+    # ten of thirty flows are udp; half of all come from the exporter that is still admitted
+    assert running.report() == ["accept tag 2 all # evaluations 15 matches 15 wins 10", "discard proto 17 # evaluations 45 matches 15 wins 15"]
+    peers = spark.createDataFrame([(bytes([10, 0, 0, 1]),), (bytes([10, 0, 0, 2]),)], "agent_addr binary")
+    assert [bytes(r[0])[3] for r in scrubbed(peers, running.policy).collect()] == [1]
+
+
+def test_a_batch_is_counted_once():
+    policy = parse("accept all\ndiscard proto tcp")
+    row = {"evaluations_0": 5, "matches_0": 5, "wins_0": 3, "evaluations_1": 5, "matches_1": 2, "wins_1": 2}
+    counters = Counters()
+    for batch in (0, 0, 1):
+        counters.add(batch, policy, row)
+    assert counters.report(policy)[1].endswith("evaluations 10 matches 4 wins 4")
