@@ -5,13 +5,14 @@ import os
 import pickle
 import socket
 import threading
+import time
 
 import numpy as np
 import pytest
 
 from fluxlens.plans.policy import parse
 from fluxlens.sources import flowlog, listener, packets, records
-from fluxlens.streaming.rollup import Counters, DatagramRelay, Running, filtered_by_file, relay, scrubbed
+from fluxlens.streaming.rollup import Counters, DatagramRelay, Running, decode_stream, filtered_by_file, relay, scrubbed
 
 FLOW = {"src_addr": bytes([10, 0, 0, 1]), "dst_addr": bytes([10, 0, 0, 2]), "src_port": 5, "dst_port": 6, "protocol": 17, "tcp_flags": 0,
         "tos": 0, "packets": 1, "octets": 2}
@@ -36,6 +37,7 @@ def test_listener():
 def test_local_socket(tmp_path):
     path = str(tmp_path / "s")
     r = listener._Listener(f"unix://{path}")
+    assert r.socket  # opened when it is first asked for
     send = DatagramRelay(path)
     send([records.encode(FLOW)] * 3)
     rows = list(r.read({"seq": 0})[0])
@@ -89,6 +91,7 @@ def test_copies_of_a_relay_are_one():
 def test_relay_of_two_batches_in_two_partitions(spark, tmp_path):
     path = str(tmp_path / "s")
     here = listener._Listener(f"unix://{path}")
+    assert here.socket
     got, ended = [], threading.Event()
 
     def listen():
@@ -269,3 +272,55 @@ def test_a_batch_is_counted_once():
     for batch in (0, 0, 1):
         counters.add(batch, policy, row)
     assert counters.report(policy)[1].endswith("evaluations 10 matches 4 wins 4")
+
+
+def test_landed_datagrams_outlive_the_listener(tmp_path):
+    land = str(tmp_path / "land")
+    r = listener._Listener("udp://127.0.0.1:0", land=land)
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    for k in range(2):
+        for i in range(5):
+            out.sendto(bytes([k, i]), r.socket.getsockname())
+        rows, end = r.read({"seq": 5 * k})
+    r.socket.close()
+    again = listener._Listener("udp://127.0.0.1:0", land=land)
+    assert [x[3] for x in again.readBetweenOffsets({"seq": 3}, {"seq": 10})] == [bytes([0, 3]), bytes([0, 4]), *(bytes([1, i]) for i in range(5))]
+    again.commit({"seq": 5})
+    assert os.listdir(land) == ["00000000000000000005.packets"]
+    again.commit(end)
+    assert not os.listdir(land)
+
+
+def test_multicast_groups():
+    try:
+        r = listener._Listener("udp://0.0.0.0:0", ["239.1.2.3"])
+        assert r.socket
+    except OSError as e:
+        pytest.skip(f"no multicast here: {e}")
+    with pytest.raises(ValueError, match="multicast"):
+        listener.joined(r.socket, "10.0.0.1")
+
+
+def test_packets_from_a_port_into_the_decoder(spark, tmp_path):
+    """From the socket through decoder and policy, while the query runs."""
+    listener.register(spark)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    stream = spark.readStream.format("flowpackets").options(listen=f"udp://127.0.0.1:{port}", land=str(tmp_path / "land")).load()
+    flows = decode_stream(stream, parse("flow source 127.0.0.0/8\ndiscard proto tcp"))
+    query = flows.select("src_port", "dst_port", "octets").writeStream.format("memory").queryName("from_a_port").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        what = [(8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (1, 4)]
+        ended = time.time() + 60
+        sent = [packets.encode_v9([FLOW], 300, what), packets.encode_v9([FLOW | {"octets": 9}], 300, what, with_template=False), packets.encoder(5)([FLOW | {"protocol": 6}])]
+        while time.time() < ended and (query.lastProgress is None):
+            time.sleep(0.3)
+        for p in sent:
+            out.sendto(p, ("127.0.0.1", port))
+        while time.time() < ended and spark.table("from_a_port").count() < 2:
+            time.sleep(0.5)
+        assert sorted(map(tuple, spark.table("from_a_port").collect())) == [(5, 6, 2), (5, 6, 9)]
+    finally:
+        query.stop()
