@@ -120,7 +120,8 @@ def judged(df: DataFrame, rules: DataFrame) -> DataFrame:
     # quick rules stand before all others and in their order, the others in the reverse of theirs: the least one decides
     order = F.transform(F.filter(met, holds), lambda r: F.struct((~r["quick"]).alias("late"), F.when(r["quick"], r["rule"]).otherwise(-r["rule"]).alias("place"),
                                                                 F.struct(r["rule"].alias("rule"), r["tag"].alias("tag"), r["dropped"].alias("dropped")).alias("decided")))
-    return out.withColumn("verdict", F.array_min(order)["decided"]).drop(numbers, addresses, *lists)
+    # as a generator's row the verdict is computed once, whatever is asked of it afterwards
+    return out.select(*df.columns, F.explode(F.array(F.array_min(order)["decided"])).alias("verdict"))
 
 
 def _free(names: list[str], stem: str) -> str:
