@@ -93,6 +93,7 @@ def map_texts(
             columns = [piece.column(i).cast(out.field(i).type) for i in range(kept)]
             columns += [pa.array(x, type=out.field(kept + i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return chosen.mapInArrow(run, schema)
 
