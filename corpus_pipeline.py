@@ -23,10 +23,17 @@ from fluxlens.llm.simhash import near_copies
 MIN_SCORE = 0.5
 #: Windows of a benchmark item that stand in a document make it contaminated; words in a window.
 WINDOW = 10
+#: Rows of a batch between Spark and Python workers: texts may be long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: null text, no letter, or a posterior below ``MIN_SCORE``."""
+    small_batches(spark)
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text"))
     out, c = predict(docs, model, tuple(docs.columns))
     return out.where((F.col(c)["lang_pred"] != "und") & (F.col(c)["score"] >= MIN_SCORE)).select(*docs.columns)
@@ -37,6 +44,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows without a doc_id stand behind all others of their group.
     """
+    small_batches(spark)
     one, two, root, row = (fresh(docs.columns, c) for c in ("text_key", "text_key_2", "group_root", "place_in_group"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({one: F.xxhash64(text), two: F.xxhash64(F.lit(1), text)})  # 128 bits
@@ -60,6 +68,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     A document that loses all its text goes; n_chars follows the text that is left.  Bytes of a character
     that was cut are left out.
     """
+    small_batches(spark)
     rest = [c for c in docs.columns if c != "text"]
     out, c = without_repeats(docs, keep=rest, as_text=True)
     removed, text = removed_bytes(F.col(c)["spans"]), F.col(c)["kept"]
@@ -69,6 +78,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item stands."""
+    small_batches(spark)
     out, c = search_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
     return out.where(F.size(F.col(c)["items"]) == 0).select(*docs.columns)
 
@@ -78,6 +88,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Those are the documents whose posterior is greatest for toxic.  A rate of 0 drops no other one.
     """
+    small_batches(spark)
     out = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
     return out.where("p_toxic <= greatest(p_good, p_poor)")
 
