@@ -134,7 +134,7 @@ def ipv4_number_text(n: Column) -> Column:
     return F.concat_ws(".", *parts)
 
 
-def _halves(address: Column) -> tuple[Column, Column]:
+def halves(address: Column) -> tuple[Column, Column]:
     """The upper and the lower 64 bits as longs (the upper ones of an IPv4 address are zero)."""
     text = F.lpad(F.hex(address), 32, "0")
     return tuple(F.conv(F.substring(text, at, 16), 16, -10).cast("long") for at in (1, 17))
@@ -147,17 +147,17 @@ def _joined(high: Column, low: Column, size: Column) -> Column:
 
 def both_columns(a: Column, b: Column) -> Column:
     """Bits that both addresses have; null for two families, as for all that follows."""
-    (p, q), (r, s) = _halves(a), _halves(b)
+    (p, q), (r, s) = halves(a), halves(b)
     return F.when(F.length(a) == F.length(b), _joined(p.bitwiseAND(r), q.bitwiseAND(s), F.length(a)))
 
 
 def either_columns(a: Column, b: Column) -> Column:
-    (p, q), (r, s) = _halves(a), _halves(b)
+    (p, q), (r, s) = halves(a), halves(b)
     return F.when(F.length(a) == F.length(b), _joined(p.bitwiseOR(r), q.bitwiseOR(s), F.length(a)))
 
 
 def invert_column(a: Column) -> Column:
-    high, low = _halves(a)
+    high, low = halves(a)
     return _joined(F.bitwise_not(high), F.bitwise_not(low), F.length(a))
 
 
@@ -193,7 +193,7 @@ def compare_columns(a: Column, b: Column) -> Column:
 
 
 def is_unspecified_column(a: Column) -> Column:
-    high, low = _halves(a)
+    high, low = halves(a)
     return (high == 0) & (low == 0)
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.addresses import family, first_of, network_range, parse_network
+from ..functions.addresses import family, halves, netmask, network_range, parse_network
 from .policy import Policy, Rule
 
 #: Rules that are sent to every task at most; about two hundred bytes each.
@@ -22,19 +22,25 @@ _FIELDS = ("in_ifndx", "out_ifndx", "af", "src_port", "dst_port", "proto", "tos"
 _SIDES = ("agent", "src", "dst")
 _TEST = "array<struct<field:int,mask:bigint,low:bigint,high:bigint,negated:boolean>>"
 _NET = "array<struct<side:int,low:binary,high:binary,negated:boolean>>"
-_SCHEMA = f"rule int, tag bigint, dropped boolean, quick boolean, side string, length int, network binary, tests {_TEST}, nets {_NET}"
+_SCHEMA = f"rule int, tag bigint, dropped boolean, quick boolean, side string, length int, bytes int, high bigint, low bigint, tests {_TEST}, nets {_NET}"
 _ALL, _LEAST, _MOST = -1, -(2**63), 2**63 - 1
 
 
+def _parts(address: bytes) -> tuple[int, int]:
+    """The upper and the lower 64 bits as signed numbers."""
+    whole = address.rjust(16, b"\0")
+    return tuple(int.from_bytes(whole[i : i + 8], "big", signed=True) for i in (0, 8))
+
+
 def _row(number: int, rule: Rule) -> tuple:
-    key, tests, nets = (None, None, None), [], []
+    key, tests, nets = (None,) * 5, [], []
     for c in rule.clauses:
         v = c.value
         if c.what in _SIDES:
             address, length = parse_network(v, False)
             low, high = network_range(address, length)
             if key[0] is None and c.what != "agent" and not c.negated:
-                key = c.what, length, low  # found by the join, so it needs no test
+                key = c.what, length, len(low), *_parts(low)  # found by the join, so it needs no test
             else:
                 nets.append((_SIDES.index(c.what), low, high, c.negated))
             continue
@@ -89,20 +95,22 @@ def judged(df: DataFrame, rules: DataFrame) -> DataFrame:
     """
     if (count := rules.count()) > MOST_RULES:
         raise ValueError(f"{count} rules; {MOST_RULES} can be sent to the tasks")
-    numbers, addresses, found = (_free(df.columns, s) for s in ("numbers_of_flow", "addresses_of_flow", "rules_of_flow"))
+    numbers, addresses, parts, found = (_free(df.columns, s) for s in ("numbers_of_flow", "addresses_of_flow", "parts_of_flow", "rules_of_flow"))
     values, sides = _values(df)
-    out = df.withColumns({numbers: values, addresses: sides})
+    both = [x for side in ("src_addr", "dst_addr") for x in (halves(F.col(side)) if side in df.columns else (F.lit(None).cast("long"),) * 2)]
+    out = df.withColumns({numbers: values, addresses: sides, parts: F.array(*both)})
     rule = F.struct("rule", "tag", "dropped", "quick", "tests", "nets")
     out = out.withColumn(found, rules.where("side is null").agg(F.collect_list(rule)).scalar())
-    kinds = rules.where("side is not null").select("side", "length", F.length("network").alias("bytes")).distinct().collect()  # 322 at most
+    kinds = rules.where("side is not null").select("side", "length", "bytes").distinct().collect()  # 324 at most
     lists = [found]
     for k, (side, length, size) in enumerate(sorted(map(tuple, kinds))):
-        mine = rules.where((F.col("side") == side) & (F.col("length") == length) & (F.length("network") == size))
-        key, held = _free(out.columns, f"network_{k}"), _free(out.columns, f"rules_{k}")
-        listed = mine.groupBy(F.col("network").alias(key)).agg(F.collect_list(rule).alias(held))
-        address = F.get(F.col(addresses), F.lit(_SIDES.index(side)))
-        in_it = F.when(F.length(address) == size, first_of(address, F.lit(length)))
-        out = out.join(F.broadcast(listed), in_it == F.col(key), "left").drop(key)
+        mine = rules.where((F.col("side") == side) & (F.col("length") == length) & (F.col("bytes") == size))
+        high, low, held = (_free(out.columns, f"{c}_{k}") for c in ("high", "low", "rules"))
+        listed = mine.groupBy(F.col("high").alias(high), F.col("low").alias(low)).agg(F.collect_list(rule).alias(held))
+        at = _SIDES.index(side)
+        of_family = F.length(F.get(F.col(addresses), F.lit(at))) == size
+        in_it = [F.get(F.col(parts), F.lit(2 * (at - 1) + i)).bitwiseAND(F.lit(m)) for i, m in enumerate(_parts(netmask(4 if size == 4 else 6, length)))]
+        out = out.join(F.broadcast(listed), of_family & (in_it[0] == F.col(high)) & (in_it[1] == F.col(low)), "left").drop(high, low)
         lists.append(held)
     met = F.concat(*[F.coalesce(F.col(c), F.array().cast(out.schema[found].dataType)) for c in lists])
 
