@@ -716,6 +716,12 @@ def log_files_fields(spark, d):
     return _counted(found.withColumn("octets", F.coalesce("octets", F.lit(0))), F.count("crc32").alias("sums"))
 
 
+def _one_log(spark, d, folder: str) -> str:
+    """All flows in one log, each part written by a task."""
+    line_flows(spark, d).select(*_LOGGED).write.format("flowlog").mode("append").save(f"{folder}/parts")
+    return flowlog.join_logs(spark, f"{folder}/parts", f"{folder}/whole.flow")
+
+
 @query(_PORTS)
 def log_split(spark, d):
     """One log read in blocks of 256 KB, whose records are found and numbered without going through the log."""
@@ -742,8 +748,7 @@ def stream_log(spark, d):
     """A growing log as a stream: all of what is there, in the order in which it was written."""
     flowlog.register(spark)
     folder, folder2 = new_folder(spark, "log").removeprefix("file:"), new_folder(spark, "stream")
-    line_flows(spark, d).select(*_LOGGED).coalesce(1).write.format("flowlog").mode("append").save(folder)
-    log = spark.read.format("flowlog").load(folder).select("input_file").first()[0]
+    log = _one_log(spark, d, folder)
     stream = spark.readStream.format("flowlog").options(streaming="true", maxbytes=str(16 << 20)).load(log)
     out = stream.writeStream.format("parquet").option("path", f"{folder2}/out").option("checkpointLocation", f"{folder2}/checkpoint").start()
     try:

@@ -9,7 +9,6 @@ import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 from typing import BinaryIO
 
 import numpy as np
@@ -22,9 +21,9 @@ from pyspark.sql.datasource import (
     DataSourceArrowWriter,
     DataSourceReader,
     DataSourceStreamArrowWriter,
+    DataSourceStreamReader,
     DataSourceWriter,
     InputPartition,
-    SimpleDataSourceStreamReader,
     WriterCommitMessage,
 )
 
@@ -35,10 +34,8 @@ LOG = T.StructType([*FLOW.fields, T.StructField("input_file", T.StringType()), T
 _ROWS = 10_000
 #: Bytes of a log that are read at once from an open file.
 PIECE = 8 << 20
-
-
-def _value(name: str, x):
-    return Decimal(x) if x is not None and name in ("packets", "octets") else x
+#: Bytes of a log for a task, where logs are dealt out.
+TASK = 32 << 20
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -180,6 +177,59 @@ def _range_of(path: str) -> Callable[[int, int], bytes]:
     return read
 
 
+def records_of_block(path: str, start: int, stop: int) -> tuple[int, bytes]:
+    """Where the first record that begins in a block begins, and the bytes of all that do, the last one whole if the log has it."""
+    read = _range_of(path)
+    begin = first_record(read, start)
+    if begin >= stop:
+        return begin, b""
+    data = read(begin, stop + LONGEST)
+    at, inside = 0, stop - begin
+    while at < inside:
+        at = at + records.HEADER.size + 4 * data[at + 1] if at + 1 < len(data) else len(data)
+    return begin, data[:at]
+
+
+def end_of_records(path: str) -> int:
+    """Where the last whole record of a log ends, found from its end."""
+    size = os.path.getsize(path)
+    begin = first_record(_range_of(path), max(0, size - 2 * LONGEST) & ~3)
+    data = _range_of(path)(begin, size)
+    starts = columns.walk(data, False)
+    return begin + (int(starts[-1]) + records.HEADER.size + 4 * data[starts[-1] + 1] if len(starts) else 0)
+
+
+def join_logs(spark: SparkSession, folder: str, path: str) -> str:
+    """All logs of a folder, in the order of their names, as one log of the new format: tasks copy parts of TASK bytes to their places.
+
+    The folder and ``path`` are on a file system that all executors see; the log gets its name when it is whole.
+    """
+    rows, size, hidden = [], 0, os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}")
+    for p in sorted(glob.glob(os.path.join(folder, "*.flow"))):
+        length = os.path.getsize(p)
+        rows += [(p, at, min(at + TASK, length), size + at) for at in range(0, length, TASK)]
+        size += length
+    with open(hidden, "wb") as f:
+        f.truncate(size)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, start, stop, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open(source, "rb") as f, open(hidden, "r+b") as out:
+                    f.seek(start)
+                    out.seek(to)
+                    for at in range(start, stop, PIECE):
+                        out.write(f.read(min(PIECE, stop - at)))
+                yield pa.RecordBatch.from_arrays([pa.array([stop - start], pa.int64())], names=["copied"])
+
+    parts = spark.createDataFrame(rows, "path string, start long, stop long, to long").repartition(max(1, len(rows)))
+    copied = parts.mapInArrow(copy, "copied long").agg(F.coalesce(F.sum("copied"), F.lit(0))).first()[0]
+    if copied != size:
+        raise OSError(f"{copied} of {size} bytes of {folder} were copied")
+    os.rename(hidden, path)
+    return path
+
+
 def read_split_log(spark: SparkSession, paths: str, splitbytes: int = 128 << 20, verify: bool = True) -> DataFrame:
     """Flows of logs of the new format of any length, each decoded by many tasks; a bad record is an error.
 
@@ -190,17 +240,17 @@ def read_split_log(spark: SparkSession, paths: str, splitbytes: int = 128 << 20,
     found = sorted(glob.glob(os.path.join(paths, "*.flow")) if os.path.isdir(paths) else glob.glob(paths))
     most = max(4, splitbytes & ~3)
     blocks = [(p, at, min(at + most, size)) for p in found for size in [os.path.getsize(p)] for at in range(0, size, most)]
-    spread = spark.createDataFrame(blocks, "path string, start long, stop long").repartition("path", "start")
+    tasks = max(1, min(len(blocks), -(-sum(stop - at for _, at, stop in blocks) // TASK)))
+    spread = spark.createDataFrame(blocks, "path string, start long, stop long").repartition(tasks)
     counted_as = "path string, start long, stop long, records long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                read, size = _range_of(path), os.path.getsize(path)
-                begin, end = first_record(read, start), first_record(read, stop) if stop < size else size
-                if begin < end:
-                    rows.append((path, begin, end, len(columns.walk(read(begin, end), False))))
+                begin, data = records_of_block(path, start, stop)
+                if data:
+                    rows.append((path, begin, begin + len(data), len(columns.walk(data, False))))
             made = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), *[pa.int64()] * 3), strict=True)], names=["path", "start", "stop", "records"])
 
@@ -215,7 +265,7 @@ def read_split_log(spark: SparkSession, paths: str, splitbytes: int = 128 << 20,
             for path, start, stop, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield from decoded(_range_of(path)(start, stop), path, False, verify, "FAILFAST", schema, number)
 
-    dealt = spark.createDataFrame(parts, "path string, start long, stop long, first long").repartition(max(1, len(parts)), "path", "start")
+    dealt = spark.createDataFrame(parts, "path string, start long, stop long, first long").repartition(tasks)
     return dealt.mapInArrow(run, LOG)
 
 
@@ -360,37 +410,29 @@ class _StreamWriter(DataSourceStreamArrowWriter):
         self.files.abort(messages)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """New records of a growing log: the offset is a number of bytes; a record that isn't whole yet waits."""
+class _Stream(DataSourceStreamReader):
+    """New records of a growing log: the offset is a number of bytes; a record that isn't whole yet waits.
+
+    The driver only looks at the end of the log.  A batch is all that is new, in blocks of ``maxbytes``: tasks find
+    where the records of their block begin and read them.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.most = int(options.get("maxbytes", 8 << 20))
+        self.most = max(4, int(options.get("maxbytes", 8 << 20)) & ~3)
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
-    def _from(self, start: int, stop: int | None) -> tuple[list[tuple], int]:
-        if not os.path.exists(self.path):
-            return [], start
-        with open(self.path, "rb") as f:
-            f.seek(start)
-            data = f.read(self.most if stop is None else stop - start)
-        rows, at = [], 0
-        while at < len(data):
-            try:
-                row, at = records.decode(data, at)
-            except records.Truncated:
-                break
-            rows.append(tuple(_value(c, row.get(c)) for c in FLOW.names))
-        return rows, start + at
+    def latestOffset(self) -> dict:
+        return {"at": end_of_records(self.path) if os.path.exists(self.path) else 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, at = self._from(start["at"], None)
-        return iter(rows), {"at": at}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(self.path, 0, at, min(at + self.most, end["at"])) for at in range(start["at"], end["at"], self.most)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._from(start["at"], end["at"])[0])
+    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
+        begin, data = records_of_block(part.path, part.start, part.stop)
+        yield from decoded(data, part.path, False, True, "FAILFAST", _arrow(FLOW), begin)
 
 
 class FlowLog(DataSource):
@@ -417,7 +459,7 @@ class FlowLog(DataSource):
     def streamWriter(self, schema: T.StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
         return _StreamWriter(dict(self.options), overwrite)
 
-    def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return _Stream(dict(self.options))
 
 
