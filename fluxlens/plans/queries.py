@@ -727,7 +727,7 @@ def log_split(spark, d):
     """One log read in blocks of 256 KB, whose records are found and numbered without going through the log."""
     flowlog.register(spark)
     folder = new_folder(spark, "log").removeprefix("file:")
-    line_flows(spark, d).select(*_LOGGED).coalesce(1).write.format("flowlog").mode("append").save(folder)
+    _one_log(spark, d, folder)
     found = flowlog.read_split_log(spark, folder, 1 << 18)
     return _counted(found.withColumn("octets", F.when(F.col("row_index") >= 0, F.col("octets"))))
 
