@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import errno
+import os
 import socket
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,7 +24,7 @@ from ..operators.exporters import admit
 from ..operators.series import rollup
 from ..plans.policy import Policy, PolicyError, apply_policy, apply_store, counter_columns, parse
 from ..schema import ALL
-from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates, source_of
+from ..sources.packets import FLOW_ROW, PACKET, Flows, Templates, _Recorder, _replay, source_of
 
 
 def rollup_stream(flows: DataFrame, delay: str = "1 hour", time: str = "recv_time") -> DataFrame:
@@ -42,6 +45,39 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     )
 
 
+#: Packets that are handled at once.
+_PACKETS = 1000
+
+
+def _with_templates(frames: Iterator[pd.DataFrame], templates: Templates) -> Iterator[pd.DataFrame]:
+    """Packets of a source in the order of ``seq``, each with the templates that hold before it; ``templates`` gets what they announce.
+
+    Payloads wait in a file; memory has some 30 bytes for each packet.
+    """
+    with tempfile.TemporaryFile() as kept:
+        held, agent = [], None
+        for frame in frames:
+            payloads = [bytes(p) if p is not None else b"" for p in frame["payload"]]
+            kept.write(b"".join(payloads))
+            held.append((frame["recv_time"].to_numpy(), frame["seq"].to_numpy(), np.fromiter(map(len, payloads), np.int64, len(payloads))))
+            agent = frame["agent_addr"].iloc[0] if len(frame) else agent
+        kept.flush()
+        times, seqs, sizes = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0)] * 3
+        starts, order = np.cumsum(sizes) - sizes, np.argsort(seqs, kind="stable")
+        recorder, blob = _Recorder(), templates.dump()
+        for at in range(0, len(order), _PACKETS):
+            rows, payloads, blobs = order[at : at + _PACKETS], [], []
+            for size, start in zip(sizes[rows].tolist(), starts[rows].tolist(), strict=True):
+                payload = os.pread(kept.fileno(), size, start)
+                payloads.append(payload)
+                blobs.append(blob)
+                if payload[:2] == b"\0\x09" and (steps := recorder.of(payload)):
+                    _replay([{"template": t, "fields": f, "size": n} for t, f, n in steps], int.from_bytes(payload[16:20], "big"), templates)
+                    blob = templates.dump()
+            numbers = pd.array(seqs[rows], dtype="Int64")
+            yield pd.DataFrame({"recv_time": times[rows], "agent_addr": [bytes(agent)] * len(rows), "seq": numbers, "payload": payloads, "blob": blobs})
+
+
 def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str | None = None) -> DataFrame:
     """Flows of a stream of packets, version 9 templates kept as state of each exporter's source.
 
@@ -49,7 +85,8 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str |
     templates go after ``idle`` without a packet (if given: not for queries that end by themselves, since
     Spark runs batches for as long as a timeout may come); a limit over all exporters, which a single
     process could keep, would need one task for all of them.  Packets of one batch are taken in the order
-    of ``seq``.
+    of ``seq``.  A source's task only follows what they announce, in order, and holds their payloads on its disk; they
+    are decoded in any task, each with the templates that held when it came.
     """
     admitted = admit(packets, policy.sources if policy else None)
     state = T.StructType([T.StructField("blob", T.BinaryType())])
@@ -60,20 +97,26 @@ def decode_stream(packets: DataFrame, policy: Policy | None = None, idle: str |
             held.remove()
             return
         templates = Templates().load(held.get[0]) if held.exists else Templates()
-        batch = pd.concat(list(frames), ignore_index=True).sort_values("seq")
-        flows = Flows()
-        for time, agent, seq, payload in zip(batch["recv_time"], batch["agent_addr"], batch["seq"], batch["payload"], strict=True):
-            flows.add(time, bytes(agent), seq, bytes(payload or b""), templates)
+        yield from _with_templates(frames, templates)
         held.update((templates.dump(),))
         if idle:
             held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield flows.batch().to_pandas(integer_object_nulls=True, date_as_object=True)
 
-    flows = (
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PACKETS):
+                flows = Flows()
+                for time, agent, seq, payload, blob in zip(*(c.to_pylist() for c in batch.slice(at, _PACKETS).columns), strict=True):
+                    flows.add(time, agent, seq, payload, Templates().load(blob))
+                yield flows.batch()
+
+    told = (
         admitted.select(*PACKET.names, source_of(F.col("payload"), F.col("seq")).alias("source"))
         .groupBy("agent_addr", "source")
-        .applyInPandasWithState(run, FLOW_ROW, state, "append", timeout)
+        .applyInPandasWithState(run, T.StructType([*PACKET.fields, T.StructField("blob", T.BinaryType())]), state, "append", timeout)
     )
+    rows = told.select(*PACKET.names, F.coalesce("blob", F.lit(b"")).alias("blob"))  # an exchange can't take the rows as they come out
+    flows = rows.repartition("agent_addr", "seq").mapInArrow(decode, FLOW_ROW)
     return apply_policy(flows, policy) if policy else flows
 
 

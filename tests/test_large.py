@@ -51,3 +51,32 @@ def test_parts_become_one_log(spark, tmp_path, monkeypatch):
     found = flowlog.read_split_log(spark, path, 256)
     assert found.rdd.getNumPartitions() == -(-sum(map(len, logs)) // 1000)  # not one for each block
     assert [r["tag"] for r in found.orderBy("row_index").collect()] == [r["tag"] for r in records.scan(b"".join(logs))]
+
+
+# streams of packets
+
+
+def test_a_source_hands_its_packets_on(monkeypatch):
+    """A source's task decodes nothing: packets leave it a few at a time, in order, with the templates before them."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from fluxlens.sources import packets
+    from fluxlens.streaming import rollup
+
+    monkeypatch.setattr(rollup, "_PACKETS", 10)
+    what = [[(8, 4), (12, 4), (1, 4)], [(1, 4), (12, 4), (8, 4)]]
+    sent = [packets.encode_v9([FLOW | {"octets": i}] * 3, 300, what[i // 30], source=7, with_template=i in (2, 30)) for i in range(50)]
+    rows = [(dt.datetime(2024, 1, 1), b"\x0a\0\0\1", i, p) for i, p in enumerate(sent)]
+    frames = [pd.DataFrame(rows[k::3][::-1], columns=["recv_time", "agent_addr", "seq", "payload"]) for k in range(3)]
+    templates = packets.Templates()
+    out = list(rollup._with_templates(iter(frames), templates))
+    assert max(map(len, out)) == 10
+    whole = pd.concat(out)
+    assert list(whole["seq"]) == list(range(50)) and list(whole["payload"]) == sent
+    flows = packets.Flows()
+    for time, agent, seq, payload, blob in whole.itertuples(index=False):
+        flows.add(time, agent, seq, payload, packets.Templates().load(blob))
+    assert [int(r["octets"]) for r in flows.batch().sort_by("seq").to_pylist()] == [i for i in range(2, 50) for _ in range(3)]
+    assert templates.get(7, 300) == what[1]
