@@ -44,22 +44,23 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def decoded(data: bytes, name: str, old: bool, verify: bool, mode: str, schema: pa.Schema, first: int = 0) -> Iterator[pa.RecordBatch]:
+def decoded(data: bytes | memoryview, name: str, old: bool, verify: bool, mode: str, schema: pa.Schema, first: int = 0) -> Iterator[pa.RecordBatch]:
     """Records of a log with input_file and row_index.  PERMISSIVE ends a log at its first bad record."""
     if old:
         next(records.scan(data, True), None)  # checks the head of the log
-    starts = columns.walk(data, old)
-    whole = np.frombuffer(data, np.uint8)
-    ends = np.r_[starts[1:], len(data)]
-    for at in range(0, len(starts), _ROWS):
-        part = starts[at : at + _ROWS]
-        table, good, fault = columns.decode(whole, part, ends[at : at + _ROWS] - part, schema, old, verify)
+    whole, at = np.frombuffer(data, np.uint8), records.OLD_HEADER.size if old else 0
+    while at < len(data):
+        starts = columns.walk(data, old, at, _ROWS + 1)
+        at = int(starts[_ROWS]) if len(starts) > _ROWS else len(data)
+        part = starts[:_ROWS]
+        table, good, fault = columns.decode(whole, part, np.r_[part[1:], at] - part if len(part) else part, schema, old, verify)
         if fault is not None and mode.upper() != "PERMISSIVE":
             fault()
-        more = {"input_file": pa.array([name] * len(part)), "row_index": pa.array(np.arange(len(part)) + at + first)}
+        more = {"input_file": pa.array([name] * len(part), pa.string()), "row_index": pa.array(np.arange(len(part)) + first)}
         yield table.batch(more).slice(0, good)
         if fault is not None:
             return
+        first += len(part)
 
 
 def read_log(spark: SparkSession, paths: str | Sequence[str], old: bool = False, verify: bool = True, mode: str = "FAILFAST") -> DataFrame:
@@ -79,7 +80,8 @@ def decode_logs(files: DataFrame, old: bool = False, verify: bool = True, mode:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from decoded(content.as_py() or b"", name, old, verify, mode, schema)
+                data = content.as_buffer()
+                yield from decoded(memoryview(data).cast("B") if data is not None else b"", name, old, verify, mode, schema)
 
     return files.mapInArrow(run, LOG)
 
@@ -317,11 +319,17 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
+
+
+def _paths(messages: list) -> list[str]:
+    return [path for m in messages if m is not None for path in m.paths]
 
 
 class _Writer(DataSourceArrowWriter):
-    """One file for each task, made visible by its name when the job commits.
+    """Files of some ``filebytes`` bytes, one for each task at least, made visible by their names when the job commits.
+
+    A log that isn't split is read by one task, so none should be long.
 
     Logs of the old format in the folder are never added to.
     """
@@ -330,6 +338,7 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.overwrite = options["path"], overwrite
         self.mask = mask_of(options.get("fields", "ALL"))
         self.crc = options.get("crc", "true").lower() == "true"
+        self.most = int(options.get("filebytes", TASK))
         self.job = uuid.uuid4().hex
         if "://" in self.folder and not self.folder.startswith("file://"):
             raise ValueError(f"flowlog writes to file systems that all executors see, not to {self.folder}")
@@ -344,24 +353,32 @@ class _Writer(DataSourceArrowWriter):
 
         os.makedirs(self.folder, exist_ok=True)
         task = TaskContext.get()
-        path = os.path.join(self.folder, f".{self.job}-{task.partitionId()}-{task.taskAttemptId()}")
-        with open(path, "wb") as f:
+        stem = os.path.join(self.folder, f".{self.job}-{task.partitionId()}-{task.taskAttemptId()}")
+        paths = [f"{stem}-0"]
+        f = open(paths[0], "wb")
+        try:
             for batch in batches:
+                if f.tell() >= self.most:
+                    f.close()
+                    paths.append(f"{stem}-{len(paths)}")
+                    f = open(paths[-1], "wb")
                 known = [c for c in batch.schema.names if c in FLOW.names]
                 f.write(columns.encode(batch.select(known), self.mask, checksum=self.crc or None).buffers()[2] or b"")
-        return _Written(path)
+        finally:
+            f.close()
+        return _Written(paths)
 
     def commit(self, messages: list) -> None:
         if self.overwrite:
             for old in glob.glob(os.path.join(self.folder, "*.flow")):
                 os.remove(old)
-        for i, m in enumerate(m for m in messages if m is not None):
-            os.rename(m.path, os.path.join(self.folder, f"part-{i:05d}-{self.job}.flow"))
+        for i, path in enumerate(_paths(messages)):
+            os.rename(path, os.path.join(self.folder, f"part-{i:05d}-{self.job}.flow"))
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in _paths(messages):
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class _StreamWriter(DataSourceStreamArrowWriter):
@@ -384,7 +401,7 @@ class _StreamWriter(DataSourceStreamArrowWriter):
     def commit(self, messages: list, batchId: int) -> None:
         os.makedirs(self.noted, exist_ok=True)
         note = os.path.join(self.noted, str(batchId))
-        mine = [m.path for m in messages if m is not None]
+        mine = _paths(messages)
         if not os.path.exists(note):
             named = [(p, os.path.join(self.files.folder, f"{self.name}-{batchId:09d}-{i:05d}.flow")) for i, p in enumerate(p for p in mine if os.path.getsize(p))]
             draft = os.path.join(self.noted, f".{batchId}-{uuid.uuid4().hex}")
@@ -438,7 +455,7 @@ class _Stream(DataSourceStreamReader):
 class FlowLog(DataSource):
     """``spark.read.format("flowlog")``; options path, version (3 or 2), verify_crc, mode, splitbytes.
 
-    ``df.write.format("flowlog").mode("append")`` and ``df.writeStream.format("flowlog")``; options path, fields, crc, and
+    ``df.write.format("flowlog").mode("append")`` and ``df.writeStream.format("flowlog")``; options path, fields, crc, filebytes, and
     for streams name (of the query, if several write to one folder).  Paths are on a file system
     that all executors see; :func:`read_log` reads from other stores.
     """

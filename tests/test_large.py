@@ -80,3 +80,30 @@ def test_a_source_hands_its_packets_on(monkeypatch):
         flows.add(time, agent, seq, payload, packets.Templates().load(blob))
     assert [int(r["octets"]) for r in flows.batch().sort_by("seq").to_pylist()] == [i for i in range(2, 50) for _ in range(3)]
     assert templates.get(7, 300) == what[1]
+
+
+def test_a_task_writes_several_logs(spark, tmp_path):
+    flowlog.register(spark)
+    df = spark.range(30000).selectExpr("id AS octets").coalesce(1)
+    df.write.format("flowlog").option("filebytes", "1000").mode("append").save(str(tmp_path / "log"))
+    assert len(list((tmp_path / "log").glob("*.flow"))) > 1 and not list((tmp_path / "log").glob(".*"))
+    for folder in ("log", "streamed"):
+        if folder == "streamed":
+            df.write.parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("octets long").parquet(str(tmp_path / "in"))
+            out = stream.writeStream.format("flowlog").options(path=str(tmp_path / folder), filebytes="1000", checkpointLocation=str(tmp_path / "c"))
+            out.trigger(availableNow=True).start().awaitTermination()
+            assert len(list((tmp_path / folder).glob("*.flow"))) > 1
+        assert [int(r["octets"]) for r in flowlog.read_log(spark, f"{tmp_path}/{folder}/*.flow").orderBy("octets").collect()] == list(range(30000))
+
+
+def test_a_log_is_walked_a_piece_at_a_time(monkeypatch):
+    monkeypatch.setattr(flowlog, "_ROWS", 7)
+    walked, walk = [], flowlog.columns.walk
+    monkeypatch.setattr(flowlog.columns, "walk", lambda *a: walked.append(walk(*a)) or walked[-1])
+    for old, log in ((False, b"".join(records.encode(FLOW | {"tag": i}) for i in range(50))), (True, records.old_header() + b"".join(records.encode_old(FLOW | {"tag": i}) for i in range(50)))):
+        for data in (log, memoryview(log), log[:-1], log[:20], b""):
+            rows = [r for b in flowlog.decoded(data, "a", old, True, "FAILFAST", flowlog._arrow(flowlog.LOG)) for r in b.to_pylist()]
+            want = list(records.scan(bytes(data), old))
+            assert [r["tag"] for r in rows] == [r["tag"] for r in want] and [r["row_index"] for r in rows] == list(range(len(want)))
+    assert max(map(len, walked)) <= 8
