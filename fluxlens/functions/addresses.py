@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import socket
 
 import pandas as pd
 from pyspark.sql import Column
@@ -89,14 +90,7 @@ def ntop(a: bytes | None) -> str | None:
     """Text of an address; IPv4-mapped and -compatible ones end in dotted form, as the C library writes them."""
     if a is None or len(a) not in (4, 16):
         return None
-    ip = ipaddress.ip_address(a)
-    if ip.version == 6:
-        tail = ".".join(map(str, a[12:]))
-        if ip.ipv4_mapped is not None:
-            return f"::ffff:{tail}"
-        if not any(a[:12]) and (a[12] or a[13]):
-            return f"::{tail}"
-    return str(ip)
+    return socket.inet_ntop(socket.AF_INET if len(a) == 4 else socket.AF_INET6, a)
 
 
 # Column expressions
@@ -136,24 +130,31 @@ def ipv4_number_text(n: Column) -> Column:
 
 def halves(address: Column) -> tuple[Column, Column]:
     """The upper and the lower 64 bits as longs (the upper ones of an IPv4 address are zero)."""
-    text = F.lpad(F.hex(address), 32, "0")
-    return tuple(F.conv(F.substring(text, at, 16), 16, -10).cast("long") for at in (1, 17))
+    text, short = F.hex(address), F.length(address) <= 8
+    # one expression for each half, whatever else is asked of the address: Spark works it out once in a projection
+    high = F.when(short, F.lit(0).cast("long")).otherwise(F.conv(F.substring(F.lpad(text, 32, "0"), 1, 16), 16, -10).cast("long"))
+    return high, F.conv(F.right(text, F.lit(16)), 16, -10).cast("long")
 
 
 def _joined(high: Column, low: Column, size: Column) -> Column:
-    """An address of ``size`` bytes from its halves."""
-    return F.unhex(F.right(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")), (2 * size).cast("int")))
+    """An address of ``size`` bytes from its halves; null without a size."""
+    tail = F.lpad(F.hex(low), 16, "0")
+    return F.unhex(F.when(size == 4, F.right(tail, F.lit(8))).when(size == 16, F.concat(F.lpad(F.hex(high), 16, "0"), tail)))
+
+
+def _one_size(a: Column, b: Column) -> Column:
+    return F.when(F.length(a) == F.length(b), F.length(a))
 
 
 def both_columns(a: Column, b: Column) -> Column:
     """Bits that both addresses have; null for two families, as for all that follows."""
     (p, q), (r, s) = halves(a), halves(b)
-    return F.when(F.length(a) == F.length(b), _joined(p.bitwiseAND(r), q.bitwiseAND(s), F.length(a)))
+    return _joined(p.bitwiseAND(r), q.bitwiseAND(s), _one_size(a, b))
 
 
 def either_columns(a: Column, b: Column) -> Column:
     (p, q), (r, s) = halves(a), halves(b)
-    return F.when(F.length(a) == F.length(b), _joined(p.bitwiseOR(r), q.bitwiseOR(s), F.length(a)))
+    return _joined(p.bitwiseOR(r), q.bitwiseOR(s), _one_size(a, b))
 
 
 def invert_column(a: Column) -> Column:
@@ -177,13 +178,25 @@ def hostmask_column(family: Column, length: Column) -> Column:
     return _by_length(hostmask, family, length)
 
 
+def _mask_halves(make, address: Column, length: Column) -> tuple[Column, Column]:
+    """The halves of ``make(family, length)`` of an address's family, from tables; null for a length out of range."""
+    n = length.cast("int")
+    tables = {}
+    for f in (4, 6):
+        both = [make(f, k).rjust(16, b"\0") for k in range(unicast_length(f) + 1)]
+        tables[f] = [F.array(*[F.lit(int.from_bytes(m[at : at + 8], "big", signed=True)).cast("long") for m in both]) for at in (0, 8)]
+    return tuple(F.when(F.length(address) == 4, F.get(tables[4][i], n)).when(F.length(address) == 16, F.get(tables[6][i], n)) for i in (0, 1))
+
+
 def first_of(address: Column, length: Column) -> Column:
     """First address of the network round ``address``."""
-    return both_columns(address, netmask_column(family(address), length))
+    (p, q), (r, s) = halves(address), _mask_halves(netmask, address, length)
+    return _joined(p.bitwiseAND(r), q.bitwiseAND(s), F.length(address))
 
 
 def last_of(address: Column, length: Column) -> Column:
-    return either_columns(address, hostmask_column(family(address), length))
+    (p, q), (r, s) = halves(address), _mask_halves(hostmask, address, length)
+    return _joined(p.bitwiseOR(r), q.bitwiseOR(s), F.length(address))
 
 
 def compare_columns(a: Column, b: Column) -> Column:
@@ -193,8 +206,7 @@ def compare_columns(a: Column, b: Column) -> Column:
 
 
 def is_unspecified_column(a: Column) -> Column:
-    high, low = halves(a)
-    return (high == 0) & (low == 0)
+    return F.when(F.length(a) == 4, a == F.lit(bytes(4))).when(F.length(a) == 16, a == F.lit(bytes(16)))
 
 
 def host_is_zeros_column(a: Column, length: Column) -> Column:
@@ -220,20 +232,26 @@ def ipv4_text_number(text: Column) -> Column:
     return F.when(good, value)
 
 
+def packed(text: str | None) -> bytes | None:
+    """Address of a text, null if it is none: by the C library where it takes the text."""
+    try:
+        return None if text is None else socket.inet_pton(socket.AF_INET6 if ":" in text else socket.AF_INET, text)
+    except (OSError, ValueError):
+        pass
+    try:
+        return pton(text)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.BinaryType())
 def _any_address(text: pd.Series) -> pd.Series:
-    def one(x: str | None) -> bytes | None:
-        try:
-            return pton(x) if x is not None else None
-        except ValueError:
-            return None
-
-    return text.map(one)
+    return text.map(packed)
 
 
 def from_text(text: Column, ipv4_only: bool = False) -> Column:
     """Address of a text, null if it is none.  IPv4 is done in the JVM; with ``ipv4_only`` no Python runs."""
-    v4 = ipv4_from_number(ipv4_text_number(text))
+    v4 = F.when(~text.contains(":"), ipv4_from_number(ipv4_text_number(text)))
     return v4 if ipv4_only else F.coalesce(v4, _any_address(text))
 
 

@@ -107,3 +107,45 @@ def test_a_log_is_walked_a_piece_at_a_time(monkeypatch):
             want = list(records.scan(bytes(data), old))
             assert [r["tag"] for r in rows] == [r["tag"] for r in want] and [r["row_index"] for r in rows] == list(range(len(want)))
     assert max(map(len, walked)) <= 8
+
+
+# addresses
+
+
+def test_texts_as_the_library_has_them():
+    import ipaddress
+
+    import numpy as np
+
+    from fluxlens.functions import addresses
+
+    rng = np.random.default_rng(1)
+    some = [bytes(x) for x in rng.integers(0, 256, (300, 16), np.uint8) * (rng.random((300, 16)) < 0.3).astype(np.uint8)]
+    some += [bytes(10) + b"\xff\xff" + x[:4] for x in some[:50]] + [bytes(12) + x[:4] for x in some[:50]] + [bytes(16), bytes(15) + b"\1", bytes(10) + b"\xff\xff" + bytes(4)]
+    for a in some + [x[:4] for x in some]:
+        ip, shown = ipaddress.ip_address(a), addresses.ntop(a)
+        assert addresses.packed(shown) == addresses.packed(str(ip)) == addresses.packed(ip.exploded) == a
+        assert "." in shown or shown == str(ip)
+    for bad in ("", "x", "1.2.3", "1.2.3.256", "::1::", "1:2", "01.2.3.4", "1.2.3.4 ", ":::", "\0::1", "١::1"):
+        assert addresses.packed(bad) is None
+    assert addresses.packed("fe80::1%eth0") == ipaddress.ip_address("fe80::1").packed and addresses.packed(None) is None
+
+
+def test_algebra_works_halves_out_once(spark):
+    """The plan of all operations on one address has a bounded number of conversions from text; results are as by bytes."""
+    from pyspark.sql import functions as F
+
+    from fluxlens.functions import addresses as A
+
+    rows = [(a, b, n) for a in (b"\x0a\1\2\3", bytes(4), b"\xff" * 4, bytes(range(16)), bytes(16), b"\xff" * 16) for b in (b"\xc0\xa8\0\x7f", bytes(range(240, 256))) for n in (-1, 0, 1, 31, 32, 33, 63, 64, 65, 127, 128, 129)]
+    df = spark.createDataFrame(rows, "a binary, b binary, n int")
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    made = df.select("a", "b", "n", A.both_columns(a, b).alias("both"), A.either_columns(a, b).alias("either"), A.invert_column(a).alias("inverted"),
+                     A.first_of(a, n).alias("first"), A.last_of(a, n).alias("last"), A.is_unspecified_column(a).alias("unspecified"))
+    for r in made.collect():
+        x, y, k = bytes(r["a"]), bytes(r["b"]), r["n"]
+        same, fits = len(x) == len(y), 0 <= k <= 8 * len(x)
+        assert r["both"] == (A.both(x, y) if same else None) and r["either"] == (A.either(x, y) if same else None) and r["inverted"] == A.invert(x)
+        assert (r["first"], r["last"]) == (A.network_range(x, k) if fits else (None, None)) and r["unspecified"] == A.is_unspecified(x)
+    one = df.select(A.host_is_zeros_column(a, n).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert one.count("conv(") == 2  # the address only: masks come as numbers
