@@ -80,6 +80,12 @@ def number_in_file(df: DataFrame, file: str, order: str) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1)
 
 
+def first_in_file(df: DataFrame, n: int, file: str, order: str) -> DataFrame:
+    """The first ``n`` records of each file, for sources that don't number them: all others go before any row is moved."""
+    number = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    return df.withColumn("number", number).where(F.col("number") <= n).drop("number")
+
+
 def concatenate(logs: Sequence[DataFrame]) -> DataFrame:
     """All records of several logs; groups that a log lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,23 +142,39 @@ class Decoded:
     version: int | None = None
 
 
-def _template_set(data: bytes, source: int, templates: Templates) -> None:
-    at = 0
+@lru_cache(maxsize=256)
+def _announced(data: bytes) -> tuple[list[tuple[int, list[tuple[int, int]]]], str | None]:
+    """Templates of a template flowset, and what is wrong behind them: exporters repeat the same flowset again and again."""
+    found, at = [], 0
     while at + 4 <= len(data):
         template, count = struct.unpack_from(">HH", data, at)
         at += 4
         if not count:  # padding
             continue
         if at + 4 * count > len(data):
-            raise PacketError("template is cut off")
+            return found, "template is cut off"
         what = [struct.unpack_from(">HH", data, at + 4 * i) for i in range(count)]
         at += 4 * count
         for kind, width in what:
             if not 1 <= width <= MOST_WIDTH or kind in TYPES and not _fits(kind, width):
-                raise PacketError(f"field {kind} has width {width}")
+                return found, f"field {kind} has width {width}"
         if sum(w for _, w in what) > MOST_TEMPLATE:
-            raise PacketError("template is too long")
+            return found, "template is too long"
+        found.append((template, what))
+    return found, None
+
+
+def _template_set(data: bytes, source: int, templates: Templates) -> None:
+    found, error = _announced(data)
+    for template, what in found:
         templates.put(source, template, what)
+    if error:
+        raise PacketError(error)
+
+
+@lru_cache(maxsize=1024)
+def _fields(what: tuple[tuple[int, int], ...]) -> bytes:
+    return b"".join(struct.pack(">HH", *x) for x in what)
 
 
 def _fits(kind: int, width: int) -> bool:
@@ -420,7 +437,7 @@ class _Recorder(Templates):
         self.steps: list[tuple[int, bytes | None, int]] = []
 
     def put(self, source: int, template: int, what: list[tuple[int, int]]) -> None:
-        self.steps.append((template, b"".join(struct.pack(">HH", *x) for x in what), 0))
+        self.steps.append((template, _fields(tuple(what)), 0))
 
     def get(self, source: int, template: int) -> list[tuple[int, int]]:
         return [(template, 1)]

@@ -149,3 +149,26 @@ def test_algebra_works_halves_out_once(spark):
         assert (r["first"], r["last"]) == (A.network_range(x, k) if fits else (None, None)) and r["unspecified"] == A.is_unspecified(x)
     one = df.select(A.host_is_zeros_column(a, n).alias("x"))._jdf.queryExecution().executedPlan().toString()
     assert one.count("conv(") == 2  # the address only: masks come as numbers
+
+
+# packets and heads of files
+
+
+def test_packets_are_laid_out_once(spark, tmp_path):
+    from fluxlens.plans.queries import QUERIES
+
+    for name in ("netflow_v9_evicted", "netflow_v9_fields", "netflow_v9_changing", "netflow_v9_families", "netflow_v9_decode"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan, name  # what is decoded comes from files
+
+
+def test_the_rest_of_a_file_is_not_moved(spark):
+    from fluxlens.operators import exporters
+
+    df = spark.range(0, 4000, 1, 4).selectExpr("id", "id % 3 AS file")
+    found = exporters.first_in_file(df, 5, "file", "id")
+    assert sorted(map(tuple, found.collect())) == [(i, i % 3) for i in range(15)]
+    from fluxlens.plans.queries import QUERIES
+
+    plan = QUERIES["head_per_file"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before the exchange and behind it
