@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,13 +74,35 @@ def by_each(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     return grouped.where(present).select("kind", *names, "flows", "octets", "packets")
 
 
+def _best(grouped: DataFrame, names: Sequence[str], n: int, orders: Sequence[str]) -> DataFrame:
+    """Of each partition and kind the ``n`` rows with most of each of ``orders``; a task holds one batch and these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*(held.to_batches() if held else []), batch]).combine_chunks()
+            kinds, places = held["kind"].combine_chunks().dictionary_encode().indices.to_numpy(), np.arange(len(held))
+            keep = np.zeros(len(held), bool)
+            for o in orders:
+                rows = pc.sort_indices(held, [("kind", "ascending"), (o, "descending"), *((k, "ascending") for k in names)]).to_numpy()
+                begins = np.r_[True, kinds[rows][1:] != kinds[rows][:-1]]
+                keep[rows[places - np.maximum.accumulate(np.where(begins, places, 0)) < n]] = True
+            held = held.filter(pa.array(keep))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return grouped.mapInArrow(run, grouped.schema)
+
+
 def top_lists(df: DataFrame, sets: Sequence[Sequence[str]], n: int = 10, orders: Sequence[str] = ("octets", "packets", "flows")) -> DataFrame:
     """The ``n`` groups of each key with most of each of ``orders``: kind, which, rank, the keys, and the counters.
 
-    One pass over the flows for all lists.  Ranks are cut before the shuffle; ties by key.
+    One pass over the flows for all lists.  Each task keeps its own best only, without sorting all; ties by key.
     """
     names = list(dict.fromkeys(k for s in sets for k in s))
-    grouped = by_each(df, sets)
+    grouped = _best(by_each(df, sets), names, n, orders)
     each = grouped.withColumn("which", F.explode(F.array(*[F.lit(o) for o in orders])))
     amount = F.coalesce(*[F.when(F.col("which") == o, F.col(o)) for o in orders])
     by = Window.partitionBy("kind", "which").orderBy(amount.desc(), *names)

@@ -172,3 +172,18 @@ def test_the_rest_of_a_file_is_not_moved(spark):
 
     plan = QUERIES["head_per_file"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # before the exchange and behind it
+
+
+def test_lists_are_cut_in_each_task(spark):
+    from fluxlens.operators import summary
+
+    df = spark.range(0, 9000, 1, 3).selectExpr("CASE WHEN id % 50 > 0 THEN id * 7919 % 3001 END AS a", "cast(id % 7 AS int) AS b", "cast(id % 11 AS decimal(20, 0)) AS octets", "id % 5 AS packets")
+    grouped = summary.by_each(df, [["a"], ["b"], ["a", "b"]])
+    best = summary._best(grouped, ["a", "b"], 4, ["octets", "packets", "flows"])
+    assert best.count() <= 3 * 3 * 4 * grouped.rdd.getNumPartitions() < grouped.count()
+    rows = grouped.collect()
+    for r in summary.top_lists(df, [["a"], ["b"], ["a", "b"]], 4).collect():
+        ranked = sorted((x for x in rows if x["kind"] == r["kind"]), key=lambda x: (-x[r["which"]], x["a"] or 0, x["b"] or 0))
+        want = ranked[r["rank"] - 1]
+        assert tuple(r[c] for c in want.asDict()) == tuple(want)
+    assert summary.top_lists(df.limit(0), [["a"]]).count() == 0
