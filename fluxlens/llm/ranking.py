@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,104 +145,93 @@ def kth_score(partial: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("bound"))
 
 
-def _held(table: pa.Table) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], int]:
-    """The lists of a shard by term, and how many places they name."""
-    lists = {
-        t: (np.frombuffer(p, np.int32), np.frombuffer(x, np.int32).astype(np.int64))
-        for t, p, x in zip(*(table.column(c).to_pylist() for c in ("term", "place", "impact")), strict=True)
-    }
-    return lists, max((int(p.max()) for p, _ in lists.values() if len(p)), default=-1) + 1
+def shard_groups(raw: DataFrame) -> DataFrame:
+    """(shard, group): shards, in turn, while they have at most DOCUMENTS documents and POSTINGS terms together.
 
-
-def _one_pass(lists: DataFrame, heads: DataFrame, gains: DataFrame, k: int) -> DataFrame:
-    """(item, shard, place, score): exact scores of all that can be among the k best of each item of ``gains``."""
-    spark = lists.sparkSession
+    So what the groups send grows with the documents, into however many partitions they are cut.  The driver
+    looks at one row for each shard.
+    """
+    made, docs, terms, group = [], 0, 0, 0
+    for shard, n, total in sorted(map(tuple, raw.where("term is null").select("shard", F.size("docs"), "total").collect())):
+        if docs and (docs + n > DOCUMENTS or terms + total > POSTINGS):
+            docs, terms, group = 0, 0, group + 1
+        docs, terms = docs + n, terms + total
+        made.append((shard, group))
+    return materialise(raw.sparkSession.createDataFrame(made, "shard long, group long"))
+
+
+def _held(table: pa.Table) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], pa.Array]:
+    """The lists of a group of shards by term, from the highest impact down, and the documents that they name by place."""
+    own = table.filter(pc.is_null(table.column("term")))
+    docs = own.column("docs").combine_chunks()
+    ends = np.cumsum(pc.list_value_length(docs).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = dict(zip(own.column("shard").to_pylist(), [0, *ends.tolist()], strict=False))
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for t, s, p, x in zip(*(table.column(c).to_pylist() for c in ("term", "shard", "place", "impact")), strict=True):
+        if t is not None:
+            parts.setdefault(t, []).append((np.frombuffer(p, np.int32) + first[s], np.frombuffer(x, np.int32).astype(np.int64)))
+    lists = {}
+    for t, each in parts.items():
+        place, impact = (np.concatenate(x) for x in zip(*each, strict=True)) if len(each) > 1 else each[0]
+        order = np.argsort(-impact, kind="stable") if len(each) > 1 else slice(None)
+        lists[t] = place[order], impact[order]
+    return lists, docs.flatten()
+
+
+def _one_pass(members: DataFrame, heads: DataFrame, gains: DataFrame, k: int) -> DataFrame:
+    """(item, doc, score): the k best documents of each group of shards that can be among those of an item of ``gains``."""
+    spark = members.sparkSession
     one = heads.join(small(gains), "term").groupBy("item", "shard", "place").agg(F.sum(F.col("gain") * F.col("impact")).alias("score"))
     bound = {r["item"]: r["bound"] for r in kth_score(one, k).collect()}  # of SMALL terms, so of fewer items
-    top = {r["term"]: r["impact"] for r in heads.join(gains.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("impact").alias("impact")).collect()}
     asked: dict = {}
     for r in gains.collect():
         asked.setdefault(r["item"], []).append((r["term"], r["gain"]))
-    # item, bound, lists, least sum of a list that is read, and its (term, gain, least impact)
+    # item, bound, least sum of a list that is read, and the lists: term, gain, least impact
     plan = []
-    floor: dict[str, int] = {}
     for item, terms in asked.items():
         level = max(1, -(-bound.get(item, 0) // len(terms)))
-        read = [(t, g, -(-level // g)) for t, g in terms if top.get(t, 0) * g >= level]
-        plan.append((item, bound.get(item, 0), len(terms), level, read))
-        for t, _, least in read:
-            floor[t] = min(least, floor.get(t, least))
-    shared = spark.sparkContext.broadcast((plan, floor))
-    wanted = spark.sparkContext.broadcast(asked)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each list down to the threshold."""
-        down_to = shared.value[1]
-        for batch in batches:
-            rows = []
-            for i, (term, shard) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if term in down_to:
-                    impact = np.frombuffer(batch.column(3)[i].as_py(), np.int32)
-                    n = int(np.searchsorted(-impact, -down_to[term], "right"))
-                    if n:
-                        rows.append((term, shard, batch.column(2)[i].as_py()[: 4 * n], impact[:n].tobytes()))
-            made = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["term", "shard", "place", "impact"])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        """Documents of a shard that can be among the best: sum of what was read, and the most that the score can be."""
-        held, size = _held(table)
-        found = []
-        for number, (_, bound, n_lists, level, read) in enumerate(shared.value[0]):
-            total, seen = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for term, gain, least in read:
+        plan.append((item, bound.get(item, 0), level, [(t, g, -(-level // g)) for t, g in terms]))
+    shared = spark.sparkContext.broadcast(plan)
+
+    def best(table: pa.Table) -> pa.Table:
+        held, docs = _held(table)
+        rank = np.empty(len(docs), np.int64)
+        rank[pc.array_sort_indices(docs, null_placement="at_end").to_numpy()] = np.arange(len(docs))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+        for number, (_, bound, level, terms) in enumerate(shared.value):
+            total, seen = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+            rest = []
+            for term, gain, least in terms:
                 if term in held:
                     place, impact = held[term]
                     n = int(np.searchsorted(-impact, -least, "right"))
                     total[place[:n]] += gain * impact[:n]
                     seen[place[:n]] += 1
+                    rest.append((place[n:], impact[n:], gain))
             at = np.flatnonzero(seen)
             if not len(at):
                 continue
-            most = total[at] + (n_lists - seen[at]) * (level - 1)
-            least_score = max(bound, int(np.partition(total[at], len(at) - k)[len(at) - k]) if len(at) >= k else 0)
-            can = most >= least_score
-            found.append((np.full(can.sum(), number), at[can], total[at][can], most[can]))
-        item, place, total, most = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
-        shard = np.full(len(item), table.column("shard")[0].as_py(), np.int64)
-        return pa.table({"number": item.astype(np.int32), "shard": shard, "place": place.astype(np.int32), "score": total, "most": most})
-
-    def look_up(chosen: pa.Table, table: pa.Table) -> pa.Table:
-        """Exact scores of a shard's candidates."""
-        held, size = _held(table)
-        out = {"number": [], "place": [], "score": []}
-        number, place = (chosen.column(c).to_numpy() for c in ("number", "place"))
-        order = np.argsort(number, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []:
-            mine = place[part]
-            at = np.full(max(size, int(mine.max()) + 1), -1)
-            at[mine] = np.arange(len(mine))
-            score = np.zeros(len(mine), np.int64)
-            for term, gain in wanted.value[shared.value[0][number[part[0]]][0]]:
-                if term in held:
-                    p, impact = held[term]
-                    hit = at[p] >= 0
-                    score[at[p[hit]]] += gain * impact[hit]
-            for c, x in (("number", number[part]), ("place", mine), ("score", score)):
-                out[c].append(x)
-        made = {c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in out.items()}
-        shard = np.full(len(order), chosen.column("shard")[0].as_py() if len(order) else 0, np.int64)
-        return pa.table({"number": made["number"].astype(np.int32), "shard": shard, "place": made["place"].astype(np.int32), "score": made["score"]})
-
-    shards = lists.mapInArrow(cut, lists.schema).groupBy("shard")
-    two = materialise(shards.applyInArrow(add_up, "number int, shard long, place int, score long, most long"))
-    raised = materialise(kth_score(two.withColumnRenamed("number", "item"), k).withColumnRenamed("item", "number"))
-    candidates = two.join(small(raised), "number").where("most >= bound").select("number", "shard", "place")
-    three = candidates.groupBy("shard").cogroup(lists.join(small(materialise(gains.select("term").distinct())), "term", "left_semi").groupBy("shard"))
-    exact = three.applyInArrow(look_up, "number int, shard long, place int, score long")
+            reached = max(bound, int(np.partition(total[at], len(at) - k)[len(at) - k]) if len(at) >= k else 0)
+            can = at[total[at] + (len(terms) - seen[at]) * (level - 1) >= reached]
+            chosen = np.zeros(len(docs), bool)
+            chosen[can] = True
+            for place, impact, gain in rest:
+                hit = chosen[place]
+                total[place[hit]] += gain * impact[hit]
+            can = can[total[can] >= max(reached, 1)]
+            can = can[np.lexsort((rank[can], -total[can]))[:k]]
+            found.append((np.full(len(can), number), can, total[can]))
+        number, place, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"number": number.astype(np.int32), "doc": docs.take(pa.array(place)), "score": score})
+
+    wanted = small(materialise(gains.select("term").distinct().withColumn("wanted", F.lit(True))))
+    mine = members.join(wanted, "term", "left").where("term is null or wanted").drop("wanted")
+    kind = members.schema["docs"].dataType.elementType
+    out = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("doc", kind), T.StructField("score", T.LongType())])
+    exact = materialise(mine.groupBy("group").applyInArrow(best, out))
     kinds = T.StructType([T.StructField("number", T.IntegerType()), gains.schema["item"]])
     names = materialise(spark.createDataFrame([(i, p[0]) for i, p in enumerate(plan)], kinds))
-    return exact.join(small(names), "number").select("item", "shard", "place", "score")
+    return exact.join(small(names), "number").select("item", "doc", "score")
 
 
 def search(documents: DataFrame, items: DataFrame, k: int = K, doc: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -249,10 +239,10 @@ def search(documents: DataFrame, items: DataFrame, k: int = K, doc: str = "doc_i
 
     1. The k heads of each term's lists give sums that k documents reach at least: a lower bound for each item.
     2. A document that gets less than bound / (number of the item's terms) from every list stays below the
-       bound, so each list is read down to that only.  What is read meets by shard, where it is added up.  The k-th
-       highest sum raises the bound; a document stays if its sum, with one less than the threshold for each
-       list that it wasn't seen in, reaches the bound.
-    3. The candidates' postings are looked up in all lists of the item, and the exact scores ranked.
+       bound, so each list is read down to that only.  Lists meet by groups of shards, where what is read is added
+       up.  The k-th highest sum raises the bound there; a document stays if its sum, with one less than the
+       threshold for each list that it wasn't seen in, reaches the bound.
+    3. The candidates are looked up in the rest of the item's lists, and the k best of each group are ranked.
     """
     asked = materialise(item_terms(items, item))
     wanted = materialise(asked.select("term").distinct())
@@ -271,16 +261,17 @@ def search(documents: DataFrame, items: DataFrame, k: int = K, doc: str = "doc_i
     gains = asked.join(df, "term").select("item", "term", (F.col("q") * term_weight(F.col("df"), F.lit(count))).alias("gain"))
     gains = materialise(gains.where("gain > 0"))
     heads = materialise(list_heads(lists, k))
+    listed = lists.withColumn("docs", F.lit(None).cast(raw.schema["docs"].dataType))
+    named = raw.where("term is null").select("term", "shard", "place", F.col("tf").alias("impact"), "docs")  # both null
+    members = listed.unionByName(named).join(small(shard_groups(raw)), "shard")
     passes = -(-max(1, gains.count()) // SMALL)
     found = None
     for i in range(passes):
         mine = gains.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == i) if passes > 1 else gains
-        scored = _one_pass(lists, heads, mine, k)
+        scored = _one_pass(members, heads, mine, k)
         found = scored if found is None else found.unionByName(scored)
-    found = materialise(found.where("score > 0"))
-    named = raw.where("term is null").select("shard", F.posexplode("docs").alias("place", "doc"))
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc"), "shard", "place")
-    best = found.join(named, ["shard", "place"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("item", "rank", "doc", "score")
 
 

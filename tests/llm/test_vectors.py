@@ -219,6 +219,30 @@ def test_ranks_of_nothing(spark):
     assert sorted(map(tuple, ranking.ranked_documents(d, q).collect())) == ranks_by_hand([(1, "a b")], [(1, "a b")])
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_groups_send_few_documents(spark, monkeypatch, same):
+    """Documents that can be among the best aren't sent, but the best of them; the same for one partition or many."""
+    sent = []
+
+    def kept(df):
+        out = keep(df)
+        if "score" in out.columns:
+            sent.append(out.count())
+        return out
+
+    keep = ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", kept)
+    rng = np.random.default_rng(4)
+    docs = [(i, ("a b c" if i % 3 else "z") if same else " ".join(f"t{int(x)}" for x in rng.integers(0, 12, 30))) for i in range(600)]
+    asked = [(1, "a b" if same else "t1 t2 t3 t4 t5"), (2, "c" if same else "t6 t7 t8 t1")]
+    q = spark.createDataFrame(asked, "item_id long, text string")
+    for partitions in (1, 40):
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions)
+        got = ranking.ranked_documents(d, q)
+        assert sorted(map(tuple, got.collect()), key=str) == ranks_by_hand(docs, asked)
+    assert sent and max(sent) <= 20 * len(asked)
+
+
 def test_lists_are_cut(spark):
     """Most of a common term's list is never read where rarer terms decide."""
     rng = np.random.default_rng(1)
