@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,9 @@ _SYMBOL[[*range(48, 58), *range(97, 123), *range(128, 256)]] = np.arange(1, SYMB
 _ROWS = 256
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
+def _product(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    if out is None:
+        out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
     for i in range(0, len(a), _ROWS):
         np.matmul(a[i : i + _ROWS], b, out=out[i : i + _ROWS])
     return out
@@ -54,12 +55,25 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _moment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a.T @ b"""
-    out = np.zeros((a.shape[1], b.shape[1]), np.result_type(a, b))
-    for i in range(0, len(a), _ROWS):
+    out = a[:_ROWS].T @ b[:_ROWS]
+    for i in range(_ROWS, len(a), _ROWS):
         out += a[i : i + _ROWS].T @ b[i : i + _ROWS]
     return out
 
 
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, e to it, and its sums by row; x is lowered to 0 at most in each row where e to it could leave the range of float32."""
+    if x.size and max(x.max(), -x.min()) > 60:
+        x = x - x.max(1, keepdims=True)
+    e = np.exp(x)
+    return x, e, _product(e, np.ones((e.shape[1], 1), e.dtype))[:, 0]
+
+
+def _sorting(x: np.ndarray, size: int) -> np.ndarray:
+    """Stable order of numbers below ``size``: by counting, if they have 16 bits."""
+    return np.argsort(x.astype(np.uint16) if size <= 1 << 16 else x, kind="stable")
+
+
 class Network:
     """hidden = tanh(sum of the neighbours' vectors by place); a softmax for each digit of the word on top.
 
@@ -89,10 +103,10 @@ class Network:
         self.word_w, self.word_b = self.layers[1]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.near[0][context[:, 0]]
+        total = self.near[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * REACH):
-            total = total + self.near[k][context[:, k]]
-        return np.tanh(total)
+            total += self.near[k].take(context[:, k], axis=0)
+        return np.tanh(total, out=total)
 
     @staticmethod
     def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -107,38 +121,34 @@ class Network:
             below[:n] = np.add.reduceat(hits, np.arange(n) * (step // GROUP))
             b[len(w) :] = np.log(below + 0.5).reshape(b.shape)[len(w) :]
 
-    def _digit(self, k: int, h: np.ndarray, target: np.ndarray, all_nodes: bool = True) -> Iterator[tuple[int | np.ndarray, np.ndarray | slice, np.ndarray]]:
-        """(node, rows, outputs) of digit ``k``: the rows of each node with weights, and those of all others together."""
+    def _digit(self, k: int, h: np.ndarray, target: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Where the rows of each node with weights begin and end, for sorted targets, and the outputs of digit ``k`` there."""
         w, b = self.layers[k]
-        if len(b) == 1:
-            yield 0, slice(None), _product(h, w[0]) + b[0]
-            return
-        node = target // self.steps[k]
-        order = np.argsort(node, kind="stable")
-        edges = np.searchsorted(node[order], np.arange(len(w) + 1)).tolist()
-        for at in range(len(w)):
-            if edges[at] < edges[at + 1]:
-                rows = order[edges[at] : edges[at + 1]]
-                yield at, rows, _product(h[rows], w[at]) + b[at]
-        rows = order[edges[-1] :]
-        if len(rows) and all_nodes:
-            yield node[rows], rows, b[node[rows]]
+        edges = np.searchsorted(target, np.arange(len(w) + 1, dtype=target.dtype) * self.steps[k]).tolist()
+        x = np.empty((edges[-1], GROUP), np.result_type(h, w))
+        for node, (i, j) in enumerate(pairwise(edges)):
+            if i < j:
+                _product(h[i:j], w[node], x[i:j])
+                x[i:j] += b[node]
+        return edges, x
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(target | both sides) of each position."""
-        h = self.hidden(context)
-        out = np.zeros(len(h))
+        order = _sorting(target, self.near.shape[1])
+        h, target = self.hidden(context[order]), target[order]
+        total = np.zeros(len(h))
         for k, step in enumerate(self.steps if len(h) else ()):
             digit = target % step // (step // GROUP)
-            w, b = self.layers[k]
-            if len(w) < len(b):  # nodes without weights give each word the same chance everywhere
-                rows = np.flatnonzero(target >= len(w) * step)
+            edges, x = self._digit(k, h, target)
+            n = edges[-1]
+            x, _, sums = _powers(x)
+            total[:n] += x[np.arange(n), digit[:n]] - np.log(sums)
+            if n < len(h):  # nodes without weights give each word the same chance everywhere
                 if k not in self.fixed:
-                    self.fixed[k] = self.log_softmax(b)
-                out[rows] += self.fixed[k][target[rows] // step, digit[rows]]
-            for _, rows, x in self._digit(k, h, target, False):
-                most = x.max(1)
-                out[rows] += x[np.arange(len(x)), digit[rows]] - most - np.log(np.exp(x - most[:, None]).sum(1))
+                    self.fixed[k] = self.log_softmax(self.layers[k][1])
+                total[n:] += self.fixed[k][target[n:] // step, digit[n:]]
+        out = np.empty(len(h))
+        out[order] = total
         return out
 
     def slopes(self, context: np.ndarray, target: np.ndarray, all_nodes: bool = True) -> Iterator[tuple[np.ndarray, slice | np.ndarray, np.ndarray]]:
@@ -147,6 +157,8 @@ class Network:
         All of it is computed before the first is given, so weights may be changed meanwhile.  Without
         ``all_nodes``, biases of nodes without weights are left out.
         """
+        order = _sorting(target, self.near.shape[1])
+        context, target = context[order], target[order]
         h = self.hidden(context)
         n = len(h)
         back = np.zeros_like(h)
@@ -155,25 +167,33 @@ class Network:
             w, b = self.layers[k]
             slope_w, slope_b = np.zeros_like(w), np.zeros_like(b[: len(w)])
             digit = target % step // (step // GROUP)
-            for node, rows, x in self._digit(k, h, target, all_nodes):
-                q = np.exp(x - x.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(q)), digit[rows]] -= 1
-                if isinstance(node, int):
-                    back[rows] += _product(q, w[node].T)
-                    slope_w[node], slope_b[node] = _moment(h[rows], q) / n, q.sum(0) / n
-                else:  # sorted by node
-                    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-                    found.append((b, node[starts], np.add.reduceat(q, starts, axis=0) / n))
+            edges, x = self._digit(k, h, target)
+            q = self._off(x, digit[: len(x)])
+            for node, (i, j) in enumerate(pairwise(edges)):
+                if i < j:
+                    back[i:j] += _product(q[i:j], w[node].T)
+                    slope_w[node], slope_b[node] = _moment(h[i:j], q[i:j]) / n, q[i:j].sum(0) / n
             found += [(w, slice(None), slope_w), (b, slice(0, len(w)), slope_b)]
+            if all_nodes and len(x) < n:
+                node = target[len(x) :] // step
+                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                found.append((b, node[starts], np.add.reduceat(self._off(b[node], digit[len(x) :]), starts, axis=0) / n))
         back *= (1 - h * h) / n
         for k in range(2 * REACH):
-            order = np.argsort(context[:, k], kind="stable")
+            order = _sorting(context[:, k], self.near.shape[1])
             ids = context[order, k]
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            found.append((self.near[k], ids[starts], np.add.reduceat(back[order], starts, axis=0)))
+            found.append((self.near[k], ids[starts], np.add.reduceat(back.take(order, axis=0), starts, axis=0)))
         yield from found
 
+    @staticmethod
+    def _off(x: np.ndarray, digit: np.ndarray) -> np.ndarray:
+        """Chances by the outputs ``x``, less one for the digit that it is."""
+        _, q, sums = _powers(x)
+        q /= sums[:, None]
+        q[np.arange(len(q)), digit] -= 1
+        return q
+
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Gradient of the mean negative log probability, laid out as ``flat``."""
         out = np.zeros_like(self.flat)
@@ -240,12 +260,6 @@ class Spelling:
         return np.bincount(owner, self.table[codes], len(words))
 
 
-def numbered(texts: list[bytes | None], places: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Words of all texts in a row with REACH zeros around each text; positions of words; text of each; the words."""
-    split = [words_of(text) for text in texts]
-    return *in_a_row([np.array(list(map(places.__getitem__, words)), np.int32) for words in split]), split
-
-
 def in_a_row(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     at = np.arange(len(owner)) + REACH * (owner + 1)
@@ -310,21 +324,47 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
 
-def encoded(docs: DataFrame, places: Vocabulary, groups: int) -> DataFrame:
-    """(group, hash, ids): the numbers of each text's words, in groups that depend on nothing but the texts."""
+def coded(docs: DataFrame, places: Vocabulary, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep``, ids and spelled: the numbers of each text's words, and the summed ln P of how its spelled words go on."""
     shared = docs.sparkSession.sparkContext.broadcast(places)
+    made: list[Spelling] = []
 
     def work(texts):
-        return [[np.array(list(map(shared.value.__getitem__, words_of(t))), "<i4").tobytes() for t in texts]]
-
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("hash")).where("text is not null")
-    made = map_texts(rows, work, [("ids", T.BinaryType())], ("hash",)).withColumn("group", F.pmod("hash", F.lit(groups)).cast("int"))
+        known = shared.value
+        if not made:
+            made.append(Spelling(known.codes, known.counts))
+        ids, sums = [], []
+        for text in texts:
+            words = words_of(text)
+            row = np.array(list(map(known.__getitem__, words)), "<i4")
+            rare = np.flatnonzero((row >= known.first_spelled) | (row == 1)).tolist()
+            ids.append(row.tobytes())
+            sums.append((len(rare), [words[i] for i in rare]))
+        owner = np.repeat(np.arange(len(texts)), [n for n, _ in sums])
+        scores = made[0]([w for _, words in sums for w in words]) if len(owner) else None
+        return [ids, np.bincount(owner, scores, len(texts)).astype(float)]
+
+    return map_texts(docs, work, [("ids", T.BinaryType()), ("spelled", T.DoubleType())], keep)
+
+
+def encoded(docs: DataFrame, places: Vocabulary, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(group, ids, spelled) and ``keep`` of each text that isn't null, in groups that depend on nothing but the texts."""
+    length = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-length // max(LEAST_TEXT, TEXT_FOR_WEIGHTS * Network(size=size_of(places)).flat.nbytes)))
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("hash"), *keep).where("text is not null")
+    made = coded(rows, places, ("hash", *keep)).withColumn("group", F.pmod("hash", F.lit(groups)).cast("int"))
     dealt = made.repartition(min(groups, max(shuffle_width(docs.sparkSession), groups // 16)), "group")
-    return materialise(dealt.sortWithinPartitions("group", "hash").select("group", "ids"))
+    return materialise(dealt.sortWithinPartitions("group", "hash").select("group", "ids", "spelled", *keep))
 
 
 def train(docs: DataFrame, places: Vocabulary, passes: int = PASSES) -> np.ndarray:
-    """Weights of a network trained on masked positions of all texts.
+    """Weights of a network trained on masked positions of all texts."""
+    return fit(encoded(docs, places), places, passes)
+
+
+def fit(texts: DataFrame, places: Vocabulary, passes: int = PASSES) -> np.ndarray:
+    """Weights of a network trained on masked positions of all texts, as :func:`encoded` deals them.
 
     Texts are dealt to groups by a hash.  In each pass the gradient is followed over each group's own texts
     from the common weights; the results are averaged by their number of positions in a tree of
@@ -332,14 +372,13 @@ def train(docs: DataFrame, places: Vocabulary, passes: int = PASSES) -> np.ndarr
     partitions the input has makes no difference but for rounding.  A text's positions are masked in turn: pass t has
     each ``passes``-th one, so that after the last pass each was a target once.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = texts.sparkSession.sparkContext
     size = size_of(places)
     net = Network(size=size)
     if len(places.hits):
         net.count(places.hits)
     flat = net.flat
-    length = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    texts = encoded(docs, places, max(1, -(-length // max(LEAST_TEXT, TEXT_FOR_WEIGHTS * flat.nbytes))))
+    texts = texts.select("group", "ids")
     for turn in range(passes):
         shared = sc.broadcast(flat)
 
@@ -433,28 +472,34 @@ def targets_of(texts: list[bytes], owner: np.ndarray, passes: int) -> np.ndarray
 
 def score(docs: DataFrame, places: Vocabulary, flat: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
     """Columns ``keep``, n_tokens and pll, the summed ln P of every word (spelled ones: with their spelling) given both sides."""
-    shared = docs.sparkSession.sparkContext.broadcast((flat, places))
+    return likelihoods(coded(docs, places, keep), places, flat, keep)
 
-    made: list[tuple[Network, Spelling]] = []
 
-    def work(texts):
-        weights, known = shared.value
-        if not made:
-            made.append((Network(weights, size=size_of(known)), Spelling(known.codes, known.counts)))
-        net, spelling = made[0]
-        ids, at, owner, split = numbered(texts, known)
-        target = ids[at]
-        lp = np.zeros(len(at))
-        for i in range(0, len(at), 1 << 15):
-            part = slice(i, i + (1 << 15))
-            lp[part] = net.log_probabilities(neighbours(ids, at[part]), target[part])
-        rare = np.flatnonzero((target >= known.first_spelled) | (target == 1))
-        if len(rare):
-            words = list(chain.from_iterable(split))
-            lp[rare] += spelling([words[i] for i in rare.tolist()])
-        return [np.bincount(owner, minlength=len(texts)), np.bincount(owner, lp, minlength=len(texts))]
-
-    return map_texts(docs, work, [("n_tokens", T.LongType()), ("pll", T.DoubleType())], keep, most=1 << 19)
+def likelihoods(texts: DataFrame, places: Vocabulary, flat: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
+    """:func:`score` of texts by their ids and spelled; copies that stand together are gone through once."""
+    shared = texts.sparkSession.sparkContext.broadcast(flat)
+    size = size_of(places)
+    chosen = texts.select("ids", "spelled", *keep)
+    schema = T.StructType([*chosen.schema.fields[2:], T.StructField("n_tokens", T.LongType()), T.StructField("pll", T.DoubleType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(shared.value, size=size)
+        for piece in slices(batches, "ids"):
+            blobs = piece.column(0).to_pylist()
+            place = {x: i for i, x in enumerate(dict.fromkeys(blobs))}
+            ids, at, owner = in_a_row([np.frombuffer(x, "<i4") for x in place])
+            lp = np.zeros(len(at))
+            for i in range(0, len(at), 1 << 15):
+                part = at[i : i + (1 << 15)]
+                lp[i : i + len(part)] = net.log_probabilities(neighbours(ids, part), ids[part])
+            mine = [place[x] for x in blobs]
+            n = np.bincount(owner, minlength=len(place))[mine]
+            pll = np.bincount(owner, lp, len(place))[mine] + piece.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*piece.columns[2:], pa.array(n, pa.int64()), pa.array(pll, pa.float64())], names=names)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+    return chosen.mapInArrow(run, schema)
 
 
 def pseudo_likelihood(docs: DataFrame, passes: int = PASSES) -> DataFrame:
@@ -464,7 +509,10 @@ def pseudo_likelihood(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     pll 0.  Repeated rows each get their score, and count as often in training.
     """
     places = vocabulary(docs)
-    out = score(docs, places, train(docs, places, passes), ("doc_id",))
+    texts = encoded(docs, places, ("doc_id",))
+    scored = likelihoods(texts, places, fit(texts, places, passes), ("doc_id",))
+    none = docs.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pll"))
+    out = scored.unionByName(none)
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
         "mean_pll", F.col("pll") / F.nullif(F.col("n_tokens"), F.lit(0))
     )

@@ -270,6 +270,49 @@ def test_partitions_make_no_difference(spark):
     assert max(abs(got[0][i] - got[1][i]) for i in got[0]) < 1e-2
 
 
+def test_scores_need_no_text(spark):
+    """They come from the numbers that training used; copies and texts that are null or empty have theirs."""
+    rows = [(i, f"one two {i} three") for i in range(20)] + [(30, None), (31, "")]
+    docs = spark.createDataFrame(rows + [(40, rows[3][1])], "doc_id long, text string")
+    out = lm.pseudo_likelihood(docs)
+    assert "text_in" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 23 and got[40]["pll"] == got[3]["pll"] < 0 and got[3]["n_tokens"] == 4
+    assert got[30]["pll"] == got[31]["pll"] == got[30]["n_tokens"] == got[31]["n_tokens"] == 0
+
+
+def test_nodes_are_worked_out_together(monkeypatch):
+    """One pass over the outputs of all nodes of a digit, the same as node by node."""
+    calls = []
+
+    def noted(*args, **kw):
+        calls.append(1)
+        return exp(*args, **kw)
+
+    exp = np.exp
+    rng = np.random.default_rng(1)
+    net = lm.Network(size=5056)
+    context, target = rng.integers(0, 5056, (3000, 2 * lm.REACH)), rng.integers(0, 5056, 3000)
+    monkeypatch.setattr(np, "exp", noted)
+    got = net.log_probabilities(context, target)
+    assert len(calls) <= 2 * len(net.steps)
+    h = net.hidden(context)
+    for i in range(0, 3000, 100):
+        whole = 0.0
+        for step, (w, b) in zip(net.steps, net.layers, strict=True):
+            node, digit = target[i] // step, target[i] % step // (step // lm.GROUP)
+            x = b[node] + (h[i] @ w[node] if node < len(w) else 0)
+            whole += x[digit] - np.log(exp(x).sum())
+        assert abs(got[i] - whole) < 1e-4
+
+
+def test_chances_far_out():
+    """Outputs beyond what float32 can raise e to."""
+    x = np.array([[300.0] + [0] * 31, [-300] * 32, [1] * 32], np.float32)
+    low, e, sums = lm._powers(x)
+    assert np.isfinite(e).all() and np.allclose(low[:, 0] - np.log(sums), [0, -np.log(32), -np.log(32)], atol=1e-5)
+
+
 # decontamination
 
 
